@@ -76,11 +76,11 @@ def build_index(docs: DataFrame, text_fields=TEXT_FIELDS, keyword_fields=KEYWORD
                                                   F.sum("tf").alias("cf"))
     # corpus statistics straight from the token arrays: a global aggregate
     # with map-side partial sums, never a shuffle of the postings
+    # (one row per document and field, so count = number of documents)
     long = _field_tokens(docs, text_fields, keyword_fields, stem)
-    n_docs = docs.select(F.count(F.lit(1))).scalar()
-    stats = (long.groupBy("field").agg(F.sum(F.size("toks")).alias("sum_dl"))
-             .select("field", n_docs.alias("n_docs"), "sum_dl",
-                     (F.col("sum_dl") / n_docs).alias("avgdl")))
+    stats = (long.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"),
+                                       F.sum(F.size("toks")).alias("sum_dl"))
+             .withColumn("avgdl", F.col("sum_dl") / F.col("n_docs")))
     return Index(postings, vocab, stats, docs)
 
 

@@ -56,6 +56,8 @@ class Leaf(Query):
     fields: tuple = DEFAULT_FIELDS
     uid: int = dfield(default=-1)
 
+    bounded = False  # True: resolved terms are fixed by the query text
+
     def leaves(self):
         return [self]
 
@@ -65,19 +67,50 @@ class Leaf(Query):
     def truth(self, flags):
         return flags[self.uid]
 
-    # rows (field, term, df) of the vocabulary this leaf resolves to
+    def terms(self) -> list[tuple[str, str]]:
+        """(field, term) pairs of a bounded leaf."""
+        return []
+
     def resolve(self, index: Index) -> DataFrame:
+        """(field, term, df) vocabulary rows of a pattern leaf."""
         raise NotImplementedError
 
-    bounded = True  # resolved rows bounded by the query text -> broadcastable
+    def rows(self, index: Index, shared: DataFrame | None = None) -> DataFrame:
+        """(doc_id, field, term, tf, dl, df) posting rows satisfying the leaf.
 
-    def rows(self, index: Index) -> DataFrame:
-        """(doc_id, field, term, tf, dl, df) posting rows satisfying the leaf."""
-        v = self.resolve(index)
+        Bounded leaves filter `shared` (postings of every bounded query term,
+        scanned once per query); pattern leaves resolve against `vocab` and
+        join postings, left to AQE's runtime size check."""
         if self.bounded:
-            v = F.broadcast(v)
-        return index.postings.join(v, ["field", "term"]).select(
-            "doc_id", "field", "term", "tf", "dl", "df")
+            pairs = self.terms()
+            if not pairs:
+                return _empty_rows(index)
+            return shared.filter(_pairs_cond(pairs)).select(*ROW_COLS)
+        v = self.resolve(index)
+        return index.postings.join(v, ["field", "term"]).select(*ROW_COLS)
+
+
+ROW_COLS = ("doc_id", "field", "term", "tf", "dl", "df")
+
+
+def _empty_rows(index):
+    return index.postings.filter(F.lit(False)).withColumn("df", F.lit(0).cast("long")).select(*ROW_COLS)
+
+
+def _pairs_cond(pairs) -> Column:
+    by_field: dict[str, list[str]] = {}
+    for f, t in pairs:
+        by_field.setdefault(f, []).append(t)
+    return reduce(lambda a, b: a | b, [(F.col("field") == f) & F.col("term").isin(sorted(set(ts)))
+                                       for f, ts in sorted(by_field.items())])
+
+
+def shared_postings(index: Index, pairs) -> DataFrame:
+    """Postings of the given (field, term) pairs with their document frequency.
+    The df table has at most len(pairs) rows, so it is broadcast."""
+    base = index.postings.filter(_pairs_cond(pairs))
+    dfs = base.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    return base.join(F.broadcast(dfs), ["field", "term"])
 
 
 def _fields_filter(fields) -> Column:
@@ -87,6 +120,7 @@ def _fields_filter(fields) -> Column:
 @dataclass(eq=False)
 class Term(Leaf):
     text: str = ""
+    bounded = True
 
     def terms(self) -> list[tuple[str, str]]:
         out = []
@@ -94,22 +128,16 @@ class Term(Leaf):
             if f in TEXT_FIELDS:
                 out += [(f, t) for t in analyze_text(self.text)]
             else:
-                out.append((f, self.text.strip().lower()))
+                v = self.text.strip().lower()
+                if v:
+                    out.append((f, v))
         return out
 
-    def resolve(self, index):
-        pairs = self.terms()
-        if not pairs:
-            return index.vocab.filter(F.lit(False)).select("field", "term", "df")
-        cond = reduce(lambda a, b: a | b,
-                      [(F.col("field") == f) & (F.col("term") == t) for f, t in pairs])
-        return index.vocab.filter(cond).select("field", "term", "df")
-
-    def rows(self, index):
+    def rows(self, index, shared=None):
         toks = analyze_text(self.text)
-        if len(toks) > 1:  # several tokens in one term: all must occur
-            return Phrase(self.fields, text=self.text, uid=self.uid, slop=None).rows(index)
-        return super().rows(index)
+        if len(toks) > 1:  # several tokens in one term: all must occur in one field
+            return Phrase(self.fields, text=self.text, uid=self.uid, slop=None).rows(index, shared)
+        return super().rows(index, shared)
 
 
 @dataclass(eq=False)
@@ -117,35 +145,31 @@ class Phrase(Leaf):
     """Tokens at consecutive positions (slop=None: anywhere in the field)."""
     text: str = ""
     slop: int | None = 0
+    bounded = True
 
-    def resolve(self, index):
+    def terms(self):
         toks = analyze_text(self.text)
-        cond = F.col("field").isin([f for f in self.fields if f in TEXT_FIELDS]) & \
-            F.col("term").isin(toks)
-        return index.vocab.filter(cond).select("field", "term", "df")
+        return [(f, t) for f in self.fields if f in TEXT_FIELDS for t in toks]
 
-    def rows(self, index):
+    def rows(self, index, shared=None):
         toks = analyze_text(self.text)
         if not toks:
-            return Term.rows(Term(self.fields, text="", uid=self.uid), index)
-        k = len(toks)
-        base = Leaf.rows(self, index)
+            return _empty_rows(index)
+        base = shared.filter(_pairs_cond(self.terms()))
         if self.slop is None:
             ok = (base.groupBy("doc_id", "field").agg(F.count_distinct("term").alias("n"))
                   .filter(F.col("n") == len(set(toks))).select("doc_id", "field"))
         else:
-            p = index.postings.join(F.broadcast(self.resolve(index).select("field", "term")),
-                                    ["field", "term"])
-            # a repeated token occupies several offsets
-            pos = (p.select("doc_id", "field", "term", F.explode("positions").alias("pos"))
-                   .select("doc_id", "field", "term", "pos",
-                           F.explode(F.array(*[F.when(F.col("term") == F.lit(t), F.lit(i))
-                                               for i, t in enumerate(toks)])).alias("i"))
-                   .filter(F.col("i").isNotNull()))
+            k = len(toks)
+            # a token repeated in the phrase occupies several offsets
+            offs = F.filter(F.array(*[F.when(F.col("term") == F.lit(t), F.lit(i))
+                                      for i, t in enumerate(toks)]), lambda x: x.isNotNull())
+            pos = (base.select("doc_id", "field", "term", F.explode("positions").alias("pos"), offs.alias("offs"))
+                   .select("doc_id", "field", "pos", F.explode("offs").alias("i")))
             ok = (pos.groupBy("doc_id", "field", (F.col("pos") - F.col("i")).alias("start"))
                   .agg(F.count_distinct("i").alias("n"))
                   .filter(F.col("n") == k).select("doc_id", "field").distinct())
-        return base.join(ok, ["doc_id", "field"], "left_semi")
+        return base.join(ok, ["doc_id", "field"], "left_semi").select(*ROW_COLS)
 
 
 def _glob_regex(pattern: str) -> str:
@@ -207,7 +231,7 @@ class Range(Leaf):
     lo: object = None
     hi: object = None
 
-    def rows(self, index):
+    def rows(self, index, shared=None):
         d = index.docs.filter(range_predicate(self.column, self.lo, self.hi))
         return d.select("doc_id", F.lit(None).cast("string").alias("field"),
                         F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"),
@@ -218,7 +242,7 @@ class Range(Leaf):
 class MatchAll(Leaf):
     """Every document."""
 
-    def rows(self, index):
+    def rows(self, index, shared=None):
         return Range(uid=self.uid, column="doc_id").rows(index)
 
 
@@ -372,7 +396,9 @@ def evaluate(index: Index, q: Query, method: str = "bm25") -> DataFrame:
     for i, leaf in enumerate(leaves):
         leaf.uid = i
     positive = {l.uid for l in _positive_leaves(q)}
-    parts = [leaf.rows(index).withColumn("li", F.lit(leaf.uid)) for leaf in leaves]
+    pairs = [p for l in leaves if l.bounded for p in l.terms()]
+    shared = shared_postings(index, pairs) if pairs else None
+    parts = [leaf.rows(index, shared).withColumn("li", F.lit(leaf.uid)) for leaf in leaves]
     universe = q.truth({l.uid: False for l in leaves})
     if universe:
         parts.append(index.docs.select(
@@ -490,7 +516,9 @@ def explain_scores(index: Index, q: Query, hits: DataFrame) -> DataFrame:
     for i, leaf in enumerate(leaves):
         leaf.uid = i
     pos = _positive_leaves(q)
-    rows = reduce(lambda a, b: a.unionByName(b), [l.rows(index) for l in pos])
+    pairs = [p for l in leaves if l.bounded for p in l.terms()]
+    shared = shared_postings(index, pairs) if pairs else None
+    rows = reduce(lambda a, b: a.unionByName(b), [l.rows(index, shared) for l in pos])
     rows = rows.join(hits.select("doc_id"), "doc_id", "left_semi")
     agg = rows.groupBy("doc_id").agg(
         F.array_sort(F.collect_set("term")).alias("matched_terms"),
