@@ -39,3 +39,349 @@ SELECT doc_id, id, title, path, format, category, sc.score AS score, {Q.snippet(
 FROM sc JOIN docs USING (doc_id) ORDER BY sc.score DESC, doc_id LIMIT 20
 """
 register("t6_bm25_top20", BM25_SQL)(bm25_top20)
+
+
+# ----------------------------------------------------------------------------- helpers
+FIELDS3 = ("title", "content", "tags")
+AS_OF = C.TEST_AS_OF
+
+
+def _sql_scored(term_cond: str, flags: dict[str, str], where: str, positive: str,
+                fields=FIELDS3, limit: int | None = 20, method: str = "bm25",
+                select: str = "doc_id, score", offset: int = 0, extra_where: str = "TRUE") -> str:
+    """Oracle SQL of a term-level boolean query: postings of the candidate
+    terms, df over the whole corpus, per-document flags and score."""
+    fl = ", ".join(f"bool_or({cond}) AS {name}" for name, cond in flags.items())
+    part = {"bm25": Q.bm25(), "tfidf": "tf * (ln(n_docs / (df + 1.0)) + 1.0)", "frequency": "CAST(tf AS DOUBLE)"}[method]
+    fin = ", ".join(f"'{f}'" for f in fields)
+    lim = f" LIMIT {limit}" if limit is not None else ""
+    off = f" OFFSET {offset}" if offset else ""
+    return f"""WITH {Q.DOCS}, {Q.tokens_cte()}, {Q.postings_cte(f"({term_cond}) AND field IN ({fin})")},
+rws AS (SELECT p.*, v.df, st.n_docs, st.avgdl FROM post p JOIN voc v USING (field, term) JOIN st USING (field)),
+agg AS (SELECT doc_id, {fl}, round(sum(CASE WHEN {positive} THEN {part} ELSE 0 END), 6) AS score
+        FROM rws GROUP BY doc_id),
+hits AS (SELECT agg.doc_id, agg.score, d.* EXCLUDE (doc_id, score) FROM agg JOIN docs d USING (doc_id)
+         WHERE ({where}) AND ({extra_where}))
+SELECT {select} FROM hits ORDER BY score DESC, doc_id{lim}{off}"""
+
+
+def _idx(spark, sf_dir):
+    return corpus_index(spark, sf_dir)
+
+
+PAGE = "doc_id, id, title, path, format, category, score"
+
+# ----------------------------------------------------------------------------- T1 / T2 / T13
+T1_SQL = f"""WITH {Q.DOCS_BASE}
+SELECT doc_id, CAST(len({Q.analyze('content')}) AS INTEGER) AS n_tokens,
+       CAST(len(list_distinct({Q.analyze('content')})) AS INTEGER) AS n_distinct,
+       CAST(len(regexp_extract_all(lower(content), '{Q.TOKEN}')) AS INTEGER) AS n_raw FROM docs_b"""
+
+
+@register("t1_analyze", T1_SQL)
+def t1(spark, sf_dir):
+    from folio.functions.text import analyze
+    d = tc.documents(spark, sf_dir, with_labels=False)
+    return d.select("doc_id", F.size(analyze("content")).alias("n_tokens"),
+                    F.size(F.array_distinct(analyze("content"))).alias("n_distinct"),
+                    F.size(analyze("content", stop=False)).alias("n_raw"))
+
+
+T2_SQL = f"""WITH {Q.DOCS}, {Q.tokens_cte()}, {Q.postings_cte("field IN ('title', 'content')")}
+SELECT field, term, df, CAST(cf AS BIGINT) AS cf FROM (
+  SELECT field, term, count(*) AS df, sum(tf) AS cf FROM post GROUP BY field, term)"""
+
+
+@register("t2_vocabulary", T2_SQL)
+def t2(spark, sf_dir):
+    idx = _idx(spark, sf_dir)
+    return idx.vocab.filter(F.col("field").isin("title", "content")).select("field", "term", "df", "cf")
+
+
+T2P_SQL = f"""WITH {Q.DOCS}, {Q.tokens_cte()}, {Q.postings_cte("TRUE")}
+SELECT field, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS n_tokens, count(DISTINCT doc_id) AS n_docs FROM post GROUP BY field"""
+
+
+@register("t2_postings_summary", T2P_SQL)
+def t2p(spark, sf_dir):
+    p = _idx(spark, sf_dir).postings
+    return p.groupBy("field").agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens"),
+                                  F.count_distinct("doc_id").alias("n_docs"))
+
+
+T13_SQL = f"""WITH {Q.DOCS}, {Q.tokens_cte()}, {Q.postings_cte("TRUE")}
+SELECT (SELECT count(*) FROM docs) AS n_documents, (SELECT max(modified_at) FROM docs) AS last_modified,
+       (SELECT count(DISTINCT field) FROM post) AS n_fields,
+       (SELECT count(*) FROM (SELECT DISTINCT field, term FROM post)) AS n_terms,
+       (SELECT count(*) FROM post) AS n_postings"""
+
+
+@register("t13_index_stats", T13_SQL)
+def t13(spark, sf_dir):
+    return ix.index_stats(_idx(spark, sf_dir))
+
+
+# ----------------------------------------------------------------------------- P7-P13 / T3-T6
+@register("p7_title_term", _sql_scored("term = 'tion'", {"f0": "term = 'tion'"}, "f0", "TRUE",
+                                       fields=("title",), limit=None, select=PAGE))
+def p7(spark, sf_dir):
+    return s.search(_idx(spark, sf_dir), s.term("tion", ["title"]), limit=None, with_snippet=False) \
+        .select(*PAGE.split(", "))
+
+
+@register("p7_keyword_field", _sql_scored("term = 'code'", {"f0": "term = 'code'"}, "f0", "TRUE",
+                                          fields=("format",), limit=None, select="doc_id, format, score"))
+def p7k(spark, sf_dir):
+    return s.search(_idx(spark, sf_dir), s.term("code", ["format"]), limit=None, with_snippet=False) \
+        .select("doc_id", "format", "score")
+
+
+_P8_TERMS = "term IN ('tion', 'ing', 'ther', 'ment')"
+_P8_FLAGS = {"a": "term = 'tion'", "b": "term = 'ing'", "c": "term = 'ther'", "d": "term = 'ment'"}
+
+
+@register("p8_boolean", _sql_scored(_P8_TERMS, _P8_FLAGS, "a AND (b OR c) AND NOT d",
+                                    "term IN ('tion', 'ing', 'ther')", limit=None, select=PAGE))
+def p8(spark, sf_dir):
+    q = s.all_of(s.term("tion"), s.any_of(s.term("ing"), s.term("ther")), s.none_of(s.term("ment")))
+    return s.search(_idx(spark, sf_dir), q, limit=None, with_snippet=False).select(*PAGE.split(", "))
+
+
+P8N_SQL = f"""WITH {Q.DOCS}, {Q.tokens_cte()}, {Q.postings_cte("term = 'tion' AND field IN ('title', 'content', 'tags')")}
+SELECT doc_id, CAST(0.0 AS DOUBLE) AS score FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM post)"""
+
+
+@register("p8_not_only", P8N_SQL)
+def p8n(spark, sf_dir):
+    return s.evaluate(_idx(spark, sf_dir), s.none_of(s.term("tion")))
+
+
+def _phrase_sql(words: str) -> str:
+    toks = words.split()
+    inl = ", ".join(f"'{t}'" for t in sorted(set(toks)))
+    return f"""WITH {Q.DOCS}, {Q.tokens_cte()}, {Q.postings_cte(f"term IN ({inl}) AND field IN ('title', 'content')")},
+ok AS (SELECT doc_id, field FROM tok WHERE field IN ('title', 'content')
+       AND (' ' || array_to_string(toks, ' ') || ' ') LIKE '% {words} %'),
+rws AS (SELECT p.*, v.df, st.n_docs, st.avgdl FROM post p JOIN voc v USING (field, term) JOIN st USING (field)
+        WHERE (doc_id, field) IN (SELECT (doc_id, field) FROM ok))
+SELECT doc_id, round(sum({Q.bm25()}), 6) AS score FROM rws GROUP BY doc_id"""
+
+
+@register("p9_phrase", _phrase_sql("anea eriner"))
+def p9(spark, sf_dir):
+    return s.evaluate(_idx(spark, sf_dir), s.phrase("anea eriner"))
+
+
+@register("p9_phrase_repeated_token", _phrase_sql("de de"))
+def p9r(spark, sf_dir):
+    return s.evaluate(_idx(spark, sf_dir), s.phrase("de de"))
+
+
+WILD = "thr*n"
+_WRX = "^thr.*n$"
+
+
+@register("p10_wildcard", _sql_scored(f"regexp_full_match(term, '{_WRX}')", {"f0": "TRUE"}, "f0", "TRUE",
+                                      limit=None, select="doc_id, score"))
+def p10(spark, sf_dir):
+    return s.evaluate(_idx(spark, sf_dir), s.wildcard(WILD))
+
+
+@register("p10_leading_wildcard", _sql_scored("regexp_full_match(term, '^.*eaux$')", {"f0": "TRUE"}, "f0", "TRUE",
+                                              limit=None, select="doc_id, score"))
+def p10l(spark, sf_dir):
+    return s.evaluate(_idx(spark, sf_dir), s.wildcard("*eaux"))
+
+
+@register("p11_regex", _sql_scored("regexp_full_match(term, 'th[a-e]+n')", {"f0": "TRUE"}, "f0", "TRUE",
+                                   limit=None, select="doc_id, score"))
+def p11(spark, sf_dir):
+    return s.evaluate(_idx(spark, sf_dir), s.regex("th[a-e]+n"))
+
+
+@register("p12_fuzzy", _sql_scored("length(term) BETWEEN 3 AND 5 AND levenshtein(term, 'thon') <= 1 "
+                                   "AND regexp_full_match(term, '[a-z]+')", {"f0": "TRUE"}, "f0", "TRUE",
+                                   limit=None, select="doc_id, score"))
+def p12(spark, sf_dir):
+    # ASCII-only vocabulary for the oracle: DuckDB counts edits on bytes
+    idx = _idx(spark, sf_dir)
+    idx = ix.Index(idx.postings, idx.vocab.filter(F.col("term").rlike("^[a-z]+$")), idx.stats, idx.docs)
+    return s.evaluate(idx, s.fuzzy("thon", 1))
+
+
+@register("p13_fallback_or", _sql_scored("term IN ('ouen', 'thorreou')", {"a": "term = 'ouen'", "b": "term = 'thorreou'"},
+                                         "a OR b", "TRUE", fields=("title", "content"), limit=None,
+                                         select="doc_id, score"))
+def p13(spark, sf_dir):
+    return s.evaluate(_idx(spark, sf_dir), s.fallback("ouen thorreou"))
+
+
+@register("t3_bm25_all_hits", _sql_scored("term IN ('tion', 'ther')", {"a": "term = 'tion'", "b": "term = 'ther'"},
+                                          "a OR b", "TRUE", limit=None, select="doc_id, score"))
+def t3(spark, sf_dir):
+    return s.evaluate(_idx(spark, sf_dir), s.any_of(s.term("tion"), s.term("ther")))
+
+
+@register("t4_tfidf_top20", _sql_scored(f"term IN ({_in})", {"a": "TRUE"}, "a", "TRUE", method="tfidf",
+                                        select="doc_id, score"))
+def t4(spark, sf_dir):
+    q = s.any_of(*[s.term(t) for t in T6_TERMS])
+    return s.search(_idx(spark, sf_dir), q, limit=20, method="tfidf", with_snippet=False).select("doc_id", "score")
+
+
+@register("t5_frequency_top20", _sql_scored(f"term IN ({_in})", {"a": "TRUE"}, "a", "TRUE", method="frequency",
+                                            select="doc_id, score"))
+def t5(spark, sf_dir):
+    q = s.any_of(*[s.term(t) for t in T6_TERMS])
+    return s.search(_idx(spark, sf_dir), q, limit=20, method="frequency", with_snippet=False).select("doc_id", "score")
+
+
+@register("t6_filtered_page", _sql_scored(f"term IN ({_in})", {"a": "TRUE"}, "a", "TRUE", limit=10, offset=5,
+                                          extra_where="format IN ('markdown', 'text') AND list_contains(tags, 'en')",
+                                          select=PAGE))
+def t6f(spark, sf_dir):
+    q = s.any_of(*[s.term(t) for t in T6_TERMS])
+    return s.search(_idx(spark, sf_dir), q, filters={"format": ["markdown", "text"], "tags": "en"},
+                    offset=5, limit=10, with_snippet=False).select(*PAGE.split(", "))
+
+
+T6S_SQL = _sql_scored(f"term IN ({_in})", {"a": "TRUE"}, "a", "TRUE", limit=None, select="doc_id, size, score") \
+    .replace("ORDER BY score DESC, doc_id", "ORDER BY size DESC, doc_id LIMIT 15")
+
+
+@register("t6_sort_size_desc", T6S_SQL)
+def t6s(spark, sf_dir):
+    q = s.any_of(*[s.term(t) for t in T6_TERMS])
+    return s.search(_idx(spark, sf_dir), q, sort="-size", limit=15, with_snippet=False).select("doc_id", "size", "score")
+
+
+# ----------------------------------------------------------------------------- T7-T12, T15, T16
+_TOP20 = "WITH t AS (" + BM25_SQL.strip() + ")"
+
+
+def _top20(spark, sf_dir):
+    return bm25_top20(spark, sf_dir)
+
+
+T7_SQL = f"""{_TOP20}, {Q.DOCS_BASE.strip()},
+r AS (SELECT t.doc_id, t.score, t.title, t.snippet, t.format, d.modified_at,
+             date_diff('day', CAST(d.modified_at AS DATE), CAST(TIMESTAMP '{AS_OF}' AS DATE)) AS age
+      FROM t JOIN docs_b d USING (doc_id))
+SELECT doc_id, round(score
+  * CASE WHEN contains(lower(title), 'tion') OR contains(lower(title), 'ing') OR contains(lower(title), 'ther') THEN 2.0 ELSE 1.0 END
+  * CASE WHEN contains(lower(title), 'tion ing ther') OR contains(lower(snippet), 'tion ing ther') THEN 3.0 ELSE 1.0 END
+  * CASE WHEN age < 7 THEN 1.5 WHEN age < 30 THEN 1.3 WHEN age < 90 THEN 1.1 WHEN age > 365 THEN 0.9 ELSE 1.0 END
+  * CASE WHEN format IN ('markdown') THEN 1.1 ELSE 1.0 END, 6) AS rerank_score FROM r"""
+
+
+@register("t7_rerank", T7_SQL)
+def t7(spark, sf_dir):
+    page = _top20(spark, sf_dir)
+    d = tc.documents(spark, sf_dir, with_labels=False).select("doc_id", "modified_at")
+    page = F.broadcast(page).join(d, "doc_id")
+    return s.rerank(page, " ".join(T6_TERMS), AS_OF, preferred_formats=["markdown"]) \
+        .select("doc_id", "rerank_score")
+
+
+T8_SQL = """SELECT user_id AS doc_id, round(sum(CASE WHEN event_type = 'click' THEN 1.0 / log2(event_id % 10 + 2)
+            WHEN event_type = 'view' THEN -log2(event_id % 10 + 2) ELSE 0.0 END), 6) AS feedback
+FROM events GROUP BY user_id"""
+
+
+@register("t8_relevance_feedback", T8_SQL)
+def t8(spark, sf_dir):
+    e = tc.table(spark, sf_dir, "events")
+    clicks = e.select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 10 + 1).alias("rank"),
+                      F.when(F.col("event_type") == "click", "clicked")
+                      .when(F.col("event_type") == "view", "ignored").otherwise("none").alias("action"))
+    return s.relevance_feedback(clicks)
+
+
+T9_SQL = f"""WITH t AS ({BM25_SQL.strip()}), {Q.DOCS.strip()}, {Q.tokens_cte()},
+{Q.postings_cte(f"term IN ({_in}) AND field IN ('title', 'content', 'tags')")}
+SELECT t.doc_id, t.score AS base_score,
+       (SELECT array_to_string(list_sort(list_distinct(list(p.term))), ',') FROM post p WHERE p.doc_id = t.doc_id) AS matched_terms,
+       EXISTS (SELECT 1 FROM post p WHERE p.doc_id = t.doc_id AND p.field = 'title') AS title_match,
+       EXISTS (SELECT 1 FROM post p WHERE p.doc_id = t.doc_id AND p.field = 'content') AS content_match,
+       EXISTS (SELECT 1 FROM post p WHERE p.doc_id = t.doc_id AND p.field = 'tags') AS tags_match
+FROM t"""
+
+
+@register("t9_explain", T9_SQL)
+def t9(spark, sf_dir):
+    idx = _idx(spark, sf_dir)
+    q = s.any_of(*[s.term(t) for t in T6_TERMS])
+    page = s.search(idx, q, limit=20, with_snippet=False)
+    ex = s.explain_scores(idx, q, page)
+    return ex.select("doc_id", "base_score", F.array_join("matched_terms", ",").alias("matched_terms"),
+                     "title_match", "content_match", "tags_match")
+
+
+T10_SQL = f"""{_TOP20}
+SELECT doc_id, regexp_replace(snippet, '(?i)(ther|tion|ing)', '<mark>\\1</mark>', 'g') AS highlights FROM t"""
+
+
+@register("t10_highlight", T10_SQL)
+def t10(spark, sf_dir):
+    page = _top20(spark, sf_dir)
+    return s.highlight_page(page, " ".join(T6_TERMS)).select("doc_id", "highlights")
+
+
+T11_SQL = f"""WITH {Q.DOCS}, {Q.tokens_cte()}, {Q.postings_cte("field = 'content'")},
+seed AS (SELECT p.term, p.tf * ln(st.n_docs / v.df) AS w FROM post p JOIN voc v USING (field, term) JOIN st USING (field)
+         WHERE p.doc_id = 1),
+top AS (SELECT term FROM seed ORDER BY w DESC, term LIMIT 10),
+sc AS (SELECT p.doc_id, round(sum({Q.bm25('p')}), 6) AS score
+       FROM post p JOIN top USING (term) JOIN voc v USING (field, term) JOIN st USING (field)
+       WHERE p.doc_id <> 1 GROUP BY p.doc_id)
+SELECT 1 AS seed_id, doc_id, score FROM sc ORDER BY score DESC, doc_id LIMIT 10"""
+
+
+@register("t11_more_like_this", T11_SQL)
+def t11(spark, sf_dir):
+    idx = _idx(spark, sf_dir)
+    seeds = idx.docs.filter(F.col("path") == "/src1/en/1.txt").select("doc_id")
+    return s.more_like_this(idx, seeds, k_terms=10, limit=10).select(
+        F.col("seed_id").cast("int").alias("seed_id"), "doc_id", "score")
+
+
+T12_SQL = f"""WITH {Q.DOCS}, {Q.tokens_cte()}, {Q.postings_cte(f"term IN ({_in}) AND field IN ('title', 'content', 'tags')")},
+m AS (SELECT * FROM docs WHERE doc_id IN (SELECT doc_id FROM post)),
+v AS (SELECT 'format' AS field, format AS value FROM m
+      UNION ALL SELECT 'category', category FROM m
+      UNION ALL SELECT 'tags', unnest(list_distinct(tags)) FROM m
+      UNION ALL SELECT 'status', status FROM m
+      UNION ALL SELECT 'year', CAST(year(modified_at) AS VARCHAR) FROM m)
+SELECT field, value, count(*) AS count FROM v WHERE value IS NOT NULL GROUP BY field, value"""
+
+
+@register("t12_facets", T12_SQL)
+def t12(spark, sf_dir):
+    q = s.any_of(*[s.term(t) for t in T6_TERMS])
+    return s.facets(_idx(spark, sf_dir), q)
+
+
+T15_SQL = BM25_SQL.replace("FROM documents)", "FROM documents WHERE doc_id % 6 <> 3)", 1)
+
+
+@register("t15_delete_then_search", T15_SQL)
+def t15(spark, sf_dir):
+    idx = _idx(spark, sf_dir)
+    gone = idx.docs.filter(F.col("format") == "json").select("doc_id")
+    idx2 = ix.delete_from_index(idx, gone)
+    q = s.any_of(*[s.term(t) for t in T6_TERMS])
+    return _page_cols(s.search(idx2, q, limit=20))
+
+
+T16_SQL = f"""WITH {Q.HISTORY}
+SELECT user_id, turn, query, array_to_string(CASE WHEN results_count = 0 THEN list_filter(['~' || query || '~',
+    CASE WHEN contains(query, '"') THEN replace(query, '"', '') END,
+    CASE WHEN contains(query, ' AND ') THEN replace(query, ' AND ', ' OR ') END], lambda x: x IS NOT NULL)
+  WHEN results_count > 100 THEN [query || ' format:markdown', '"' || query || '"'] ELSE [] END, '|') AS hints
+FROM search_history"""
+
+
+@register("t16_hints", T16_SQL)
+def t16(spark, sf_dir):
+    h = s.hints(tc.search_history(spark, sf_dir))
+    return h.select("user_id", "turn", "query", F.array_join("hints", "|").alias("hints"))
