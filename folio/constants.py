@@ -65,14 +65,16 @@ HIGHLIGHT_OPEN = "<mark>"
 HIGHLIGHT_CLOSE = "</mark>"
 # Words per minute for reading time.
 READING_WPM = 225
-# Query templates expanded from popular terms (Q7).
+# Query templates expanded from the top completions (Q7); {term2} is a related tag.
 QUERY_TEMPLATES = (
-    "{} tutorial", "{} example", "{} documentation",
-    "how to {}", "{} guide", "{} reference",
+    "title:{term}", "tags:{term}", "format:{term}",
+    "{term} AND {term2}", "{term} OR {term2}", '"{term}"',
 )
 # Suggestions returned when nothing is known yet (Q5).
-DEFAULT_SUGGESTIONS = ("getting started", "documentation", "tutorial",
-                       "api reference", "examples")
+DEFAULT_SUGGESTIONS = ("format:markdown", "tags:documentation", "title:README")
+# Query-log terms shorter than this are skipped; full queries must be shorter than LOG_QUERY_MAX.
+LOG_TERM_MIN = 3
+LOG_QUERY_MAX = 100
 # Metric thresholds (H1): value above -> unhealthy.
 DEFAULT_THRESHOLD = 90.0
 METRIC_HISTORY = 1000

@@ -1 +1,196 @@
-"""Registered queries."""
+"""Registered suggestion and query-log queries (Q1-Q11)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from folio.operators import suggest as G
+from folio.plans import sql as Q
+from folio.plans.registry import register
+from folio.plans.search_plans import corpus_index, T6_TERMS
+from folio.sources import testcorpus as tc
+
+ASCII = r"^[\x00-\x7F]*$"
+
+
+def _sugg(spark, sf_dir):
+    docs = tc.documents(spark, sf_dir)
+    return G.from_documents(docs).unionByName(G.from_query_log(tc.search_history(spark, sf_dir)))
+
+
+def _prefixes(spark, sf_dir, ascii_only=False):
+    h = tc.search_history(spark, sf_dir).filter(F.char_length("query") >= 3)
+    p = h.select(F.lower(F.substring("query", 1, 3)).alias("prefix")).distinct()
+    return p.filter(F.col("prefix").rlike(ASCII)) if ascii_only else p
+
+
+SUGG_CTE = f"""{Q.DOCS}, {Q.HISTORY},
+sugg AS (
+  SELECT lower(title) AS term, 'title' AS type, count(*) AS frequency, max(modified_at) AS last_used FROM docs
+  WHERE lower(title) <> '' GROUP BY lower(title)
+  UNION ALL
+  SELECT lower(tag), 'tag', count(*), max(modified_at) FROM (SELECT unnest(tags) AS tag, modified_at FROM docs)
+  WHERE tag IS NOT NULL AND lower(tag) <> '' GROUP BY lower(tag)
+  UNION ALL
+  SELECT t, 'query_term', count(*), max(searched_at) FROM (
+    SELECT unnest(regexp_extract_all(lower(query), '{Q.TOKEN}')) AS t, searched_at FROM search_history)
+  WHERE length(t) >= 3 GROUP BY t
+  UNION ALL
+  SELECT lower(query), 'full_query', count(*), max(searched_at) FROM search_history
+  WHERE length(query) < 100 AND lower(query) <> '' GROUP BY lower(query)),
+pre AS (SELECT DISTINCT lower(substring(query, 1, 3)) AS prefix FROM search_history WHERE length(query) >= 3)"""
+
+
+@register("q1_suggestions_from_documents", f"WITH {SUGG_CTE} SELECT * FROM sugg WHERE type IN ('title', 'tag')")
+def q1(spark, sf_dir):
+    return G.from_documents(tc.documents(spark, sf_dir))
+
+
+@register("q2_suggestions_from_log", f"WITH {SUGG_CTE} SELECT * FROM sugg WHERE type IN ('query_term', 'full_query')")
+def q2(spark, sf_dir):
+    return G.from_query_log(tc.search_history(spark, sf_dir))
+
+
+Q3_SQL = f"""WITH {SUGG_CTE},
+hits AS (SELECT p.prefix, s.term, s.type, s.frequency FROM sugg s JOIN pre p ON starts_with(s.term, p.prefix)),
+r AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY frequency DESC, term, type) AS rank FROM hits)
+SELECT prefix, term, type, frequency, rank FROM r WHERE rank <= 5"""
+
+
+@register("q3_prefix_completion", Q3_SQL)
+def q3(spark, sf_dir):
+    return G.prefix_completion(_sugg(spark, sf_dir), _prefixes(spark, sf_dir), k=5)
+
+
+Q4_SQL = f"""WITH {SUGG_CTE},
+p AS (SELECT prefix FROM pre WHERE regexp_full_match(prefix, '[\\x00-\\x7F]*')),
+s AS (SELECT * FROM sugg WHERE regexp_full_match(term, '[\\x00-\\x7F]*')),
+c AS (SELECT p.prefix, s.term, s.type, s.frequency FROM s JOIN p
+      ON length(s.term) >= length(p.prefix)
+     AND substring(s.term, 1, length(p.prefix)) <> p.prefix
+     AND levenshtein(substring(s.term, 1, length(p.prefix)), p.prefix) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY frequency DESC, term, type) AS rank FROM c)
+SELECT prefix, term, type, frequency, rank FROM r WHERE rank <= 5"""
+
+
+@register("q4_typo_completion", Q4_SQL)
+def q4(spark, sf_dir):
+    # ASCII only on both sides: the oracle's edit distance counts bytes
+    s = _sugg(spark, sf_dir).filter(F.col("term").rlike(ASCII))
+    return G.typo_completion(s, _prefixes(spark, sf_dir, ascii_only=True), k=5)
+
+
+@register("q5_popular", f"WITH {SUGG_CTE} SELECT term AS text, 'popular' AS type, frequency FROM sugg "
+          "WHERE type = 'title' ORDER BY frequency DESC, term LIMIT 10")
+def q5(spark, sf_dir):
+    return G.popular(_sugg(spark, sf_dir), 10)
+
+
+_TERMS_IN = ", ".join(f"'{t}'" for t in T6_TERMS)
+Q6_SQL = f"""WITH {Q.DOCS}, {Q.DOC_TAGS}, {Q.tokens_cte()}, {Q.postings_cte(f"field = 'content' AND term IN ({_TERMS_IN})")},
+co AS (SELECT p.term, t.tag, count(*) AS count FROM post p JOIN doc_tags t USING (doc_id) WHERE t.tag <> p.term
+       GROUP BY p.term, t.tag),
+r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY count DESC, tag) AS rank FROM co)
+SELECT term, tag, count, rank FROM r WHERE rank <= 3"""
+
+
+@register("q6_related_tags", Q6_SQL)
+def q6(spark, sf_dir):
+    idx = corpus_index(spark, sf_dir)
+    terms = idx.vocab.filter((F.col("field") == "content") & F.col("term").isin(*T6_TERMS)).select("term")
+    return G.related_tags(idx.postings, tc.doc_tags(spark, sf_dir), terms, k=3)
+
+
+Q6L_SQL = f"""WITH {Q.LINE_TAGS},
+seed AS (SELECT DISTINCT tag AS term, doc_id FROM line_tags WHERE tag IN ('p1', 'p2', 'p3')),
+co AS (SELECT s.term, t.tag, count(*) AS count FROM seed s JOIN line_tags t USING (doc_id) WHERE t.tag <> s.term
+       GROUP BY s.term, t.tag)
+SELECT term, tag, count FROM co"""
+
+
+@register("q6_related_parts_lineitem", Q6L_SQL)
+def q6l(spark, sf_dir):
+    lt = tc.line_tags(spark, sf_dir)
+    post = lt.select(F.lit("content").alias("field"), F.col("tag").alias("term"), "doc_id").distinct()
+    terms = post.select("term").filter(F.col("term").isin("p1", "p2", "p3")).distinct()
+    return G.related_tags(post, lt, terms, k=None)
+
+
+Q7_SQL = f"""WITH {SUGG_CTE}, {Q.DOC_TAGS}, {Q.tokens_cte()}, {Q.postings_cte("field = 'content'")},
+top AS (SELECT * FROM (SELECT 'the' AS prefix, term, row_number() OVER (ORDER BY frequency DESC, term, type) AS rank
+        FROM sugg WHERE starts_with(term, 'the')) WHERE rank <= 3),
+co AS (SELECT p.term, t.tag, count(*) AS count FROM post p JOIN doc_tags t USING (doc_id)
+       WHERE t.tag <> p.term AND p.term IN (SELECT term FROM top) GROUP BY p.term, t.tag),
+rel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY count DESC, tag) AS r_rank FROM co)
+        WHERE r_rank <= 3)
+SELECT prefix, 'title:' || term AS text, rank AS t_rank, 0 AS tpl, 0 AS r_rank FROM top
+UNION ALL SELECT prefix, 'tags:' || term, rank, 1, 0 FROM top
+UNION ALL SELECT prefix, 'format:' || term, rank, 2, 0 FROM top
+UNION ALL SELECT prefix, '"' || term || '"', rank, 5, 0 FROM top
+UNION ALL SELECT prefix, top.term || ' AND ' || rel.tag, rank, 3, r_rank FROM top JOIN rel USING (term)
+UNION ALL SELECT prefix, top.term || ' OR ' || rel.tag, rank, 4, r_rank FROM top JOIN rel USING (term)"""
+
+
+@register("q7_query_templates", Q7_SQL)
+def q7(spark, sf_dir):
+    sugg = _sugg(spark, sf_dir)
+    pre = tc.search_history(spark, sf_dir).select(F.lit("the").alias("prefix")).limit(1)
+    top = G.prefix_completion(sugg, pre, k=3).select("prefix", "term", "rank")
+    idx = corpus_index(spark, sf_dir)
+    rel = G.related_tags(idx.postings, tc.doc_tags(spark, sf_dir), top.select("term"), k=3)
+    return G.templates(top, rel)
+
+
+Q8_SQL = f"""WITH {Q.DOCS_BASE},
+req AS (SELECT DISTINCT request FROM (VALUES ('format:mark'), ('category:e'), ('status:ind'), ('tags:x')) v(request)),
+vals AS (SELECT 'format' AS field, format AS value, count(*) AS count FROM docs_b GROUP BY format
+         UNION ALL SELECT 'category', category, count(*) FROM docs_b GROUP BY category
+         UNION ALL SELECT 'status', status, count(*) FROM docs_b GROUP BY status)
+SELECT r.request, v.field || ':' || v.value AS text, v.count FROM req r JOIN vals v
+  ON v.field = split_part(r.request, ':', 1) AND contains(lower(v.value), lower(trim(split_part(r.request, ':', 2))))"""
+
+
+@register("q8_field_value_completion", Q8_SQL)
+def q8(spark, sf_dir):
+    docs = tc.documents(spark, sf_dir, with_labels=False)
+    req = spark.createDataFrame([("format:mark",), ("category:e",), ("status:ind",), ("tags:x",)], "request string")
+    return G.field_values(docs, req)
+
+
+Q9_SQL = f"""WITH {SUGG_CTE},
+p AS (SELECT prefix FROM pre WHERE regexp_full_match(prefix, '[\\x00-\\x7F]*')),
+s AS (SELECT * FROM sugg WHERE regexp_full_match(term, '[\\x00-\\x7F]*')),
+a AS (SELECT * FROM (SELECT p.prefix, s.term AS text, row_number() OVER (PARTITION BY p.prefix ORDER BY s.frequency DESC, s.term, s.type) AS pos
+      FROM s JOIN p ON starts_with(s.term, p.prefix)) WHERE pos <= 5),
+b AS (SELECT * FROM (SELECT p.prefix, s.term AS text, row_number() OVER (PARTITION BY p.prefix ORDER BY s.frequency DESC, s.term, s.type) AS pos
+      FROM s JOIN p ON length(s.term) >= length(p.prefix) AND substring(s.term, 1, length(p.prefix)) <> p.prefix
+      AND levenshtein(substring(s.term, 1, length(p.prefix)), p.prefix) = 1) WHERE pos <= 5),
+u AS (SELECT prefix, text, 1 AS source_rank, pos FROM a UNION ALL SELECT prefix, text, 2, pos FROM b),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prefix, text ORDER BY source_rank, pos) AS rn FROM u) WHERE rn = 1),
+r AS (SELECT prefix, text, source_rank, pos, row_number() OVER (PARTITION BY prefix ORDER BY source_rank, pos, text) AS rank FROM f)
+SELECT * FROM r WHERE rank <= 6"""
+
+
+@register("q9_merged_suggestions", Q9_SQL)
+def q9(spark, sf_dir):
+    s = _sugg(spark, sf_dir).filter(F.col("term").rlike(ASCII))
+    p = _prefixes(spark, sf_dir, ascii_only=True)
+    a = G.prefix_completion(s, p, k=5).select("prefix", F.col("term").alias("text"),
+                                               F.lit(1).alias("source_rank"), F.col("rank").alias("pos"))
+    b = G.typo_completion(s, p, k=5).select("prefix", F.col("term").alias("text"),
+                                             F.lit(2).alias("source_rank"), F.col("rank").alias("pos"))
+    return G.merge(a, b, k=6)
+
+
+@register("q10_recent_searches", f"WITH {Q.HISTORY}, l AS (SELECT user_id, query, max(searched_at) AS last_searched "
+          "FROM search_history GROUP BY user_id, query), r AS (SELECT *, row_number() OVER (PARTITION BY user_id "
+          "ORDER BY last_searched DESC, query) AS rank FROM l) SELECT * FROM r WHERE rank <= 10")
+def q10(spark, sf_dir):
+    return G.recent_searches(tc.search_history(spark, sf_dir), 10)
+
+
+@register("q11_search_activity", f"WITH {Q.HISTORY} SELECT CAST(searched_at AS DATE) AS day, count(*) AS searches, "
+          "round(avg(results_count), 6) AS avg_results, round(avg(execution_time), 6) AS avg_time FROM search_history "
+          "WHERE searched_at >= TIMESTAMP '2024-01-01 12:00:00' GROUP BY CAST(searched_at AS DATE)")
+def q11(spark, sf_dir):
+    return G.search_activity(tc.search_history(spark, sf_dir), since="2024-01-01 12:00:00")
