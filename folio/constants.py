@@ -56,6 +56,10 @@ UPLOAD_EXTENSION_FORMATS = {".js": "code", ".pdf": "pdf"}
 # Built-in ignore globs of the scanner.
 DEFAULT_IGNORE = (".*", "*.pyc", "__pycache__", "*.swp", "*.tmp", ".DS_Store", "Thumbs.db")
 
+# HTML entities decoded by the text extractor (X15), applied in this order.
+HTML_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+                 ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
+
 # --- fixed values: search surface ---------------------------------------------
 DEFAULT_FACET_FIELDS = ("format", "category", "tags", "status", "year")
 SNIPPET_LENGTH = 200

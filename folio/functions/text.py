@@ -99,18 +99,18 @@ def html_to_text(html) -> Column:
     """Drop script/style, strip tags, decode common entities, collapse
     whitespace runs to one space, trim."""
     h = _c(html)
-    h = F.regexp_replace(h, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+    h = F.regexp_replace(h, r"(?is)<script\b[^>]*>.*?</script\s*>", " ")
+    h = F.regexp_replace(h, r"(?is)<style\b[^>]*>.*?</style\s*>", " ")
     h = F.regexp_replace(h, r"(?s)<!--.*?-->", " ")
     h = F.regexp_replace(h, r"<[^>]*>", " ")
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                 ("&#39;", "'"), ("&amp;", "&")):
+    for a, b in C.HTML_ENTITIES:
         h = F.replace(h, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(h, r"\s+", " "))
 
 
 def slug(text) -> Column:
     """X7 anchor: lower, drop non-word chars except space and '-', spaces -> '-'."""
-    t = F.regexp_replace(F.lower(F.trim(_c(text))), r"[^a-z0-9_\s-]", "")
+    t = F.regexp_replace(F.lower(F.trim(_c(text))), r"[^\p{L}\p{N}_\s-]", "")
     return F.regexp_replace(t, r"\s+", "-")
 
 
@@ -118,14 +118,14 @@ def size_label(size) -> Column:
     """Human readable size, B / KB / MB / GB, one decimal above B."""
     s = _c(size).cast("double")
     return (F.when(s < 1024, F.concat(s.cast("long").cast("string"), F.lit(" B")))
-            .when(s < 1024 ** 2, F.concat(F.format_number(s / 1024, 1), F.lit(" KB")))
-            .when(s < 1024 ** 3, F.concat(F.format_number(s / 1024 ** 2, 1), F.lit(" MB")))
-            .otherwise(F.concat(F.format_number(s / 1024 ** 3, 1), F.lit(" GB"))))
+            .when(s < 1024 ** 2, F.concat(F.round(s / 1024, 1).cast("string"), F.lit(" KB")))
+            .when(s < 1024 ** 3, F.concat(F.round(s / 1024 ** 2, 1).cast("string"), F.lit(" MB")))
+            .otherwise(F.concat(F.round(s / 1024 ** 3, 1).cast("string"), F.lit(" GB"))))
 
 
 def age_label(ts, as_of) -> Column:
     """X21: 'just now', N minutes/hours/days ago relative to an explicit as_of."""
-    mins = F.floor((_c(as_of).cast("timestamp").cast("long") - _c(ts).cast("timestamp").cast("long")) / 60)
+    mins = F.floor(F.timestamp_diff("SECOND", _c(ts), _c(as_of)) / 60)
     return (F.when(mins < 1, F.lit("just now"))
             .when(mins < 60, F.concat(mins.cast("string"), F.lit(" minutes ago")))
             .when(mins < 1440, F.concat(F.floor(mins / 60).cast("string"), F.lit(" hours ago")))
