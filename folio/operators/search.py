@@ -626,3 +626,29 @@ def positions(hits: DataFrame, partition_by=None, order=None) -> DataFrame:
 
 __all__ = [n for n in dir() if not n.startswith("_")]
 _ = math
+
+
+def search_many(index: Index, queries: DataFrame, k: int | None = 10, fields=("title", "content"),
+                qid: str = "qid", text: str = "text", method: str = "bm25") -> DataFrame:
+    """Batch scoring of a table of queries (E6 and standing queries): each
+    query is the OR of its analysed words over `fields`; output the top k
+    (qid, doc_id, score, rank) per query.
+
+    Query words are analysed on the executors; postings of the distinct
+    query terms are joined once, document frequencies come from those same
+    rows, and the per-query top-k is the salted two-stage cut."""
+    from folio.functions.text import analyze
+    from folio.operators.stats import top_k_per_group
+
+    qt = (queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(analyze(F.col(text)))).alias("term"))
+          .select("qid", "term", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field")))
+    terms = qt.select("field", "term").distinct()
+    hit = index.postings.join(terms, ["field", "term"]).select("field", "term", "doc_id", "tf", "dl")
+    dfs = hit.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    stats = F.broadcast(index.stats.select("field", "n_docs", "avgdl"))  # one row per field
+    rows = (qt.join(hit, ["field", "term"]).join(dfs, ["field", "term"]).join(stats, "field")
+            .withColumn("part", contribution(method)))
+    scores = rows.groupBy("qid", "doc_id").agg(F.round(F.sum("part"), C.SCORE_DECIMALS).alias("score"))
+    if k is None:
+        return scores
+    return top_k_per_group(scores, ["qid"], [F.col("score").desc(), F.col("doc_id")], k)

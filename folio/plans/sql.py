@@ -91,7 +91,7 @@ file_events AS (
          CASE WHEN event_type = 'purchase' THEN '/m/' || CAST(user_id AS VARCHAR) || '.md'
               ELSE '/u/' || CAST(user_id AS VARCHAR) || '.md' END AS path,
          CASE WHEN event_type = 'purchase' THEN '/u/' || CAST(user_id AS VARCHAR) || '.md' END AS old_path,
-         ts, value
+         ts, value, user_id
   FROM events)"""
 
 METRICS = """

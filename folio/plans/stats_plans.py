@@ -111,7 +111,7 @@ def w1(spark, sf_dir):
 W2_SQL = f"""WITH {Q.FILE_EVENTS},
 e AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS tick FROM file_events),
 r AS (SELECT *, row_number() OVER (PARTITION BY tick, path ORDER BY ts DESC, event_id DESC) AS rn FROM e)
-SELECT tick, event_id, type, path, old_path, ts, value FROM r WHERE rn = 1"""
+SELECT tick, event_id, type, path, old_path, ts, value, user_id FROM r WHERE rn = 1"""
 
 
 @register("w2_debounce_latest", W2_SQL)

@@ -30,7 +30,14 @@ def documents(spark: SparkSession, sf_dir: str, with_labels: bool = True) -> Dat
     """Document rows: doc_id, id, path, title, content, content_hash, format, size,
     created_at, modified_at, indexed_at, status, error, score, tags, category,
     lang, source."""
-    d = table(spark, sf_dir, "documents")
+    base = documents_from(table(spark, sf_dir, "documents"))
+    if not with_labels:
+        return base
+    return with_labels_from(base, table(spark, sf_dir, "labels"))
+
+
+def documents_from(d: DataFrame) -> DataFrame:
+    """The document model of raw `documents` rows (batch or streaming)."""
     idx = (F.col("doc_id") % 6).cast("int") + 1
     path = F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"),
                     F.col("doc_id").cast("string"), _pick(C.TEST_EXTENSIONS, idx))
@@ -58,9 +65,12 @@ def documents(spark: SparkSession, sf_dir: str, with_labels: bool = True) -> Dat
         F.col("lang").alias("category"),
         "lang", "source",
     )
-    if not with_labels:
-        return base
-    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return base
+
+
+def with_labels_from(base: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds score (quality, 0 when absent) and tags (source, lang, toxic/clean, q0/q1)."""
+    lab = labels.select("doc_id", "quality", "toxic")
     j = base.join(lab, "doc_id", "left")
     extra = F.when(F.col("quality").isNotNull(),
                    F.array(F.when(F.col("toxic") == 1, "toxic").otherwise("clean"),
@@ -113,9 +123,13 @@ def doc_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_history_from(table(spark, sf_dir, "conversations"))
+
+
+def search_history_from(cv: DataFrame) -> DataFrame:
     """Query log from user turns: query = first three tokens (lower case),
     searched_at = epoch + (conv_id*10 + turn) minutes, user = conv_id."""
-    cv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    cv = cv.filter(F.col("role") == "user")
     words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(C.TOKEN_PATTERN), 0), 1, 3)
     return cv.select(
         F.col("conv_id").alias("user_id"),
@@ -128,23 +142,30 @@ def search_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File events from `events`: path = /u/<user_id>; type by event_type."""
-    e = table(spark, sf_dir, "events")
+    return file_events_from(table(spark, sf_dir, "events"))
+
+
+def file_events_from(e: DataFrame) -> DataFrame:
+    """File events from `events` (batch or streaming): signup = created,
+    error = deleted, purchase = moved from /u/<user>.md to /m/<user>.md,
+    anything else = modified of /u/<user>.md."""
     typ = (F.when(F.col("event_type") == "signup", "created")
            .when(F.col("event_type") == "error", "deleted")
            .when(F.col("event_type") == "purchase", "moved")
            .otherwise("modified"))
     path = F.concat(F.lit("/u/"), F.col("user_id").cast("string"), F.lit(".md"))
-    old = F.when(typ == "moved", F.concat(F.lit("/u/"), F.col("user_id").cast("string"), F.lit(".txt")))
     return e.select("event_id", typ.alias("type"),
                     F.when(typ == "moved", F.concat(F.lit("/m/"), F.col("user_id").cast("string"), F.lit(".md")))
                     .otherwise(path).alias("path"),
-                    F.when(typ == "moved", path).alias("old_path"), "ts", "value")
+                    F.when(typ == "moved", path).alias("old_path"), "ts", "value", "user_id")
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics_from(table(spark, sf_dir, "events"))
+
+
+def metrics_from(e: DataFrame) -> DataFrame:
     """Metric rows from `events`: name = event_type, value, ts, unit."""
-    e = table(spark, sf_dir, "events")
     return e.select("event_id", F.col("event_type").alias("name"), "value",
                     F.lit("ms").alias("unit"), "ts",
                     F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("tags"))
