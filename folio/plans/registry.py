@@ -24,4 +24,4 @@ def load_all() -> None:
     # importing the plan modules fills the registry
     from folio.plans import (search_plans, relational_plans, extract_plans,  # noqa: F401
                              taxonomy_plans, suggest_plans, stats_plans, export_plans,
-                             stream_plans, source_plans)
+                             stream_plans, source_plans, processor_plans)
