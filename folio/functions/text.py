@@ -139,3 +139,12 @@ def regex_escape(s: str) -> str:
 def ntz(ts: str) -> Column:
     """A TIMESTAMP_NTZ literal."""
     return F.to_timestamp_ntz(F.lit(ts))
+
+
+def as_ts(v) -> Column:
+    """An explicit `as_of` (ISO string, datetime or Column) as TIMESTAMP_NTZ."""
+    if isinstance(v, Column):
+        return v
+    if isinstance(v, str):
+        return F.lit(v).cast("timestamp_ntz")
+    return F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz")

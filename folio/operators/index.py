@@ -30,13 +30,14 @@ class Index:
     vocab: DataFrame
     stats: DataFrame
     docs: DataFrame
+    stemmed: bool = False
 
     def n_docs(self):
         """Scalar subquery: number of indexed documents."""
         return self.docs.select(F.count(F.lit(1))).scalar()
 
 
-def _field_tokens(docs: DataFrame, text_fields, keyword_fields, stem: bool) -> DataFrame:
+def _field_tokens(docs: DataFrame, text_fields, keyword_fields, stem: bool = False) -> DataFrame:
     """Long form (doc_id, field, toks) with one row per document and field."""
     parts = []
     for f in text_fields:
@@ -48,26 +49,25 @@ def _field_tokens(docs: DataFrame, text_fields, keyword_fields, stem: bool) -> D
         else:
             toks = analyze_keywords(F.col(f))
         parts.append(F.struct(F.lit(f).alias("field"), F.coalesce(toks, F.array().cast("array<string>")).alias("toks")))
-    long = docs.select("doc_id", F.explode(F.array(*parts)).alias("x")).select(
+    return docs.select("doc_id", F.explode(F.array(*parts)).alias("x")).select(
         "doc_id", F.col("x.field").alias("field"), F.col("x.toks").alias("toks"))
-    if stem:
-        from folio.functions.stem import stem_tokens
-        long = stem_tokens(long, "toks")
-    return long
 
 
 def tokens(docs: DataFrame, text_fields=TEXT_FIELDS, keyword_fields=KEYWORD_FIELDS,
            stem: bool = False) -> DataFrame:
-    """T1 analysed token stream (field, doc_id, dl, pos, term); no shuffle."""
-    long = _field_tokens(docs, text_fields, keyword_fields, stem)
+    """T1 analysed token stream (field, doc_id, dl, pos, term); no shuffle.
+    (Stemming is applied to the vocabulary by `build_index(stem=True)`.)"""
+    long = _field_tokens(docs, text_fields, keyword_fields)
     return long.select("field", "doc_id", F.size("toks").alias("dl"),
                        F.posexplode("toks").alias("pos", "term"))
 
 
 def build_index(docs: DataFrame, text_fields=TEXT_FIELDS, keyword_fields=KEYWORD_FIELDS,
                 positions: bool = True, stem: bool = False) -> Index:
-    """Postings with term frequency, field length and positions."""
-    tok = tokens(docs, text_fields, keyword_fields, stem)
+    """Postings with term frequency, field length and positions.
+    stem=True maps text-field terms to Porter stems over the distinct
+    vocabulary (a pandas UDF) and merges their postings."""
+    tok = tokens(docs, text_fields, keyword_fields)
     aggs = [F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")]
     if positions:
         aggs.append(F.array_sort(F.collect_list("pos")).alias("positions"))
@@ -77,11 +77,16 @@ def build_index(docs: DataFrame, text_fields=TEXT_FIELDS, keyword_fields=KEYWORD
     # corpus statistics straight from the token arrays: a global aggregate
     # with map-side partial sums, never a shuffle of the postings
     # (one row per document and field, so count = number of documents)
-    long = _field_tokens(docs, text_fields, keyword_fields, stem)
+    long = _field_tokens(docs, text_fields, keyword_fields)
     stats = (long.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"),
                                        F.sum(F.size("toks")).alias("sum_dl"))
              .withColumn("avgdl", F.col("sum_dl") / F.col("n_docs")))
-    return Index(postings, vocab, stats, docs)
+    idx = Index(postings, vocab, stats, docs)
+    if stem:
+        from folio.functions.stem import stem_index
+        idx = stem_index(idx, text_fields)
+        idx.stemmed = True
+    return idx
 
 
 def write_index(index: Index, path: str, partitions: int | None = None) -> None:
@@ -99,9 +104,9 @@ def write_index(index: Index, path: str, partitions: int | None = None) -> None:
     index.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
-def read_index(spark: SparkSession, path: str, docs: DataFrame) -> Index:
+def read_index(spark: SparkSession, path: str, docs: DataFrame, stemmed: bool = False) -> Index:
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocab"),
-                 spark.read.parquet(f"{path}/stats"), docs)
+                 spark.read.parquet(f"{path}/stats"), docs, stemmed)
 
 
 def compact_index(spark: SparkSession, src: str, dst: str, partitions: int, docs: DataFrame) -> Index:
@@ -121,7 +126,7 @@ def delete_from_index(index: Index, doc_ids: DataFrame) -> Index:
     per_doc = post.groupBy("field", "doc_id").agg(F.max("dl").alias("dl"))
     stats = (per_doc.groupBy("field").agg(F.sum("dl").alias("sum_dl"))
              .select("field", n_docs.alias("n_docs"), "sum_dl", (F.col("sum_dl") / n_docs).alias("avgdl")))
-    return Index(post, vocab, stats, docs)
+    return Index(post, vocab, stats, docs, index.stemmed)
 
 
 def index_stats(index: Index) -> DataFrame:

@@ -11,7 +11,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from folio.operators.search import filter_predicate, range_predicate
 
@@ -27,7 +26,8 @@ def list_documents(docs: DataFrame, format: str | None = None, status: str | Non
 
 def modified_since(docs: DataFrame, since) -> DataFrame:
     """Strictly after `since`."""
-    return docs.filter(F.col("modified_at") > F.lit(since).cast("timestamp_ntz"))
+    from folio.functions.text import as_ts
+    return docs.filter(F.col("modified_at") > as_ts(since))
 
 
 def apply_filters(docs: DataFrame, filters: dict | None) -> DataFrame:
@@ -49,7 +49,8 @@ def relative_range(expr: str, as_of) -> tuple[Column, Column]:
     as a [lo, hi) pair of day-truncated timestamps relative to as_of (D2, D3)."""
     import re
 
-    today = F.date_trunc("day", F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, str) else as_of)
+    from folio.functions.text import as_ts
+    today = F.date_trunc("day", as_ts(as_of))
     e = expr.strip().lower()
     if e == "today":
         return today, F.timestamp_add("DAY", F.lit(1), today)
@@ -192,8 +193,11 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str = "path",
     """M1: new snapshot = existing rows whose key is not incoming + incoming rows,
     the last writer per key (max by order_col, then id) winning, keeping the old
     id and created_at when the key existed."""
-    w = Window.partitionBy(key).orderBy(F.col(order_col).desc(), F.col("id").desc())
-    latest = incoming.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    # last writer per key by max_by: partial aggregation, so a hot key never
+    # lands whole in one task
+    latest = (incoming.groupBy(key)
+              .agg(F.max_by(F.struct(*incoming.columns), F.struct(order_col, "id")).alias("_e"))
+              .select("_e.*"))
     old = existing.select(key, F.col("id").alias("_old_id"), F.col("created_at").alias("_old_created"))
     merged = (latest.join(old, key, "left")
               .withColumn("id", F.coalesce("_old_id", "id"))
@@ -211,7 +215,8 @@ def update_by_id(docs: DataFrame, patch: DataFrame, as_of) -> DataFrame:
     out = j
     for c in cols:
         out = out.withColumn(c, F.when(F.col("_hit"), F.col(f"_p_{c}")).otherwise(F.col(c)))
-    ts = F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, str) else as_of
+    from folio.functions.text import as_ts
+    ts = as_ts(as_of)
     out = out.withColumn("modified_at", F.when(F.col("_hit"), ts).otherwise(F.col("modified_at")))
     return out.select(*docs.columns)
 

@@ -33,10 +33,14 @@ DEFAULT_FIELDS = ("title", "content", "tags")
 _TOKEN_RX = _re.compile(C.TOKEN_PATTERN)
 
 
-def analyze_text(s: str) -> list[str]:
+def analyze_text(s: str, stem: bool = False) -> list[str]:
     """Driver-side twin of `analyze` for query literals (a few words)."""
     toks = _TOKEN_RX.findall(s.lower())
-    return [t for t in toks if len(t) >= C.MIN_TOKEN_LEN and t not in C.STOP_WORDS]
+    toks = [t for t in toks if len(t) >= C.MIN_TOKEN_LEN and t not in C.STOP_WORDS]
+    if stem:
+        from folio.functions.stem import stem_word
+        toks = [stem_word(t) for t in toks]
+    return toks
 
 
 # ----------------------------------------------------------------------------- query tree
@@ -55,6 +59,7 @@ class Query:
 class Leaf(Query):
     fields: tuple = DEFAULT_FIELDS
     uid: int = dfield(default=-1)
+    stem: bool = dfield(default=False)  # set from the index being searched
 
     bounded = False  # True: resolved terms are fixed by the query text
 
@@ -126,7 +131,7 @@ class Term(Leaf):
         out = []
         for f in self.fields:
             if f in TEXT_FIELDS:
-                out += [(f, t) for t in analyze_text(self.text)]
+                out += [(f, t) for t in analyze_text(self.text, self.stem)]
             else:
                 v = self.text.strip().lower()
                 if v:
@@ -134,9 +139,9 @@ class Term(Leaf):
         return out
 
     def rows(self, index, shared=None):
-        toks = analyze_text(self.text)
+        toks = analyze_text(self.text, self.stem)
         if len(toks) > 1:  # several tokens in one term: all must occur in one field
-            return Phrase(self.fields, text=self.text, uid=self.uid, slop=None).rows(index, shared)
+            return Phrase(self.fields, text=self.text, uid=self.uid, stem=self.stem, slop=None).rows(index, shared)
         return super().rows(index, shared)
 
 
@@ -148,11 +153,11 @@ class Phrase(Leaf):
     bounded = True
 
     def terms(self):
-        toks = analyze_text(self.text)
+        toks = analyze_text(self.text, self.stem)
         return [(f, t) for f in self.fields if f in TEXT_FIELDS for t in toks]
 
     def rows(self, index, shared=None):
-        toks = analyze_text(self.text)
+        toks = analyze_text(self.text, self.stem)
         if not toks:
             return _empty_rows(index)
         base = shared.filter(_pairs_cond(self.terms()))
@@ -395,6 +400,7 @@ def evaluate(index: Index, q: Query, method: str = "bm25") -> DataFrame:
         raise ValueError("at most 62 leaves per query (bit mask)")
     for i, leaf in enumerate(leaves):
         leaf.uid = i
+        leaf.stem = index.stemmed
     positive = {l.uid for l in _positive_leaves(q)}
     pairs = [p for l in leaves if l.bounded for p in l.terms()]
     shared = shared_postings(index, pairs) if pairs else None
@@ -506,6 +512,7 @@ def highlight(text_col, terms: list[str]) -> Column:
 
 
 def highlight_page(page: DataFrame, q_text: str, column: str = "snippet") -> DataFrame:
+    # highlights mark the query words as typed (surface forms), stemmed or not
     """T10 on a result page only: `highlights` column next to the snippet."""
     return page.withColumn("highlights", highlight(F.col(column), analyze_text(q_text)))
 
@@ -515,6 +522,7 @@ def explain_scores(index: Index, q: Query, hits: DataFrame) -> DataFrame:
     leaves = q.leaves()
     for i, leaf in enumerate(leaves):
         leaf.uid = i
+        leaf.stem = index.stemmed
     pos = _positive_leaves(q)
     pairs = [p for l in leaves if l.bounded for p in l.terms()]
     shared = shared_postings(index, pairs) if pairs else None
@@ -591,8 +599,8 @@ def rerank(hits: DataFrame, query_text: str, as_of, preferred_formats=None) -> D
     m_title = F.when(reduce(lambda a, b: a | b, [title.contains(w) for w in words])
                      if words else F.lit(False), C.BOOST_TITLE_MATCH).otherwise(1.0)
     m_exact = F.when(title.contains(clean) | snip.contains(clean), C.BOOST_EXACT_MATCH).otherwise(1.0)
-    age = F.datediff(F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, str) else as_of,
-                     F.col("modified_at"))
+    from folio.functions.text import as_ts
+    age = F.datediff(as_ts(as_of), F.col("modified_at"))
     m_rec = F.lit(1.0)
     m_rec = F.when(age > C.OLD_DOCUMENT_DAYS, C.OLD_DOCUMENT_FACTOR).otherwise(m_rec)
     for days, fac in reversed(C.RECENCY_BANDS):

@@ -15,7 +15,8 @@ from folio import constants as C
 
 
 def _ts(v) -> Column:
-    return F.lit(v).cast("timestamp_ntz") if isinstance(v, str) else v
+    from folio.functions.text import as_ts
+    return as_ts(v)
 
 
 def per_value_counts(docs: DataFrame, column: str = "format") -> DataFrame:

@@ -80,8 +80,14 @@ def list_files(spark: SparkSession, roots, recursive: bool = True, with_content:
                modified_after: str | None = None, path_glob: str | None = None) -> DataFrame:
     """Recursive or flat listing of several roots, de-duplicated by
     path. `with_content=False` is the dry run (S9): the content column is
-    pruned, so file bytes are never read."""
+    pruned, so file bytes are never read. Spark's file index already skips
+    names starting with '.' or '_' (hidden files and folders)."""
     roots = [roots] if isinstance(roots, str) else list(roots)
+    roots = [r for r in roots if _exists(spark, r)]  # a missing root lists nothing
+    cols = ["path", "modificationTime", "length"] + (["content"] if with_content else [])
+    if not roots:
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary") \
+            .select(*cols)
     rd = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if path_glob:
         rd = rd.option("pathGlobFilter", path_glob)
@@ -96,10 +102,16 @@ def list_files(spark: SparkSession, roots, recursive: bool = True, with_content:
             df = df.filter(~rel.contains("/") & rel.isNotNull())
         parts.append(df)
     df = reduce(lambda a, b: a.unionByName(b), parts)
-    cols = ["path", "modificationTime", "length"] + (["content"] if with_content else [])
     return df.select(*cols).dropDuplicates(["path"])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Metadata check on the driver (no data read)."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
 def local_path(path) -> Column:
     """'file:/a/b' -> '/a/b' (other schemes kept)."""
     p = F.col(path) if isinstance(path, str) else path
