@@ -151,4 +151,4 @@ def stem_index(index, text_fields=("title", "content")):
     txt = txt.groupBy("field", "term", "doc_id").agg(*aggs)
     merged = txt.unionByName(post.filter(~is_text).select(*txt.columns))
     vocab = merged.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    return Index(merged, vocab, index.stats, index.docs, True)
+    return Index(merged, vocab, index.stats, index.docs, True, index.fields)

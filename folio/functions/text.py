@@ -20,13 +20,18 @@ def stop_array() -> Column:
 
 
 def analyze(text, stop: bool = True) -> Column:
-    """Tokenise, lower-case, drop short tokens and stop words (order kept)."""
-    toks = F.regexp_extract_all(F.lower(_c(text)), F.lit(C.TOKEN_PATTERN), 0)
+    """Tokenise, lower-case, drop short tokens and stop words (order kept).
+
+    Tokens are maximal runs of the token class; requiring at least
+    MIN_TOKEN_LEN characters inside the pattern drops short runs during the
+    regex scan, and the stop filter is a hash-set membership test (InSet)."""
+    low = F.lower(_c(text))
     if not stop:
-        return toks
-    stops = stop_array()
-    return F.filter(toks, lambda t: (F.char_length(t) >= C.MIN_TOKEN_LEN)
-                    & ~F.array_contains(stops, t))
+        return F.regexp_extract_all(low, F.lit(C.TOKEN_PATTERN), 0)
+    rx = C.TOKEN_PATTERN[:-1] + "{" + str(C.MIN_TOKEN_LEN) + ",}"  # [class]+ -> [class]{2,}
+    stops = [w for w in C.STOP_WORDS if len(w) >= C.MIN_TOKEN_LEN]
+    toks = F.regexp_extract_all(low, F.lit(rx), 0)
+    return F.filter(toks, lambda t: ~t.isin(*stops))
 
 
 def analyze_keywords(value) -> Column:

@@ -31,6 +31,7 @@ class Index:
     stats: DataFrame
     docs: DataFrame
     stemmed: bool = False
+    fields: tuple = ()
 
     def n_docs(self):
         """Scalar subquery: number of indexed documents."""
@@ -38,7 +39,11 @@ class Index:
 
 
 def _field_tokens(docs: DataFrame, text_fields, keyword_fields, stem: bool = False) -> DataFrame:
-    """Long form (doc_id, field, toks) with one row per document and field."""
+    """Long form (doc_id, field, toks) with one row per document and field.
+    Tokenising is the heavy per-row step, so the input is spread over the
+    cores first when it arrives in fewer partitions (one big row group)."""
+    from folio.session import spread
+    docs = spread(docs)
     parts = []
     for f in text_fields:
         parts.append(F.struct(F.lit(f).alias("field"), analyze(F.col(f)).alias("toks")))
@@ -63,8 +68,11 @@ def tokens(docs: DataFrame, text_fields=TEXT_FIELDS, keyword_fields=KEYWORD_FIEL
 
 
 def build_index(docs: DataFrame, text_fields=TEXT_FIELDS, keyword_fields=KEYWORD_FIELDS,
-                positions: bool = True, stem: bool = False) -> Index:
-    """Postings with term frequency, field length and positions.
+                positions: bool = False, stem: bool = False) -> Index:
+    """Postings with term frequency and field length (and, with
+    positions=True, the sorted token positions; phrase queries are exact
+    either way: without positions they verify adjacency on the text of the
+    candidate documents only).
     stem=True maps text-field terms to Porter stems over the distinct
     vocabulary (a pandas UDF) and merges their postings."""
     tok = tokens(docs, text_fields, keyword_fields)
@@ -81,7 +89,7 @@ def build_index(docs: DataFrame, text_fields=TEXT_FIELDS, keyword_fields=KEYWORD
     stats = (long.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"),
                                        F.sum(F.size("toks")).alias("sum_dl"))
              .withColumn("avgdl", F.col("sum_dl") / F.col("n_docs")))
-    idx = Index(postings, vocab, stats, docs)
+    idx = Index(postings, vocab, stats, docs, fields=tuple(text_fields) + tuple(keyword_fields))
     if stem:
         from folio.functions.stem import stem_index
         idx = stem_index(idx, text_fields)
@@ -90,18 +98,30 @@ def build_index(docs: DataFrame, text_fields=TEXT_FIELDS, keyword_fields=KEYWORD
 
 
 def write_index(index: Index, path: str, partitions: int | None = None) -> None:
-    """Persist the index. Postings are range-partitioned and sorted by
-    (field, term) so Parquet min/max statistics skip row groups for
-    `term IN (...)` lookups; that is also the compaction step (T14)."""
+    """Persist the index; the text is tokenised once.
+
+    Postings are range-partitioned and sorted by (field, term) so Parquet
+    min/max statistics skip files and row groups for `term IN (...)`
+    lookups (that is also the compaction step, T14). Vocabulary and corpus
+    statistics are then derived from the written postings: the sum of tf
+    over a field equals the sum of its field lengths, and the document count
+    comes from a column-pruned count of the documents."""
+    spark = index.postings.sparkSession
     p = index.postings
-    if partitions:
-        p = p.repartitionByRange(partitions, "field", "term")
-    else:
-        p = p.repartitionByRange("field", "term")
+    p = p.repartitionByRange(partitions, "field", "term") if partitions else p.repartitionByRange("field", "term")
     p.sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.vocab.repartitionByRange("field", "term").sortWithinPartitions("field", "term") \
+    written = spark.read.parquet(f"{path}/postings")
+    vocab = written.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    vocab.repartitionByRange("field", "term").sortWithinPartitions("field", "term") \
         .write.mode("overwrite").parquet(f"{path}/vocab")
-    index.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    n_docs = index.docs.select(F.count(F.lit(1))).scalar()
+    names = index.fields or tuple(r[0] for r in index.stats.select("field").collect())
+    fields = spark.createDataFrame([(f,) for f in names], "field string")  # one row per field
+    sums = written.groupBy("field").agg(F.sum("tf").alias("sum_dl"))
+    stats = (fields.join(sums, "field", "left")
+             .select("field", n_docs.alias("n_docs"), F.coalesce("sum_dl", F.lit(0)).cast("long").alias("sum_dl"))
+             .withColumn("avgdl", F.col("sum_dl") / F.col("n_docs")))
+    stats.repartition(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def read_index(spark: SparkSession, path: str, docs: DataFrame, stemmed: bool = False) -> Index:

@@ -161,22 +161,49 @@ class Phrase(Leaf):
         if not toks:
             return _empty_rows(index)
         base = shared.filter(_pairs_cond(self.terms()))
+        # documents holding every phrase token in the field
+        cand = (base.groupBy("doc_id", "field").agg(F.count_distinct("term").alias("n"))
+                .filter(F.col("n") == len(set(toks))).select("doc_id", "field"))
         if self.slop is None:
-            ok = (base.groupBy("doc_id", "field").agg(F.count_distinct("term").alias("n"))
-                  .filter(F.col("n") == len(set(toks))).select("doc_id", "field"))
-        else:
+            ok = cand
+        elif "positions" in index.postings.columns:
             k = len(toks)
+            p = index.postings.filter(_pairs_cond(self.terms())).join(cand, ["doc_id", "field"], "left_semi")
             # a token repeated in the phrase occupies several offsets
             offs = F.filter(F.array(*[F.when(F.col("term") == F.lit(t), F.lit(i))
                                       for i, t in enumerate(toks)]), lambda x: x.isNotNull())
-            pos = (base.select("doc_id", "field", "term", F.explode("positions").alias("pos"), offs.alias("offs"))
+            pos = (p.select("doc_id", "field", "term", F.explode("positions").alias("pos"), offs.alias("offs"))
                    .select("doc_id", "field", "pos", F.explode("offs").alias("i")))
             ok = (pos.groupBy("doc_id", "field", (F.col("pos") - F.col("i")).alias("start"))
                   .agg(F.count_distinct("i").alias("n"))
                   .filter(F.col("n") == k).select("doc_id", "field").distinct())
+        else:
+            ok = _verify_on_text(index, cand, toks, self.stem)
         return base.join(ok, ["doc_id", "field"], "left_semi").select(*ROW_COLS)
 
 
+def _verify_on_text(index: Index, cand: DataFrame, toks: list[str], stem: bool) -> DataFrame:
+    """Adjacency check for index without positions: re-analyse the field
+    text of the candidate documents only and look for the token sequence."""
+    from folio.functions.text import analyze
+
+    fields = [f for f in TEXT_FIELDS if f in index.docs.columns]
+    txt = F.lit(None).cast("string")
+    for f in fields:
+        txt = F.when(F.col("field") == f, F.col(f)).otherwise(txt)
+    j = cand.join(index.docs.select("doc_id", *fields), "doc_id")
+    seq = analyze(txt)
+    if stem:
+        from folio.functions.stem import porter
+        ex = j.select("doc_id", "field", F.posexplode(analyze(txt)).alias("p", "t"))
+        ex = ex.withColumn("t", porter(F.col("t")))
+        seqs = ex.groupBy("doc_id", "field").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("p", "t"))), lambda x: x["t"]).alias("toks"))
+        j, seq = seqs, F.col("toks")
+    joined = F.concat(F.lit(" "), F.array_join(seq, " "), F.lit(" "))
+    return j.filter(joined.contains(" " + " ".join(toks) + " ")).select("doc_id", "field")
+
+
 def _glob_regex(pattern: str) -> str:
     out = []
     for ch in pattern.lower():
@@ -404,27 +431,46 @@ def evaluate(index: Index, q: Query, method: str = "bm25") -> DataFrame:
     positive = {l.uid for l in _positive_leaves(q)}
     pairs = [p for l in leaves if l.bounded for p in l.terms()]
     shared = shared_postings(index, pairs) if pairs else None
-    parts = [leaf.rows(index, shared).withColumn("li", F.lit(leaf.uid)) for leaf in leaves]
     universe = q.truth({l.uid: False for l in leaves})
+    stats = F.broadcast(index.stats.select("field", "n_docs", "avgdl"))  # one row per field
+    flags = {l.uid: (F.col("mask").bitwiseAND(F.lit(1 << l.uid)) != 0) for l in leaves}
+    simple = all(type(l) is Term and len(analyze_text(l.text, l.stem)) <= 1 for l in leaves) and not universe
+    if simple and shared is not None:
+        # every leaf is one term: each posting row is read once, tagged with
+        # the bit mask of the leaves it satisfies; one partially aggregated
+        # group-by on doc_id gives both the boolean flags and the score
+        bits = F.lit(0).cast("long")
+        pos_bits = F.lit(0).cast("long")
+        for l in leaves:
+            cond = _pairs_cond(l.terms()) if l.terms() else F.lit(False)
+            bits = bits.bitwiseOR(F.when(cond, F.lit(1 << l.uid)).otherwise(F.lit(0)).cast("long"))
+            if l.uid in positive:
+                pos_bits = pos_bits.bitwiseOR(F.when(cond, F.lit(1 << l.uid)).otherwise(F.lit(0)).cast("long"))
+        rows = (shared.join(stats, "field", "left")
+                .withColumn("mask", bits)
+                .withColumn("part", F.when(pos_bits != 0, contribution(method)).otherwise(F.lit(0.0))))
+        per_doc = rows.groupBy("doc_id").agg(F.sum("part").alias("score"), F.bit_or("mask").alias("mask"))
+        return per_doc.filter(q.expr(flags)).select(
+            "doc_id", F.round("score", C.SCORE_DECIMALS).alias("score"))
+    parts = [leaf.rows(index, shared).withColumn("li", F.lit(leaf.uid)) for leaf in leaves]
     if universe:
         parts.append(index.docs.select(
             "doc_id", F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("term"),
             F.lit(0).cast("long").alias("tf"), F.lit(0).cast("int").alias("dl"),
             F.lit(0).cast("long").alias("df"), F.lit(-1).alias("li")))
     rows = reduce(lambda a, b: a.unionByName(b), parts)
-    stats = F.broadcast(index.stats.select("field", "n_docs", "avgdl"))  # one row per field
     rows = (rows.join(stats, "field", "left")
             .withColumn("part", F.when(F.col("li").isin(list(positive)) & F.col("term").isNotNull(),
                                        contribution(method)).otherwise(F.lit(0.0)))
             .repartition("doc_id"))
-    # one exchange: both aggregations below are clustered by doc_id already
+    # one exchange: both aggregations below are clustered by doc_id already;
+    # the first counts a (doc, field, term) once even when several leaves hit it
     per_term = rows.groupBy("doc_id", "field", "term").agg(
         F.max("part").alias("part"),
         F.bit_or(F.expr("CASE WHEN li >= 0 THEN shiftleft(CAST(1 AS BIGINT), li) "
                         "ELSE CAST(0 AS BIGINT) END")).alias("mask"))
     per_doc = per_term.groupBy("doc_id").agg(F.sum("part").alias("score"),
                                              F.bit_or("mask").alias("mask"))
-    flags = {l.uid: (F.col("mask").bitwiseAND(F.lit(1 << l.uid)) != 0) for l in leaves}
     return per_doc.filter(q.expr(flags)).select(
         "doc_id", F.round("score", C.SCORE_DECIMALS).alias("score"))
 
@@ -446,10 +492,14 @@ def _order(sort: str | None) -> list[Column]:
 
 def search(index: Index, q: Query, filters: dict | None = None, sort: str | None = None,
            offset: int = 0, limit: int | None = 20, method: str = "bm25",
-           with_snippet: bool = True) -> DataFrame:
+           with_snippet: bool = True, fetch: str = "join") -> DataFrame:
     """Predicate + filters + score + sort + exact offset page.
 
-    limit=None returns every hit (batch jobs, D22)."""
+    limit=None returns every hit (batch jobs, D22). fetch="join" keeps the
+    whole search one lazy plan (the page joins the documents); fetch="ids"
+    is the interactive two-phase form: the ranked page (at most `limit`
+    ids) is computed first and only those documents are read, with a
+    `doc_id IN (...)` filter pushed into the document scan."""
     scored = evaluate(index, q, method)
     docs = index.docs
     if filters:
@@ -467,10 +517,16 @@ def search(index: Index, q: Query, filters: dict | None = None, sort: str | None
     else:
         ranked = scored.orderBy(*order)
         page = ranked.offset(offset) if offset else ranked
-        if limit is not None:
-            page = F.broadcast(page.limit(limit))  # at most `limit` rows
         dcols = cols + (["content"] if with_snippet else [])
-        out = page.join(docs.select(*dcols), "doc_id")
+        if limit is not None and fetch == "ids":
+            hits = [(r["doc_id"], r["score"]) for r in page.limit(limit).select("doc_id", "score").collect()]
+            ids = [h[0] for h in hits]  # at most `limit` values
+            page = F.broadcast(scored.sparkSession.createDataFrame(hits, "doc_id long, score double"))
+            out = page.join(docs.filter(F.col("doc_id").isin(ids)).select(*dcols), "doc_id")
+        else:
+            if limit is not None:
+                page = F.broadcast(page.limit(limit))  # at most `limit` rows
+            out = page.join(docs.select(*dcols), "doc_id")
     if with_snippet:
         out = out.withColumn("snippet", snippet_col("content")).drop("content")
     return out.orderBy(*order)

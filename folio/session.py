@@ -55,3 +55,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin a scan to at least the session's parallelism when it has
+    fewer partitions (a large file stored as one row group reads in one
+    task). At scale the input already has many more splits than cores, so
+    this is a no-op there. Only plans, runs no job."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

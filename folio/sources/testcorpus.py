@@ -30,7 +30,9 @@ def documents(spark: SparkSession, sf_dir: str, with_labels: bool = True) -> Dat
     """Document rows: doc_id, id, path, title, content, content_hash, format, size,
     created_at, modified_at, indexed_at, status, error, score, tags, category,
     lang, source."""
-    base = documents_from(table(spark, sf_dir, "documents"))
+    from folio.session import spread
+    # whole-text rows: spread the scan over the cores before per-row work
+    base = documents_from(spread(table(spark, sf_dir, "documents")))
     if not with_labels:
         return base
     return with_labels_from(base, table(spark, sf_dir, "labels"))

@@ -127,3 +127,17 @@ def test_search_many_matches_single(idx, spark):
     one = {r["doc_id"]: r["score"] for r in s.evaluate(idx, s.any_of(s.term("toolkit", ["title", "content"]),
                                                                      s.term("install", ["title", "content"]))).collect()}
     assert {d: v for (q, d), v in many.items() if q == 1} == one
+
+
+def test_positional_index_phrase(spark):
+    pidx = ix.build_index(search_docs(spark), positions=True)
+    assert "positions" in pidx.postings.columns
+    assert ids(s.search(pidx, s.phrase("quick start"), limit=None)) == ["doc1"]
+    assert s.search(pidx, s.phrase("start quick"), limit=None).count() == 0
+
+
+def test_two_phase_fetch_equals_join(idx):
+    q = s.any_of(s.term("toolkit"), s.term("values"), s.term("guide"))
+    a = [tuple(r) for r in s.search(idx, q, limit=2).collect()]
+    b = [tuple(r) for r in s.search(idx, q, limit=2, fetch="ids").select(*s.search(idx, q, limit=2).columns).collect()]
+    assert a == b
