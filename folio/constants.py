@@ -84,6 +84,21 @@ DEFAULT_THRESHOLD = 90.0
 METRIC_HISTORY = 1000
 METRIC_WINDOW = 100
 
+# --- fixed values: query-log classification (P14, P15) ------------------------
+QUERY_PATTERNS = (
+    ("phrase", r'"([^"]+)"'),
+    ("field", r"(\w+):([^\s]+)"),
+    ("wildcard", r"[*?]"),
+    ("fuzzy", r"~\d*$"),
+    ("range", r"\[.+\s+TO\s+.+\]"),
+    ("boolean", r"\b(AND|OR|NOT)\b"),
+)
+OPERATOR_REWRITES = ((" && ", " AND "), (" || ", " OR "), (" ! ", " NOT "), (" + ", " AND "), (" - ", " NOT "))
+# Field names of the index document (for `field:` mentions).
+INDEX_FIELDS = ("id", "path", "title", "content", "format", "category", "tags", "created_at", "modified_at",
+                "indexed_at", "size", "score", "description", "keywords", "content_hash", "status",
+                "path_components", "snippet", "year", "month", "metadata_json")
+
 # --- fixed values: test-table mapping ------------------------------
 # doc_id % 6 selects the format and the file extension of a test document.
 TEST_FORMATS = ("markdown", "text", "html", "json", "yaml", "code")

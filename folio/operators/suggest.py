@@ -177,3 +177,35 @@ def search_activity(log: DataFrame, since=None) -> DataFrame:
         F.count(F.lit(1)).alias("searches"),
         F.round(F.avg("results_count"), 6).alias("avg_results"),
         F.round(F.avg("execution_time"), 6).alias("avg_time"))
+
+
+def normalize_operators(q) -> F.Column:
+    """`&&`, `||`, `!`, `+`, `-` between words become AND / OR / NOT."""
+    for a, b in C.OPERATOR_REWRITES:
+        q = F.replace(q, F.lit(a), F.lit(b))
+    return q
+
+
+def classify_queries(log: DataFrame, query_col: str = "query") -> DataFrame:
+    """Per logged query, its normalised form and one flag per syntax
+    feature (phrase, field, wildcard, fuzzy, range, boolean) plus `advanced`
+    (field, wildcard, fuzzy or range syntax, or any ':'). The query parser
+    itself is not rebuilt; these are column predicates over the log."""
+    norm = normalize_operators(F.col(query_col))
+    out = log.withColumn("normalized", norm)
+    for name, rx in C.QUERY_PATTERNS:
+        out = out.withColumn(f"is_{name}", F.col("normalized").rlike(rx))
+    adv = F.col("is_field") | F.col("is_wildcard") | F.col("is_fuzzy") | F.col("is_range") | \
+        F.col("normalized").contains(":")
+    return out.withColumn("is_advanced", adv)
+
+
+def facet_fields(log: DataFrame, query_col: str = "query") -> DataFrame:
+    """The default facet fields plus index fields named as `field:` in
+    the query (distinct, sorted after the defaults)."""
+    defaults = F.array(*[F.lit(f) for f in C.DEFAULT_FACET_FIELDS])
+    known = F.array(*[F.lit(f) for f in C.INDEX_FIELDS])
+    named = F.regexp_extract_all(F.col(query_col), F.lit(r"(\w+):"), 1)
+    extra = F.array_sort(F.array_distinct(F.filter(named, lambda x: F.array_contains(known, x)
+                                                   & ~F.array_contains(defaults, x))))
+    return log.withColumn("facet_fields", F.concat(defaults, extra))

@@ -385,3 +385,27 @@ FROM search_history"""
 def t16(spark, sf_dir):
     h = s.hints(tc.search_history(spark, sf_dir))
     return h.select("user_id", "turn", "query", F.array_join("hints", "|").alias("hints"))
+
+
+J4_SQL = f"""WITH t AS ({BM25_SQL.strip()}), {Q.DOCS_BASE.strip()}
+SELECT t.doc_id, t.score, d.path, d.size, d.modified_at FROM t JOIN docs_b d USING (doc_id)"""
+
+
+@register("j4_hits_to_documents", J4_SQL)
+def j4(spark, sf_dir):
+    from folio.operators import relational as R
+    hits = bm25_top20(spark, sf_dir)
+    return R.hits_to_documents(hits, tc.documents(spark, sf_dir, with_labels=False)) \
+        .select("doc_id", "score", "path", "size", "modified_at")
+
+
+@register("t14_compacted_index", T2P_SQL)
+def t14(spark, sf_dir):
+    from folio.session import scratch_path
+    docs = tc.documents(spark, sf_dir)
+    src, dst = scratch_path(spark, "t14-src"), scratch_path(spark, "t14-dst")
+    ix.write_index(corpus_index(spark, sf_dir), src)
+    idx = ix.compact_index(spark, src, dst, 4, docs)
+    p = idx.postings
+    return p.groupBy("field").agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens"),
+                                  F.count_distinct("doc_id").alias("n_docs"))

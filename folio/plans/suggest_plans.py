@@ -194,3 +194,64 @@ def q10(spark, sf_dir):
           "WHERE searched_at >= TIMESTAMP '2024-01-01 12:00:00' GROUP BY CAST(searched_at AS DATE)")
 def q11(spark, sf_dir):
     return G.search_activity(tc.search_history(spark, sf_dir), since="2024-01-01 12:00:00")
+
+
+# query strings with search syntax, derived from the logged queries
+def _syntax_log(spark, sf_dir):
+    h = tc.search_history(spark, sf_dir)
+    w1 = F.split_part(F.col("query"), F.lit(" "), F.lit(1))
+    v = F.col("turn") % 6
+    q = (F.when(v == 0, F.concat(F.lit('"'), F.col("query"), F.lit('"')))
+         .when(v == 1, F.concat(F.lit("title:"), w1, F.lit(" size:"), F.col("turn").cast("string")))
+         .when(v == 2, F.concat(w1, F.lit("*")))
+         .when(v == 3, F.concat(w1, F.lit("~2")))
+         .when(v == 4, F.concat(w1, F.lit(" && "), F.col("query")))
+         .otherwise(F.concat(F.lit("modified_at:[a TO b] "), F.col("query"), F.lit(" - "), w1)))
+    return h.select("user_id", "turn", q.alias("query"))
+
+
+_SYNTAX_SQL = f"""{Q.HISTORY},
+syn AS (SELECT user_id, turn, CASE turn % 6
+    WHEN 0 THEN '"' || query || '"'
+    WHEN 1 THEN 'title:' || split_part(query, ' ', 1) || ' size:' || CAST(turn AS VARCHAR)
+    WHEN 2 THEN split_part(query, ' ', 1) || '*'
+    WHEN 3 THEN split_part(query, ' ', 1) || '~2'
+    WHEN 4 THEN split_part(query, ' ', 1) || ' && ' || query
+    ELSE 'modified_at:[a TO b] ' || query || ' - ' || split_part(query, ' ', 1) END AS query
+  FROM search_history)"""
+
+
+def _norm_sql(e: str) -> str:
+    from folio import constants as C
+    for a, b in C.OPERATOR_REWRITES:
+        e = f"replace({e}, '{a}', '{b}')"
+    return e
+
+
+def _flags_sql() -> str:
+    from folio import constants as C
+    n = _norm_sql("query")
+    cols = [f"{n} AS normalized"] + [f"regexp_matches({n}, '{rx}') AS is_{name}" for name, rx in C.QUERY_PATTERNS]
+    adv = " OR ".join(f"regexp_matches({n}, '{dict(C.QUERY_PATTERNS)[k]}')" for k in ("field", "wildcard", "fuzzy", "range"))
+    cols.append(f"({adv} OR contains({n}, ':')) AS is_advanced")
+    return ", ".join(cols)
+
+
+@register("p14_query_log_classification", f"WITH {_SYNTAX_SQL} SELECT user_id, turn, query, {_flags_sql()} FROM syn")
+def p14(spark, sf_dir):
+    return G.classify_queries(_syntax_log(spark, sf_dir))
+
+
+def _p15_sql() -> str:
+    from folio import constants as C
+    known = "[" + ", ".join(f"'{f}'" for f in C.INDEX_FIELDS) + "]"
+    defaults = "[" + ", ".join(f"'{f}'" for f in C.DEFAULT_FACET_FIELDS) + "]"
+    extra = (f"list_sort(list_distinct(list_filter(regexp_extract_all(query, '(\\w+):', 1), "
+             f"lambda x: list_contains({known}, x) AND NOT list_contains({defaults}, x))))")
+    return f"WITH {_SYNTAX_SQL} SELECT user_id, turn, array_to_string(list_concat({defaults}, {extra}), ',') AS facet_fields FROM syn"
+
+
+@register("p15_facet_fields", _p15_sql())
+def p15(spark, sf_dir):
+    f = G.facet_fields(_syntax_log(spark, sf_dir))
+    return f.select("user_id", "turn", F.array_join("facet_fields", ",").alias("facet_fields"))

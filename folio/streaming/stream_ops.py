@@ -35,7 +35,8 @@ def watch_directory(spark: SparkSession, root: str, ignore=None, extensions=None
     """New files under `root` arrive as document rows (S2-S7 on the
     stream). The file source sees new files only; changes and deletes come
     from snapshot diffs (J8) or an event feed (E3)."""
-    raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"  # binaryFile's fixed schema
+    raw = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root)
     raw = raw.filter(~S.ignored(S.local_path("path"), ignore or S.C.DEFAULT_IGNORE))
     ident = S.identify(raw)
     ident = ident.filter(S.extension_allowed(F.col("path"), extensions)) if extensions else \

@@ -71,3 +71,32 @@ def test_exports(spark, tmpdir_path):
     html = d.select(O.html_render(d)).first()[0]
     assert "<h2>T</h2>" in html
     assert d.select(O.markdown_to_html(F.lit("# A\n\n**b**"))).first()[0] == "<p><h1>A</h1></p><p><strong>b</strong></p>"
+
+
+def test_watch_directory_stream(spark, tmpdir_path):
+    import os
+    from folio.session import scratch_path
+    root = os.path.join(tmpdir_path, "watched")
+    os.makedirs(os.path.join(root, "sub"))
+    for rel, text in {"a.md": "# A\n", "b.txt": "plain", "sub/c.py": "x = 1\n", "skip.tmp": "x"}.items():
+        with open(os.path.join(root, rel), "w") as f:
+            f.write(text)
+    out = E.run_available_now(E.watch_directory(spark, root), "test-watch")
+    got = spark.read.parquet(out)
+    assert sorted(os.path.basename(r["path"]) for r in got.collect()) == ["a.md", "b.txt", "c.py"]
+    assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))
+
+
+def test_query_log_classification(spark):
+    from folio.operators import suggest as G
+    log = spark.createDataFrame([('"exact words"',), ("title:readme",), ("doc*",), ("typo~1",),
+                                 ("a && b",), ("modified_at:[a TO b]",), ("plain words",)], "query string")
+    rows = {r["query"]: r for r in G.classify_queries(log).collect()}
+    assert rows['"exact words"']["is_phrase"] and not rows['"exact words"']["is_advanced"]
+    assert rows["title:readme"]["is_field"] and rows["title:readme"]["is_advanced"]
+    assert rows["doc*"]["is_wildcard"] and rows["typo~1"]["is_fuzzy"]
+    assert rows["a && b"]["normalized"] == "a AND b" and rows["a && b"]["is_boolean"]
+    assert rows["modified_at:[a TO b]"]["is_range"]
+    assert not any(rows["plain words"][f"is_{k}"] for k in ("phrase", "field", "wildcard", "fuzzy", "range", "boolean"))
+    ff = G.facet_fields(log).filter("query = 'title:readme'").first()["facet_fields"]
+    assert ff == ["format", "category", "tags", "status", "year", "title"]
