@@ -89,6 +89,18 @@ def typo_completion(suggestions: DataFrame, prefixes: DataFrame, k: int = 10,
     return top_k_per_group(cand, ["prefix"], order, k).select("prefix", "term", "type", "frequency", "rank")
 
 
+def completions(suggestions: DataFrame, prefixes: DataFrame, k: int = 10) -> DataFrame:
+    """Q3 + Q4 as served: prefix completions, and typo completions only for
+    prefixes with fewer than k prefix hits (source 1 = prefix, 2 = typo).
+    Output (prefix, term, type, frequency, source, rank)."""
+    pre = prefix_completion(suggestions, prefixes, k).withColumn("source", F.lit(1))
+    hits = pre.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
+    few = (prefixes.select(F.lower("prefix").alias("prefix")).distinct()
+           .join(hits, "prefix", "left").filter(F.coalesce(F.col("n"), F.lit(0)) < k).select("prefix"))
+    typo = typo_completion(suggestions, few, k).withColumn("source", F.lit(2))
+    return pre.unionByName(typo).select("prefix", "term", "type", "frequency", "source", "rank")
+
+
 def popular(suggestions: DataFrame, k: int = 10, typ: str = "title") -> DataFrame:
     """Q5: top-k suggestions of a type by frequency; the fixed defaults when
     there are none. Output (text, type, frequency, rank)."""

@@ -409,3 +409,10 @@ def t14(spark, sf_dir):
     p = idx.postings
     return p.groupBy("field").agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens"),
                                   F.count_distinct("doc_id").alias("n_docs"))
+
+
+@register("t1_stemmed_search")
+def t1_stemmed(spark, sf_dir):
+    """Porter-stemmed index (no SQL oracle: rows only)."""
+    idx = ix.build_index(tc.documents(spark, sf_dir), stem=True)
+    return s.evaluate(idx, s.any_of(s.term("tions"), s.term("theres")))

@@ -136,3 +136,20 @@ def s11(spark, sf_dir):
 def s12(spark, sf_dir):
     dec = S.decode(S.identify(_kept(spark, sf_dir)))
     return dec.select("doc_id", "format", F.char_length("text").cast("int").alias("chars"), "status")
+
+
+@register("s1_s9_dry_run_listing")
+def s1_s9(spark, sf_dir):
+    """Flat dry-run listing of the test-table folder itself (no content read);
+    rows only: the oracle cannot list files."""
+    ls = S.list_files(spark, sf_dir, recursive=False, with_content=False)
+    return ls.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length")
+
+
+@register("e1_watch_directory")
+def e1(spark, sf_dir):
+    """Stream the test-table folder as arriving files (binaryFile source);
+    rows only."""
+    from folio.streaming import stream_ops as E
+    out = E.run_available_now(E.watch_directory(spark, sf_dir, extensions=["parquet"]), "e1-watch")
+    return spark.read.parquet(out).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "size", "status")

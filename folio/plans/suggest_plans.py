@@ -255,3 +255,24 @@ def _p15_sql() -> str:
 def p15(spark, sf_dir):
     f = G.facet_fields(_syntax_log(spark, sf_dir))
     return f.select("user_id", "turn", F.array_join("facet_fields", ",").alias("facet_fields"))
+
+
+Q4F_SQL = f"""WITH {SUGG_CTE},
+p AS (SELECT prefix FROM pre WHERE regexp_full_match(prefix, '[\\x00-\\x7F]*')),
+s AS (SELECT * FROM sugg WHERE regexp_full_match(term, '[\\x00-\\x7F]*')),
+a AS (SELECT * FROM (SELECT p.prefix, s.term, s.type, s.frequency,
+        row_number() OVER (PARTITION BY p.prefix ORDER BY s.frequency DESC, s.term, s.type) AS rank
+      FROM s JOIN p ON starts_with(s.term, p.prefix)) WHERE rank <= 5),
+few AS (SELECT prefix FROM p WHERE prefix NOT IN (SELECT prefix FROM a GROUP BY prefix HAVING count(*) >= 5)),
+b AS (SELECT * FROM (SELECT f.prefix, s.term, s.type, s.frequency,
+        row_number() OVER (PARTITION BY f.prefix ORDER BY s.frequency DESC, s.term, s.type) AS rank
+      FROM s JOIN few f ON length(s.term) >= length(f.prefix) AND substring(s.term, 1, length(f.prefix)) <> f.prefix
+      AND levenshtein(substring(s.term, 1, length(f.prefix)), f.prefix) = 1) WHERE rank <= 5)
+SELECT prefix, term, type, frequency, 1 AS source, rank FROM a
+UNION ALL SELECT prefix, term, type, frequency, 2, rank FROM b"""
+
+
+@register("q4_typo_when_few_prefix_hits", Q4F_SQL)
+def q4f(spark, sf_dir):
+    s = _sugg(spark, sf_dir).filter(F.col("term").rlike(ASCII))
+    return G.completions(s, _prefixes(spark, sf_dir, ascii_only=True), k=5)
