@@ -61,6 +61,9 @@ def main() -> None:
 
     docs = tc.documents(spark, SF_DIR)
     n_docs = tc.table(spark, SF_DIR, "documents").count()
+    # the first build also pays JIT warm-up of the regex/aggregation code;
+    # the second (warm) build is the steady-state indexing throughput
+    timed("t2_index_build_cold", lambda: ix.write_index(ix.build_index(docs), scratch_path(spark, "bench-index")))
     path = scratch_path(spark, "bench-index")
     timed("t2_index_build", lambda: ix.write_index(ix.build_index(docs), path))
     idx = ix.read_index(spark, path, docs)
@@ -96,6 +99,7 @@ def main() -> None:
     total = round(sum(times.values()), 3)
     out = {"metric": "total_sec", "value": total, "unit": "sec", "queries": times, "sf": sf_of(SF_DIR),
            "docs": n_docs, "index_docs_per_sec": round(n_docs / times["t2_index_build"], 1),
+           "index_docs_per_sec_cold": round(n_docs / times["t2_index_build_cold"], 1),
            "search_ms": round(times["t6_search_prebuilt"] * 1000, 1),
            "batch_queries_per_sec": round(n_q / times["t6_batch_search_many"], 1), "cpus": int(CPUS)}
     print(json.dumps(out))
