@@ -66,7 +66,9 @@ def main() -> None:
     timed("t2_index_build_cold", lambda: ix.write_index(ix.build_index(docs), scratch_path(spark, "bench-index")))
     path = scratch_path(spark, "bench-index")
     timed("t2_index_build", lambda: ix.write_index(ix.build_index(docs), path))
-    idx = ix.read_index(spark, path, docs)
+    store = scratch_path(spark, "bench-store")
+    timed("t2_document_store_write", lambda: ix.write_store(docs, store))
+    idx = ix.read_index(spark, path, ix.read_store(spark, store))
     q = s.any_of(*[s.term(t) for t in T6_TERMS])
     timed("t6_search_prebuilt", lambda: s.search(idx, q, limit=20, fetch="ids").collect(), repeat=3)
     timed("t6_search_prebuilt_2", lambda: s.search(idx, s.all_of(s.term("tion"), s.phrase("anea eriner")),

@@ -32,6 +32,10 @@ class Index:
     docs: DataFrame
     stemmed: bool = False
     fields: tuple = ()
+    # per-field (n_docs, avgdl) of a written index: at most one row per field,
+    # read once when the index is opened and inlined as literals in scoring
+    stats_values: dict | None = None
+    prebuilt: bool = False
 
     def n_docs(self):
         """Scalar subquery: number of indexed documents."""
@@ -128,8 +132,12 @@ def write_index(index: Index, path: str, partitions: int | None = None) -> None:
 
 
 def read_index(spark: SparkSession, path: str, docs: DataFrame, stemmed: bool = False) -> Index:
+    """Open a written index. The statistics table (one row per field) is
+    read here once; postings and vocabulary stay lazy scans."""
+    stats = spark.read.parquet(f"{path}/stats")
+    values = {r["field"]: (r["n_docs"], r["avgdl"]) for r in stats.collect()}
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocab"),
-                 spark.read.parquet(f"{path}/stats"), docs, stemmed)
+                 stats, docs, stemmed, tuple(values), values, True)
 
 
 def compact_index(spark: SparkSession, src: str, dst: str, partitions: int, docs: DataFrame) -> Index:
@@ -162,3 +170,21 @@ def index_stats(index: Index) -> DataFrame:
     return d.select("n_documents", "last_modified", p.select("n_fields").scalar().alias("n_fields"),
                     v.select("n_terms").scalar().alias("n_terms"),
                     p.select("n_postings").scalar().alias("n_postings"))
+
+
+def write_store(docs: DataFrame, path: str, rows_per_file: int = 2000, row_group_bytes: int = 1 << 20) -> None:
+    """The document store next to the index: the document rows written once,
+    range-partitioned and sorted by doc_id with small row groups, so that
+    fetching a result page (`doc_id IN (...)`) reads a few row groups
+    instead of every text. `rows_per_file` only sizes files; the range
+    partitioner keeps doc_id ranges disjoint across them."""
+    spark = docs.sparkSession
+    n = docs.select(F.count(F.lit(1))).first()[0]
+    parts = max(1, -(-n // rows_per_file))
+    (docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+     .write.mode("overwrite").option("parquet.block.size", row_group_bytes).parquet(path))
+    del spark
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -112,12 +112,31 @@ def _pairs_cond(pairs) -> Column:
 
 def shared_postings(index: Index, pairs) -> DataFrame:
     """Postings of the given (field, term) pairs with their document frequency.
-    The df table has at most len(pairs) rows, so it is broadcast."""
-    base = index.postings.filter(_pairs_cond(pairs))
-    dfs = base.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    The df table has at most len(pairs) rows, so it is broadcast. A written
+    index answers df from its vocabulary (a pushed-down lookup); a lazy one
+    counts the filtered postings."""
+    cond = _pairs_cond(pairs)
+    base = index.postings.filter(cond)
+    if index.prebuilt:
+        dfs = index.vocab.filter(cond).select("field", "term", "df")
+    else:
+        dfs = base.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     return base.join(F.broadcast(dfs), ["field", "term"])
 
 
+def with_stats(rows: DataFrame, index: Index) -> DataFrame:
+    """Attach n_docs and avgdl per field: literals for an opened index, a
+    broadcast join (one row per field) for a lazy one."""
+    if index.stats_values:
+        n = F.lit(None).cast("long")
+        a = F.lit(None).cast("double")
+        for f, (nd, av) in index.stats_values.items():
+            n = F.when(F.col("field") == f, F.lit(nd)).otherwise(n)
+            a = F.when(F.col("field") == f, F.lit(float(av) if av is not None else None)).otherwise(a)
+        return rows.withColumn("n_docs", n).withColumn("avgdl", a)
+    return rows.join(F.broadcast(index.stats.select("field", "n_docs", "avgdl")), "field", "left")
+
+
 def _fields_filter(fields) -> Column:
     return F.col("field").isin(list(fields))
 
@@ -432,7 +451,6 @@ def evaluate(index: Index, q: Query, method: str = "bm25") -> DataFrame:
     pairs = [p for l in leaves if l.bounded for p in l.terms()]
     shared = shared_postings(index, pairs) if pairs else None
     universe = q.truth({l.uid: False for l in leaves})
-    stats = F.broadcast(index.stats.select("field", "n_docs", "avgdl"))  # one row per field
     flags = {l.uid: (F.col("mask").bitwiseAND(F.lit(1 << l.uid)) != 0) for l in leaves}
     simple = all(type(l) is Term and len(analyze_text(l.text, l.stem)) <= 1 for l in leaves) and not universe
     if simple and shared is not None:
@@ -446,7 +464,7 @@ def evaluate(index: Index, q: Query, method: str = "bm25") -> DataFrame:
             bits = bits.bitwiseOR(F.when(cond, F.lit(1 << l.uid)).otherwise(F.lit(0)).cast("long"))
             if l.uid in positive:
                 pos_bits = pos_bits.bitwiseOR(F.when(cond, F.lit(1 << l.uid)).otherwise(F.lit(0)).cast("long"))
-        rows = (shared.join(stats, "field", "left")
+        rows = (with_stats(shared, index)
                 .withColumn("mask", bits)
                 .withColumn("part", F.when(pos_bits != 0, contribution(method)).otherwise(F.lit(0.0))))
         per_doc = rows.groupBy("doc_id").agg(F.sum("part").alias("score"), F.bit_or("mask").alias("mask"))
@@ -459,7 +477,7 @@ def evaluate(index: Index, q: Query, method: str = "bm25") -> DataFrame:
             F.lit(0).cast("long").alias("tf"), F.lit(0).cast("int").alias("dl"),
             F.lit(0).cast("long").alias("df"), F.lit(-1).alias("li")))
     rows = reduce(lambda a, b: a.unionByName(b), parts)
-    rows = (rows.join(stats, "field", "left")
+    rows = (with_stats(rows, index)
             .withColumn("part", F.when(F.col("li").isin(list(positive)) & F.col("term").isNotNull(),
                                        contribution(method)).otherwise(F.lit(0.0)))
             .repartition("doc_id"))
@@ -519,16 +537,31 @@ def search(index: Index, q: Query, filters: dict | None = None, sort: str | None
         page = ranked.offset(offset) if offset else ranked
         dcols = cols + (["content"] if with_snippet else [])
         if limit is not None and fetch == "ids":
+            # phase 1: the ranked page, at most `limit` (doc_id, score) pairs
             hits = [(r["doc_id"], r["score"]) for r in page.limit(limit).select("doc_id", "score").collect()]
-            ids = [h[0] for h in hits]  # at most `limit` values
-            page = F.broadcast(scored.sparkSession.createDataFrame(hits, "doc_id long, score double"))
-            out = page.join(docs.filter(F.col("doc_id").isin(ids)).select(*dcols), "doc_id")
+            ids = [h[0] for h in hits]
+            # phase 2: only those documents, `doc_id IN (...)` pushed into the scan
+            sel = [F.col(c) for c in cols]
+            if with_snippet:
+                sel.append(snippet_col("content").alias("snippet"))
+            got = {r["doc_id"]: r for r in docs.filter(F.col("doc_id").isin(ids)).select(*sel).collect()} if ids else {}
+            names = [c for c in cols] + ["score"] + (["snippet"] if with_snippet else [])
+            rows = [tuple(got[i][c] for c in cols) + (sc,) + ((got[i]["snippet"],) if with_snippet else ())
+                    for i, sc in hits if i in got]
+            schema = docs.select(*cols).schema.add("score", "double")
+            if with_snippet:
+                schema = schema.add("snippet", "string")
+            return scored.sparkSession.createDataFrame(rows, schema).select(*names)
         else:
             if limit is not None:
                 page = F.broadcast(page.limit(limit))  # at most `limit` rows
             out = page.join(docs.select(*dcols), "doc_id")
     if with_snippet:
         out = out.withColumn("snippet", snippet_col("content")).drop("content")
+    if limit is not None:
+        # at most `limit` rows: one small exchange and a local sort instead
+        # of a range-partitioned global sort with its sampling job
+        return out.repartition(1).sortWithinPartitions(*order)
     return out.orderBy(*order)
 
 

@@ -141,3 +141,14 @@ def test_two_phase_fetch_equals_join(idx):
     a = [tuple(r) for r in s.search(idx, q, limit=2).collect()]
     b = [tuple(r) for r in s.search(idx, q, limit=2, fetch="ids").select(*s.search(idx, q, limit=2).columns).collect()]
     assert a == b
+
+
+def test_document_store_fetch(spark, tmpdir_path, idx):
+    import os
+    store = os.path.join(tmpdir_path, "store")
+    ix.write_store(idx.docs, store, rows_per_file=2)
+    idx2 = ix.Index(idx.postings, idx.vocab, idx.stats, ix.read_store(spark, store))
+    q = s.any_of(s.term("toolkit"), s.term("values"))
+    a = [tuple(r) for r in s.search(idx, q, limit=3, fetch="ids").collect()]
+    b = [tuple(r) for r in s.search(idx2, q, limit=3, fetch="ids").collect()]
+    assert a == b
