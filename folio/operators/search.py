@@ -741,10 +741,14 @@ def search_many(index: Index, queries: DataFrame, k: int | None = 10, fields=("t
           .select("qid", "term", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field")))
     terms = qt.select("field", "term").distinct()
     hit = index.postings.join(terms, ["field", "term"]).select("field", "term", "doc_id", "tf", "dl")
-    dfs = hit.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(index.stats.select("field", "n_docs", "avgdl"))  # one row per field
-    rows = (qt.join(hit, ["field", "term"]).join(dfs, ["field", "term"]).join(stats, "field")
-            .withColumn("part", contribution(method)))
+    if index.prebuilt:  # document frequencies straight from the written vocabulary
+        dfs = index.vocab.join(terms, ["field", "term"]).select("field", "term", "df")
+    else:
+        dfs = hit.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    # per (field, term): df and its BM25 idf part are joined once, then the
+    # posting rows fan out to the queries that asked for the term
+    scored_terms = with_stats(hit.join(dfs, ["field", "term"]), index).withColumn("part", contribution(method))
+    rows = qt.join(scored_terms.select("field", "term", "doc_id", "part"), ["field", "term"])
     scores = rows.groupBy("qid", "doc_id").agg(F.round(F.sum("part"), C.SCORE_DECIMALS).alias("score"))
     if k is None:
         return scores
