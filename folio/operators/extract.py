@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio import constants as C
-from folio.functions.text import html_to_text, slug, title_from_stem, file_stem
+from folio.functions.text import html_to_text, slug, title_from_stem
 
 # --- fixed values: patterns ----------------------------------------------------
 RX_HEADER = r"(?m)^(#{1,6})\s+(.+)$"
@@ -242,7 +242,3 @@ def keywords(fmt, md_headers, functions, classes) -> Column:
 def date_facets(df: DataFrame, col: str = "modified_at") -> DataFrame:
     """Year and month facet columns."""
     return df.withColumn("year", F.year(col)).withColumn("month", F.month(col))
-
-
-__all__ = [n for n in dir() if not n.startswith("_")]
-_ = file_stem

@@ -16,7 +16,6 @@ match-all) combined by all_of / any_of / none_of. Evaluation is one plan:
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field as dfield
 from functools import reduce
 
@@ -715,15 +714,14 @@ def relevance_feedback(clicks: DataFrame) -> DataFrame:
 
 
 def positions(hits: DataFrame, partition_by=None, order=None) -> DataFrame:
-    """Rank position (1-based) of hits, per partition when given."""
+    """Rank position (1-based) of hits. Without `partition_by` the window
+    spans the whole frame, so call it on a bounded page (a top-k result);
+    per query or per group, pass `partition_by` (or use top_k_per_group)."""
     order = order or [F.col("score").desc(), F.col("doc_id")]
     w = Window.partitionBy(*partition_by).orderBy(*order) if partition_by else Window.orderBy(*order)
     return hits.withColumn("rank", F.row_number().over(w))
 
 
-__all__ = [n for n in dir() if not n.startswith("_")]
-_ = math
-
 
 def search_many(index: Index, queries: DataFrame, k: int | None = 10, fields=("title", "content"),
                 qid: str = "qid", text: str = "text", method: str = "bm25") -> DataFrame:
