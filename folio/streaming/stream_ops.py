@@ -24,11 +24,18 @@ from folio.session import scratch_path
 
 # ----------------------------------------------------------------------------- sources
 def table_stream(spark: SparkSession, directory: str, name: str, max_files: int = 1) -> DataFrame:
-    """A parquet table file of a directory as a stream source (new files of
-    that name pattern are picked up as they land)."""
-    schema = spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(directory))
+    """A parquet table of a folder as a stream source: `name.parquet` as a
+    single file (new files of that name pattern are picked up as they land)
+    or as a folder of part files (new parts are picked up)."""
+    path = f"{directory.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    jvm = spark._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    is_dir = hp.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hp).isDirectory()
+    rs = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    if is_dir:
+        return rs.parquet(path)
+    return rs.option("pathGlobFilter", f"{name}.parquet").parquet(directory)
 
 
 def watch_directory(spark: SparkSession, root: str, ignore=None, extensions=None) -> DataFrame:
