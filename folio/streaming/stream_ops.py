@@ -116,7 +116,17 @@ class VersionedTable:
 
     def __init__(self, spark: SparkSession, base: str, empty: DataFrame):
         self.spark, self.base = spark, base.rstrip("/")
-        self.write(0, empty)
+        if not self._done(0):  # a restarted stream keeps its versions
+            self.write(0, empty)
+
+    def _fs(self):
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.base)
+        return jvm, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _done(self, v: int) -> bool:
+        jvm, fs = self._fs()
+        return bool(fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path(v)}/_SUCCESS")))
 
     def path(self, v: int) -> str:
         return f"{self.base}/v{v:06d}"
@@ -128,14 +138,10 @@ class VersionedTable:
         df.write.mode("overwrite").parquet(self.path(v))
 
     def latest(self) -> int:
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.base)
-        fs = p.getFileSystem(conf)
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()
-                and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.base}/{n}/_SUCCESS"))]
-        return max(done)
+        """Highest committed version (folder with a _SUCCESS marker)."""
+        jvm, fs = self._fs()
+        names = [st.getPath().getName() for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.base))]
+        return max(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and self._done(int(n[1:])))
 
 
 def apply_events_sink(table: VersionedTable) -> Callable[[DataFrame, int], None]:
