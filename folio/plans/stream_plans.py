@@ -41,17 +41,17 @@ SELECT p AS path, ts AS last_ts, value FROM r WHERE rn = 1 AND present"""
 
 @register("e3_apply_file_events", E3_SQL)
 def e3(spark, sf_dir):
-    table = E.VersionedTable(spark, scratch_path(spark, "e3-state"), E.empty_state(spark))
-    E.run_available_now(_events(spark, sf_dir), "e3-apply", foreach_batch=E.apply_events_sink(table))
-    return table.read(table.latest()).select("path", "last_ts", "value")
+    log = E.ChangeLog(spark, scratch_path(spark, "e3-state"), E.empty_touches(spark))
+    E.run_available_now(_events(spark, sf_dir), "e3-apply", foreach_batch=E.change_log_sink(log))
+    return E.current_state(log).select("path", "last_ts", "value")
 
 
 @register("e4_stream_indexing", T2_SQL)
 def e4(spark, sf_dir):
-    table = E.VersionedTable(spark, scratch_path(spark, "e4-index"), E.empty_postings(spark))
+    log = E.ChangeLog(spark, scratch_path(spark, "e4-index"), E.empty_postings(spark))
     docs = E.table_stream(spark, sf_dir, "documents")
-    E.run_available_now(docs, "e4-index", foreach_batch=E.index_sink(table, tc.documents_from))
-    post = table.read(table.latest())
+    E.run_available_now(docs, "e4-index", foreach_batch=E.index_log_sink(log, tc.documents_from))
+    post = E.current_postings(log)
     return post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 

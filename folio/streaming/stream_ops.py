@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from folio.functions.text import format_of
 from folio.operators import index as ix
@@ -144,6 +145,123 @@ class VersionedTable:
         return max(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and self._done(int(n[1:])))
 
 
+class ChangeLog:
+    """Append-only log of micro-batch outputs with merge-on-read: batch b
+    writes only its own partition `batch=b` (overwritten when the batch is
+    retried), so a batch costs its own size, not the size of the state.
+    Readers combine the partitions; `compact` folds them into a snapshot
+    that later reads start from."""
+
+    def __init__(self, spark: SparkSession, base: str, empty: DataFrame):
+        self.spark, self.base = spark, base.rstrip("/")
+        self.schema = empty.schema
+
+    def append(self, batch_id: int, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.base}/log/batch={batch_id}")
+
+    def _fs(self):
+        jvm = self.spark._jvm
+        return jvm, jvm.org.apache.hadoop.fs.Path(self.base).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _snapshot(self) -> int | None:
+        """Batch number folded into the latest committed snapshot, if any."""
+        jvm, fs = self._fs()
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.base}/snapshot")
+        if not fs.exists(p):
+            return None
+        done = [int(st.getPath().getName().split("=")[1]) for st in fs.listStatus(p)
+                if st.getPath().getName().startswith("upto=")
+                and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{st.getPath().toString()}/_SUCCESS"))]
+        return max(done) if done else None
+
+    def read(self) -> DataFrame:
+        """Rows with their `batch`: the latest snapshot (as batch = its
+        horizon) plus the log partitions after it (pruned by partition)."""
+        jvm, fs = self._fs()
+        schema = StructType(list(self.schema.fields) + [StructField("batch", IntegerType())])
+        snap = self._snapshot()
+        out = self.spark.createDataFrame([], schema)
+        if snap is not None:
+            out = self.spark.read.schema(self.schema).parquet(f"{self.base}/snapshot/upto={snap}") \
+                .withColumn("batch", F.lit(snap).cast("int"))
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.base}/log")):
+            log = self.spark.read.schema(schema).parquet(f"{self.base}/log")
+            out = out.unionByName(log.filter(F.col("batch") > snap) if snap is not None else log)
+        return out
+
+    def compact(self, merged: DataFrame, upto_batch: int) -> None:
+        """Write the merged state of batches <= upto_batch as the new snapshot;
+        later reads skip those log partitions. Idempotent per horizon."""
+        merged.select(*self.schema.fieldNames()).write.mode("overwrite") \
+            .parquet(f"{self.base}/snapshot/upto={upto_batch}")
+
+
+def touches(events: DataFrame) -> DataFrame:
+    """Latest touch per path of one batch (created/modified/moved-in keep the
+    path, deleted/moved-away drop it): (path, ts, event_id, value, type,
+    old_path, present)."""
+    touch_new = events.select(F.col("path").alias("p"), "ts", "event_id", "value", "type", "old_path",
+                              (F.col("type") != "deleted").alias("present"))
+    touch_old = events.filter(F.col("type") == "moved").select(
+        F.col("old_path").alias("p"), "ts", "event_id", "value", "type", "old_path", F.lit(False).alias("present"))
+    return (touch_new.unionByName(touch_old).groupBy("p")
+            .agg(F.max_by(F.struct("ts", "event_id", "value", "type", "old_path", "present"),
+                          F.struct("ts", "event_id")).alias("e"))
+            .select(F.col("p").alias("path"), "e.*"))
+
+
+TOUCH_SCHEMA = ("path string, ts timestamp_ntz, event_id bigint, value double, type string, "
+                "old_path string, present boolean, id string")
+
+
+def latest_touches(log: ChangeLog) -> DataFrame:
+    """The latest touch row per path that keeps the path (log schema)."""
+    rows = log.read()
+    cols = [c for c in rows.columns if c != "batch"]
+    last = rows.groupBy("path").agg(F.max_by(F.struct(*cols), F.struct("ts", "event_id", "batch")).alias("e"))
+    return last.select("e.*").filter("present")
+
+
+def compact_state(log: ChangeLog, upto_batch: int) -> None:
+    """E3 compaction: fold the log up to a batch into a snapshot."""
+    log.compact(latest_touches(log), upto_batch)
+
+
+def compact_postings(log: ChangeLog, upto_batch: int) -> None:
+    """E4 compaction: fold the postings log into one segment."""
+    log.compact(current_postings(log), upto_batch)
+
+
+def current_state(log: ChangeLog) -> DataFrame:
+    """E3 state = the latest logged touch per path that keeps the path
+    (max_by with partial aggregation: a hot path never lands whole in one task)."""
+    rows = log.read()
+    last = rows.groupBy("path").agg(F.max_by(F.struct("present", "id", "ts", "value"),
+                                             F.struct("ts", "event_id", "batch")).alias("e"))
+    return last.filter("e.present").select("path", F.col("e.id").alias("id"),
+                                           F.col("e.ts").alias("last_ts"), F.col("e.value").alias("value"))
+
+
+def change_log_sink(log: ChangeLog) -> Callable[[DataFrame, int], None]:
+    """E3 foreachBatch on a change log: the batch's touches with resolved ids
+    (a move keeps the id of the old path) are appended as partition b."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        t = touches(batch)
+        ids = current_state(log).select("path", "id")
+        old = ids.select(F.col("path").alias("old_path"), F.col("id").alias("moved_id"))
+        cur = ids.select("path", F.col("id").alias("cur_id"))
+        out = (t.join(cur, "path", "left").join(old, "old_path", "left")
+               .withColumn("id", F.coalesce(F.when(F.col("type") == "moved", F.col("moved_id")),
+                                            F.col("cur_id"), F.md5("path")))
+               .drop("cur_id", "moved_id"))
+        log.append(batch_id, out.select(*[f.split()[0] for f in TOUCH_SCHEMA.split(", ")]))
+    return run
+
+
+def empty_touches(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], TOUCH_SCHEMA)
+
+
 def apply_events_sink(table: VersionedTable) -> Callable[[DataFrame, int], None]:
     """E3 foreachBatch: new version = apply_events(previous version, batch)."""
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -157,6 +275,24 @@ def empty_state(spark: SparkSession) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- E4
+def index_log_sink(log: ChangeLog, to_docs: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """E4 foreachBatch on a change log: the postings of the batch's documents
+    are appended as partition b; nothing already written is rewritten."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        docs = to_docs(batch)
+        fresh = ix.build_index(docs, keyword_fields=(), positions=False).postings
+        log.append(batch_id, fresh.select("field", "term", "doc_id", "tf", "dl"))
+    return run
+
+
+def current_postings(log: ChangeLog) -> DataFrame:
+    """E4 merge-on-read: a document's postings come from the latest batch
+    that indexed it (T15 delete + T2 add, without rewriting)."""
+    rows = log.read()
+    latest = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return rows.join(latest, ["doc_id", "batch"]).drop("batch")
+
+
 def index_sink(table: VersionedTable, to_docs: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """E4 foreachBatch: postings of the touched documents are replaced
     (T15 delete, then T2 build of their new text) in a new version."""

@@ -113,3 +113,43 @@ def test_versioned_table_restart_and_retry(spark, tmpdir_path):
     sink(ev, 0)  # a retried batch rewrites its own version
     t2 = E.VersionedTable(spark, base, E.empty_state(spark))  # restart keeps versions
     assert t2.latest() == 1 and t2.read(1).count() == 1 and t2.read(0).count() == 0
+
+
+def test_change_log_over_several_batches(spark, tmpdir_path):
+    import os
+    import time as _t
+    from folio.session import scratch_path
+    src = os.path.join(tmpdir_path, "ev")
+    schema = "event_id long, type string, path string, old_path string, ts timestamp_ntz, value double"
+    batches = [
+        [(1, "created", "/a.md", None, T0, 1.0), (2, "created", "/b.md", None, T0 + dt.timedelta(seconds=1), 2.0)],
+        [(3, "moved", "/z.md", "/a.md", T0 + dt.timedelta(seconds=2), 3.0), (4, "modified", "/b.md", None, T0 + dt.timedelta(seconds=3), 4.0)],
+        [(5, "deleted", "/b.md", None, T0 + dt.timedelta(seconds=4), 5.0), (6, "modified", "/c.md", None, T0 + dt.timedelta(seconds=5), 6.0)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(os.path.join(src, "events.parquet"))
+        _t.sleep(1.1)
+    log = E.ChangeLog(spark, scratch_path(spark, "test-log"), E.empty_touches(spark))
+    E.run_available_now(E.table_stream(spark, src, "events"), "test-log", foreach_batch=E.change_log_sink(log))
+    assert log.read().select("batch").distinct().count() == 3
+    got = {r["path"]: (r["id"], r["value"]) for r in E.current_state(log).collect()}
+    want = {r["path"]: r["value"] for r in
+            E.apply_events(E.empty_state(spark), spark.createDataFrame([x for b in batches for x in b], schema)).collect()}
+    assert {p: v for p, (_, v) in got.items()} == want == {"/z.md": 3.0, "/c.md": 6.0}
+    import hashlib
+    assert got["/z.md"][0] == hashlib.md5(b"/a.md").hexdigest()  # the move kept the id of /a.md
+
+
+def test_change_log_compaction(spark, tmpdir_path):
+    from folio.session import scratch_path
+    schema = "event_id long, type string, path string, old_path string, ts timestamp_ntz, value double"
+    log = E.ChangeLog(spark, scratch_path(spark, "test-compact"), E.empty_touches(spark))
+    sink = E.change_log_sink(log)
+    sink(spark.createDataFrame([(1, "created", "/a.md", None, T0, 1.0), (2, "created", "/b.md", None, T0, 2.0)], schema), 0)
+    sink(spark.createDataFrame([(3, "deleted", "/a.md", None, T0 + dt.timedelta(seconds=1), 3.0)], schema), 1)
+    before = sorted(map(tuple, E.current_state(log).collect()))
+    E.compact_state(log, 1)
+    assert sorted(map(tuple, E.current_state(log).collect())) == before
+    sink(spark.createDataFrame([(4, "moved", "/c.md", "/b.md", T0 + dt.timedelta(seconds=2), 4.0)], schema), 2)
+    after = {r["path"]: r["value"] for r in E.current_state(log).collect()}
+    assert after == {"/c.md": 4.0}
