@@ -42,7 +42,7 @@ def main() -> None:
     from folio.session import scratch_path, spark_session
     from folio.sources import testcorpus as tc
 
-    spark = spark_session(f"local[{CPUS}]", "folio-bench", shuffle_partitions=int(CPUS) * 2)
+    spark = spark_session(f"local[{CPUS}]", "folio-bench", shuffle_partitions=int(CPUS))
     load_all()
     times: dict[str, float] = {}
 
