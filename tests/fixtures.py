@@ -20,7 +20,7 @@ SEARCH_DOCS = [
      "def main(): print('hello') is a tiny example of python code for the toolkit.",
      "code", 512, ["python", "example", "code"], 3, 3),
     ("doc4", "Settings File",
-     "Configuration values: timeout, retries and the docscope logging level.",
+     "Configuration values: timeout, retries and the telescope logging level.",
      "json", 256, ["configuration", "settings"], 7, 7),
 ]
 
