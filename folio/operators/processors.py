@@ -110,9 +110,12 @@ try:
         def __init__(self, path):
             self.path = path
 
+    def _local(path: str) -> str:
+        return path[len("file:"):] if path and path.startswith("file:") else path
+
     class MarkdownFolderReader(DataSourceReader):
         def __init__(self, options):
-            self.root = options.get("path")
+            self.root = _local(options.get("path"))
 
         def partitions(self):
             import os
@@ -130,7 +133,7 @@ try:
 
     class MarkdownFolderWriter(DataSourceWriter):
         def __init__(self, options):
-            self.root = options.get("path")
+            self.root = _local(options.get("path"))
 
         def write(self, iterator):
             import os

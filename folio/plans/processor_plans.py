@@ -58,3 +58,17 @@ def u3(spark, sf_dir):
     hooks.on("before_index", lambda df: df.withColumn("broken", F.col("no_such_column") + 1))  # skipped
     d = hooks.run("before_index", tc.documents(spark, sf_dir, with_labels=False))
     return d.select("doc_id", "fmt_label")
+
+
+@register("u4_markdown_data_source")
+def u4(spark, sf_dir):
+    """U4: documents written through the custom Python data source (one
+    markdown file per task) and read back through it; rows only (the file
+    count follows the partitioning)."""
+    from folio.session import scratch_path
+    if not U.register_sources(spark):
+        return spark.createDataFrame([], "path string, size long")
+    out = scratch_path(spark, "u4-markdown")
+    tc.documents(spark, sf_dir, with_labels=False).select("title", "content") \
+        .write.format("folio_markdown").mode("overwrite").save(out)
+    return spark.read.format("folio_markdown").load(out).select("path", "size")
