@@ -120,7 +120,7 @@ def w2(spark, sf_dir):
 
 
 @register("w3_hit_positions", "WITH h AS (" + BM25_SQL.strip() + ") SELECT doc_id, score, "
-          "row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM h")
+          "CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM h")
 def w3(spark, sf_dir):
     # ranks a bounded page (20 rows), so the un-partitioned window is cheap
     return positions(bm25_top20(spark, sf_dir).select("doc_id", "score"))
@@ -128,7 +128,7 @@ def w3(spark, sf_dir):
 
 @register("w4_largest_per_category", f"{WB}, r AS (SELECT doc_id, category, size, row_number() OVER "
           "(PARTITION BY category ORDER BY size DESC, doc_id) AS rank FROM docs_b) "
-          "SELECT doc_id, category, size, rank FROM r WHERE rank <= 3")
+          "SELECT doc_id, category, size, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3")
 def w4(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", "category", "size")
     return S.top_k_per_group(d, ["category"], [F.col("size").desc(), F.col("doc_id")], 3)

@@ -71,7 +71,7 @@ qt AS (SELECT DISTINCT qid, unnest({Q.analyze('query')}) AS term FROM qs),
 sc AS (SELECT qt.qid, p.doc_id, round(sum({Q.bm25('p')}), 6) AS score
        FROM qt JOIN post p USING (term) JOIN voc v USING (field, term) JOIN st USING (field) GROUP BY qt.qid, p.doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc)
-SELECT qid, doc_id, score, rank FROM r WHERE rank <= 10"""
+SELECT qid, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""
 
 
 @register("e6_live_search", E6_SQL)

@@ -54,7 +54,7 @@ def q2(spark, sf_dir):
 Q3_SQL = f"""WITH {SUGG_CTE},
 hits AS (SELECT p.prefix, s.term, s.type, s.frequency FROM sugg s JOIN pre p ON starts_with(s.term, p.prefix)),
 r AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY frequency DESC, term, type) AS rank FROM hits)
-SELECT prefix, term, type, frequency, rank FROM r WHERE rank <= 5"""
+SELECT prefix, term, type, frequency, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"""
 
 
 @register("q3_prefix_completion", Q3_SQL)
@@ -70,7 +70,7 @@ c AS (SELECT p.prefix, s.term, s.type, s.frequency FROM s JOIN p
      AND substring(s.term, 1, length(p.prefix)) <> p.prefix
      AND levenshtein(substring(s.term, 1, length(p.prefix)), p.prefix) = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY frequency DESC, term, type) AS rank FROM c)
-SELECT prefix, term, type, frequency, rank FROM r WHERE rank <= 5"""
+SELECT prefix, term, type, frequency, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"""
 
 
 @register("q4_typo_completion", Q4_SQL)
@@ -91,7 +91,7 @@ Q6_SQL = f"""WITH {Q.DOCS}, {Q.DOC_TAGS}, {Q.tokens_cte()}, {Q.postings_cte(f"fi
 co AS (SELECT p.term, t.tag, count(*) AS count FROM post p JOIN doc_tags t USING (doc_id) WHERE t.tag <> p.term
        GROUP BY p.term, t.tag),
 r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY count DESC, tag) AS rank FROM co)
-SELECT term, tag, count, rank FROM r WHERE rank <= 3"""
+SELECT term, tag, count, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3"""
 
 
 @register("q6_related_tags", Q6_SQL)
@@ -123,12 +123,12 @@ co AS (SELECT p.term, t.tag, count(*) AS count FROM post p JOIN doc_tags t USING
        WHERE t.tag <> p.term AND p.term IN (SELECT term FROM top) GROUP BY p.term, t.tag),
 rel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY count DESC, tag) AS r_rank FROM co)
         WHERE r_rank <= 3)
-SELECT prefix, 'title:' || term AS text, rank AS t_rank, 0 AS tpl, 0 AS r_rank FROM top
-UNION ALL SELECT prefix, 'tags:' || term, rank, 1, 0 FROM top
-UNION ALL SELECT prefix, 'format:' || term, rank, 2, 0 FROM top
-UNION ALL SELECT prefix, '"' || term || '"', rank, 5, 0 FROM top
-UNION ALL SELECT prefix, top.term || ' AND ' || rel.tag, rank, 3, r_rank FROM top JOIN rel USING (term)
-UNION ALL SELECT prefix, top.term || ' OR ' || rel.tag, rank, 4, r_rank FROM top JOIN rel USING (term)"""
+SELECT prefix, 'title:' || term AS text, CAST(rank AS INTEGER) AS t_rank, 0 AS tpl, 0 AS r_rank FROM top
+UNION ALL SELECT prefix, 'tags:' || term, CAST(rank AS INTEGER), 1, 0 FROM top
+UNION ALL SELECT prefix, 'format:' || term, CAST(rank AS INTEGER), 2, 0 FROM top
+UNION ALL SELECT prefix, '"' || term || '"', CAST(rank AS INTEGER), 5, 0 FROM top
+UNION ALL SELECT prefix, top.term || ' AND ' || rel.tag, CAST(rank AS INTEGER), 3, CAST(r_rank AS INTEGER) FROM top JOIN rel USING (term)
+UNION ALL SELECT prefix, top.term || ' OR ' || rel.tag, CAST(rank AS INTEGER), 4, CAST(r_rank AS INTEGER) FROM top JOIN rel USING (term)"""
 
 
 @register("q7_query_templates", Q7_SQL)
@@ -168,7 +168,7 @@ b AS (SELECT * FROM (SELECT p.prefix, s.term AS text, row_number() OVER (PARTITI
 u AS (SELECT prefix, text, 1 AS source_rank, pos FROM a UNION ALL SELECT prefix, text, 2, pos FROM b),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prefix, text ORDER BY source_rank, pos) AS rn FROM u) WHERE rn = 1),
 r AS (SELECT prefix, text, source_rank, pos, row_number() OVER (PARTITION BY prefix ORDER BY source_rank, pos, text) AS rank FROM f)
-SELECT * FROM r WHERE rank <= 6"""
+SELECT prefix, text, source_rank, CAST(pos AS INTEGER) AS pos, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6"""
 
 
 @register("q9_merged_suggestions", Q9_SQL)
@@ -184,7 +184,8 @@ def q9(spark, sf_dir):
 
 @register("q10_recent_searches", f"WITH {Q.HISTORY}, l AS (SELECT user_id, query, max(searched_at) AS last_searched "
           "FROM search_history GROUP BY user_id, query), r AS (SELECT *, row_number() OVER (PARTITION BY user_id "
-          "ORDER BY last_searched DESC, query) AS rank FROM l) SELECT * FROM r WHERE rank <= 10")
+          "ORDER BY last_searched DESC, query) AS rank FROM l) "
+          "SELECT user_id, query, last_searched, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
 def q10(spark, sf_dir):
     return G.recent_searches(tc.search_history(spark, sf_dir), 10)
 
@@ -268,8 +269,8 @@ b AS (SELECT * FROM (SELECT f.prefix, s.term, s.type, s.frequency,
         row_number() OVER (PARTITION BY f.prefix ORDER BY s.frequency DESC, s.term, s.type) AS rank
       FROM s JOIN few f ON length(s.term) >= length(f.prefix) AND substring(s.term, 1, length(f.prefix)) <> f.prefix
       AND levenshtein(substring(s.term, 1, length(f.prefix)), f.prefix) = 1) WHERE rank <= 5)
-SELECT prefix, term, type, frequency, 1 AS source, rank FROM a
-UNION ALL SELECT prefix, term, type, frequency, 2, rank FROM b"""
+SELECT prefix, term, type, frequency, 1 AS source, CAST(rank AS INTEGER) AS rank FROM a
+UNION ALL SELECT prefix, term, type, frequency, 2, CAST(rank AS INTEGER) FROM b"""
 
 
 @register("q4_typo_when_few_prefix_hits", Q4F_SQL)
