@@ -152,3 +152,32 @@ def test_document_store_fetch(spark, tmpdir_path, idx):
     a = [tuple(r) for r in s.search(idx, q, limit=3, fetch="ids").collect()]
     b = [tuple(r) for r in s.search(idx2, q, limit=3, fetch="ids").collect()]
     assert a == b
+
+
+def test_regex_and_range_leaves(idx):
+    assert ids(s.search(idx, s.regex("instal+"), limit=None)) == ["doc1"]
+    q = s.all_of(s.match_all(), s.between("size", 500, 1100))
+    assert ids(s.search(idx, q, limit=None)) == ["doc1", "doc3"]
+
+
+def test_scoring_methods(idx):
+    q = s.any_of(s.term("toolkit"), s.term("install"))
+    freq = {r["doc_id"]: r["score"] for r in s.evaluate(idx, q, method="frequency").collect()}
+    assert freq[1] == 3.0  # "install" twice and "toolkit" once in doc1
+    tfidf = {r["doc_id"]: r["score"] for r in s.evaluate(idx, q, method="tfidf").collect()}
+    assert set(tfidf) == set(freq) and all(v > 0 for v in tfidf.values())
+
+
+def test_explain_scores(idx):
+    q = s.any_of(s.term("toolkit"), s.term("guide"))
+    page = s.search(idx, q, limit=None, with_snippet=False)
+    ex = {r["doc_id"]: r for r in s.explain_scores(idx, q, page).collect()}
+    assert ex[1]["matched_terms"] == ["guide", "toolkit"] and ex[1]["title_match"] and ex[1]["content_match"]
+
+
+def test_relevance_feedback(spark):
+    import math
+    clicks = spark.createDataFrame([(1, 1, "clicked"), (2, 3, "ignored"), (3, 2, "none")],
+                                   "doc_id long, rank int, action string")
+    got = {r["doc_id"]: r["feedback"] for r in s.relevance_feedback(clicks).collect()}
+    assert got == {1: round(1 / math.log2(2), 6), 2: round(-math.log2(4), 6), 3: 0.0}
