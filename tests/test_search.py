@@ -181,3 +181,15 @@ def test_relevance_feedback(spark):
                                    "doc_id long, rank int, action string")
     got = {r["doc_id"]: r["feedback"] for r in s.relevance_feedback(clicks).collect()}
     assert got == {1: round(1 / math.log2(2), 6), 2: round(-math.log2(4), 6), 3: 0.0}
+
+
+def test_sort_by_document_attribute(idx):
+    got = [r["id"] for r in s.search(idx, s.match_all(), sort="-modified", limit=None, with_snippet=False).collect()]
+    assert got == ["doc2", "doc1", "doc3", "doc4"]  # modified 1, 2, 3, 7 days ago
+    sized = [r["size"] for r in s.search(idx, s.match_all(), sort="size", limit=3).collect()]
+    assert sized == [256, 512, 1024]
+
+
+def test_facets_respect_filters(idx):
+    f = {(r["field"], r["value"]): r["count"] for r in s.facets(idx, s.match_all(), filters={"tags": "documentation"}).collect()}
+    assert f[("format", "markdown")] == 2 and ("format", "code") not in f
