@@ -632,9 +632,10 @@ def top_terms(index: Index, k: int = 10, field: str = "content") -> DataFrame:
     st = index.stats.filter(F.col("field") == field).select("field", "n_docs")  # one row
     w = (p.join(v, ["field", "term"]).join(F.broadcast(st), "field")
          .withColumn("weight", F.col("tf") * F.log(F.col("n_docs") / F.col("df"))))
-    win = Window.partitionBy("doc_id").orderBy(F.col("weight").desc(), F.col("term"))
-    return w.withColumn("r", F.row_number().over(win)).filter(F.col("r") <= k) \
-        .select("doc_id", "term", F.round("weight", C.SCORE_DECIMALS).alias("weight"))
+    from folio.operators.stats import top_k_per_group  # salted: one huge document is split too
+    top = top_k_per_group(w.select("doc_id", "term", "weight"), ["doc_id"],
+                          [F.col("weight").desc(), F.col("term")], k)
+    return top.select("doc_id", "term", F.round("weight", C.SCORE_DECIMALS).alias("weight"))
 
 
 def more_like_this(index: Index, seeds: DataFrame, k_terms: int = 10,
@@ -657,8 +658,8 @@ def more_like_this(index: Index, seeds: DataFrame, k_terms: int = 10,
         F.round(F.sum("part"), C.SCORE_DECIMALS).alias("score"))
     if limit is None:
         return scores
-    win = Window.partitionBy("seed_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    return scores.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= limit)
+    from folio.operators.stats import top_k_per_group  # salted: a seed with huge candidate sets is split
+    return top_k_per_group(scores, ["seed_id"], [F.col("score").desc(), F.col("doc_id")], limit)
 
 
 def hints(log: DataFrame, query_col: str = "query", count_col: str = "results_count") -> DataFrame:
