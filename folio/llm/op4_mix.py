@@ -46,13 +46,13 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     below = by_level.rowsBetween(Window.unboundedPreceding, -1)
     s = (sources.select("source", "source_size", w.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap"))
          .withColumn("ratio", F.col("cap") / F.col("weight")))
-    total = s.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    s = (s.crossJoin(F.broadcast(total))  # one row
+    every = Window.partitionBy()
+    s = (s.withColumn("all_size", F.sum("source_size").over(every)).withColumn("all_weight", F.sum("weight").over(every))
          .withColumn("level", (F.col("all_size") * F.lit(float(share)) - F.coalesce(F.sum("cap").over(below), F.lit(0.0)))
                      / (F.col("all_weight") - F.coalesce(F.sum("weight").over(below), F.lit(0.0))))
          .withColumn("full", F.col("ratio") <= F.col("level")))
     # past the first source that is not full the level only falls
-    level = F.max(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy())
+    level = F.max(F.when(~F.col("full"), F.col("level"))).over(every)
     return s.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * level).alias("target"))
 
 

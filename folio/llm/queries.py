@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import op3_tokens, op4_mix, op5_pack, op9_exact
+from folio.llm import op3_tokens, op4_mix, op5_pack, op6_ann, op7_language, op9_exact, op10_license
 from folio.llm.common import table
 
 
@@ -18,15 +18,30 @@ def op5_pack_query(spark, sf_dir):
     return op5_pack.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_ann_query(spark, sf_dir):
+    return op6_ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op7_language_query(spark, sf_dir):
+    return op7_language.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_query(spark, sf_dir):
     return op9_exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_license_query(spark, sf_dir):
+    return op10_license.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_token_files": op3_tokens_query,
     "op4_source_mix": op4_mix_query,
     "op5_sequence_packing": op5_pack_query,
+    "op6_nearest_neighbours": op6_ann_query,
+    "op7_language_id": op7_language_query,
     "op9_exact_dedup": op9_exact_query,
+    "op10_license_scan": op10_license_query,
 }
 
 ORACLE = {"op4_source_mix": op4_mix.ORACLE}
