@@ -91,14 +91,29 @@ class SpanHash:
         words = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
         if fold is not None:
             words = words[fold]
-        n = len(data)
+        self._sum(words[data])
+
+    @classmethod
+    def of_values(cls, values: np.ndarray) -> SpanHash:
+        """Over 64-bit values in place of bytes."""
+        out = cls.__new__(cls)
+        out._sum(values)
+        return out
+
+    def _sum(self, values: np.ndarray) -> None:
+        n = len(values)
         cls = SpanHash
         if len(cls._pow) < n + 1:
             base, inv = np.full(n + 1, cls.BASE, U), np.full(n + 1, pow(cls.BASE, -1, 2**64), U)
             base[0] = inv[0] = 1
             cls._pow, cls._inv = np.cumprod(base, dtype=U), np.cumprod(inv, dtype=U)
         self.prefix = np.zeros(n + 1, U)
-        np.cumsum(words[data] * cls._pow[:n], out=self.prefix[1:])
+        np.cumsum(values * cls._pow[:n], out=self.prefix[1:])
+
+    def without(self, start: np.ndarray, drop: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the span [start, end) with the position `drop` taken out: what the shorter span itself would have."""
+        rest = (self.prefix[drop] - self.prefix[start]) + (self.prefix[end] - self.prefix[drop + 1]) * U(pow(self.BASE, -1, 2**64))
+        return mix64(rest * SpanHash._inv[start] + (end - start - 1).astype(U))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.prefix[end] - self.prefix[start]) * SpanHash._inv[start] + (end - start).astype(U))

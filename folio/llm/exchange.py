@@ -53,6 +53,11 @@ def _ranges(own: np.ndarray, owners: int) -> np.ndarray:
     return np.searchsorted(own, np.array([i * (1 << BITS) // owners for i in range(owners)] + [1 << BITS], U))
 
 
+def owner_cuts(keys: np.ndarray, owners: int) -> np.ndarray:
+    """Where each owner's range begins in sorted 64-bit fingerprints."""
+    return _ranges(keys >> U(64 - BITS), owners)
+
+
 def send(gid: int, keys: np.ndarray, owners: int) -> pd.DataFrame:
     """The rows (owner, gid, keys, multi) for all fingerprints of one group;
     `keys` may repeat and need no order."""

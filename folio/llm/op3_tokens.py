@@ -105,7 +105,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, segment_ids: int =
         from pyspark import TaskContext
 
         tok, part, seg = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 4 << 20):
             ids, n = tok.encode(b["text"])
             doc_ids = b["doc_id"].fill_null(_EMPTY).to_numpy(zero_copy_only=False)
             ends, a, rows = np.cumsum(n), 0, []

@@ -116,7 +116,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, longest: int = LENGTH,
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
                                               ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_id"])
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 4 << 20):
             ids, n = tok.encode(b["text"])
             ids, end, ready = ids.astype("<u4"), 0, []
             for doc, total in zip(b["doc_id"].to_pylist(), n.tolist(), strict=True):

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from folio.llm import op3_tokens, op4_mix, op5_pack, op6_ann, op7_language, op9_exact, op10_license
+from folio.llm import op1_near, op2_repeats, op3_tokens, op4_mix, op5_pack, op6_ann, op7_language, op9_exact, op10_license
 from folio.llm.common import table
 
 
+def op1_near_query(spark, sf_dir):
+    return op1_near.near_classes(table(spark, sf_dir, "documents"))
+
+
+def op2_repeats_query(spark, sf_dir):
+    return op2_repeats.mark_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_tokens_query(spark, sf_dir):
     return op3_tokens.token_files(table(spark, sf_dir, "documents"))
 
@@ -35,6 +43,8 @@ def op10_license_query(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_query,
+    "op2_suffix_dedup": op2_repeats_query,
     "op3_token_files": op3_tokens_query,
     "op4_source_mix": op4_mix_query,
     "op5_sequence_packing": op5_pack_query,
