@@ -111,10 +111,10 @@ class _Group:
 
     def __init__(self, table: pa.Table):
         self.doc_id, self.rows, base, parts = [], [], 0, []
-        for b in slices(iter(table.combine_chunks().to_batches()), "text", 2 << 20):
+        for b in slices(iter(table.combine_chunks().to_batches()), "text", 1 << 20):
             data, off = text_buffers(b["text"])
             start, n, key = stretches(data, off)
-            h1, h2 = (SpanHash(data, seed=s)(start, start + n + LENGTH - 1) for s in (3, 4))
+            h1, h2 = _prints(data, start, start + n + LENGTH - 1)
             doc = np.searchsorted(off, start, "right") - 1
             parts.append((start, n, key, h1, h2, doc + base, np.full(len(start), len(self.rows))))
             self.rows.append((data, off, base))
@@ -145,17 +145,26 @@ class _Group:
         return out
 
 
-def _payload(key, n, doc, h1, h2, content) -> bytes:
-    return struct.pack("<I", len(key)) + b"".join(x.tobytes() for x in (key, n.astype("<u2"), doc, h1, h2, content))
+def _payload(key, n, doc, content) -> bytes:
+    """Sorted keys, strings, doc_ids and bytes of stretches, compressed; keys as differences."""
+    raw = b"".join(x.tobytes() for x in (np.diff(key, prepend=U(0)), n.astype("<u2"), doc, content))
+    return struct.pack("<II", len(key), len(raw)) + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _open(raw: bytes):
-    (k,) = struct.unpack_from("<I", raw)
-    at, out = 4, []
-    for kind, size in (("<u8", 8), ("<u2", 2), ("<i8", 8), ("<u8", 8), ("<u8", 8)):
+def _open(blob: bytes):
+    k, size = struct.unpack_from("<II", blob)
+    raw, at, out = pa.decompress(blob[8:], size, "zstd", asbytes=True), 0, []
+    for kind, width in (("<u8", 8), ("<u2", 2), ("<i8", 8)):
         out.append(np.frombuffer(raw, kind, k, at))
-        at += k * size
-    return *out, np.frombuffer(raw, np.uint8, -1, at)
+        at += k * width
+    content = np.frombuffer(raw, np.uint8, -1, at)
+    begin, width = _spans(out[1])
+    return np.cumsum(out[0], dtype=U), out[1], out[2], *_prints(content, begin, begin + width), content
+
+
+def _prints(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the bytes of each stretch."""
+    return SpanHash(data, seed=3)(start, end), SpanHash(data, seed=4)(start, end)
 
 
 def _spans(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,8 +194,8 @@ def _owner(table: pa.Table) -> pa.Table:
     many = n[head[several]]
     total, a = np.cumsum(many), 0
     earlier = np.zeros(int(many.sum()), bool)
-    while a < len(several):                        # whole anchors, about a million strings at a time
-        z = int(np.searchsorted(total, (total[a - 1] if a else 0) + 1_000_000, "right"))
+    while a < len(several):                        # whole anchors, some hundred thousand strings at a time
+        z = int(np.searchsorted(total, (total[a - 1] if a else 0) + 200_000, "right"))
         z = max(a + 1, z)
         while z < len(several) and hk[several[z]] == hk[several[z - 1]]:
             z += 1
@@ -245,7 +254,7 @@ def mark_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, text: bool = F
         rows = []
         for o in np.flatnonzero(np.diff(cut)).tolist():
             s = some[cut[o]:cut[o + 1]]
-            rows.append((o, key[0].as_py(), _payload(g.key[s], g.n[s], g.doc[s], g.h1[s], g.h2[s], g.content(s))))
+            rows.append((o, key[0].as_py(), _payload(g.key[s], g.n[s], g.doc[s], g.content(s))))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 3, schema, strict=True)], schema=schema)
 
     def cut_texts(key, table, back):
