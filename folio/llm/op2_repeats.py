@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from folio.llm import exchange as X
 from folio.llm.common import SpanHash, ragged, slices, text_buffers
 
-LENGTH, GRAM, GROUP_BYTES = 50, 24, 8 << 20
+LENGTH, GRAM, GROUP_BYTES = 50, 24, 4 << 20
 _NULL = -(1 << 63)
 U = np.uint64
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
