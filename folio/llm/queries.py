@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import op1_near, op2_repeats, op3_tokens, op4_mix, op5_pack, op6_ann, op7_language, op9_exact, op10_license
+from folio.llm import op1_near, op2_repeats, op3_tokens, op4_mix, op5_pack, op6_ann, op7_language, op8_lines, op9_exact, op10_license
 from folio.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_language_query(spark, sf_dir):
     return op7_language.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_lines_query(spark, sf_dir):
+    return op8_lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_query(spark, sf_dir):
     return op9_exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op5_sequence_packing": op5_pack_query,
     "op6_nearest_neighbours": op6_ann_query,
     "op7_language_id": op7_language_query,
+    "op8_line_dedup": op8_lines_query,
     "op9_exact_dedup": op9_exact_query,
     "op10_license_scan": op10_license_query,
 }
