@@ -44,10 +44,10 @@ FORMATS = ("markdown", "text", "html", "pdf", "json", "yaml", "code",
 STATUSES = ("pending", "indexed", "failed", "updated", "deleted")
 # Extension -> format for the formats that have a handler.
 EXTENSION_FORMATS = {
-    ".md": "markdown", ".markdown": "markdown", ".mdown": "markdown", ".mkd": "markdown",
-    ".txt": "text", ".text": "text", ".log": "text", ".rst": "text",
-    ".json": "json", ".jsonl": "json",
-    ".yaml": "yaml", ".yml": "yaml", ".toml": "yaml", ".ini": "yaml", ".cfg": "yaml", ".conf": "yaml",
+    ".txt": "text", ".text": "text", ".log": "text", ".csv": "text", ".tsv": "text",
+    ".md": "markdown", ".markdown": "markdown", ".mkd": "markdown", ".mdx": "markdown",
+    ".json": "json", ".jsonl": "json", ".geojson": "json",
+    ".yaml": "yaml", ".yml": "yaml",
     ".py": "code", ".pyw": "code", ".pyi": "code",
     ".html": "html", ".htm": "html", ".xhtml": "html",
 }

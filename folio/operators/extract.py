@@ -98,6 +98,13 @@ def images(c) -> Column:
                        lambda z: F.struct(z["a"].alias("alt"), z["u"].alias("url")))
 
 
+def _last_wins(keys: Column, vals: Column) -> Column:
+    """A map in which the last of equal keys counts."""
+    pairs = F.arrays_zip(keys.alias("k"), vals.alias("v"))
+    last = F.filter(pairs, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["k"]))
+    return F.map_from_arrays(F.transform(last, lambda e: e["k"]), F.transform(last, lambda e: e["v"]))
+
+
 def front_matter(c) -> Column:
     """Flat `key: value` lines of a leading --- block as map<string,string>
     (nested YAML is not parsed); null when there is no block."""
@@ -105,7 +112,7 @@ def front_matter(c) -> Column:
     has = _c(c).rlike(RX_FRONT_MATTER)
     keys = F.regexp_extract_all(block, F.lit(RX_FM_PAIR), 1)
     vals = F.regexp_extract_all(block, F.lit(RX_FM_PAIR), 2)
-    return F.when(has, F.map_from_arrays(keys, vals))
+    return F.when(has, _last_wins(keys, vals))
 
 
 def strip_front_matter(c) -> Column:
@@ -223,8 +230,8 @@ def html_info(df: DataFrame, col: str = "html") -> DataFrame:
     h1 = html_to_text(F.regexp_extract(h, RX_HTML_H1, 1))
     return df.select("*", html_to_text(h).alias("text"),
                      F.coalesce(F.nullif(title, F.lit("")), F.nullif(h1, F.lit(""))).alias("html_title"),
-                     F.map_from_arrays(F.regexp_extract_all(h, F.lit(RX_META), 1),
-                                       F.regexp_extract_all(h, F.lit(RX_META), 2)).alias("meta_tags"),
+                     _last_wins(F.regexp_extract_all(h, F.lit(RX_META), 1),
+                                F.regexp_extract_all(h, F.lit(RX_META), 2)).alias("meta_tags"),
                      _count(h, RX_A).cast("int").alias("link_count"),
                      _count(h, RX_IMG).cast("int").alias("image_count"),
                      _count(h, RX_HEADING).cast("int").alias("heading_count"))
@@ -239,6 +246,6 @@ def keywords(fmt, md_headers, functions, classes) -> Column:
             .otherwise(F.array().cast("array<string>")))
 
 
-def date_facets(df: DataFrame, col: str = "modified_at") -> DataFrame:
+def date_facets(df: DataFrame, col: str = "created_at") -> DataFrame:
     """Year and month facet columns."""
     return df.withColumn("year", F.year(col)).withColumn("month", F.month(col))

@@ -86,8 +86,9 @@ def sort_documents(docs: DataFrame, sort_by: str | None = "modified_at", descend
 
 
 def page(df: DataFrame, page: int = 1, size: int = 20, max_size: int = 100) -> DataFrame:
-    """L2: 1-based page of an ordered frame; size clamped to 1..max_size."""
-    size = max(1, min(size, max_size))
+    """L2: 1-based page of an ordered frame; a size outside 1..max_size is an error."""
+    if not 1 <= size <= max_size:
+        raise ValueError(f"page size must be in 1..{max_size}")
     return df.offset((max(page, 1) - 1) * size).limit(size)
 
 
@@ -118,6 +119,8 @@ def in_category(docs: DataFrame, doc_categories: DataFrame, category_id: str) ->
 def having_all_tags(docs: DataFrame, doc_tags: DataFrame, tags) -> DataFrame:
     """J2 (D9): documents carrying every one of `tags`."""
     tags = sorted(set(tags))
+    if not tags:
+        return docs
     hit = (doc_tags.filter(F.col("tag").isin(tags)).groupBy("doc_id")
            .agg(F.count_distinct("tag").alias("n")).filter(F.col("n") == len(tags)).select("doc_id"))
     return docs.join(hit, "doc_id", "left_semi")

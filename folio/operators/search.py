@@ -158,8 +158,13 @@ class Term(Leaf):
 
     def rows(self, index, shared=None):
         toks = analyze_text(self.text, self.stem)
-        if len(toks) > 1:  # several tokens in one term: all must occur in one field
-            return Phrase(self.fields, text=self.text, uid=self.uid, stem=self.stem, slop=None).rows(index, shared)
+        text_fields = tuple(f for f in self.fields if f in TEXT_FIELDS)
+        if len(toks) > 1 and text_fields:  # several tokens in one term: all must occur in one text field
+            out = Phrase(text_fields, text=self.text, uid=self.uid, stem=self.stem, slop=None).rows(index, shared)
+            keys = tuple(f for f in self.fields if f not in TEXT_FIELDS)
+            if keys:  # a keyword value may hold several tokens
+                out = out.unionByName(Term(keys, text=self.text, uid=self.uid, stem=self.stem).rows(index, shared))
+            return out
         return super().rows(index, shared)
 
 
@@ -305,6 +310,12 @@ class _Bool(Query):
 
 
 class all_of(_Bool):
+    def __init__(self, *qs: Query):
+        """Terms that analyse to nothing (stop words) don't narrow the others."""
+        super().__init__(*qs)
+        said = [q for q in self.qs if not (isinstance(q, Term) and not q.terms())]
+        self.qs = said or self.qs
+
     def expr(self, flags):
         return reduce(lambda a, b: a & b, [q.expr(flags) for q in self.qs])
 
@@ -553,15 +564,12 @@ def search(index: Index, q: Query, filters: dict | None = None, sort: str | None
             return scored.sparkSession.createDataFrame(rows, schema).select(*names)
         else:
             if limit is not None:
-                page = F.broadcast(page.limit(limit))  # at most `limit` rows
+                page = page.limit(limit)
             out = page.join(docs.select(*dcols), "doc_id")
     if with_snippet:
         out = out.withColumn("snippet", snippet_col("content")).drop("content")
-    if limit is not None:
-        # at most `limit` rows: one small exchange and a local sort instead
-        # of a range-partitioned global sort with its sampling job
-        return out.repartition(1).sortWithinPartitions(*order)
-    return out.orderBy(*order)
+    out = out.orderBy(*order)
+    return out if limit is None else out.limit(limit)
 
 
 # ----------------------------------------------------------------------------- facets etc.
@@ -576,9 +584,9 @@ def facets(index: Index, q: Query | None, filters: dict | None = None,
     vals = []
     for f in fields:
         if f == "year":
-            v = F.array(F.year("modified_at").cast("string"))
+            v = F.array(F.year("created_at").cast("string"))
         elif f == "month":
-            v = F.array(F.month("modified_at").cast("string"))
+            v = F.array(F.month("created_at").cast("string"))
         elif f == "tags":
             v = F.array_distinct(F.col("tags"))
         else:
@@ -689,7 +697,7 @@ def rerank(hits: DataFrame, query_text: str, as_of, preferred_formats=None) -> D
                      if words else F.lit(False), C.BOOST_TITLE_MATCH).otherwise(1.0)
     m_exact = F.when(title.contains(clean) | snip.contains(clean), C.BOOST_EXACT_MATCH).otherwise(1.0)
     from folio.functions.text import as_ts
-    age = F.datediff(as_ts(as_of), F.col("modified_at"))
+    age = F.timestamp_diff("DAY", F.col("modified_at"), as_ts(as_of))  # whole days elapsed
     m_rec = F.lit(1.0)
     m_rec = F.when(age > C.OLD_DOCUMENT_DAYS, C.OLD_DOCUMENT_FACTOR).otherwise(m_rec)
     for days, fac in reversed(C.RECENCY_BANDS):

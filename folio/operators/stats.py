@@ -69,13 +69,14 @@ def corpus_profile(docs: DataFrame) -> DataFrame:
              F.grouping_id().alias("gid"))
     dim = (F.when(F.col("gid") == 7, "total").when(F.col("gid") == 3, "format")
            .when(F.col("gid") == 5, "status").otherwise("category"))
-    val = F.coalesce(F.col("format"), F.col("status"), F.col("category"), F.lit("all"))
+    val = (F.when(F.col("gid") == 7, "all").when(F.col("gid") == 3, F.col("format"))
+           .when(F.col("gid") == 5, F.col("status")).otherwise(F.col("category")))
     return g.select(dim.alias("dimension"), val.alias("value"), "count", "total_size")
 
 
 def index_freshness(docs: DataFrame, as_of) -> DataFrame:
     """Age in days of the newest indexed_at; band fresh (0) / recent (<7) / stale."""
-    age = F.datediff(_ts(as_of), F.max("indexed_at"))
+    age = F.timestamp_diff("DAY", F.max("indexed_at"), _ts(as_of)).cast("int")
     return docs.agg(F.max("indexed_at").alias("last_indexed"), age.alias("age_days")) \
         .withColumn("band", F.when(F.col("age_days") <= 0, "fresh")
                     .when(F.col("age_days") < 7, "recent").otherwise("stale"))

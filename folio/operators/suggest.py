@@ -50,15 +50,19 @@ def from_query_log(log: DataFrame, query_col: str = "query", ts_col: str = "sear
     return q_terms.unionByName(full)
 
 
-def prefix_completion(suggestions: DataFrame, prefixes: DataFrame, k: int = 10,
-                      max_prefix: int = 8) -> DataFrame:
+def _heads(suggestions: DataFrame, p: DataFrame, more: int = 0) -> DataFrame:
+    """Each term with its first L characters, for every length up to the longest requested prefix."""
+    longest = p.select(F.max(F.char_length("prefix")) + more).scalar()
+    lengths = F.sequence(F.lit(1), F.least(F.char_length("term"), longest))
+    return (suggestions.filter(F.char_length("term") > 0).withColumn("L", F.explode(lengths))
+            .withColumn("head", F.substring("term", 1, F.col("L"))))
+
+
+def prefix_completion(suggestions: DataFrame, prefixes: DataFrame, k: int = 10) -> DataFrame:
     """Q3: for each requested prefix, the k most frequent terms starting with it
     (ties by term, then type). Output (prefix, term, type, frequency, rank)."""
     p = prefixes.select(F.lower("prefix").alias("prefix")).distinct()
-    expl = (suggestions.withColumn("L", F.explode(F.sequence(F.lit(1), F.least(F.char_length("term"),
-                                                                                 F.lit(max_prefix)))))
-            .withColumn("prefix", F.substring("term", 1, F.col("L"))).drop("L"))
-    hits = expl.join(p, "prefix")
+    hits = _heads(suggestions, p).withColumnRenamed("head", "prefix").drop("L").join(p, "prefix")
     order = [F.col("frequency").desc(), F.col("term"), F.col("type")]
     return top_k_per_group(hits, ["prefix"], order, k).select("prefix", "term", "type", "frequency", "rank")
 
@@ -70,17 +74,13 @@ def _masks(s) -> F.Column:
                        lambda i: F.concat(F.substring(s, 1, i - 1), F.lit("\u0000"), F.substring(s, i + 1, n)))
 
 
-def typo_completion(suggestions: DataFrame, prefixes: DataFrame, k: int = 10,
-                    max_prefix: int = 8) -> DataFrame:
+def typo_completion(suggestions: DataFrame, prefixes: DataFrame, k: int = 10) -> DataFrame:
     """Q4: terms whose first len(prefix) characters differ from the prefix in
     exactly one position (Levenshtein 1 on equal lengths), ranked by frequency.
     Output (prefix, term, type, frequency, rank)."""
     p = (prefixes.select(F.lower("prefix").alias("prefix")).distinct()
          .withColumn("L", F.char_length("prefix")))
-    t = (suggestions.withColumn("L", F.explode(F.sequence(F.lit(1), F.least(F.char_length("term"),
-                                                                              F.lit(max_prefix)))))
-         .withColumn("head", F.substring("term", 1, F.col("L"))))
-    tk = t.select("*", F.explode(_masks(F.col("head"))).alias("key"))
+    tk = _heads(suggestions, p).select("*", F.explode(_masks(F.col("head"))).alias("key"))
     pk = p.select("prefix", "L", F.explode(_masks(F.col("prefix"))).alias("key"))
     cand = (tk.join(pk, ["key", "L"]).filter(F.col("head") != F.col("prefix"))
             .filter(F.levenshtein("head", "prefix", 1) == 1)

@@ -30,8 +30,14 @@ def tag_usage(doc_tags: DataFrame) -> DataFrame:
 
 
 def list_tags(doc_tags: DataFrame, by: str = "usage") -> DataFrame:
-    """Tags ordered by usage (desc, ties by name) or by name."""
+    """Tags ordered by usage (desc, ties by name), by name, or newest
+    first: by the earliest `created_at` of their edges (desc, ties by name)."""
+    if by not in ("usage", "name", "newest"):
+        raise ValueError(f"unknown order {by!r}")
     u = tag_usage(doc_tags)
+    if by == "newest":
+        born = doc_tags.groupBy("tag").agg(F.min("created_at").alias("created_at"))
+        return u.join(born, "tag").orderBy(F.col("created_at").desc(), F.col("tag"))
     if by == "name":
         return u.orderBy("tag")
     return u.orderBy(F.col("usage").desc(), F.col("tag"))

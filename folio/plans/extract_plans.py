@@ -386,8 +386,8 @@ def x19(spark, sf_dir):
     return d.select("doc_id", T.snippet("text").alias("snippet"))
 
 
-@register("x20_year_month_facets", f"WITH {Q.DOCS_BASE} SELECT CAST(year(modified_at) AS INTEGER) AS year, "
-          "CAST(month(modified_at) AS INTEGER) AS month, count(*) AS count FROM docs_b GROUP BY ALL")
+@register("x20_year_month_facets", f"WITH {Q.DOCS_BASE} SELECT CAST(year(created_at) AS INTEGER) AS year, "
+          "CAST(month(created_at) AS INTEGER) AS month, count(*) AS count FROM docs_b GROUP BY ALL")
 def x20(spark, sf_dir):
     d = X.date_facets(tc.documents(spark, sf_dir, with_labels=False))
     return d.groupBy("year", "month").agg(F.count(F.lit(1)).alias("count"))

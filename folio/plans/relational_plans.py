@@ -140,12 +140,10 @@ def j2(spark, sf_dir):
 
 
 @register("j2_all_tags_scale", f"WITH {Q.LINE_TAGS} SELECT o_orderkey FROM orders WHERE o_orderkey IN "
-          "(SELECT doc_id FROM line_tags WHERE tag IN ('p1', 'p2', 'p3') GROUP BY doc_id HAVING count(DISTINCT tag) >= 1)")
+          "(SELECT doc_id FROM line_tags WHERE tag IN ('p1') GROUP BY doc_id HAVING count(DISTINCT tag) = 1)")
 def j2_scale(spark, sf_dir):
-    # any-of variant at scale: orders holding at least one of the parts
     o = tc.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    lt = tc.line_tags(spark, sf_dir).filter(F.col("tag").isin("p1", "p2", "p3"))
-    return o.join(lt.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("o_orderkey"))
+    return R.having_all_tags(o, tc.line_tags(spark, sf_dir), ["p1"]).select(F.col("doc_id").alias("o_orderkey"))
 
 
 @register("j3_doc_tags_category", f"WITH {Q.DOC_TAGS}, {Q.CATEGORIES}, "

@@ -265,7 +265,7 @@ def _top20(spark, sf_dir):
 
 T7_SQL = f"""{_TOP20}, {Q.DOCS_BASE.strip()},
 r AS (SELECT t.doc_id, t.score, t.title, t.snippet, t.format, d.modified_at,
-             date_diff('day', CAST(d.modified_at AS DATE), CAST(TIMESTAMP '{AS_OF}' AS DATE)) AS age
+             date_sub('day', d.modified_at, TIMESTAMP '{AS_OF}') AS age
       FROM t JOIN docs_b d USING (doc_id))
 SELECT doc_id, round(score
   * CASE WHEN contains(lower(title), 'tion') OR contains(lower(title), 'ing') OR contains(lower(title), 'ther') THEN 2.0 ELSE 1.0 END
@@ -351,7 +351,7 @@ v AS (SELECT 'format' AS field, format AS value FROM m
       UNION ALL SELECT 'category', category FROM m
       UNION ALL SELECT 'tags', unnest(list_distinct(tags)) FROM m
       UNION ALL SELECT 'status', status FROM m
-      UNION ALL SELECT 'year', CAST(year(modified_at) AS VARCHAR) FROM m)
+      UNION ALL SELECT 'year', CAST(year(created_at) AS VARCHAR) FROM m)
 SELECT field, value, count(*) AS count FROM v WHERE value IS NOT NULL GROUP BY field, value"""
 
 

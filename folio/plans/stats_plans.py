@@ -70,9 +70,9 @@ def a7(spark, sf_dir):
 
 
 @register("a8_index_freshness", f"{WB} SELECT max(indexed_at) AS last_indexed, "
-          f"CAST(date_diff('day', CAST(max(indexed_at) AS DATE), CAST(TIMESTAMP '{AS_OF}' AS DATE)) AS INTEGER) AS age_days, "
-          f"CASE WHEN date_diff('day', CAST(max(indexed_at) AS DATE), CAST(TIMESTAMP '{AS_OF}' AS DATE)) <= 0 THEN 'fresh' "
-          f"WHEN date_diff('day', CAST(max(indexed_at) AS DATE), CAST(TIMESTAMP '{AS_OF}' AS DATE)) < 7 THEN 'recent' "
+          f"CAST(date_sub('day', max(indexed_at), TIMESTAMP '{AS_OF}') AS INTEGER) AS age_days, "
+          f"CASE WHEN date_sub('day', max(indexed_at), TIMESTAMP '{AS_OF}') <= 0 THEN 'fresh' "
+          f"WHEN date_sub('day', max(indexed_at), TIMESTAMP '{AS_OF}') < 7 THEN 'recent' "
           "ELSE 'stale' END AS band FROM docs_b")
 def a8(spark, sf_dir):
     return S.index_freshness(_docs(spark, sf_dir), AS_OF)
