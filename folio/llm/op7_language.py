@@ -28,8 +28,9 @@ from folio.llm.common import SpanHash, keep_rows, runs, slices, text_buffers
 UND = "und"
 HIDDEN, SEGMENT = 16, 22
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_SEGMENTS, EPOCHS = 150, 2000, 24_000, 5
-#: Documents below this pooled probability are rejected by the pipeline stage.
-MIN_SCORE = 0.5
+#: The filter rejects documents whose pooled probability is below so many times chance: text in
+#: several of the languages is clean and stays, text that looks like none of them goes.
+MIN_OVER_CHANCE = 1.25
 
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -228,9 +229,10 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, *fit(docs))
 
 
-def language_filter(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of `docs`, all columns, whose language is identified with at least `min_score`."""
+def language_filter(docs: DataFrame, min_over_chance: float = MIN_OVER_CHANCE) -> DataFrame:
+    """The rows of `docs`, all columns, whose language is identified with a score of at least
+    `min_over_chance` / number of languages."""
     langs, net = fit(docs)
     if net is None:
         return docs.limit(0)
-    return keep_rows(docs, predict(docs, langs, net).filter((F.col("lang_pred") != UND) & (F.col("score") >= min_score)))
+    return keep_rows(docs, predict(docs, langs, net).filter((F.col("lang_pred") != UND) & (F.col("score") >= min(1.0, min_over_chance / len(langs)))))
