@@ -313,7 +313,9 @@ class all_of(_Bool):
     def __init__(self, *qs: Query):
         """Terms that analyse to nothing (stop words) don't narrow the others."""
         super().__init__(*qs)
-        said = [q for q in self.qs if not (isinstance(q, Term) and not q.terms())]
+        empty = lambda q: (isinstance(q, Term) and any(f in TEXT_FIELDS for f in q.fields)
+                           and not analyze_text(q.text, q.stem))
+        said = [q for q in self.qs if not empty(q)]
         self.qs = said or self.qs
 
     def expr(self, flags):
