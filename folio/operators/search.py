@@ -451,11 +451,13 @@ def contribution(method: str = "bm25") -> Column:
     raise ValueError(method)
 
 
+#: Leaf flags lie in mask columns m0, m1, ... of so many bits.
+MASK_BITS = 62
+
+
 def evaluate(index: Index, q: Query, method: str = "bm25") -> DataFrame:
     """Matched documents with their score: (doc_id, score). No ordering."""
     leaves = q.leaves()
-    if len(leaves) > 62:
-        raise ValueError("at most 62 leaves per query (bit mask)")
     for i, leaf in enumerate(leaves):
         leaf.uid = i
         leaf.stem = index.stemmed
@@ -463,23 +465,26 @@ def evaluate(index: Index, q: Query, method: str = "bm25") -> DataFrame:
     pairs = [p for l in leaves if l.bounded for p in l.terms()]
     shared = shared_postings(index, pairs) if pairs else None
     universe = q.truth({l.uid: False for l in leaves})
-    flags = {l.uid: (F.col("mask").bitwiseAND(F.lit(1 << l.uid)) != 0) for l in leaves}
+    words = range(-(-len(leaves) // MASK_BITS))
+    flags = {l.uid: (F.col(f"m{l.uid // MASK_BITS}").bitwiseAND(F.lit(1 << l.uid % MASK_BITS)) != 0) for l in leaves}
+    masks = [F.bit_or(f"m{w}").alias(f"m{w}") for w in words]
     simple = all(type(l) is Term and len(analyze_text(l.text, l.stem)) <= 1 for l in leaves) and not universe
     if simple and shared is not None:
         # every leaf is one term: each posting row is read once, tagged with
         # the bit mask of the leaves it satisfies; one partially aggregated
         # group-by on doc_id gives both the boolean flags and the score
-        bits = F.lit(0).cast("long")
-        pos_bits = F.lit(0).cast("long")
+        bits = [F.lit(0).cast("long") for _ in words]
+        scored = F.lit(False)
         for l in leaves:
             cond = _pairs_cond(l.terms()) if l.terms() else F.lit(False)
-            bits = bits.bitwiseOR(F.when(cond, F.lit(1 << l.uid)).otherwise(F.lit(0)).cast("long"))
+            w = l.uid // MASK_BITS
+            bits[w] = bits[w].bitwiseOR(F.when(cond, F.lit(1 << l.uid % MASK_BITS)).otherwise(F.lit(0)).cast("long"))
             if l.uid in positive:
-                pos_bits = pos_bits.bitwiseOR(F.when(cond, F.lit(1 << l.uid)).otherwise(F.lit(0)).cast("long"))
+                scored = scored | cond
         rows = (with_stats(shared, index)
-                .withColumn("mask", bits)
-                .withColumn("part", F.when(pos_bits != 0, contribution(method)).otherwise(F.lit(0.0))))
-        per_doc = rows.groupBy("doc_id").agg(F.sum("part").alias("score"), F.bit_or("mask").alias("mask"))
+                .withColumns({f"m{w}": bits[w] for w in words})
+                .withColumn("part", F.when(scored, contribution(method)).otherwise(F.lit(0.0))))
+        per_doc = rows.groupBy("doc_id").agg(F.sum("part").alias("score"), *masks)
         return per_doc.filter(q.expr(flags)).select(
             "doc_id", F.round("score", C.SCORE_DECIMALS).alias("score"))
     parts = [leaf.rows(index, shared).withColumn("li", F.lit(leaf.uid)) for leaf in leaves]
@@ -497,10 +502,9 @@ def evaluate(index: Index, q: Query, method: str = "bm25") -> DataFrame:
     # the first counts a (doc, field, term) once even when several leaves hit it
     per_term = rows.groupBy("doc_id", "field", "term").agg(
         F.max("part").alias("part"),
-        F.bit_or(F.expr("CASE WHEN li >= 0 THEN shiftleft(CAST(1 AS BIGINT), li) "
-                        "ELSE CAST(0 AS BIGINT) END")).alias("mask"))
-    per_doc = per_term.groupBy("doc_id").agg(F.sum("part").alias("score"),
-                                             F.bit_or("mask").alias("mask"))
+        *[F.bit_or(F.expr(f"CASE WHEN li >= 0 AND li DIV {MASK_BITS} = {w} THEN shiftleft(CAST(1 AS BIGINT), li % {MASK_BITS}) "
+                          "ELSE CAST(0 AS BIGINT) END")).alias(f"m{w}") for w in words])
+    per_doc = per_term.groupBy("doc_id").agg(F.sum("part").alias("score"), *masks)
     return per_doc.filter(q.expr(flags)).select(
         "doc_id", F.round("score", C.SCORE_DECIMALS).alias("score"))
 

@@ -6,9 +6,9 @@ one job. No step compares every prefix with every term:
 
 * prefix completion explodes each term into its prefixes up to the longest
   requested length and equi-joins on the prefix;
-* typo completion is exact for one substitution: every string yields one
-  key per position with that character masked, and two strings within one
-  substitution share a key (an equi-join, then a Levenshtein check).
+* typo completion is exact for one edit: every string yields itself and each
+  string with one character left out, and two strings within one edit share
+  such a key (an equi-join, then a Levenshtein check).
 """
 
 from __future__ import annotations
@@ -67,22 +67,22 @@ def prefix_completion(suggestions: DataFrame, prefixes: DataFrame, k: int = 10)
     return top_k_per_group(hits, ["prefix"], order, k).select("prefix", "term", "type", "frequency", "rank")
 
 
-def _masks(s) -> F.Column:
-    """One key per position: the string with that character replaced by U+0000."""
+def _deletions(s) -> F.Column:
+    """The string (not empty) and each string with one of its characters left out."""
     n = F.char_length(s)
-    return F.transform(F.sequence(F.lit(1), n),
-                       lambda i: F.concat(F.substring(s, 1, i - 1), F.lit("\u0000"), F.substring(s, i + 1, n)))
+    less = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(s, 1, i - 1), F.substring(s, i + 1, n)))
+    return F.array_distinct(F.concat(F.array(s), less))
 
 
 def typo_completion(suggestions: DataFrame, prefixes: DataFrame, k: int = 10) -> DataFrame:
-    """Q4: terms whose first len(prefix) characters differ from the prefix in
-    exactly one position (Levenshtein 1 on equal lengths), ranked by frequency.
+    """Q4: terms that don't start with the prefix, but with a string one edit
+    (replaced, inserted or deleted character) away from it, ranked by frequency.
     Output (prefix, term, type, frequency, rank)."""
     p = (prefixes.select(F.lower("prefix").alias("prefix")).distinct()
-         .withColumn("L", F.char_length("prefix")))
-    tk = _heads(suggestions, p).select("*", F.explode(_masks(F.col("head"))).alias("key"))
-    pk = p.select("prefix", "L", F.explode(_masks(F.col("prefix"))).alias("key"))
-    cand = (tk.join(pk, ["key", "L"]).filter(F.col("head") != F.col("prefix"))
+         .filter(F.col("prefix") != ""))
+    tk = _heads(suggestions, p, more=1).select("*", F.explode(_deletions(F.col("head"))).alias("key"))
+    pk = p.select("prefix", F.explode(_deletions(F.col("prefix"))).alias("key"))
+    cand = (tk.join(pk, "key").filter(~F.startswith(F.col("term"), F.col("prefix")))
             .filter(F.levenshtein("head", "prefix", 1) == 1)
             .dropDuplicates(["prefix", "term", "type"]))
     order = [F.col("frequency").desc(), F.col("term"), F.col("type")]
@@ -153,7 +153,7 @@ def templates(top_terms: DataFrame, related: DataFrame) -> DataFrame:
 
 
 def field_values(docs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Q8: `field:partial` completion for format / category / status: values
+    """Q8: `field:partial` completion for format / category / status / tags: values
     containing the partial (case-insensitive) with document counts.
     requests(request). Output (request, text, count)."""
     r = (requests.select("request", F.split_part(F.col("request"), F.lit(":"), F.lit(1)).alias("field"),
@@ -162,6 +162,10 @@ def field_values(docs: DataFrame, requests: DataFrame) -> DataFrame:
     vals = reduce(lambda a, b: a.unionByName(b), [
         docs.groupBy(F.col(f).alias("value")).agg(F.count(F.lit(1)).alias("count"))
         .select(F.lit(f).alias("field"), "value", "count") for f in ("format", "category", "status")])
+    if "tags" in docs.columns:
+        tags = docs.select(F.explode(F.array_distinct("tags")).alias("value"))
+        vals = vals.unionByName(tags.groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+                                .select(F.lit("tags").alias("field"), "value", "count"))
     return (r.join(vals, "field")  # both sides small after the group-by
             .filter(F.lower("value").contains(F.col("partial")))
             .select("request", F.concat(F.col("field"), F.lit(":"), F.col("value")).alias("text"), "count"))

@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 64  # cycle guard of the recursive walk
-
 
 def tags_from_documents(docs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """G1: get-or-create: every distinct tag name in the documents' tag lists
@@ -76,38 +74,39 @@ def children(categories: DataFrame, parent_id: str) -> DataFrame:
 
 
 TREE_SQL = """
-WITH RECURSIVE tree (id, name, parent_id, ord, root_id, depth, path) AS (
+WITH RECURSIVE tree (id, name, parent_id, ord, root_id, depth, path) MAX RECURSION LEVEL 1000000 AS (
   SELECT id, name, parent_id, ord, id, 0, CAST(name AS STRING)
   FROM {cats} WHERE parent_id IS NULL
   UNION ALL
   SELECT c.id, c.name, c.parent_id, c.ord, t.root_id, t.depth + 1, concat(t.path, '/', c.name)
   FROM {cats} c JOIN tree t ON c.parent_id = t.id
-  WHERE t.depth < {max_depth}
 )
 SELECT id, name, parent_id, ord, root_id, depth, path FROM tree
 """
 
 
 def category_tree(spark: SparkSession, categories: DataFrame) -> DataFrame:
-    """Every category with depth (root = 0) and path 'A/B/C'."""
-    return spark.sql(TREE_SQL.replace("{max_depth}", str(MAX_DEPTH)), cats=categories)
+    """Every category with depth (root = 0) and path 'A/B/C', at any depth; a
+    cycle has no root, so the walk never enters one."""
+    return spark.sql(TREE_SQL, cats=categories)
 
 
 CLOSURE_SQL = """
-WITH RECURSIVE up (id, ancestor_id, depth) AS (
-  SELECT id, id, 0 FROM {cats}
+WITH RECURSIVE up (id, ancestor_id, seen) MAX RECURSION LEVEL 1000000 AS (
+  SELECT id, id, array(id) FROM {cats}
   UNION ALL
-  SELECT u.id, c.parent_id, u.depth + 1
+  SELECT u.id, c.parent_id, concat(u.seen, array(c.parent_id))
   FROM up u JOIN {cats} c ON c.id = u.ancestor_id
-  WHERE c.parent_id IS NOT NULL AND u.depth < {max_depth}
+  WHERE c.parent_id IS NOT NULL AND NOT array_contains(u.seen, c.parent_id)
 )
 SELECT id, ancestor_id FROM up
 """
 
 
 def category_closure(spark: SparkSession, categories: DataFrame) -> DataFrame:
-    """(id, ancestor_id) for every category and each of its ancestors (self included)."""
-    return spark.sql(CLOSURE_SQL.replace("{max_depth}", str(MAX_DEPTH)), cats=categories)
+    """(id, ancestor_id) for every category and each of its ancestors (self
+    included); the walk ends where a cycle comes back to a category it has seen."""
+    return spark.sql(CLOSURE_SQL, cats=categories)
 
 
 def category_counts(spark: SparkSession, categories: DataFrame, doc_categories: DataFrame) -> DataFrame:
@@ -137,12 +136,10 @@ def nested_children(categories: DataFrame) -> DataFrame:
 
 def delete_category(categories: DataFrame, doc_categories: DataFrame, category_id: str,
                     reassign_to: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Drop a category; its children move to its parent; its documents
+    """Drop a category; its children become roots; its documents
     move to `reassign_to` (edges dropped when None), without repeats."""
-    new_parent = categories.filter(F.col("id") == category_id).select(F.max("parent_id")).scalar()
     cats = (categories.filter(F.col("id") != category_id)
-            .withColumn("parent_id", F.when(F.col("parent_id") == category_id, new_parent)
-                        .otherwise(F.col("parent_id"))))
+            .withColumn("parent_id", F.nullif(F.col("parent_id"), F.lit(category_id))))
     if reassign_to is None:
         edges = doc_categories.filter(F.col("category_id") != category_id)
     else:

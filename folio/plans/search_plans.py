@@ -199,14 +199,10 @@ def p11(spark, sf_dir):
     return s.evaluate(_idx(spark, sf_dir), s.regex("th[a-e]+n"))
 
 
-@register("p12_fuzzy", _sql_scored("length(term) BETWEEN 3 AND 5 AND levenshtein(term, 'thon') <= 1 "
-                                   "AND regexp_full_match(term, '[a-z]+')", {"f0": "TRUE"}, "f0", "TRUE",
+@register("p12_fuzzy", _sql_scored("regexp_full_match(term, '.hon|t.on|th.n|tho.|hon|ton|thn|tho|.thon|t.hon|th.on|tho.n|thon.')", {"f0": "TRUE"}, "f0", "TRUE",
                                    limit=None, select="doc_id, score"))
 def p12(spark, sf_dir):
-    # ASCII-only vocabulary for the oracle: DuckDB counts edits on bytes
-    idx = _idx(spark, sf_dir)
-    idx = ix.Index(idx.postings, idx.vocab.filter(F.col("term").rlike("^[a-z]+$")), idx.stats, idx.docs)
-    return s.evaluate(idx, s.fuzzy("thon", 1))
+    return s.evaluate(_idx(spark, sf_dir), s.fuzzy("thon", 1))
 
 
 @register("p13_fallback_or", _sql_scored("term IN ('ouen', 'thorreou')", {"a": "term = 'ouen'", "b": "term = 'thorreou'"},

@@ -41,9 +41,10 @@ listing AS (
          category, lang
   FROM docs_b)"""
 
-_RX = S.ignore_regex()
+_RX, _RX_PATH = S.ignore_regex(), S.ignore_regex(across=True)
 _IGN = (f"(len(list_filter(string_split(path, '/'), lambda s: regexp_full_match(s, '{_RX}'))) > 0 "
-        f"OR regexp_full_match(regexp_replace(path, '^/+', ''), '{_RX}'))")
+        f"OR regexp_full_match(regexp_replace(path, '^/+', ''), '{_RX_PATH}') "
+        f"OR regexp_full_match('/' || regexp_replace(path, '^/+', ''), '{_RX_PATH}'))")
 _EXT = "lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '(\\.[^.]+)$', 1))"
 _FMT = "CASE " + " ".join(f"WHEN {_EXT} = '{k}' THEN '{v}'" for k, v in C.EXTENSION_FORMATS.items()) + " ELSE 'unknown' END"
 _STRICT_FAIL = f"(bad AND {_FMT} NOT IN ('text', 'html'))"

@@ -77,9 +77,9 @@ doc_categories AS (SELECT c_custkey AS doc_id, 'n' || CAST(c_nationkey AS VARCHA
 HISTORY = f"""
 search_history AS (
   SELECT conv_id AS user_id, turn,
-         array_to_string(regexp_extract_all(lower(text), '{TOKEN}')[1:3], ' ') AS query,
+         array_to_string(regexp_extract_all(lower(text), '{TOKEN}'), ' ') AS query,
          TIMESTAMP '{C.TEST_EPOCH}' + to_minutes(conv_id * 10 + turn) AS searched_at,
-         (conv_id * 7 + turn) % 50 AS results_count,
+         (conv_id * 7 + turn) % 150 AS results_count,
          ((conv_id * 13 + turn) % 1000) / 1000.0 AS execution_time
   FROM conversations WHERE role = 'user')"""
 

@@ -90,7 +90,7 @@ def e6(spark, sf_dir):
 
 E7_SQL = f"""WITH {Q.FILE_EVENTS},
 subs AS (SELECT c_custkey AS subscriber, CASE WHEN c_mktsegment = 'BUILDING' THEN 'scan_progress' ELSE 'document_update' END AS topic,
-                CAST(c_nationkey AS BIGINT) AS user_id FROM customer)
+                CAST(c_custkey AS BIGINT) AS user_id FROM customer)
 SELECT s.subscriber, e.event_id, s.topic, json_object('type', e.type, 'path', e.path, 'event_id', e.event_id)::VARCHAR AS message
 FROM file_events e JOIN subs s ON s.user_id = e.user_id AND s.topic = 'document_update'"""
 
@@ -100,7 +100,7 @@ def e7(spark, sf_dir):
     subs = tc.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("subscriber"),
         F.when(F.col("c_mktsegment") == "BUILDING", "scan_progress").otherwise("document_update").alias("topic"),
-        F.col("c_nationkey").cast("long").alias("user_id"))
+        F.col("c_custkey").cast("long").alias("user_id"))
     feed = E.topic_feed(_events(spark, sf_dir), subs)
     out = E.run_available_now(feed.select("subscriber", "event_id", "topic", "message"), "e7-feed")
     return spark.read.parquet(out)

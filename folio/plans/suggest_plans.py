@@ -10,7 +10,15 @@ from folio.plans.registry import register
 from folio.plans.search_plans import corpus_index, T6_TERMS
 from folio.sources import testcorpus as tc
 
-ASCII = r"^[\x00-\x7F]*$"
+
+def _typo(t: str, p: str) -> str:
+    """A head of term `t` is one edit away from the three-character prefix `p`, counted in code points."""
+    c = lambda s, i, n=1: f"substring({s}, {i}, {n})"
+    return (f"NOT starts_with({t}, {p}) AND ("
+            f"(length({t}) >= 3 AND ({c(t, 2, 2)} = {c(p, 2, 2)} OR ({c(t, 1)} = {c(p, 1)} AND {c(t, 3)} = {c(p, 3)}) "
+            f"OR {c(t, 1, 2)} = {c(p, 1, 2)})) "
+            f"OR {c(t, 1, 2)} IN ({c(p, 2, 2)}, {c(p, 1)} || {c(p, 3)}, {c(p, 1, 2)}) "
+            f"OR {p} IN ({c(t, 2, 3)}, {c(t, 1)} || {c(t, 3, 2)}, {c(t, 1, 2)} || {c(t, 4)}))")
 
 
 def _sugg(spark, sf_dir):
@@ -18,10 +26,9 @@ def _sugg(spark, sf_dir):
     return G.from_documents(docs).unionByName(G.from_query_log(tc.search_history(spark, sf_dir)))
 
 
-def _prefixes(spark, sf_dir, ascii_only=False):
+def _prefixes(spark, sf_dir):
     h = tc.search_history(spark, sf_dir).filter(F.char_length("query") >= 3)
-    p = h.select(F.lower(F.substring("query", 1, 3)).alias("prefix")).distinct()
-    return p.filter(F.col("prefix").rlike(ASCII)) if ascii_only else p
+    return h.select(F.lower(F.substring("query", 1, 3)).alias("prefix")).distinct()
 
 
 SUGG_CTE = f"""{Q.DOCS}, {Q.HISTORY},
@@ -63,21 +70,18 @@ def q3(spark, sf_dir):
 
 
 Q4_SQL = f"""WITH {SUGG_CTE},
-p AS (SELECT prefix FROM pre WHERE regexp_full_match(prefix, '[\\x00-\\x7F]*')),
-s AS (SELECT * FROM sugg WHERE regexp_full_match(term, '[\\x00-\\x7F]*')),
+p AS (SELECT prefix FROM pre),
+s AS (SELECT * FROM sugg),
 c AS (SELECT p.prefix, s.term, s.type, s.frequency FROM s JOIN p
-      ON length(s.term) >= length(p.prefix)
-     AND substring(s.term, 1, length(p.prefix)) <> p.prefix
-     AND levenshtein(substring(s.term, 1, length(p.prefix)), p.prefix) = 1),
+      ON {_typo('s.term', 'p.prefix')}),
 r AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY frequency DESC, term, type) AS rank FROM c)
 SELECT prefix, term, type, frequency, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"""
 
 
 @register("q4_typo_completion", Q4_SQL)
 def q4(spark, sf_dir):
-    # ASCII only on both sides: the oracle's edit distance counts bytes
-    s = _sugg(spark, sf_dir).filter(F.col("term").rlike(ASCII))
-    return G.typo_completion(s, _prefixes(spark, sf_dir, ascii_only=True), k=5)
+    s = _sugg(spark, sf_dir)
+    return G.typo_completion(s, _prefixes(spark, sf_dir), k=5)
 
 
 @register("q5_popular", f"WITH {SUGG_CTE} SELECT term AS text, 'popular' AS type, frequency FROM sugg "
@@ -134,37 +138,37 @@ UNION ALL SELECT prefix, top.term || ' OR ' || rel.tag, CAST(rank AS INTEGER), 4
 @register("q7_query_templates", Q7_SQL)
 def q7(spark, sf_dir):
     sugg = _sugg(spark, sf_dir)
-    pre = tc.search_history(spark, sf_dir).select(F.lit("the").alias("prefix")).limit(1)
+    pre = spark.range(1).select(F.lit("the").alias("prefix"))
     top = G.prefix_completion(sugg, pre, k=3).select("prefix", "term", "rank")
     idx = corpus_index(spark, sf_dir)
     rel = G.related_tags(idx.postings, tc.doc_tags(spark, sf_dir), top.select("term"), k=3)
     return G.templates(top, rel)
 
 
-Q8_SQL = f"""WITH {Q.DOCS_BASE},
-req AS (SELECT DISTINCT request FROM (VALUES ('format:mark'), ('category:e'), ('status:ind'), ('tags:x')) v(request)),
-vals AS (SELECT 'format' AS field, format AS value, count(*) AS count FROM docs_b GROUP BY format
-         UNION ALL SELECT 'category', category, count(*) FROM docs_b GROUP BY category
-         UNION ALL SELECT 'status', status, count(*) FROM docs_b GROUP BY status)
+Q8_SQL = f"""WITH {Q.DOCS},
+req AS (SELECT DISTINCT request FROM (VALUES ('format:mark'), ('category:e'), ('status:ind'), ('tags:x'), ('tags: SRC')) v(request)),
+vals AS (SELECT 'format' AS field, format AS value, count(*) AS count FROM docs GROUP BY format
+         UNION ALL SELECT 'category', category, count(*) FROM docs GROUP BY category
+         UNION ALL SELECT 'status', status, count(*) FROM docs GROUP BY status
+         UNION ALL SELECT 'tags', tag, count(*) FROM (SELECT unnest(list_distinct(tags)) AS tag FROM docs) GROUP BY tag)
 SELECT r.request, v.field || ':' || v.value AS text, v.count FROM req r JOIN vals v
   ON v.field = split_part(r.request, ':', 1) AND contains(lower(v.value), lower(trim(split_part(r.request, ':', 2))))"""
 
 
 @register("q8_field_value_completion", Q8_SQL)
 def q8(spark, sf_dir):
-    docs = tc.documents(spark, sf_dir, with_labels=False)
-    req = spark.createDataFrame([("format:mark",), ("category:e",), ("status:ind",), ("tags:x",)], "request string")
+    docs = tc.documents(spark, sf_dir)
+    req = spark.createDataFrame([("format:mark",), ("category:e",), ("status:ind",), ("tags:x",), ("tags: SRC",)], "request string")
     return G.field_values(docs, req)
 
 
 Q9_SQL = f"""WITH {SUGG_CTE},
-p AS (SELECT prefix FROM pre WHERE regexp_full_match(prefix, '[\\x00-\\x7F]*')),
-s AS (SELECT * FROM sugg WHERE regexp_full_match(term, '[\\x00-\\x7F]*')),
+p AS (SELECT prefix FROM pre),
+s AS (SELECT * FROM sugg),
 a AS (SELECT * FROM (SELECT p.prefix, s.term AS text, row_number() OVER (PARTITION BY p.prefix ORDER BY s.frequency DESC, s.term, s.type) AS pos
       FROM s JOIN p ON starts_with(s.term, p.prefix)) WHERE pos <= 5),
 b AS (SELECT * FROM (SELECT p.prefix, s.term AS text, row_number() OVER (PARTITION BY p.prefix ORDER BY s.frequency DESC, s.term, s.type) AS pos
-      FROM s JOIN p ON length(s.term) >= length(p.prefix) AND substring(s.term, 1, length(p.prefix)) <> p.prefix
-      AND levenshtein(substring(s.term, 1, length(p.prefix)), p.prefix) = 1) WHERE pos <= 5),
+      FROM s JOIN p ON {_typo('s.term', 'p.prefix')}) WHERE pos <= 5),
 u AS (SELECT prefix, text, 1 AS source_rank, pos FROM a UNION ALL SELECT prefix, text, 2, pos FROM b),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prefix, text ORDER BY source_rank, pos) AS rn FROM u) WHERE rn = 1),
 r AS (SELECT prefix, text, source_rank, pos, row_number() OVER (PARTITION BY prefix ORDER BY source_rank, pos, text) AS rank FROM f)
@@ -173,8 +177,8 @@ SELECT prefix, text, source_rank, CAST(pos AS INTEGER) AS pos, CAST(rank AS INTE
 
 @register("q9_merged_suggestions", Q9_SQL)
 def q9(spark, sf_dir):
-    s = _sugg(spark, sf_dir).filter(F.col("term").rlike(ASCII))
-    p = _prefixes(spark, sf_dir, ascii_only=True)
+    s = _sugg(spark, sf_dir)
+    p = _prefixes(spark, sf_dir)
     a = G.prefix_completion(s, p, k=5).select("prefix", F.col("term").alias("text"),
                                                F.lit(1).alias("source_rank"), F.col("rank").alias("pos"))
     b = G.typo_completion(s, p, k=5).select("prefix", F.col("term").alias("text"),
@@ -259,21 +263,20 @@ def p15(spark, sf_dir):
 
 
 Q4F_SQL = f"""WITH {SUGG_CTE},
-p AS (SELECT prefix FROM pre WHERE regexp_full_match(prefix, '[\\x00-\\x7F]*')),
-s AS (SELECT * FROM sugg WHERE regexp_full_match(term, '[\\x00-\\x7F]*')),
+p AS (SELECT prefix FROM pre),
+s AS (SELECT * FROM sugg),
 a AS (SELECT * FROM (SELECT p.prefix, s.term, s.type, s.frequency,
         row_number() OVER (PARTITION BY p.prefix ORDER BY s.frequency DESC, s.term, s.type) AS rank
       FROM s JOIN p ON starts_with(s.term, p.prefix)) WHERE rank <= 5),
 few AS (SELECT prefix FROM p WHERE prefix NOT IN (SELECT prefix FROM a GROUP BY prefix HAVING count(*) >= 5)),
 b AS (SELECT * FROM (SELECT f.prefix, s.term, s.type, s.frequency,
         row_number() OVER (PARTITION BY f.prefix ORDER BY s.frequency DESC, s.term, s.type) AS rank
-      FROM s JOIN few f ON length(s.term) >= length(f.prefix) AND substring(s.term, 1, length(f.prefix)) <> f.prefix
-      AND levenshtein(substring(s.term, 1, length(f.prefix)), f.prefix) = 1) WHERE rank <= 5)
+      FROM s JOIN few f ON {_typo('s.term', 'f.prefix')}) WHERE rank <= 5)
 SELECT prefix, term, type, frequency, 1 AS source, CAST(rank AS INTEGER) AS rank FROM a
 UNION ALL SELECT prefix, term, type, frequency, 2, CAST(rank AS INTEGER) FROM b"""
 
 
 @register("q4_typo_when_few_prefix_hits", Q4F_SQL)
 def q4f(spark, sf_dir):
-    s = _sugg(spark, sf_dir).filter(F.col("term").rlike(ASCII))
-    return G.completions(s, _prefixes(spark, sf_dir, ascii_only=True), k=5)
+    s = _sugg(spark, sf_dir)
+    return G.completions(s, _prefixes(spark, sf_dir), k=5)

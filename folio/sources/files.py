@@ -22,16 +22,17 @@ from folio.functions.text import file_extension, format_of, title_from_stem
 LENIENT_FORMATS = ("text", "html")
 
 
-def glob_regex(glob: str) -> str:
-    """One glob -> anchored regex over a single path segment or a whole path:
-    `*` any run without '/', `?` one char, `[..]` class, the rest literal."""
+def glob_regex(glob: str, across: bool = False) -> str:
+    """One glob -> regex: `*` any run, `?` one char, `[..]` class, the rest
+    literal; `*` and `?` take a '/' only with `across` (whole paths)."""
+    one = "." if across else "[^/]"
     out, i = [], 0
     while i < len(glob):
         ch = glob[i]
         if ch == "*":
-            out.append("[^/]*")
+            out.append(one + "*")
         elif ch == "?":
-            out.append("[^/]")
+            out.append(one)
         elif ch == "[":
             j = glob.find("]", i + 1)
             if j == -1:
@@ -48,26 +49,28 @@ def glob_regex(glob: str) -> str:
     return "".join(out)
 
 
-def ignore_regex(globs=C.DEFAULT_IGNORE) -> str:
-    return "^(?:" + "|".join(glob_regex(g) for g in globs) + ")$"
+def ignore_regex(globs=C.DEFAULT_IGNORE, across: bool = False) -> str:
+    return "^(?:" + "|".join(glob_regex(g, across) for g in globs) + ")$"
 
 
-def relative_path(path, root: str | None) -> Column:
-    p = F.col(path) if isinstance(path, str) else path
-    if not root:
-        return p
-    r = root.rstrip("/") + "/"
-    return F.when(p.startswith(r), F.substring(p, len(r) + 1, 1 << 30)).otherwise(p)
+def relative_path(path, root) -> Column:
+    """The path below its root; of several roots, the longest that holds it."""
+    p = out = F.col(path) if isinstance(path, str) else path
+    roots = [root] if isinstance(root, str) else list(root or [])
+    for r in sorted((re.sub(r"^file:(//)?", "", r).rstrip("/") + "/" for r in roots if r), key=len):
+        out = F.when(p.startswith(r), F.substring(p, len(r) + 1, 1 << 30)).otherwise(out)
+    return out
 
 
-def ignored(path, globs=C.DEFAULT_IGNORE, root: str | None = None) -> Column:
+def ignored(path, globs=C.DEFAULT_IGNORE, root=None) -> Column:
     """S2 (D18): a glob hits the file name, any directory segment below the
-    root, or the whole relative path."""
+    root (or one of several roots), or the whole relative path, with or without
+    a leading '/'."""
     rx = ignore_regex(globs)
     rel = relative_path(path, root)
     segs = F.split(rel, "/")
-    whole = F.regexp_replace(rel, "^/+", "")
-    return F.exists(segs, lambda s: s.rlike(rx)) | whole.rlike(rx)
+    whole, path_rx = F.regexp_replace(rel, "^/+", ""), ignore_regex(globs, across=True)
+    return F.exists(segs, lambda s: s.rlike(rx)) | whole.rlike(path_rx) | F.concat(F.lit("/"), whole).rlike(path_rx)
 
 
 def extension_allowed(path, extensions) -> Column:
@@ -119,12 +122,13 @@ def local_path(path) -> Column:
 
 
 def identify(listing: DataFrame, extra_formats: dict | None = None) -> DataFrame:
-    """S4 + S6: format by extension, id = md5(path), content_hash =
+    """S4 + S6: format by extension, id = md5(path
+    without a file: scheme), content_hash =
     sha256(bytes), size = length, created/modified from the file time (NTZ)."""
     p = F.col("path")
     ts = F.col("modificationTime").cast("timestamp_ntz")
     out = listing.select(
-        "*", F.md5(p).alias("id"), format_of(p, extra_formats).alias("format"),
+        "*", F.md5(local_path(p)).alias("id"), format_of(p, extra_formats).alias("format"),
         F.col("length").cast("long").alias("size"), ts.alias("created_at"), ts.alias("modified_at"))
     if "content" in listing.columns:
         out = out.withColumn("content_hash", F.sha2(F.col("content"), 256))
@@ -195,7 +199,7 @@ def path_components(path, root: str | None = None) -> Column:
 def prefix_facets(docs: DataFrame, path_col: str = "path", root: str | None = None, depth: int = 2) -> DataFrame:
     """Document counts per directory prefix, for every depth up to `depth`."""
     comps = path_components(path_col, root)
-    d = docs.select(comps.alias("c")).select(
+    d = docs.select(comps.alias("c")).filter(F.size("c") > 0).select(
         F.explode(F.sequence(F.lit(1), F.least(F.size("c"), F.lit(depth)))).alias("d"), "c")
     return d.select("d", F.array_join(F.slice("c", 1, F.col("d")), "/").alias("prefix")) \
         .groupBy("d", "prefix").agg(F.count(F.lit(1)).alias("count")).withColumnRenamed("d", "depth")
@@ -205,9 +209,7 @@ def scan(spark: SparkSession, roots, recursive: bool = True, extensions=None, ig
          since: str | None = None, category: str | None = None, tags=None) -> DataFrame:
     """S1-S7, S10, X17 title fallback: the whole scan as one lazy plan."""
     listing = list_files(spark, roots, recursive, modified_after=since)
-    root = roots if isinstance(roots, str) else None
-    keep = ~ignored(local_path("path"), ignore, root=None if root is None else root)
-    listing = listing.filter(keep)
+    listing = listing.filter(~ignored(local_path("path"), ignore, root=roots))
     ident = identify(listing)
     if extensions:
         ident = ident.filter(extension_allowed(F.col("path"), extensions))

@@ -129,16 +129,16 @@ def search_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_history_from(cv: DataFrame) -> DataFrame:
-    """Query log from user turns: query = first three tokens (lower case),
+    """Query log from user turns: query = all tokens of the turn (lower case),
     searched_at = epoch + (conv_id*10 + turn) minutes, user = conv_id."""
     cv = cv.filter(F.col("role") == "user")
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(C.TOKEN_PATTERN), 0), 1, 3)
+    words = F.regexp_extract_all(F.lower("text"), F.lit(C.TOKEN_PATTERN), 0)
     return cv.select(
         F.col("conv_id").alias("user_id"),
         F.col("turn"),
         F.array_join(words, " ").alias("query"),
         F.timestamp_add("MINUTE", F.col("conv_id") * 10 + F.col("turn"), ntz(C.TEST_EPOCH)).alias("searched_at"),
-        ((F.col("conv_id") * 7 + F.col("turn")) % 50).alias("results_count"),
+        ((F.col("conv_id") * 7 + F.col("turn")) % 150).alias("results_count"),
         (((F.col("conv_id") * 13 + F.col("turn")) % 1000) / 1000.0).alias("execution_time"),
     )
 

@@ -45,7 +45,7 @@ def watch_directory(spark: SparkSession, root: str, ignore=None, extensions=None
     from snapshot diffs (J8) or an event feed (E3)."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"  # binaryFile's fixed schema
     raw = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root)
-    raw = raw.filter(~S.ignored(S.local_path("path"), ignore or S.C.DEFAULT_IGNORE))
+    raw = raw.filter(~S.ignored(S.local_path("path"), ignore or S.C.DEFAULT_IGNORE, root=root))
     ident = S.identify(raw)
     ident = ident.filter(S.extension_allowed(F.col("path"), extensions)) if extensions else \
         ident.filter(F.col("format") != "unknown")
@@ -110,41 +110,6 @@ def apply_events(state: DataFrame, events: DataFrame) -> DataFrame:
     return kept.select(*STATE_COLS).unionByName(upd.select(*STATE_COLS))
 
 
-class VersionedTable:
-    """Snapshots v000000, v000001, ... under one folder of the shared
-    checkpoint storage; batch b writes v(b+1) from v(b), so a retried batch
-    rewrites the same directory."""
-
-    def __init__(self, spark: SparkSession, base: str, empty: DataFrame):
-        self.spark, self.base = spark, base.rstrip("/")
-        if not self._done(0):  # a restarted stream keeps its versions
-            self.write(0, empty)
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.base)
-        return jvm, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _done(self, v: int) -> bool:
-        jvm, fs = self._fs()
-        return bool(fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path(v)}/_SUCCESS")))
-
-    def path(self, v: int) -> str:
-        return f"{self.base}/v{v:06d}"
-
-    def read(self, v: int) -> DataFrame:
-        return self.spark.read.parquet(self.path(v))
-
-    def write(self, v: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(self.path(v))
-
-    def latest(self) -> int:
-        """Highest committed version (folder with a _SUCCESS marker)."""
-        jvm, fs = self._fs()
-        names = [st.getPath().getName() for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.base))]
-        return max(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and self._done(int(n[1:])))
-
-
 class ChangeLog:
     """Append-only log of micro-batch outputs with merge-on-read: batch b
     writes only its own partition `batch=b` (overwritten when the batch is
@@ -215,15 +180,16 @@ TOUCH_SCHEMA = ("path string, ts timestamp_ntz, event_id bigint, value double, t
 
 
 def latest_touches(log: ChangeLog) -> DataFrame:
-    """The latest touch row per path that keeps the path (log schema)."""
+    """The latest touch row per path, also those that drop it (log schema)."""
     rows = log.read()
     cols = [c for c in rows.columns if c != "batch"]
     last = rows.groupBy("path").agg(F.max_by(F.struct(*cols), F.struct("ts", "event_id", "batch")).alias("e"))
-    return last.select("e.*").filter("present")
+    return last.select("e.*")
 
 
 def compact_state(log: ChangeLog, upto_batch: int) -> None:
-    """E3 compaction: fold the log up to a batch into a snapshot."""
+    """E3 compaction: fold the log up to a batch into a snapshot. Marks of
+    deleted paths stay, so that a late older event does not bring one back."""
     log.compact(latest_touches(log), upto_batch)
 
 
@@ -262,14 +228,6 @@ def empty_touches(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], TOUCH_SCHEMA)
 
 
-def apply_events_sink(table: VersionedTable) -> Callable[[DataFrame, int], None]:
-    """E3 foreachBatch: new version = apply_events(previous version, batch)."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        prev = table.read(batch_id)
-        table.write(batch_id + 1, apply_events(prev, batch))
-    return run
-
-
 def empty_state(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "path string, id string, last_ts timestamp_ntz, value double")
 
@@ -277,11 +235,15 @@ def empty_state(spark: SparkSession) -> DataFrame:
 # ----------------------------------------------------------------------------- E4
 def index_log_sink(log: ChangeLog, to_docs: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """E4 foreachBatch on a change log: the postings of the batch's documents
-    are appended as partition b; nothing already written is rewritten."""
+    are appended as partition b, with one row without a term for each, so a
+    document without text left loses its old postings; nothing already written
+    is rewritten."""
     def run(batch: DataFrame, batch_id: int) -> None:
         docs = to_docs(batch)
         fresh = ix.build_index(docs, keyword_fields=(), positions=False).postings
-        log.append(batch_id, fresh.select("field", "term", "doc_id", "tf", "dl"))
+        touched = docs.select(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("term"), "doc_id",
+                              F.lit(0).cast("long").alias("tf"), F.lit(0).alias("dl"))
+        log.append(batch_id, fresh.select("field", "term", "doc_id", "tf", "dl").unionByName(touched))
     return run
 
 
@@ -290,19 +252,7 @@ def current_postings(log: ChangeLog) -> DataFrame:
     that indexed it (T15 delete + T2 add, without rewriting)."""
     rows = log.read()
     latest = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return rows.join(latest, ["doc_id", "batch"]).drop("batch")
-
-
-def index_sink(table: VersionedTable, to_docs: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """E4 foreachBatch: postings of the touched documents are replaced
-    (T15 delete, then T2 build of their new text) in a new version."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        docs = to_docs(batch)
-        prev = table.read(batch_id)
-        fresh = ix.build_index(docs, keyword_fields=(), positions=False).postings
-        keep = prev.join(docs.select("doc_id"), "doc_id", "left_anti")
-        table.write(batch_id + 1, keep.unionByName(fresh.select(*prev.columns)))
-    return run
+    return rows.filter(F.col("term").isNotNull()).join(latest, ["doc_id", "batch"]).drop("batch")
 
 
 def empty_postings(spark: SparkSession) -> DataFrame:

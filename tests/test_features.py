@@ -102,19 +102,6 @@ def test_query_log_classification(spark):
     assert ff == ["format", "category", "tags", "status", "year", "title"]
 
 
-def test_versioned_table_restart_and_retry(spark, tmpdir_path):
-    import os
-    base = os.path.join(tmpdir_path, "state")
-    t = E.VersionedTable(spark, base, E.empty_state(spark))
-    ev = spark.createDataFrame([(1, "created", "/a.md", None, T0, 1.0)],
-                               "event_id long, type string, path string, old_path string, ts timestamp_ntz, value double")
-    sink = E.apply_events_sink(t)
-    sink(ev, 0)
-    sink(ev, 0)  # a retried batch rewrites its own version
-    t2 = E.VersionedTable(spark, base, E.empty_state(spark))  # restart keeps versions
-    assert t2.latest() == 1 and t2.read(1).count() == 1 and t2.read(0).count() == 0
-
-
 def test_change_log_over_several_batches(spark, tmpdir_path):
     import os
     import time as _t

@@ -24,10 +24,10 @@ def test_category_counts_subtree(spark):
     assert got == {"r": (1, 4), "a": (1, 3), "b": (2, 2)}
 
 
-def test_delete_category_reparents_and_moves_docs(spark):
+def test_delete_category_frees_children_and_moves_docs(spark):
     edges = spark.createDataFrame([(1, "a"), (1, "r"), (2, "a")], "doc_id long, category_id string")
     c2, e2 = T.delete_category(cats(spark), edges, "a", reassign_to="r")
-    assert {r["id"]: r["parent_id"] for r in c2.collect()} == {"r": None, "b": "r"}
+    assert {r["id"]: r["parent_id"] for r in c2.collect()} == {"r": None, "b": None}
     assert sorted(map(tuple, e2.collect())) == [(1, "r"), (2, "r")]
 
 

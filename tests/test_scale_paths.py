@@ -30,8 +30,11 @@ def test_typo_completion_equals_brute_force(spark):
     pre = spark.createDataFrame([("the",), ("ab",)], "prefix string")
     got = {(r["prefix"], r["term"]) for r in G.typo_completion(sugg, pre, k=100).collect()}
 
-    def lev1(a, b):
-        return len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1
+    def one_edit(a, b):
+        less = lambda s: {s[:i] + s[i + 1:] for i in range(len(s))}
+        same = len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1
+        return same or b in less(a) or a in less(b)
 
-    want = {(p, t) for p, t in itertools.product(["the", "ab"], terms) if len(t) >= len(p) and lev1(t[:len(p)], p)}
+    want = {(p, t) for p, t in itertools.product(["the", "ab"], terms)
+            if not t.startswith(p) and any(one_edit(t[:n], p) for n in range(1, len(t) + 1))}
     assert got == want
