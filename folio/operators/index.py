@@ -149,7 +149,7 @@ def compact_index(spark: SparkSession, src: str, dst: str, partitions: int, docs
 
 def delete_from_index(index: Index, doc_ids: DataFrame) -> Index:
     """Drop documents (doc_id frame) from postings; vocab and stats are
-    recomputed from what is left. Clear-all = empty postings."""
+    recomputed from what is left."""
     post = index.postings.join(doc_ids.select("doc_id"), "doc_id", "left_anti")
     docs = index.docs.join(doc_ids.select("doc_id"), "doc_id", "left_anti")
     vocab = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -157,7 +157,13 @@ def delete_from_index(index: Index, doc_ids: DataFrame) -> Index:
     per_doc = post.groupBy("field", "doc_id").agg(F.max("dl").alias("dl"))
     stats = (per_doc.groupBy("field").agg(F.sum("dl").alias("sum_dl"))
              .select("field", n_docs.alias("n_docs"), "sum_dl", (F.col("sum_dl") / n_docs).alias("avgdl")))
-    return Index(post, vocab, stats, docs, index.stemmed)
+    return Index(post, vocab, stats, docs, index.stemmed, index.fields)
+
+
+def clear_index(index: Index) -> Index:
+    """The index without any document."""
+    empty = [df.filter(F.lit(False)) for df in (index.postings, index.vocab, index.stats, index.docs)]
+    return Index(*empty, index.stemmed, index.fields)
 
 
 def index_stats(index: Index) -> DataFrame:

@@ -1,10 +1,10 @@
 """Structured Streaming operators.
 
 Streams read files as they arrive (`readStream`), keep state in the state
-store (watermarked windows) or in versioned tables written by
+store (watermarked windows) or in change logs written by
 `foreachBatch`, and write to sinks with a checkpoint in the shared folder
 named by `spark.checkpoint.dir`. Every foreachBatch writer is idempotent per
-batch id: a retried batch rewrites the same version directory.
+batch id: a retried batch rewrites its own partition.
 """
 
 from __future__ import annotations

@@ -51,3 +51,9 @@ def test_emptied_document_loses_its_postings(spark):
     sink(spark.createDataFrame([(1, "one", "word"), (2, "two", "word")], schema), 0)
     sink(spark.createDataFrame([(1, "", "")], schema), 1)
     assert {r["doc_id"] for r in E.current_postings(log).collect()} == {2}
+
+
+def test_cleared_index_finds_nothing(spark):
+    docs = spark.createDataFrame([(1, "one", "word")], "doc_id long, title string, content string")
+    idx = ix.clear_index(ix.build_index(docs, keyword_fields=()))
+    assert idx.fields and s.evaluate(idx, s.term("word", ("title", "content"))).count() == 0
