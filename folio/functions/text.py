@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 
 from pyspark.sql import Column
@@ -77,22 +76,6 @@ def format_of(path, extra: dict | None = None) -> Column:
     return F.coalesce(F.element_at(m, file_extension(path)), F.lit("unknown"))
 
 
-def glob_to_regex(globs) -> str:
-    """Compile ignore globs once, on the driver, to one anchored regex."""
-    parts = [fnmatch.translate(g).replace(r"\Z", "$") for g in globs]
-    parts = [p[4:] if p.startswith("(?s:") else p for p in parts]
-    parts = [p[:-2] if p.endswith(")$") else p for p in parts]
-    return "^(?:" + "|".join("(?:" + p + ")" for p in parts) + ")$"
-
-
-def ignored(path, globs=C.DEFAULT_IGNORE) -> Column:
-    """A glob matches the file name, any parent segment or the full path."""
-    rx = glob_to_regex(globs)
-    p = _c(path)
-    segs = F.split(F.regexp_replace(p, r"^[a-zA-Z]+:/+", "/"), "/")
-    return F.exists(segs, lambda s: s.rlike(rx)) | p.rlike(rx)
-
-
 def html_escape(col) -> Column:
     c = _c(col)
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):

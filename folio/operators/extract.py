@@ -35,7 +35,8 @@ RX_DOC_DQ = r"(?s)^\s*\"\"\"(.*?)\"\"\""
 RX_DOC_SQ = r"(?s)^\s*'''(.*?)'''"
 RX_HTML_TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 RX_HTML_H1 = r"(?is)<h1[^>]*>(.*?)</h1>"
-RX_META = r"(?is)<meta\s+(?:name|property)=\"([^\"]*)\"\s+content=\"([^\"]*)\""
+RX_META_TAG = r"""(?is)<meta(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+RX_ATTRIBUTE = r"""([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 RX_A = r"(?i)<a[\s>]"
 RX_IMG = r"(?i)<img[\s>/]"
 RX_HEADING = r"(?i)<h[1-6][\s>]"
@@ -99,10 +100,12 @@ def images(c) -> Column:
 
 
 def _last_wins(keys: Column, vals: Column) -> Column:
-    """A map in which the last of equal keys counts."""
-    pairs = F.arrays_zip(keys.alias("k"), vals.alias("v"))
-    last = F.filter(pairs, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["k"]))
-    return F.map_from_arrays(F.transform(last, lambda e: e["k"]), F.transform(last, lambda e: e["v"]))
+    """A map in which the last of equal keys counts. The pairs are bound once
+    (a one-element transform), so the patterns behind them run once a row."""
+    def keep(pairs):
+        return F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda x: x["k"] == e["k"]))
+    zipped = F.arrays_zip(keys.alias("k"), vals.alias("v"))
+    return F.map_from_entries(F.element_at(F.transform(F.array(zipped), keep), 1))
 
 
 def front_matter(c) -> Column:
@@ -202,36 +205,66 @@ def python_docstring(c) -> Column:
     return F.substring(strip_ws(raw), 1, 500)
 
 
-def python_info(df: DataFrame, col: str = "content", path: str = "path") -> DataFrame:
-    """Line count, first 20 imports, classes, functions (regex on
-    source lines: `async def` excluded, order is textual), docstring (<= 500
-    chars) and the title = first docstring line when shorter than 100 chars."""
-    c = F.col(col)
-    doc = python_docstring(c)
+def python_title(content, path) -> Column:
+    """First docstring line when shorter than 100 chars, else the
+    file-stem title."""
+    c = _c(content)
     first = F.split_part(strip_ws(F.regexp_extract(c, RX_DOC_DQ, 1)), F.lit("\n"), F.lit(1))
     first = F.when(c.rlike(RX_DOC_DQ), first).otherwise(
         F.split_part(strip_ws(F.regexp_extract(c, RX_DOC_SQ, 1)), F.lit("\n"), F.lit(1)))
     has_doc = c.rlike(RX_DOC_DQ) | c.rlike(RX_DOC_SQ)
-    title = F.when(has_doc & (first != "") & (F.char_length(first) < 100), first) \
-        .otherwise(title_from_stem(F.col(path)))
+    return F.when(has_doc & (first != "") & (F.char_length(first) < 100), first).otherwise(title_from_stem(_c(path)))
+
+
+def python_names(c, rx: str) -> Column:
+    """First 20 names or lines that a pattern finds in the source."""
+    return F.slice(F.regexp_extract_all(_c(c), F.lit(rx), 1), 1, 20)
+
+
+def python_info(df: DataFrame, col: str = "content", path: str = "path") -> DataFrame:
+    """Line count, first 20 imports, classes, functions (regex on
+    source lines: `async def` excluded, order is textual), docstring (<= 500
+    chars) and the title."""
+    c = F.col(col)
     return df.select("*", line_count(c).alias("line_count"),
-                     F.slice(F.regexp_extract_all(c, F.lit(RX_IMPORT), 1), 1, 20).alias("imports"),
-                     F.slice(F.regexp_extract_all(c, F.lit(RX_CLASS), 1), 1, 20).alias("classes"),
-                     F.slice(F.regexp_extract_all(c, F.lit(RX_DEF), 1), 1, 20).alias("functions"),
-                     doc.alias("docstring"), title.alias("py_title"))
+                     python_names(c, RX_IMPORT).alias("imports"),
+                     python_names(c, RX_CLASS).alias("classes"),
+                     python_names(c, RX_DEF).alias("functions"),
+                     python_docstring(c).alias("docstring"), python_title(c, F.col(path)).alias("py_title"))
 
 
 # ----------------------------------------------------------------------------- X15-X16
+def html_title(html) -> Column:
+    """<title> text, else the first <h1>, else null."""
+    h = _c(html)
+    title, h1 = (html_to_text(F.regexp_extract(h, rx, 1)) for rx in (RX_HTML_TITLE, RX_HTML_H1))
+    return F.coalesce(F.nullif(title, F.lit("")), F.nullif(h1, F.lit("")))
+
+
+def meta_tags(html) -> Column:
+    """Map of meta name (else property) -> content, attributes in any order
+    and quoting; a tag without content maps to '', the last of equal names counts."""
+    def attributes(tag):
+        keys = F.transform(F.regexp_extract_all(tag, F.lit(RX_ATTRIBUTE), 1), F.lower)
+        vals = F.transform(F.regexp_extract_all(tag, F.lit(RX_ATTRIBUTE), 2),
+                           lambda v: F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2"))
+        return _last_wins(keys, vals)
+
+    def entry(m):
+        name = F.coalesce(*[F.nullif(F.element_at(m, F.lit(a)), F.lit("")) for a in ("name", "property")])
+        return F.struct(name.alias("k"), F.coalesce(F.element_at(m, F.lit("content")), F.lit("")).alias("v"))
+
+    tags = F.transform(F.regexp_extract_all(_c(html), F.lit(RX_META_TAG), 0), attributes)
+    named = F.filter(F.transform(tags, entry), lambda e: e["k"].isNotNull())
+    return _last_wins(F.transform(named, lambda e: e["k"]), F.transform(named, lambda e: e["v"]))
+
+
 def html_info(df: DataFrame, col: str = "html") -> DataFrame:
     """Text without script/style/tags, <title> (else <h1>) text,
     meta name/property -> content map, link / image / heading counts."""
     h = F.col(col)
-    title = html_to_text(F.regexp_extract(h, RX_HTML_TITLE, 1))
-    h1 = html_to_text(F.regexp_extract(h, RX_HTML_H1, 1))
-    return df.select("*", html_to_text(h).alias("text"),
-                     F.coalesce(F.nullif(title, F.lit("")), F.nullif(h1, F.lit(""))).alias("html_title"),
-                     _last_wins(F.regexp_extract_all(h, F.lit(RX_META), 1),
-                                F.regexp_extract_all(h, F.lit(RX_META), 2)).alias("meta_tags"),
+    return df.select("*", html_to_text(h).alias("text"), html_title(h).alias("html_title"),
+                     meta_tags(h).alias("meta_tags"),
                      _count(h, RX_A).cast("int").alias("link_count"),
                      _count(h, RX_IMG).cast("int").alias("image_count"),
                      _count(h, RX_HEADING).cast("int").alias("heading_count"))
@@ -249,3 +282,13 @@ def keywords(fmt, md_headers, functions, classes) -> Column:
 def date_facets(df: DataFrame, col: str = "created_at") -> DataFrame:
     """Year and month facet columns."""
     return df.withColumn("year", F.year(col)).withColumn("month", F.month(col))
+
+
+def by_format(fmt, raw, path) -> dict[str, Column]:
+    """U2, built in: title (X6, X14, X16, else X17), text (X15 for HTML, else
+    as read) and keywords (X18) of a file by its format."""
+    f, c = _c(fmt), _c(raw)
+    title = (F.when(f == "markdown", markdown_title(c, _c(path))).when(f == "code", python_title(c, path))
+             .when(f == "html", F.coalesce(html_title(c), title_from_stem(_c(path)))).otherwise(title_from_stem(_c(path))))
+    return {"title": title, "content": F.when(f == "html", html_to_text(c)).otherwise(c),
+            "keywords": keywords(f, headers(c), python_names(c, RX_DEF), python_names(c, RX_CLASS))}

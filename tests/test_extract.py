@@ -111,6 +111,14 @@ def test_html(spark):
     assert "var a" not in r["text"] and ".x" not in r["text"] and "Body text" in r["text"]
 
 
+def test_meta_order_quotes_and_repeats(spark):
+    html = """<meta content='a "b" > c' name=one><META property="og:t" content="x=1 name='no'">
+    <meta charset="utf-8"><meta name='two'><meta name="one" content="last"/><meta name="">"""
+    rows = spark.createDataFrame([(1, html), (2, ""), (3, None)], "i int, html string")
+    got = {r["i"]: r["meta_tags"] for r in X.html_info(rows).collect()}
+    assert got == {1: {"one": "last", "og:t": "x=1 name='no'", "two": ""}, 2: {}, 3: None}
+
+
 def test_snippet_and_title(spark):
     long = "word " * 100
     df = spark.createDataFrame([(long, "/a/my-file_name.txt")], "c string, p string")

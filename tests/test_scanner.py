@@ -56,6 +56,22 @@ def test_malformed_json_kept(spark, tmpdir_path):
     assert r["format"] == "json" and r["content"] == '{"broken": ' and r["status"] == "indexed"
 
 
+def test_scan_extracts_by_format(spark, tmpdir_path):
+    files = {"a_b.md": "intro\n# Own Title\n## Part\n", "c.md": "---\ntitle: From Block\n---\ntext\n", "d-e.md": "plain",
+             "tool.py": '"""Does things.\nMore."""\nclass A:\n    pass\ndef f():\n    pass\n',
+             "p.html": "<title> Page </title><script>x</script><p>Body &amp; more</p>", "notes_x.txt": "# not a header"}
+    for name, text in files.items():
+        with open(os.path.join(tmpdir_path, name), "w") as f:
+            f.write(text)
+    rows = {os.path.basename(r["path"]): r for r in S.scan(spark, tmpdir_path).collect()}
+    assert {k: r["title"] for k, r in rows.items()} == {
+        "a_b.md": "Own Title", "c.md": "From Block", "d-e.md": "D E", "tool.py": "Does things.", "p.html": "Page",
+        "notes_x.txt": "Notes X"}
+    assert rows["a_b.md"]["keywords"] == ["Own Title", "Part"] and rows["tool.py"]["keywords"] == ["f", "A"]
+    assert rows["notes_x.txt"]["keywords"] == [] and rows["p.html"]["content"] == "Page Body & more"
+    assert rows["p.html"]["snippet"] == "Page Body & more"
+
+
 def test_decode_policies(spark, tmpdir_path):
     with open(os.path.join(tmpdir_path, "t.txt"), "wb") as f:
         f.write(b"Valid text \x80\x81 more text")
