@@ -10,7 +10,9 @@ Base phrases are short templates: each is looked up by its highest-IDF word
 and holds where all its words stand at their relative positions.
 
 Defined cases: null text is empty; texts without licence words have empty
-labels and score 0; a null doc_id stays null; repeated rows are documents of
+labels and score 0; words are ranked by IDF and none is too frequent to be
+looked up, so a licence that every file carries is found, also in a table of
+one file; a null doc_id stays null; repeated rows are documents of
 their own; other columns are ignored; an empty table gives an empty result."""
 
 from __future__ import annotations
@@ -75,7 +77,6 @@ TEMPLATES = {
 }
 
 RARE_WORDS = 16      # highest-IDF licence words that a file looks up
-MIN_IDF = 1.5        # words of more documents than about a fifth are no anchors
 MIN_VOTES = 4        # words that must agree on a relative position
 SLACK = 6            # words by which a file may depart from the template
 
@@ -142,11 +143,17 @@ def _runs_at(words: np.ndarray, limit: np.ndarray, phrase: np.ndarray, idf: np.n
     return start
 
 
+def _share(kinds: np.ndarray, near: np.ndarray, idf: np.ndarray) -> float:
+    """The part of a template's words, weighted by IDF, that stand near; unweighted where every document has all of those."""
+    held = np.isin(kinds, near)
+    weight = idf[kinds] if idf[kinds[held]].any() else np.ones(len(kinds))
+    return float(weight[held].sum() / weight.sum())
+
+
 def _templates_in(words: np.ndarray, index: Index, idf: np.ndarray) -> dict[str, float]:
     """Labels and scores of the templates in one document's words."""
     at = np.flatnonzero(words >= 0)
     present = np.unique(words[at])
-    present = present[idf[present] >= MIN_IDF]
     rare = set(present[np.argsort(-idf[present], kind="stable")][:RARE_WORDS].tolist())
     votes: dict[tuple[int, int], set[int]] = {}
     for p in at.tolist():
@@ -164,8 +171,7 @@ def _templates_in(words: np.ndarray, index: Index, idf: np.ndarray) -> dict[str,
         lo, hi = place * SLACK - SLACK, place * SLACK + 3 * SLACK
         if all(any(lo <= s - q <= hi for s in _runs_at(words, limit, phrase, idf).tolist()) for phrase, q in keys):
             near = words[max(0, lo):hi + len(template)]
-            kinds = np.unique(template)
-            found[label] = max(found.get(label, 0.0), float(idf[np.intersect1d(kinds, near)].sum() / max(idf[kinds].sum(), 1e-9)))
+            found[label] = max(found.get(label, 0.0), _share(np.unique(template), near, idf))
     return found
 
 
@@ -192,7 +198,6 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
             base_labels = [",".join(sorted(x)) for x in labels]
             score = np.where(n_base > 0, 1.0, 0.0)
             hit = np.flatnonzero(words >= 0)
-            hit = hit[idf[words[hit]] >= MIN_IDF]
             for d in np.unique(np.searchsorted(first, hit, "right") - 1).tolist():
                 for label, s in _templates_in(words[first[d]:first[d + 1]], index, idf).items():
                     labels[d].add(label)
