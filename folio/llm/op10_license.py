@@ -1,13 +1,13 @@
 """License scan by a positional index of rare words.
 
-The index holds every template's words with their positions. IDFs of licence
-words are counted over all documents. A file looks up its highest-IDF licence
-words: each occurrence and each posting of its word vote for the relative
-position (file position minus template position). A template is a candidate at
-a position that several of its words agree on, and is reported if its
-mandatory key phrases stand in the file near where the position puts them.
-Base phrases are short templates: each is looked up by its highest-IDF word
-and holds where all its words stand at their relative positions.
+The index holds every template's words and key phrases with their positions.
+IDFs of licence words are counted over all documents. A key phrase is looked
+up by its highest-IDF word and gives relative positions (file position minus
+template position). Where all mandatory key phrases of a template put it at
+about one position, all its words that stand there vote, and it is reported if
+enough agree. No word is left out, so a file may hold any number of licences.
+Base phrases are short templates that hold where all their words stand at
+their relative positions.
 
 Defined cases: null text is empty; texts without licence words have empty
 labels and score 0; words are ranked by IDF and none is too frequent to be
@@ -76,7 +76,6 @@ TEMPLATES = {
         ("waived all copyright and related or neighboring rights",)),
 }
 
-RARE_WORDS = 16      # highest-IDF licence words that a file looks up
 MIN_VOTES = 4        # words that must agree on a relative position
 SLACK = 6            # words by which a file may depart from the template
 
@@ -96,10 +95,6 @@ class Index:
         self.hashes = hashed[self.order]
         self.base = [(code(p), label) for p, label in base.items()]
         self.templates = [(label, code(t), [(code(p), t.split().index(p.split()[0])) for p in ps]) for label, (t, ps) in templates.items()]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for k, (_, words, _) in enumerate(self.templates):
-            for at, w in enumerate(words.tolist()):
-                self.postings.setdefault(w, []).append((k, at))
 
     def words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(vocabulary number of every word or -1, first word of each document)."""
@@ -150,31 +145,47 @@ def _share(kinds: np.ndarray, near: np.ndarray, idf: np.ndarray) -> float:
     return float(weight[held].sum() / weight.sum())
 
 
-def _templates_in(words: np.ndarray, index: Index, idf: np.ndarray) -> dict[str, float]:
-    """Labels and scores of the templates in one document's words."""
-    at = np.flatnonzero(words >= 0)
-    present = np.unique(words[at])
-    rare = set(present[np.argsort(-idf[present], kind="stable")][:RARE_WORDS].tolist())
-    votes: dict[tuple[int, int], set[int]] = {}
-    for p in at.tolist():
-        w = int(words[p])
-        if w in rare:
-            for k, q in index.postings.get(w, ()):
-                votes.setdefault((k, (p - q) // SLACK), set()).add(w)
+def _templates_in(words: np.ndarray, places: list[tuple[int, list[np.ndarray]]], index: Index, idf: np.ndarray) -> dict[str, float]:
+    """Labels and scores of the templates in one document's words; places: templates whose key phrases all
+    stand in it, with the relative positions of each phrase."""
     found: dict[str, float] = {}
-    limit = np.full(len(words), len(words))
-    for (k, place), agree in votes.items():
-        agree = agree | votes.get((k, place + 1), set())
+    n = len(words)
+    for k, at in places:
         label, template, keys = index.templates[k]
-        if len(agree) < min(MIN_VOTES, len(set(template.tolist()) & rare)) or len(agree) < 2:
-            continue
-        lo, hi = place * SLACK - SLACK, place * SLACK + 3 * SLACK
-        if all(any(lo <= s - q <= hi for s in _runs_at(words, limit, phrase, idf).tolist()) for phrase, q in keys):
-            near = words[max(0, lo):hi + len(template)]
-            found[label] = max(found.get(label, 0.0), _share(np.unique(template), near, idf))
+        need = min(MIN_VOTES, *(len(np.unique(phrase)) for phrase, _ in keys))
+        # windows of relative positions that every phrase is in, from `place * SLACK` on
+        place = np.unique(np.floor_divide(at[0][:, None], SLACK) + np.arange(-3, 2))
+        lo, hi = (place - 1) * SLACK, (place + 3) * SLACK
+        for x in at:
+            x = np.sort(x)
+            some = np.searchsorted(x, lo, "left") < np.searchsorted(x, hi, "right")
+            place, lo, hi = place[some], lo[some], hi[some]
+        for first, a, z in zip((place * SLACK).tolist(), lo.tolist(), hi.tolist(), strict=True):
+            spot = first + np.arange(len(template))[:, None] + np.arange(2 * SLACK)
+            agree = (words[np.clip(spot, 0, n - 1)] == template[:, None]) & (spot >= 0) & (spot < n)
+            if len(np.unique(template[agree.any(axis=1)])) >= need:
+                near = words[max(0, a):max(0, z + len(template))]
+                found[label] = max(found.get(label, 0.0), _share(np.unique(template), near, idf))
     return found
 
 
+def _with_keys(words: np.ndarray, first: np.ndarray, limit: np.ndarray, index: Index, idf: np.ndarray) -> dict[int, list]:
+    """Of each document that holds all key phrases of a template: (template, relative positions of each phrase)."""
+    out: dict[int, list] = {}
+    for k, (_, _, keys) in enumerate(index.templates):
+        docs, where = None, []
+        for phrase, q in keys:
+            start = _runs_at(words, limit, phrase, idf)
+            doc = np.searchsorted(first, start, "right") - 1
+            where.append((doc, start - first[doc] - q))
+            docs = np.unique(doc) if docs is None else np.intersect1d(docs, doc)
+            if not len(docs):
+                break
+        for d in docs.tolist():
+            out.setdefault(d, []).append((k, [at[np.searchsorted(doc, d):np.searchsorted(doc, d, "right")] for doc, at in where]))
+    return out
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row per document."""
     index = Index(templates, base)
@@ -197,9 +208,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
                     labels[d].add(label)
             base_labels = [",".join(sorted(x)) for x in labels]
             score = np.where(n_base > 0, 1.0, 0.0)
-            hit = np.flatnonzero(words >= 0)
-            for d in np.unique(np.searchsorted(first, hit, "right") - 1).tolist():
-                for label, s in _templates_in(words[first[d]:first[d + 1]], index, idf).items():
+            for d, places in _with_keys(words, first, limit, index, idf).items():
+                for label, s in _templates_in(words[first[d]:first[d + 1]], places, index, idf).items():
                     labels[d].add(label)
                     score[d] = max(score[d], s)
             none = n_base == 0

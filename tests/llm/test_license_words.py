@@ -20,3 +20,17 @@ def test_op10_licence_of_every_file_and_of_one(spark):
     for n in (1, 2, 7):
         got = scan(spark, [BODY["bsd-text"] for _ in range(n)])
         assert [(r["labels"], r["score"]) for r in got.values()] == [("bsd-text", 1.0)] * n
+
+
+def test_op10_file_of_all_templates(spark):
+    rare = [f"file{i} does thing{i}" for i in range(60)]
+    common = [f"{i} {BODY['unlicense']}" for i in range(15)]
+    got = scan(spark, rare + common + ["notices " + "\nnext notice\n".join(BODY.values()), "\n".join(reversed(BODY.values()))])
+    assert got[75]["labels"] == got[76]["labels"] == ",".join(sorted({*BODY, "apache", "gpl"}))
+
+
+def test_op10_departing_text_and_lone_phrase(spark):
+    words = BODY["bsd-text"].split()
+    near, far = words[:20] + ["and", "so", "on"] + words[20:], words[:20] + ["x"] * 60 + words[20:]
+    got = scan(spark, [" ".join(near), " ".join(far), "a Creative Commons Attribution is this", "a work in the public domain of this"])
+    assert [got[i]["labels"] for i in range(4)] == ["bsd-text", "", "cc-by-notice", ""]
