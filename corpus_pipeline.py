@@ -3,8 +3,9 @@ near dedup, mixing, packing. Each stage takes (spark, docs, sf_dir), works on
 all rows of its predecessor and returns a DataFrame that run() writes to the
 shared folder and rereads as the next stage's documents.
 
-Defined cases: those of the operators; a doc_id that repeats is one document
-from the first stage on, and the mix repeats rows by design."""
+Defined cases: those of the operators; every row is a document of its own in all
+stages, also where its doc_id is null or repeats (near dedup keeps all rows of
+null doc_id), and the mix repeats rows by design."""
 
 from __future__ import annotations
 

@@ -32,16 +32,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is in `ids`, one row per doc_id. Only ids
-    that really repeat go through a shuffle of their rows."""
-    ids = ids.select(F.col("doc_id").alias("__id")).distinct()
-    again = (docs.groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("__n"))
-             .filter("__n > 1").select("__again"))
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
-    same = kept["doc_id"].eqNullSafe(again["__again"])
-    return kept.join(again, same, "left_anti").unionByName(
-        kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+def own_ids(docs: DataFrame) -> DataFrame:
+    """`docs` and `__row`, an id of each row's own in the order of doc_id, null first: doc_id itself where none
+    repeats, else a number written once with the rows, so that decisions fall on rows and not on ids."""
+    row = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    if not docs.groupBy(row.alias("r")).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        return docs.withColumn("__row", row)
+    content = F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())])
+    dealt = (docs.withColumn("__content", content).withColumn("__salt", F.rand(7))
+             .repartitionByRange(F.col("doc_id").asc_nulls_first(), "__content", "__salt")
+             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__content"))
+    return stored(dealt.drop("__content", "__salt").withColumn("__row", F.monotonically_increasing_id()), "own-ids")
+
+
+def under_row(rows: DataFrame) -> DataFrame:
+    """The rows of own_ids() as documents whose doc_id is `__row`."""
+    return rows.withColumn("doc_id", F.col("__row")).drop("__row")
+
+
+def keep_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of own_ids() whose `__row` is a doc_id of `ids`, as they came in."""
+    return rows.join(ids.select(F.col("doc_id").alias("__row")), "__row", "left_semi").drop("__row")
 
 
 # --- Arrow buffers ---------------------------------------------------------

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import stored
+from folio.llm.common import own_ids, stored, under_row
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -81,9 +81,10 @@ def mix_counts(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mixture: each row of `docs` once per copy, with its columns."""
-    n = mix_counts(docs, seed).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    return (docs.join(n, docs["doc_id"].eqNullSafe(n["__id"]))
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*[docs[c] for c in docs.columns]))
+    rows = own_ids(docs)
+    n = mix_counts(under_row(rows), seed).filter("copies > 0").select(F.col("doc_id").alias("__row"), F.col("copies").alias("__copies"))
+    return (rows.join(n, "__row")
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns))
 
 
 ORACLE = """

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import SpanHash, keep_rows, runs, slices, text_buffers
+from folio.llm.common import SpanHash, runs, slices, text_buffers
 
 UND = "und"
 HIDDEN, SEGMENT = 16, 22
@@ -206,18 +206,23 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_
     return train([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
+def _judge(column: pa.Array, langs: list[str], net: ByteGRU | None) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each text."""
+    pred, score = np.full(len(column), UND, object), np.zeros(len(column))
+    if net is not None:
+        mean = pooled(net, column, len(langs))
+        known = np.flatnonzero(_has_letter(column))
+        p = np.exp(mean[known] - mean[known].max(axis=1, keepdims=True))
+        pred[known], score[known] = np.array(langs, object)[p.argmax(1)], 1 / p.sum(axis=1)
+    return pred, score
+
+
 def predict(docs: DataFrame, langs: list[str], net: ByteGRU | None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row."""
 
     def run(batches):
         for b in slices(batches, "text"):
-            letter = _has_letter(b["text"])
-            pred, score = np.full(b.num_rows, UND, object), np.zeros(b.num_rows)
-            if net is not None:
-                mean = pooled(net, b["text"], len(langs))
-                known = np.flatnonzero(letter)
-                p = np.exp(mean[known] - mean[known].max(axis=1, keepdims=True))
-                pred[known], score[known] = np.array(langs, object)[p.argmax(1)], 1 / p.sum(axis=1)
+            pred, score = _judge(b["text"], langs, net)
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(pred, pa.string()), pa.array(score)],
                                              ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -235,4 +240,10 @@ def language_filter(docs: DataFrame, min_over_chance: float = MIN_OVER_CHANCE) -
     langs, net = fit(docs)
     if net is None:
         return docs.limit(0)
-    return keep_rows(docs, predict(docs, langs, net).filter((F.col("lang_pred") != UND) & (F.col("score") >= min(1.0, min_over_chance / len(langs)))))
+
+    def run(batches):
+        for b in slices(batches, "text"):
+            pred, score = _judge(b["text"], langs, net)
+            yield b.filter(pa.array((pred != UND) & (score >= min(1.0, min_over_chance / len(langs)))))
+
+    return docs.mapInArrow(run, docs.schema)  # the verdict falls on the row itself

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import exchange as X
-from folio.llm.common import SPACE, keep_rows, slices, stored, text_buffers
+from folio.llm.common import SPACE, keep_rows, own_ids, slices, stored, text_buffers, under_row
 
 GROUP_ROWS = 50_000
 
@@ -92,5 +92,7 @@ def exact_groups(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns; repeated rows of one doc_id stay once."""
-    return keep_rows(docs, exact_groups(docs).filter("kept"))
+    """The rows of `docs` that stay, one of each group of equal texts, with all their columns; rows of one doc_id
+    are rows of their own."""
+    rows = own_ids(docs)
+    return keep_rows(rows, exact_groups(under_row(rows)).filter("kept"))
