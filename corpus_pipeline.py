@@ -14,7 +14,7 @@ from folio.llm.common import stored, table
 
 
 def language_stage(spark, docs, sf_dir):
-    """Documents without a letter, or of no language with enough certainty, go."""
+    """Documents without a letter, or no likelier in the languages than as letters at random, go."""
     return op7_language.language_filter(docs)
 
 

@@ -23,15 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import SpanHash, runs, slices, text_buffers
+from folio.llm.common import SpanHash, ragged, runs, slices, text_buffers
 
 UND = "und"
 HIDDEN, SEGMENT = 16, 22
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_SEGMENTS, EPOCHS = 150, 2000, 24_000, 5
-#: The filter rejects documents whose pooled probability is below so many times chance: text in
-#: several of the languages is clean and stays, text that looks like none of them goes.
-MIN_OVER_CHANCE = 1.25
-
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
@@ -155,6 +151,56 @@ def train(texts: list[str], labels: list[str]) -> tuple[list[str], ByteGRU | Non
     return langs, ByteGRU(len(langs)).fit(groups)
 
 
+class LetterModel:
+    """How much likelier a text is as written in the sample's languages than as letters at random, in nats. Each
+    language has the probabilities of a byte after another, smoothed by those at random: uniform over the sample's
+    letters. A segment is of any one of the languages, half by what the network takes it for and half by chance, so
+    a text may mix them. For letters at random the measure is at most 0 on average, with any number of languages."""
+
+    def __init__(self, texts: list[str], labels: list[str], smooth: float = 5.0):
+        _, self.net = train(texts, labels)
+        data, off = text_buffers(pc.utf8_lower(pa.array(texts, pa.string())))
+        start, end = _segments(data, off)
+        langs = sorted(set(labels))
+        label = np.array([langs.index(x) for x in labels])[np.searchsorted(off, start, "right") - 1]
+        inside = ragged(start, end - start)
+        seen = np.bincount(data[inside], minlength=256) > 0
+        random = np.where(seen, 1.0, 1 / 256) / (seen.sum() + 1)  # and a space, which ends a segment
+        random[32] = 1 / (seen.sum() + 1)
+        self.gain = np.empty((len(langs), 256, 256), np.float32)
+        for c in range(len(langs)):
+            a, b, _ = self._pairs(data, start[label == c], end[label == c])
+            n = np.bincount(a.astype(np.int64) * 256 + b, minlength=1 << 16).reshape(256, 256)
+            self.gain[c] = np.log((n + smooth * random) / (n.sum(axis=1, keepdims=True) + smooth) / random)
+
+    @staticmethod
+    def _pairs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(byte, next byte, segment) over each segment between two spaces."""
+        size = end - start + 2
+        x = np.full(int(size.sum()), 32, np.uint8)
+        head = np.cumsum(size) - size
+        x[ragged(head + 1, size - 2)] = data[ragged(start, size - 2)]
+        at = ragged(head, size - 1)
+        return x[at], x[at + 1], np.repeat(np.arange(len(size)), size - 1)
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        """Of each text, summed over its segments; 0 without letters."""
+        data, off = text_buffers(pc.utf8_lower(column))
+        start, end = _segments(data, off)
+        if not len(start):
+            return np.zeros(len(column))
+        _, first, inverse = np.unique(SpanHash(data)(start, end), return_index=True, return_inverse=True)
+        size = (end - start)[first]
+        a, b, of = self._pairs(data, start[first], end[first])
+        each = np.stack([np.bincount(of, g[a, b], len(first)) for g in self.gain], axis=1)
+        mean = _sums(self.net, data, start[first], size, len(self.gain)) / size[:, None]
+        taken = np.exp(mean - mean.max(axis=1, keepdims=True))
+        each += np.log(0.5 * taken / taken.sum(axis=1, keepdims=True) + 0.5 / len(self.gain))
+        top = each.max(axis=1)
+        mixed = top + np.log(np.exp(each - top[:, None]).sum(axis=1))
+        return np.bincount(np.searchsorted(off, start, "right") - 1, mixed[inverse], len(off) - 1)
+
+
 def label_positions(net: ByteGRU, langs: list[str], text: str) -> list[str | None]:
     """The language of every byte of a lower-cased text; None outside letters."""
     data, off = text_buffers(pc.utf8_lower(pa.array([text])))
@@ -165,18 +211,24 @@ def label_positions(net: ByteGRU, langs: list[str], text: str) -> list[str | Non
     return out
 
 
+def _sums(net: ByteGRU, data: np.ndarray, start: np.ndarray, size: np.ndarray, classes: int) -> np.ndarray:
+    """(segments, classes): the log probabilities over the bytes of each segment, summed."""
+    sums = np.zeros((len(start), classes))
+    for n in np.unique(size):
+        rows = np.flatnonzero(size == n)
+        for a in range(0, len(rows), 4096):
+            some = rows[a:a + 4096]
+            sums[some] = net.log_probabilities(_matrix(data, start[some], int(n)))[1:-1].sum(axis=0)
+    return sums
+
+
 def pooled(net: ByteGRU, column: pa.Array, classes: int) -> np.ndarray:
     """(documents, classes): the mean log probability over the letters of each text, NaN without letters."""
     data, off = text_buffers(pc.utf8_lower(column))
     start, end = _segments(data, off)
     docs = len(off) - 1
-    keys, first, inverse = np.unique(SpanHash(data)(start, end), return_index=True, return_inverse=True)
-    size, sums = (end - start)[first], np.zeros((len(keys), classes))
-    for n in np.unique(size):
-        rows = np.flatnonzero(size == n)
-        for a in range(0, len(rows), 4096):
-            some = rows[a:a + 4096]
-            sums[some] = net.log_probabilities(_matrix(data, start[first[some]], int(n)))[1:-1].sum(axis=0)
+    _, first, inverse = np.unique(SpanHash(data)(start, end), return_index=True, return_inverse=True)
+    sums = _sums(net, data, start[first], (end - start)[first], classes)
     doc = np.searchsorted(off, start, "right") - 1
     letters = np.bincount(doc, end - start, docs)
     total = np.stack([np.bincount(doc, sums[inverse, c], docs) for c in range(classes)], axis=1)
@@ -197,13 +249,18 @@ def held_out():
     return F.coalesce(rest == 2, F.lit(True))
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> tuple[list[str], ByteGRU | None]:
-    """Train on `train_docs` documents of each language (smallest hash of doc_id), `train_chars` characters of each."""
+def sample(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> tuple[list[str], list[str]]:
+    """Texts and labels: `train_docs` documents of each language (smallest hash of doc_id), `train_chars` characters of each."""
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = (docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-              .select("doc_id", "lang", F.substring("text", 1, train_chars).alias("text"))
-              .withColumn("nth", nth).filter(F.col("nth") <= train_docs).orderBy("lang", "nth").select("text", "lang").collect())
-    return train([r["text"] for r in sample], [r["lang"] for r in sample])
+    rows = (docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+            .select("doc_id", "lang", F.substring("text", 1, train_chars).alias("text"))
+            .withColumn("nth", nth).filter(F.col("nth") <= train_docs).orderBy("lang", "nth").select("text", "lang").collect())
+    return [r["text"] for r in rows], [r["lang"] for r in rows]
+
+
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> tuple[list[str], ByteGRU | None]:
+    """Train on the sample."""
+    return train(*sample(docs, train_docs, train_chars))
 
 
 def _judge(column: pa.Array, langs: list[str], net: ByteGRU | None) -> tuple[np.ndarray, np.ndarray]:
@@ -234,16 +291,39 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, *fit(docs))
 
 
-def language_filter(docs: DataFrame, min_over_chance: float = MIN_OVER_CHANCE) -> DataFrame:
-    """The rows of `docs`, all columns, whose language is identified with a score of at least
-    `min_over_chance` / number of languages."""
-    langs, net = fit(docs)
-    if net is None:
-        return docs.limit(0)
+def causes(column: pa.Array, model: LetterModel | None) -> np.ndarray:
+    """Why a text goes: no letter, no labelled rows to compare with, or no likelier in the languages than as
+    letters at random; None for a text that stays."""
+    if model is None:
+        return np.full(len(column), "no language", object)
+    out = np.where(model(column) > 0, None, "unlike the languages")
+    out[~_has_letter(column)] = "no letter"
+    return out
+
+
+def _model(docs: DataFrame) -> LetterModel | None:
+    texts, labels = sample(docs)
+    return LetterModel(texts, labels) if texts else None
+
+
+def language_filter(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, whose text is in the languages of the labelled rows, one or several."""
+    model = _model(docs)
 
     def run(batches):
         for b in slices(batches, "text"):
-            pred, score = _judge(b["text"], langs, net)
-            yield b.filter(pa.array((pred != UND) & (score >= min(1.0, min_over_chance / len(langs)))))
+            yield b.filter(pa.array(np.equal(causes(b["text"], model), None), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)  # the verdict falls on the row itself
+
+
+def rejected(docs: DataFrame) -> DataFrame:
+    """(cause, n): how many rows language_filter() rejects, by cause."""
+    model = _model(docs)
+
+    def run(batches):
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(causes(b["text"], model), pa.string())], ["cause"])
+
+    return (docs.select("text").mapInArrow(run, "cause string").filter("cause is not null")
+            .groupBy("cause").agg(F.count("*").alias("n")))
