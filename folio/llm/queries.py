@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import op1_near, op2_repeats, op3_tokens, op4_mix, op5_pack, op6_ann, op7_language, op8_lines, op9_exact, op10_license
+from folio.llm import op1_near, op2_repeats, op3_tokens, op4_mix, op5_pack, op6_ann, op7_language, op8_lines, op9_exact, op10_license, op11_spelling
 from folio.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op10_license_query(spark, sf_dir):
     return op10_license.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_query(spark, sf_dir):
+    return op11_spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_query,
     "op2_suffix_dedup": op2_repeats_query,
@@ -57,6 +61,7 @@ QUERIES = {
     "op8_line_dedup": op8_lines_query,
     "op9_exact_dedup": op9_exact_query,
     "op10_license_scan": op10_license_query,
+    "op11_spelling_variants": op11_spelling_query,
 }
 
 ORACLE = {"op4_source_mix": op4_mix.ORACLE}
