@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import op1_near, op2_repeats, op3_tokens, op4_mix, op5_pack, op6_ann, op7_language, op8_lines, op9_exact, op10_license, op11_spelling
+from folio.llm import op1_near, op2_repeats, op3_tokens, op4_mix, op5_pack, op6_ann, op7_language, op8_lines, op9_exact, op10_license, op11_spelling, op12_align, op13_toxicity
 from folio.llm.common import table
 
 
@@ -50,6 +50,14 @@ def op11_spelling_query(spark, sf_dir):
     return op11_spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_align_query(spark, sf_dir):
+    return op12_align.align(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op13_toxicity_query(spark, sf_dir):
+    return op13_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_query,
     "op2_suffix_dedup": op2_repeats_query,
@@ -62,6 +70,8 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_query,
     "op10_license_scan": op10_license_query,
     "op11_spelling_variants": op11_spelling_query,
+    "op12_token_alignment": op12_align_query,
+    "op13_toxicity": op13_toxicity_query,
 }
 
 ORACLE = {"op4_source_mix": op4_mix.ORACLE}
