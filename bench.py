@@ -66,6 +66,8 @@ def main() -> None:
     timed("t2_index_build_cold", lambda: ix.write_index(ix.build_index(docs), scratch_path(spark, "bench-index")))
     path = scratch_path(spark, "bench-index")
     timed("t2_index_build", lambda: ix.write_index(ix.build_index(docs), path))
+    from folio.operators.blocks import write_blocks
+    timed("t6_write_score_blocks", lambda: write_blocks(ix.read_index(spark, path, docs), path, shard_docs=1300))
     store = scratch_path(spark, "bench-store")
     timed("t2_document_store_write", lambda: ix.write_store(docs, store))
     idx = ix.read_index(spark, path, ix.read_store(spark, store))

@@ -36,6 +36,8 @@ class Index:
     # read once when the index is opened and inlined as literals in scoring
     stats_values: dict | None = None
     prebuilt: bool = False
+    # score blocks of a written index (operators/blocks.py), if it has them
+    blocks: DataFrame | None = None
 
     def n_docs(self):
         """Scalar subquery: number of indexed documents."""
@@ -101,8 +103,9 @@ def build_index(docs: DataFrame, text_fields=TEXT_FIELDS, keyword_fields=KEYWORD
     return idx
 
 
-def write_index(index: Index, path: str, partitions: int | None = None) -> None:
-    """Persist the index; the text is tokenised once.
+def write_index(index: Index, path: str, partitions: int | None = None, shard_docs: int | None = None) -> None:
+    """Persist the index; the text is tokenised once. With `shard_docs`, score
+    blocks for batch search are written as well.
 
     Postings are range-partitioned and sorted by (field, term) so Parquet
     min/max statistics skip files and row groups for `term IN (...)`
@@ -129,6 +132,9 @@ def write_index(index: Index, path: str, partitions: int | None = None) -> None:
              .select("field", n_docs.alias("n_docs"), F.coalesce("sum_dl", F.lit(0)).cast("long").alias("sum_dl"))
              .withColumn("avgdl", F.col("sum_dl") / F.col("n_docs")))
     stats.repartition(1).write.mode("overwrite").parquet(f"{path}/stats")
+    if shard_docs:
+        from folio.operators.blocks import write_blocks
+        write_blocks(read_index(spark, path, index.docs), path, shard_docs)
 
 
 def read_index(spark: SparkSession, path: str, docs: DataFrame, stemmed: bool = False) -> Index:
@@ -136,8 +142,12 @@ def read_index(spark: SparkSession, path: str, docs: DataFrame, stemmed: bool =
     read here once; postings and vocabulary stay lazy scans."""
     stats = spark.read.parquet(f"{path}/stats")
     values = {r["field"]: (r["n_docs"], r["avgdl"]) for r in stats.collect()}
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/blocks/_SUCCESS")
+    from folio.operators.blocks import read_blocks
+    blocks = read_blocks(spark, path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocab"),
-                 stats, docs, stemmed, tuple(values), values, True)
+                 stats, docs, stemmed, tuple(values), values, True, blocks)
 
 
 def compact_index(spark: SparkSession, src: str, dst: str, partitions: int, docs: DataFrame) -> Index:

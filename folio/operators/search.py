@@ -455,6 +455,22 @@ def contribution(method: str = "bm25") -> Column:
 MASK_BITS = 62
 
 
+def _by_masks(rows: DataFrame, leaves, positive, words, masks, part: Column, q: Query, flags) -> DataFrame:
+    """(doc_id, score) of a query whose leaves are single terms, from its posting rows."""
+    bits = [F.lit(0).cast("long") for _ in words]
+    scored = F.lit(False)
+    for l in leaves:
+        cond = _pairs_cond(l.terms()) if l.terms() else F.lit(False)
+        w = l.uid // MASK_BITS
+        bits[w] = bits[w].bitwiseOR(F.when(cond, F.lit(1 << l.uid % MASK_BITS)).otherwise(F.lit(0)).cast("long"))
+        if l.uid in positive:
+            scored = scored | cond
+    tagged = (rows.withColumns({f"m{w}": bits[w] for w in words})
+              .withColumn("part", F.when(scored, part).otherwise(F.lit(0.0))))
+    per_doc = tagged.groupBy("doc_id").agg(F.sum("part").alias("score"), *masks)
+    return per_doc.filter(q.expr(flags)).select("doc_id", F.round("score", C.SCORE_DECIMALS).alias("score"))
+
+
 def evaluate(index: Index, q: Query, method: str = "bm25") -> DataFrame:
     """Matched documents with their score: (doc_id, score). No ordering."""
     leaves = q.leaves()
@@ -469,24 +485,16 @@ def evaluate(index: Index, q: Query, method: str = "bm25") -> DataFrame:
     flags = {l.uid: (F.col(f"m{l.uid // MASK_BITS}").bitwiseAND(F.lit(1 << l.uid % MASK_BITS)) != 0) for l in leaves}
     masks = [F.bit_or(f"m{w}").alias(f"m{w}") for w in words]
     simple = all(type(l) is Term and len(analyze_text(l.text, l.stem)) <= 1 for l in leaves) and not universe
+    if simple and shared is not None and index.blocks is not None and method == "bm25":
+        # the parts lie in the score blocks: no vocabulary and no statistics to join
+        hit = index.blocks.filter(_pairs_cond(pairs)).select("field", "term", F.explode(F.arrays_zip("docs", "parts")).alias("e"))
+        rows = hit.select("field", "term", F.col("e.docs").alias("doc_id"), F.col("e.parts").alias("value"))
+        return _by_masks(rows, leaves, positive, words, masks, F.col("value"), q, flags)
     if simple and shared is not None:
         # every leaf is one term: each posting row is read once, tagged with
         # the bit mask of the leaves it satisfies; one partially aggregated
         # group-by on doc_id gives both the boolean flags and the score
-        bits = [F.lit(0).cast("long") for _ in words]
-        scored = F.lit(False)
-        for l in leaves:
-            cond = _pairs_cond(l.terms()) if l.terms() else F.lit(False)
-            w = l.uid // MASK_BITS
-            bits[w] = bits[w].bitwiseOR(F.when(cond, F.lit(1 << l.uid % MASK_BITS)).otherwise(F.lit(0)).cast("long"))
-            if l.uid in positive:
-                scored = scored | cond
-        rows = (with_stats(shared, index)
-                .withColumns({f"m{w}": bits[w] for w in words})
-                .withColumn("part", F.when(scored, contribution(method)).otherwise(F.lit(0.0))))
-        per_doc = rows.groupBy("doc_id").agg(F.sum("part").alias("score"), *masks)
-        return per_doc.filter(q.expr(flags)).select(
-            "doc_id", F.round("score", C.SCORE_DECIMALS).alias("score"))
+        return _by_masks(with_stats(shared, index), leaves, positive, words, masks, contribution(method), q, flags)
     parts = [leaf.rows(index, shared).withColumn("li", F.lit(leaf.uid)) for leaf in leaves]
     if universe:
         parts.append(index.docs.select(
@@ -744,12 +752,16 @@ def search_many(index: Index, queries: DataFrame, k: int | None = 10, fields=("t
     query is the OR of its analysed words over `fields`; output the top k
     (qid, doc_id, score, rank) per query.
 
-    Query words are analysed on the executors; postings of the distinct
-    query terms are joined once, document frequencies come from those same
-    rows, and the per-query top-k is the salted two-stage cut."""
+    Query words are analysed on the executors. An index with score blocks
+    answers top-k BM25 from them, pruned by their bounds (operators/blocks.py).
+    Otherwise postings of the distinct query terms are joined once and
+    document frequencies come from those same rows."""
     from folio.functions.text import analyze
     from folio.operators.stats import top_k_per_group
 
+    if index.blocks is not None and k is not None and method == "bm25":
+        from folio.operators.blocks import search_blocks
+        return search_blocks(index, queries, k, tuple(fields), qid, text)
     qt = (queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(analyze(F.col(text)))).alias("term"))
           .select("qid", "term", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field")))
     terms = qt.select("field", "term").distinct()

@@ -144,21 +144,27 @@ def tick_start(ts: Column, tick: str) -> Column:
     return F.timestamp_add("SECOND", sec - F.pmod(sec, F.lit(secs)), epoch)
 
 
+#: Up to this k, Spark cuts each group in every input partition before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+EARLY_CUT = 1000
+
+
 def top_k_per_group(df: DataFrame, group, order, k: int, salt_buckets: int = 64,
                     rank_col: str = "rank", salt_col=None) -> DataFrame:
     """First k rows per group by `order` (which ends in a unique key).
 
-    Exact two-stage cut so no task ever sorts a whole hot group: rows are
-    spread over `salt_buckets` sub-groups (hash of the whole row, or
-    `salt_col`), each keeps its own first k, and the final window ranks at
-    most salt_buckets * k candidates per group."""
+    `row_number() <= k` is planned with a limit on both sides of one exchange:
+    every input partition keeps its own first k rows of a group, so a hot group
+    sends at most partitions * k rows to one task. Spark does this up to a
+    fixed k; beyond it the rows are first cut in `salt_buckets` sub-groups (hash
+    of the row, or of `salt_col`). Both forms are exact."""
     group = list(group)
-    if not salt_col:  # deterministic salt (retries re-create the same split); maps are not hashable
-        salt_col = [f.name for f in df.schema.fields if not f.dataType.simpleString().startswith("map")]
-    salt = F.pmod(F.xxhash64(*salt_col), F.lit(salt_buckets))
-    w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
-    cand = (df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1))
-            .filter(F.col("_r1") <= k).drop("_r1", "_salt"))
+    cand = df
+    if k > EARLY_CUT:
+        # deterministic salt (retries re-create the same split); maps are not hashable
+        salt_col = salt_col or [f.name for f in df.schema.fields if not f.dataType.simpleString().startswith("map")]
+        w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
+        cand = (df.withColumn("_salt", F.pmod(F.xxhash64(*salt_col), F.lit(salt_buckets)))
+                .withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt"))
     w2 = Window.partitionBy(*group).orderBy(*order)
     return cand.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= k)
 

@@ -78,7 +78,7 @@ SELECT qid, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10
 def e6(spark, sf_dir):
     docs = tc.documents(spark, sf_dir)
     path = scratch_path(spark, "e6-index")
-    ix.write_index(corpus_index(spark, sf_dir), path)
+    ix.write_index(corpus_index(spark, sf_dir), path, shard_docs=2000)
     idx = ix.read_index(spark, path, docs)
     conv = E.table_stream(spark, sf_dir, "conversations")
     q = tc.search_history_from(conv).select((F.col("user_id") * 1000 + F.col("turn")).alias("qid"),
