@@ -62,12 +62,16 @@ class ExtractorRegistry:
         return F.coalesce(F.element_at(m, file_extension(path)), F.lit("unknown"))
 
     def apply(self, df: DataFrame, path_col: str = "path") -> DataFrame:
-        df = df.withColumn("format", self.format_column(F.col(path_col)))
+        return self.extend(df.withColumn("format", self.format_column(F.col(path_col))))
+
+    def extend(self, df: DataFrame) -> DataFrame:
+        """The extractors' columns for rows of their formats; a column that is there already stays for other rows."""
         cols: dict[str, Column] = {}
         for ext, (fmt, extractor) in sorted(self.entries.items()):
             for name, e in extractor().items():
                 branch = F.when(F.col("format") == fmt, e)
                 cols[name] = branch if name not in cols else F.coalesce(cols[name], branch)
+        cols = {name: F.coalesce(c, F.col(name)) if name in df.columns else c for name, c in cols.items()}
         return df.withColumns(cols) if cols else df
 
 
@@ -102,78 +106,7 @@ class Hooks:
 
 
 # --------------------------------------------------------------------------- U4
-try:
-    from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, \
-        WriterCommitMessage
-
-    class _FilePartition(InputPartition):
-        def __init__(self, path):
-            self.path = path
-
-    def _local(path: str) -> str:
-        return path[len("file:"):] if path and path.startswith("file:") else path
-
-    class MarkdownFolderReader(DataSourceReader):
-        def __init__(self, options):
-            self.root = _local(options.get("path"))
-
-        def partitions(self):
-            import os
-            out = []
-            for dirpath, _, files in os.walk(self.root):
-                for f in sorted(files):
-                    if f.lower().endswith((".md", ".markdown")):
-                        out.append(_FilePartition(os.path.join(dirpath, f)))
-            return out
-
-        def read(self, partition):
-            with open(partition.path, "rb") as fh:
-                raw = fh.read()
-            yield (partition.path, raw.decode("utf-8", errors="replace"), len(raw))
-
-    class MarkdownFolderWriter(DataSourceWriter):
-        def __init__(self, options):
-            self.root = _local(options.get("path"))
-
-        def write(self, iterator):
-            import os
-            from pyspark import TaskContext
-            ctx = TaskContext.get()
-            pid = ctx.partitionId() if ctx else 0
-            os.makedirs(self.root, exist_ok=True)
-            n = 0
-            with open(os.path.join(self.root, f"part-{pid:05d}.md"), "w", encoding="utf-8") as fh:
-                for row in iterator:
-                    fh.write(f"## {row['title']}\n\n{row['content']}\n\n---\n")
-                    n += 1
-            return WriterCommitMessage()
-
-    class MarkdownFolder(DataSource):
-        """U4: custom back end through the Python Data Source API: read a
-        folder of markdown files (one partition per file) or write documents
-        as markdown parts (one file per task)."""
-
-        @classmethod
-        def name(cls):
-            return "folio_markdown"
-
-        def schema(self):
-            return "path string, content string, size long"
-
-        def reader(self, schema):
-            return MarkdownFolderReader(self.options)
-
-        def writer(self, schema, overwrite):
-            return MarkdownFolderWriter(self.options)
-
-    HAVE_DATASOURCE = True
-except ImportError:  # pragma: no cover - older PySpark
-    HAVE_DATASOURCE = False
-
-
-def register_sources(spark) -> bool:
-    """Register the U4 data source with a session (returns False when the
-    Python Data Source API is unavailable)."""
-    if HAVE_DATASOURCE:
-        spark.dataSource.register(MarkdownFolder)
-    return HAVE_DATASOURCE
+def register_sources(spark) -> None:
+    """Register the U4 data source (sources/folders.py) with a session."""
+    from folio.sources.folders import MarkdownFolder
+    spark.dataSource.register(MarkdownFolder)

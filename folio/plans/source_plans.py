@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from folio import constants as C
 from folio.plans import sql as Q
 from folio.plans.registry import register
+from folio.session import scratch_path
 from folio.sources import files as S
+from folio.sources import folders
 from folio.sources import testcorpus as tc
 
 
@@ -139,18 +141,72 @@ def s12(spark, sf_dir):
     return dec.select("doc_id", "format", F.char_length("text").cast("int").alias("chars"), "status")
 
 
-@register("s1_s9_dry_run_listing")
+# ----------------------------------------------------------------------------- S1 / S9 / E1 over written files
+def written_tree(spark, sf_dir) -> str:
+    """The listing's files written below a new folder; every eleventh name starts with '_'."""
+    root = scratch_path(spark, "tree")
+    named = F.when(F.col("doc_id") % 11 == 5, F.regexp_replace("path", "/([^/]*)$", "/_$1")).otherwise(F.col("path"))
+    folders.write_files(listing(spark, sf_dir).select(named.alias("path"), "content"), root)
+    return root
+
+
+TREE_CTE = f"""{LISTING_CTE},
+tree AS (SELECT doc_id, CASE WHEN doc_id % 11 = 5 THEN regexp_replace(path, '/([^/]*)$', '/_\\1') ELSE path END AS path,
+                CAST(octet_length(bytes) AS BIGINT) AS length, source, split_part(path, '/', 3) AS sub
+         FROM listing JOIN (SELECT doc_id AS d, source FROM documents) s ON s.d = doc_id)"""
+
+
+def _below(root):
+    return F.substring_index("path", root.rstrip("/").split("/")[-1], -1)
+
+
+@register("s1_recursive_listing", f"WITH {TREE_CTE} SELECT path, length FROM tree WHERE NOT {_IGN}")
+def s1(spark, sf_dir):
+    """Recursive listing of files written from the documents, over a root and a root inside it."""
+    root = written_tree(spark, sf_dir)
+    source = tc.table(spark, sf_dir, "documents").agg(F.min("source")).first()[0]
+    ls = S.list_files(spark, [root, f"{root}/{source}"], with_content=False, ignore=C.DEFAULT_IGNORE)
+    return ls.select(_below(root).alias("path"), "length")
+
+
+@register("s1_s9_dry_run_listing", f"WITH {TREE_CTE} SELECT path, length FROM tree "
+          "WHERE sub IN ('en', 'fr', '.cache') AND sub <> '.cache' AND NOT contains(path, '/fr/_1') AND NOT contains(path, '.yaml')")
 def s1_s9(spark, sf_dir):
-    """Flat dry-run listing of the test-table folder itself (no content read);
-    rows only: the oracle cannot list files."""
-    ls = S.list_files(spark, sf_dir, recursive=False, with_content=False)
-    return ls.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length")
+    """Flat dry run over several folders with substring excludes; no file is opened."""
+    root = written_tree(spark, sf_dir)
+    sources = [r[0] for r in tc.table(spark, sf_dir, "documents").select("source").distinct().filter("source is not null").collect()]
+    roots = [f"{root}/{s}/{lang}" for s in sources for lang in ("en", "fr", "missing")]
+    ls = S.list_files(spark, roots, recursive=False, with_content=False, excludes=["/fr/_1", ".yaml"])
+    return ls.select(_below(root).alias("path"), "length")
+
 
+E1_SQL = f"""WITH {Q.DOCS_BASE},
+d AS (SELECT doc_id, path, content, content || '!' AS longer FROM docs_b)
+SELECT 1 AS version, path, 'added' AS change, CAST(octet_length(encode(content)) AS BIGINT) AS size, sha256(content) AS content_hash FROM d WHERE doc_id % 4 <> 3
+UNION ALL SELECT 2, path, 'modified', CAST(octet_length(encode(longer)) AS BIGINT), sha256(longer) FROM d WHERE doc_id % 4 = 1
+UNION ALL SELECT 2, path, 'deleted', NULL, NULL FROM d WHERE doc_id % 4 = 2
+UNION ALL SELECT 2, path, 'added', CAST(octet_length(encode(content)) AS BIGINT), sha256(content) FROM d WHERE doc_id % 4 = 3
+UNION ALL SELECT 3, path, 'deleted', NULL, NULL FROM d WHERE doc_id % 8 = 3
+UNION ALL SELECT 3, path, 'added', CAST(octet_length(encode(content)) AS BIGINT), sha256(content) FROM d WHERE doc_id % 8 = 2"""
 
-@register("e1_watch_directory")
+
+@register("e1_watch_directory", E1_SQL)
 def e1(spark, sf_dir):
-    """Stream the test-table folder as arriving files (binaryFile source);
-    rows only."""
+    """Three versions of a folder written from the documents, polled, and their changes streamed as documents."""
     from folio.streaming import stream_ops as E
-    out = E.run_available_now(E.watch_directory(spark, sf_dir, extensions=["parquet"]), "e1-watch")
-    return spark.read.parquet(out).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "size", "status")
+
+    root, base = scratch_path(spark, "watched"), scratch_path(spark, "e1-watch")
+    d = tc.documents(spark, sf_dir, with_labels=False).select("doc_id", "path", F.encode("content", "UTF-8").alias("content"))
+    m = F.col("doc_id") % 4
+    longer = d.withColumn("content", F.concat("content", F.lit(b"!")))
+    steps = [[(folders.write_files, d.filter(m != 3))],
+             [(folders.write_files, longer.filter(m == 1)), (folders.delete_files, d.filter(m == 2)), (folders.write_files, d.filter(m == 3))],
+             [(folders.delete_files, d.filter("doc_id % 8 = 3")), (folders.write_files, d.filter("doc_id % 8 = 2"))]]
+    watch = folders.FolderWatch(spark, root, f"{base}/versions")
+    for step in steps:
+        for change, rows in step:
+            change(rows, root)
+        watch.poll()
+        seen = watch.documents().select("version", "path", "change", F.when(F.col("status") == "indexed", F.col("size")).alias("size"), "content_hash")
+        out = E.run_available_now(seen, "e1", base=base)
+    return spark.read.parquet(out).select("version", _below(root).alias("path"), "change", "size", "content_hash")

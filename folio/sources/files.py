@@ -81,32 +81,42 @@ def extension_allowed(path, extensions) -> Column:
 
 
 def list_files(spark: SparkSession, roots, recursive: bool = True, with_content: bool = True,
-               modified_after: str | None = None, path_glob: str | None = None) -> DataFrame:
-    """Recursive or flat listing of several roots, de-duplicated by
-    path. `with_content=False` is the dry run (S9): the content column is
-    pruned, so file bytes are never read. Spark's file index already skips
-    names starting with '.' or '_' (hidden files and folders)."""
+               modified_after: str | None = None, path_glob: str | None = None, ignore=(".*",), excludes=()) -> DataFrame:
+    """Recursive or flat listing of several roots, each path once.
+    Directories that an `ignore` glob hits are not listed (sources/folders.py);
+    `excludes` are substrings of paths to leave out. `with_content=False` is
+    the dry run (S9): file bytes are never read. Stores that only Spark opens
+    are listed by its own file index, which skips names starting with '_'."""
+    from folio.sources import folders
+
     roots = [roots] if isinstance(roots, str) else list(roots)
-    roots = [r for r in roots if _exists(spark, r)]  # a missing root lists nothing
+    if all(folders.can_open(r) for r in roots):
+        listing = folders.list_tree(spark, roots, recursive, ignore).select("path", "modificationTime", "length")
+    else:
+        listing = _file_index(spark, roots, recursive, with_content)
+    if modified_after:
+        listing = listing.filter(F.col("modificationTime") > F.to_timestamp(F.lit(modified_after)))
+    if path_glob:
+        listing = listing.filter(F.regexp_extract("path", "([^/]*)$", 1).rlike(ignore_regex([path_glob])))
+    for part in excludes:
+        listing = listing.filter(~F.col("path").contains(part))
+    return folders.with_bytes(listing) if with_content and "content" not in listing.columns else listing
+
+
+def _file_index(spark: SparkSession, roots, recursive: bool, with_content: bool) -> DataFrame:
+    """The listing by Spark's binaryFile source. Roots below other roots are listed once."""
+    roots = sorted({r.rstrip("/") for r in roots if _exists(spark, r)})  # a missing root lists nothing
     cols = ["path", "modificationTime", "length"] + (["content"] if with_content else [])
     if not roots:
-        return spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary") \
-            .select(*cols)
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary").select(*cols)
+    if recursive:
+        roots = [r for r in roots if not any(r.startswith(o + "/") for o in roots)]
     rd = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if path_glob:
-        rd = rd.option("pathGlobFilter", path_glob)
-    if modified_after:
-        rd = rd.option("modifiedAfter", modified_after.replace(" ", "T"))
-    parts = []
-    for r in roots:
-        df = rd.load(r)
-        if not recursive:
-            base = "file:" + r.rstrip("/") + "/" if not r.startswith(("file:", "hdfs:", "s3", "gs:", "abfs")) else r.rstrip("/") + "/"
-            rel = F.when(F.col("path").startswith(base), F.substring("path", len(base) + 1, 1 << 30))
-            df = df.filter(~rel.contains("/") & rel.isNotNull())
-        parts.append(df)
-    df = reduce(lambda a, b: a.unionByName(b), parts)
-    return df.select(*cols).dropDuplicates(["path"])
+    df = reduce(lambda a, b: a.unionByName(b), [rd.load(r) for r in roots])
+    if not recursive:
+        parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+        df = df.filter(reduce(lambda a, b: a | b, [parent == r for r in roots]))
+    return df.select(*cols)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -144,10 +154,10 @@ def decode(listing: DataFrame) -> DataFrame:
     valid = F.is_valid_utf8(raw)
     lenient = F.col("format").isin(list(LENIENT_FORMATS))
     cleaned = F.replace(F.make_valid_utf8(raw), F.lit("�"), F.lit(""))
-    ok = valid | lenient
+    ok = (valid | lenient) & raw.isNotNull()
     return listing.withColumn("text", F.when(valid, raw).when(lenient, cleaned).otherwise(F.lit(""))) \
         .withColumn("status", F.when(ok, F.lit("indexed")).otherwise(F.lit("failed"))) \
-        .withColumn("error", F.when(ok, F.lit(None).cast("string")).otherwise(F.lit("invalid UTF-8")))
+        .withColumn("error", F.when(ok, F.lit(None).cast("string")).when(raw.isNull(), F.lit("no content")).otherwise(F.lit("invalid UTF-8")))
 
 
 def split_failed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -207,20 +217,33 @@ def prefix_facets(docs: DataFrame, path_col: str = "path", root: str | None = No
 
 
 def scan(spark: SparkSession, roots, recursive: bool = True, extensions=None, ignore=C.DEFAULT_IGNORE,
-         since: str | None = None, category: str | None = None, tags=None) -> DataFrame:
+         since: str | None = None, category: str | None = None, tags=None, registry=None) -> DataFrame:
     """S1-S7, S10 and the formats' own title, text and keywords (U2), snippet
-    (X19): the whole scan as one lazy plan."""
-    listing = list_files(spark, roots, recursive, modified_after=since)
+    (X19). Names are filtered before any file is opened. `registry` is an
+    ExtractorRegistry (U2): its extensions get their formats, and the columns of its
+    extractors (over `content`) replace or join the document's."""
+    from folio.sources import folders
+
+    listing = list_files(spark, roots, recursive, with_content=False, modified_after=since, ignore=ignore)
     listing = listing.filter(~ignored(local_path("path"), ignore, root=roots))
-    ident = identify(listing)
-    if extensions:
-        ident = ident.filter(extension_allowed(F.col("path"), extensions))
+    formats = registry.format_column(F.col("path")) if registry else format_of(F.col("path"))
+    listing = listing.filter(extension_allowed(F.col("path"), extensions) if extensions else formats != "unknown")
+    if folders.can_open(roots if isinstance(roots, str) else roots[0]):  # bytes of the files that are left
+        listing = folders.with_bytes(listing)
     else:
-        ident = ident.filter(F.col("format") != "unknown")
-    dec = decode(ident)
+        listing = _file_index(spark, [roots] if isinstance(roots, str) else roots, recursive, True).join(listing.select("path"), "path", "left_semi")
+    return apply_defaults(to_documents(listing, registry), category, tags)
+
+
+def to_documents(files: DataFrame, registry=None, keep=()) -> DataFrame:
+    """Document rows of `files(path, modificationTime, length, content)`: identity, decoded text, and title, text and
+    keywords by format (S4-S7, X*); `keep` columns stay."""
+    formats = registry.format_column(F.col("path")) if registry else format_of(F.col("path"))
+    dec = decode(identify(files).withColumn("format", formats))
     own = by_format("format", "text", "path")
-    docs = dec.select("id", local_path("path").alias("path"), own["title"].alias("title"),
+    docs = dec.select(*keep, "id", local_path("path").alias("path"), own["title"].alias("title"),
                       own["content"].alias("content"), "content_hash", "format", "size", "created_at",
                       "modified_at", "status", "error", own["keywords"].alias("keywords"))
-    docs = docs.withColumn("snippet", snippet("content"))
-    return apply_defaults(docs, category, tags)
+    if registry:
+        docs = registry.extend(docs)
+    return docs.withColumn("snippet", snippet("content"))

@@ -299,12 +299,12 @@ def topic_feed(changes: DataFrame, subscriptions: DataFrame, topic: str = "docum
 
 # ----------------------------------------------------------------------------- runner
 def run_available_now(df: DataFrame, name: str, fmt: str = "parquet", output_mode: str = "append",
-                      foreach_batch: Callable | None = None) -> str:
+                      foreach_batch: Callable | None = None, base: str | None = None) -> str:
     """Run a stream over everything available now, with its checkpoint and
-    (for file sinks) its output under the shared checkpoint folder. Returns
-    the output path."""
+    (for file sinks) its output under the shared checkpoint folder, or below
+    `base` to go on where an earlier run ended. Returns the output path."""
     spark = df.sparkSession
-    base = scratch_path(spark, name)
+    base = base or scratch_path(spark, name)
     w = df.writeStream.option("checkpointLocation", f"{base}/_checkpoint").outputMode(output_mode) \
         .trigger(availableNow=True)
     if foreach_batch is not None:
