@@ -91,43 +91,76 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 class SpanHash:
-    """Polynomial hashes modulo 2^64 of any spans of a byte array, from one
-    prefix sum; bytes are first mapped to random words."""
+    """Polynomial hashes of any spans of a byte array, from prefix sums: two lanes modulo the prime 2^31 - 1 with bases
+    of their own, so no fixed strings collide for all words; bytes are first mapped to random words. Two different
+    spans of n units collide with a chance of about (n / 2^31)^2."""
 
-    BASE = 0x9E3779B97F4A7C15
-    _pow = np.ones(1, U)
-    _inv = np.ones(1, U)
+    PRIME = (1 << 31) - 1
+    BASES = (1_203_947_261, 1_799_264_803)
+    _pow = [np.ones(1, np.uint32), np.ones(1, np.uint32)]
+    _inv = [np.ones(1, np.uint32), np.ones(1, np.uint32)]
 
     def __init__(self, data: np.ndarray, fold: np.ndarray | None = None, seed: int = 1):
         words = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
         if fold is not None:
             words = words[fold]
-        self._sum(words[data])
+        self._sum(lambda lane: self._lane(words, lane)[data])
 
     @classmethod
     def of_values(cls, values: np.ndarray) -> SpanHash:
         """Over 64-bit values in place of bytes."""
         out = cls.__new__(cls)
-        out._sum(values)
+        out._sum(lambda lane: cls._lane(values, lane))
         return out
 
-    def _sum(self, values: np.ndarray) -> None:
-        n = len(values)
-        cls = SpanHash
-        if len(cls._pow) < n + 1:
-            base, inv = np.full(n + 1, cls.BASE, U), np.full(n + 1, pow(cls.BASE, -1, 2**64), U)
-            base[0] = inv[0] = 1
-            cls._pow, cls._inv = np.cumprod(base, dtype=U), np.cumprod(inv, dtype=U)
-        self.prefix = np.zeros(n + 1, U)
-        np.cumsum(values * cls._pow[:n], out=self.prefix[1:])
+    @staticmethod
+    def _lane(values: np.ndarray, lane: int) -> np.ndarray:
+        return values >> U(33) if lane == 0 else values & U(SpanHash.PRIME)
+
+    @staticmethod
+    def _mod(x: np.ndarray) -> np.ndarray:
+        """x modulo the prime, for x up to 2^63."""
+        p = U(SpanHash.PRIME)
+        x = (x & p) + (x >> U(31))
+        x = (x & p) + (x >> U(31))
+        x = (x & p) + (x >> U(31))
+        return np.where(x == p, U(0), x)
+
+    @classmethod
+    def _powers(cls, base: int, known: np.ndarray, n: int) -> np.ndarray:
+        while len(known) < n:
+            step = pow(base, len(known), cls.PRIME)
+            known = np.concatenate((known, cls._mod(known[:n - len(known)].astype(U) * U(step)).astype(np.uint32)))
+        return known
+
+    def _sum(self, lane_values) -> None:
+        cls, self.prefix = SpanHash, []
+        for lane, base in enumerate(cls.BASES):
+            values = lane_values(lane)
+            n = len(values)
+            cls._pow[lane] = cls._powers(base, cls._pow[lane], n + 1)
+            cls._inv[lane] = cls._powers(pow(base, -1, cls.PRIME), cls._inv[lane], n + 1)
+            values = cls._mod(values * cls._pow[lane][:n])
+            prefix = np.zeros(n + 1, np.uint32)
+            prefix[1:] = cls._mod(np.cumsum(values, dtype=U))
+            self.prefix.append(prefix)
+
+    def _between(self, lane: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        p = self.prefix[lane]
+        return p[end].astype(U) + U(self.PRIME) - p[start]
+
+    def _mixed(self, sums: list, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        a, b = (self._mod(self._mod(x) * SpanHash._inv[lane][start]) for lane, x in enumerate(sums))
+        return mix64(((a << U(31)) | b) + (length.astype(U) << U(40)) * U(0x9E3779B97F4A7C15))
 
     def without(self, start: np.ndarray, drop: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the span [start, end) with the position `drop` taken out: what the shorter span itself would have."""
-        rest = (self.prefix[drop] - self.prefix[start]) + (self.prefix[end] - self.prefix[drop + 1]) * U(pow(self.BASE, -1, 2**64))
-        return mix64(rest * SpanHash._inv[start] + (end - start - 1).astype(U))
+        sums = [self._between(lane, start, drop) + self._mod(self._mod(self._between(lane, drop + 1, end)) * U(pow(base, -1, self.PRIME)))
+                for lane, base in enumerate(self.BASES)]
+        return self._mixed(sums, start, end - start - 1)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((self.prefix[end] - self.prefix[start]) * SpanHash._inv[start] + (end - start).astype(U))
+        return self._mixed([self._between(lane, start, end) for lane in (0, 1)], start, end - start)
 
 
 LOWER = np.arange(256, dtype=np.uint8)

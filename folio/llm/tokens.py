@@ -2,23 +2,24 @@
 
 The tokenizer of word_bpe_49k.json lower-cases, and no token spans white space
 or the border between an ASCII letter and one of .,;:!? after it. So a text's
-ids are the ids of its chunks, cut there, one after another. Chunks are found
-and hashed in numpy, and each distinct chunk is encoded once by the library
+ids are the ids of its chunks, cut there, one after another. Chunks are found in
+numpy and compared as bytes; each distinct chunk is encoded once by the library
 and held in a cache of bounded size. Texts holding "<|" (special tokens) are
-encoded whole."""
+encoded whole, and so is every text for a file of another form."""
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 import pyarrow as pa
 
-from folio.llm.common import LOWER, SPACE, SpanHash, ragged, runs, text_buffers
+from folio.llm.common import LOWER, SPACE, ragged, runs, text_buffers
 
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-CACHE_CHUNKS = 1_500_000
+CACHE_CHUNKS = 600_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -32,6 +33,16 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def _cuttable(tok) -> bool:
+    """Does the file lower-case, drop white space and end words, so that chunks have the ids they have inside a text?"""
+    form = json.loads(tok.to_str())
+    kinds = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
+    probe = "It's  OK,\nreally.So x1!? (a) b\u00e9"
+    parts = "It's|OK|,|really|.So|x1!?|(a)|b\u00e9".split("|")
+    ids = lambda t: tok.encode(t, add_special_tokens=False).ids
+    return "Lowercase" in kinds and bool(form["model"].get("end_of_word_suffix")) and ids(probe) == [i for p in parts for i in ids(p)]
+
+
 class Encoder:
     """encode(column) -> (ids of all texts, each text followed by END_ID; number of ids of each text)."""
 
@@ -40,41 +51,38 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), cache
+        self.cuttable = _cuttable(self.tok)
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known: dict[bytes, int] = {}
+        self.at, self.n, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _direct(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        out = [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        out = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         n = np.fromiter(map(len, out), np.int64, len(out))
         return np.fromiter((i for x in out for i in x), np.uint32, int(n.sum())), n
 
-    def _lookup(self, keys: np.ndarray, chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Place and number of ids of each distinct key; chunk(i) gives its text."""
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
-        new = np.flatnonzero(~known)
-        if len(new):
-            if len(self.keys) + len(new) > self.most and len(self.keys):
-                self._clear()
-                return self._lookup(keys, chunk)
-            for a in range(0, len(new), 20_000):
-                some = new[a:a + 20_000]
-                ids, n = self._direct([chunk(i) for i in some])
-                where = np.searchsorted(self.keys, keys[some])
-                start = len(self.ids) + np.cumsum(n) - n
-                self.keys, self.at, self.n = (np.insert(x, where, y) for x, y in ((self.keys, keys[some]), (self.at, start), (self.n, n)))
-                self.ids = np.concatenate((self.ids, ids))
-            at = np.searchsorted(self.keys, keys)
-        return self.at[at], self.n[at]
+    def _lookup(self, chunks: list[bytes]) -> np.ndarray:
+        """The cache entry of each distinct chunk."""
+        new = [c for c in chunks if c not in self.known]
+        if new and len(self.known) + len(new) > self.most and self.known:
+            self._clear()
+            new = chunks
+        for a in range(0, len(new), 20_000):
+            some = new[a:a + 20_000]
+            ids, n = self._direct([c.decode() for c in some])
+            self.at, self.n = np.concatenate((self.at, len(self.ids) + np.cumsum(n) - n)), np.concatenate((self.n, n))
+            self.ids = np.concatenate((self.ids, ids))
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+        return np.fromiter((self.known[c] for c in chunks), np.int64, len(chunks))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, off = text_buffers(column)
         docs, raw = len(off) - 1, data.tobytes()
         whole = np.zeros(docs, bool)
+        if not self.cuttable:
+            whole[:] = True
         hit = raw.find(b"<|")
         while hit >= 0:
             d = int(np.searchsorted(off, hit, "right")) - 1
@@ -85,13 +93,10 @@ class Encoder:
         cut = np.zeros(len(data), bool)
         cut[1:] = _LETTER[data[:-1]] & _STOP[data[1:]]
         start, end = runs(member, off, cut)
-        hashed = SpanHash(data, LOWER)(start, end)
-        keys, first, inverse = np.unique(hashed, return_index=True, return_inverse=True)
-        again = SpanHash(data, LOWER, seed=2)(start, end)
-        if not np.array_equal(again, again[first][inverse]):  # two chunks with one hash: take no chunk by its hash
-            whole[:], start, end, inverse, keys = True, start[:0], end[:0], inverse[:0], keys[:0]
-        place, n = self._lookup(keys, lambda i: raw[start[first[i]]:end[first[i]]].decode())
-        place, n = place[inverse], n[inverse]
+        bounds = np.concatenate(([0], np.cumsum(end - start)))
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(LOWER[data[member]])]).dictionary_encode()
+        entry = self._lookup(chunks.dictionary.to_pylist())[chunks.indices.to_numpy()]
+        place, n = self.at[entry], self.n[entry]
         doc = np.searchsorted(off, start, "right") - 1
         count = np.bincount(doc, n, docs).astype(np.int64) if len(n) else np.zeros(docs, np.int64)
         alone = np.flatnonzero(whole)
