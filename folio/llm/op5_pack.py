@@ -98,20 +98,27 @@ def pack(docs: DataFrame, vocabulary: str | None = None, longest: int = LENGTH,
         from pyspark import TaskContext
 
         tok, part = encoder(vocabulary), TaskContext.get().partitionId()
-        packer, sequence, step, room = Packer(longest, shortest), part << 33, part << 33, step_ids
-
-        def emit(windows):
-            nonlocal sequence, step, room
-            rows = []
-            for size, pieces in sorted(windows, key=lambda w: -w[0]):
-                if room < size:
-                    step, room = step + 1, step_ids
+        packer, sequence, step, waiting = Packer(longest, shortest), part << 33, part << 33, []
+
+        def emit(windows, last=False):
+            """Full step groups of the windows so far. Window lengths are powers of two that divide step_ids, so from
+            the longest down they fill a group exactly; what is left waits for the next windows."""
+            nonlocal sequence, step, waiting
+            waiting = sorted(waiting + windows, key=lambda w: -w[0])
+            left = sum(size for size, _ in waiting)
+            rows, room, taken = [], step_ids, 0
+            for size, pieces in waiting:
+                if room == step_ids and left < step_ids and not last:
+                    break
+                taken, left, at = taken + 1, left - size, 0
                 room -= size
-                at = 0
                 for n, _, doc, start, total, ids in pieces:
                     rows.append((doc, start, n, zlib.crc32(ids.tobytes()), total, sequence, at, size, step))
                     at += n
                 sequence += 1
+                if not room:
+                    step, room = step + 1, step_ids
+            waiting = waiting[taken:]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 9
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
                                               ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_id"])
@@ -131,6 +138,6 @@ def pack(docs: DataFrame, vocabulary: str | None = None, longest: int = LENGTH,
                     ready = []
             if ready:
                 yield emit(ready)
-        yield emit(list(packer.windows(False)) + list(packer.windows(True)))
+        yield emit(list(packer.windows(False)) + list(packer.windows(True)), last=True)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
