@@ -66,29 +66,31 @@ def exact_groups(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     n = docs.select(F.count("*")).first()[0]
     groups = max(4, -(-n // group_rows))
     prints = stored(docs.select("doc_id", X.group_of("doc_id", groups), "text").mapInArrow(
-        _fingerprints, "doc_id long, gid long, fp long, points long, text_sha256 string"), "op9-prints")
+        _fingerprints, "doc_id long, gid long, fp long, points long, text_sha256 string").withColumn("row", F.monotonically_increasing_id()), "op9-prints")
 
     def send(key, pdf):
         return X.send(int(key[0]), _unsigned(pdf["fp"]), groups)
 
     def receive(key, pdf, back):
-        pdf = pdf[["doc_id", "points", "text_sha256", "fp"]]
+        pdf = pdf[["doc_id", "points", "text_sha256", "row", "fp"]]
         return pdf.assign(suspect=X.shared(_unsigned(pdf["fp"]), back, groups)).drop(columns="fp")
 
     back = X.answers(prints.groupBy("gid").applyInPandas(send, X.SENT))
     marked = stored(prints.groupBy("gid").cogroup(back.groupBy("gid")).applyInPandas(
-        receive, "doc_id long, points long, text_sha256 string, suspect boolean"), "op9-marked")
+        receive, "doc_id long, points long, text_sha256 string, row long, suspect boolean"), "op9-marked")
     suspects = marked.filter("suspect").select(F.col("doc_id").alias("__id")).distinct()
     order = F.struct((-F.col("points")).alias("p"), "doc_id")
     same = (docs.join(suspects, docs["doc_id"].eqNullSafe(suspects["__id"]), "left_semi")
             .mapInArrow(_texts, "doc_id long, points long, norm binary")
             .groupBy("norm").agg(F.min(order)["doc_id"].alias("keep_id"), F.count("*").alias("group_size"))
             .select(F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"))
-    rest = marked.filter("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256", "points")
-    found = (marked.filter("suspect").join(stored(same, "op9-groups"), "text_sha256")
-             .select("doc_id", "keep_id", "group_size", "text_sha256", "points"))
-    return (rest.unionByName(found).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
+    # one row stays also where a doc_id repeats with equal texts: the first as written
+    first = F.struct((-F.col("points")).alias("p"), "doc_id", "row")
+    firsts = marked.filter("suspect").groupBy("text_sha256").agg(F.min(first)["row"].alias("keep_row"))
+    told = stored(same.join(firsts, "text_sha256"), "op9-groups")
+    rest = marked.filter("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    found = marked.filter("suspect").join(told, "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+    return rest.unionByName(found)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
