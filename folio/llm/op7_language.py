@@ -292,11 +292,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def causes(column: pa.Array, model: LetterModel | None) -> np.ndarray:
-    """Why a text goes: no letter, no labelled rows to compare with, or no likelier in the languages than as
-    letters at random; None for a text that stays."""
-    if model is None:
-        return np.full(len(column), "no language", object)
-    out = np.where(model(column) > 0, None, "unlike the languages")
+    """Why a text goes: no letter, or no likelier in the languages than as letters at random; None for a text that
+    stays. Without labelled rows there are no languages to compare with, and every text with a letter stays."""
+    out = np.full(len(column), None, object) if model is None else np.where(model(column) > 0, None, "unlike the languages")
     out[~_has_letter(column)] = "no letter"
     return out
 
