@@ -32,18 +32,25 @@ def e2(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-E3_SQL = f"""WITH {Q.FILE_EVENTS},
-touch AS (SELECT path AS p, ts, event_id, value, type <> 'deleted' AS present FROM file_events
-          UNION ALL SELECT old_path, ts, event_id, value, false FROM file_events WHERE type = 'moved'),
-r AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY ts DESC, event_id DESC) AS rn FROM touch)
-SELECT p AS path, ts AS last_ts, value FROM r WHERE rn = 1 AND present"""
+E3_SQL = f"""WITH RECURSIVE {Q.FILE_EVENTS},
+touch AS (SELECT path AS p, ts, event_id, value, type <> 'deleted' AS present, CASE type WHEN 'deleted' THEN 'drop' WHEN 'moved' THEN 'in' ELSE 'set' END AS kind,
+                 CASE type WHEN 'deleted' THEN 1 ELSE 2 END AS o FROM file_events
+          UNION ALL SELECT old_path, ts, event_id, value, false, 'out', 1 FROM file_events WHERE type = 'moved'),
+w AS (SELECT *, coalesce(lag(present) OVER (PARTITION BY p ORDER BY ts, event_id, o), false) AS was FROM touch),
+n AS (SELECT *, CASE WHEN present AND (kind = 'in' OR NOT was) THEN kind || event_id || p END AS node FROM w),
+s AS (SELECT *, last_value(node IGNORE NULLS) OVER (PARTITION BY p ORDER BY ts, event_id, o ROWS UNBOUNDED PRECEDING) AS start FROM n),
+link AS (SELECT a.node, b.start AS parent, md5(a.p) AS own FROM s a LEFT JOIN s b ON a.kind = 'in' AND b.kind = 'out' AND b.was AND a.event_id = b.event_id
+         WHERE a.node IS NOT NULL),
+ids AS (SELECT node, own AS id FROM link WHERE parent IS NULL UNION ALL SELECT l.node, i.id FROM link l JOIN ids i ON l.parent = i.node),
+r AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY ts DESC, event_id DESC, o DESC) AS rn FROM s)
+SELECT p AS path, ids.id AS id, ts AS last_ts, value FROM r JOIN ids ON r.start = ids.node WHERE rn = 1 AND present"""
 
 
 @register("e3_apply_file_events", E3_SQL)
 def e3(spark, sf_dir):
     log = E.ChangeLog(spark, scratch_path(spark, "e3-state"), E.empty_touches(spark))
     E.run_available_now(_events(spark, sf_dir), "e3-apply", foreach_batch=E.change_log_sink(log))
-    return E.current_state(log).select("path", "last_ts", "value")
+    return E.current_state(log).select("path", "id", "last_ts", "value")
 
 
 @register("e4_stream_indexing", T2_SQL)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
 from folio.functions.text import format_of
 from folio.operators import index as ix
@@ -84,30 +85,74 @@ def filter_events(events: DataFrame, ignore=None, formats=None) -> DataFrame:
 
 # ----------------------------------------------------------------------------- E3
 STATE_COLS = ("path", "id", "last_ts", "value")
+TOUCH_SCHEMA = ("path string, ts timestamp_ntz, event_id bigint, value double, type string, "
+                "old_path string, present boolean, kind string, id string")
+_TOUCH_COLS = [f.split()[0] for f in TOUCH_SCHEMA.split(", ")]
+#: Order of the touches of one event on one path: a state row stands before events of its time, leaving before arriving.
+_KIND_ORDER = {"state": 0, "out": 1, "drop": 1, "in": 2, "set": 2}
+
+
+def touches(events: DataFrame) -> DataFrame:
+    """What events do to paths: created and modified set one, deleted drops
+    one, moved leaves the old (`out`) and takes the new one (`in`)."""
+    kind = F.when(F.col("type") == "deleted", "drop").when(F.col("type") == "moved", "in").otherwise("set")
+    own = events.select("path", "ts", "event_id", "value", "type", "old_path", (F.col("type") != "deleted").alias("present"), kind.alias("kind"))
+    left = events.filter(F.col("type") == "moved").select(
+        F.col("old_path").alias("path"), "ts", "event_id", "value", "type", "old_path", F.lit(False).alias("present"), F.lit("out").alias("kind"))
+    return own.unionByName(left).withColumn("id", F.lit(None).cast("string")).select(*_TOUCH_COLS)
+
+
+def resolve(all_touches: DataFrame) -> DataFrame:
+    """The last touch of every path, with the id of the document there.
+
+    A document begins where a path is set that holds none, under md5(path), and
+    keeps its id while it is modified or moved, over any number of moves. A
+    move takes the place of what was there; one from an empty path begins a
+    document. So the result depends on the set of touches alone, not on the
+    batches they came in.
+
+    Each stretch in which a path holds one document is a node; a move links its
+    stretch to the one it ended at the old path. Links are followed by pointer
+    jumping, a table in the shared folder a round."""
+    order = [F.col("ts"), F.coalesce("event_id", F.lit(-1)), F.element_at(F.create_map(*[F.lit(x) for kv in _KIND_ORDER.items() for x in kv]), F.col("kind"))]
+    w = Window.partitionBy("path").orderBy(*order)
+    was = F.coalesce(F.lag("present").over(w), F.lit(False))
+    once = all_touches.dropDuplicates(["path", "ts", "event_id", "kind"])
+    begins = F.col("present") & (F.col("kind").isin("in", "state") | ~F.col("was"))
+    seen = (once.withColumn("was", was)
+            .withColumn("node", F.when(begins, F.concat_ws("|", "kind", F.col("event_id").cast("string"), "path")))
+            .withColumn("start", F.last("node", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    seen = _table(seen, "e3-touches")
+    outs = seen.filter("kind = 'out' and was").select("event_id", F.col("start").alias("parent"))
+    begun = seen.filter("node is not null").select("node", F.when(F.col("kind") == "in", F.col("event_id")).alias("event_id"), F.coalesce("id", F.md5("path")).alias("own"))
+    nodes = _table(begun.join(outs, "event_id", "left").select("node", "parent", F.when(F.col("parent").isNull(), F.col("own")).alias("id")), "e3-nodes")
+    while nodes.filter("id is null").limit(1).count():
+        up = nodes.select(F.col("node").alias("parent"), F.col("parent").alias("next"), F.col("id").alias("up_id"))
+        done = nodes.filter("id is not null")
+        step = nodes.filter("id is null").join(up, "parent").select("node", F.col("next").alias("parent"), F.col("up_id").alias("id"))
+        nodes = _table(done.unionByName(step), "e3-nodes")
+    last = seen.groupBy("path").agg(F.max_by(F.struct("ts", "event_id", "value", "type", "old_path", "present", "start"), F.struct(*order)).alias("e")).select("path", "e.*")
+    ids = nodes.select(F.col("node").alias("start"), "id")
+    out = last.join(ids, "start", "left").withColumn("id", F.when(F.col("present"), F.col("id"))).withColumn("kind", F.lit("state"))
+    return out.select(*_TOUCH_COLS)
+
+
+def _table(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read back: its lineage ends there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _state(resolved: DataFrame) -> DataFrame:
+    return resolved.filter("present").select("path", "id", F.col("ts").alias("last_ts"), "value")
 
 
 def apply_events(state: DataFrame, events: DataFrame) -> DataFrame:
-    """E3 on one batch: the latest touch per path decides; created/modified/
-    moved-in keep the path, deleted/moved-away drop it; a modified unknown
-    path is a create; a move keeps the id of the old path.
-    state(path, id, last_ts, value) -> new state."""
-    touch_new = events.select(F.col("path").alias("p"), "ts", "event_id", "value", "type", "old_path",
-                              (F.col("type") != "deleted").alias("present"))
-    touch_old = events.filter(F.col("type") == "moved").select(
-        F.col("old_path").alias("p"), "ts", "event_id", "value", "type", "old_path", F.lit(False).alias("present"))
-    touches = touch_new.unionByName(touch_old)
-    last = touches.groupBy("p").agg(F.max_by(F.struct("ts", "event_id", "value", "type", "old_path", "present"),
-                                             F.struct("ts", "event_id")).alias("e")).select("p", "e.*")
-    old_ids = state.select(F.col("path").alias("old_path"), F.col("id").alias("moved_id"))
-    cur_ids = state.select(F.col("path").alias("p"), F.col("id").alias("cur_id"))
-    upd = (last.filter("present")
-           .join(cur_ids, "p", "left")
-           .join(old_ids, "old_path", "left")
-           .select(F.col("p").alias("path"),
-                   F.coalesce(F.when(F.col("type") == "moved", F.col("moved_id")), F.col("cur_id"), F.md5("p")).alias("id"),
-                   F.col("ts").alias("last_ts"), "value"))
-    kept = state.join(last.select(F.col("p").alias("path")), "path", "left_anti")
-    return kept.select(*STATE_COLS).unionByName(upd.select(*STATE_COLS))
+    """E3 on one batch: state(path, id, last_ts, value) and events -> new state."""
+    held = state.select("path", F.col("last_ts").alias("ts"), F.lit(None).cast("bigint").alias("event_id"), "value", F.lit(None).cast("string").alias("type"),
+                        F.lit(None).cast("string").alias("old_path"), F.lit(True).alias("present"), F.lit("state").alias("kind"), "id")
+    return _state(resolve(held.unionByName(touches(events))))
 
 
 class ChangeLog:
@@ -161,30 +206,9 @@ class ChangeLog:
             .parquet(f"{self.base}/snapshot/upto={upto_batch}")
 
 
-def touches(events: DataFrame) -> DataFrame:
-    """Latest touch per path of one batch (created/modified/moved-in keep the
-    path, deleted/moved-away drop it): (path, ts, event_id, value, type,
-    old_path, present)."""
-    touch_new = events.select(F.col("path").alias("p"), "ts", "event_id", "value", "type", "old_path",
-                              (F.col("type") != "deleted").alias("present"))
-    touch_old = events.filter(F.col("type") == "moved").select(
-        F.col("old_path").alias("p"), "ts", "event_id", "value", "type", "old_path", F.lit(False).alias("present"))
-    return (touch_new.unionByName(touch_old).groupBy("p")
-            .agg(F.max_by(F.struct("ts", "event_id", "value", "type", "old_path", "present"),
-                          F.struct("ts", "event_id")).alias("e"))
-            .select(F.col("p").alias("path"), "e.*"))
-
-
-TOUCH_SCHEMA = ("path string, ts timestamp_ntz, event_id bigint, value double, type string, "
-                "old_path string, present boolean, id string")
-
-
 def latest_touches(log: ChangeLog) -> DataFrame:
-    """The latest touch row per path, also those that drop it (log schema)."""
-    rows = log.read()
-    cols = [c for c in rows.columns if c != "batch"]
-    last = rows.groupBy("path").agg(F.max_by(F.struct(*cols), F.struct("ts", "event_id", "batch")).alias("e"))
-    return last.select("e.*")
+    """The last touch per path, also those that drop it, with ids (log schema)."""
+    return resolve(log.read().select(*_TOUCH_COLS))
 
 
 def compact_state(log: ChangeLog, upto_batch: int) -> None:
@@ -199,28 +223,16 @@ def compact_postings(log: ChangeLog, upto_batch: int) -> None:
 
 
 def current_state(log: ChangeLog) -> DataFrame:
-    """E3 state = the latest logged touch per path that keeps the path
-    (max_by with partial aggregation: a hot path never lands whole in one task)."""
-    rows = log.read()
-    last = rows.groupBy("path").agg(F.max_by(F.struct("present", "id", "ts", "value"),
-                                             F.struct("ts", "event_id", "batch")).alias("e"))
-    return last.filter("e.present").select("path", F.col("e.id").alias("id"),
-                                           F.col("e.ts").alias("last_ts"), F.col("e.value").alias("value"))
+    """E3 state (path, id, last_ts, value) of everything logged."""
+    return _state(latest_touches(log))
 
 
 def change_log_sink(log: ChangeLog) -> Callable[[DataFrame, int], None]:
-    """E3 foreachBatch on a change log: the batch's touches with resolved ids
-    (a move keeps the id of the old path) are appended as partition b."""
+    """E3 foreachBatch on a change log: the batch's touches are appended as
+    partition b. Nothing else is read or written, so a batch costs its own size;
+    readers resolve ids, and compact_state() folds the log."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        t = touches(batch)
-        ids = current_state(log).select("path", "id")
-        old = ids.select(F.col("path").alias("old_path"), F.col("id").alias("moved_id"))
-        cur = ids.select("path", F.col("id").alias("cur_id"))
-        out = (t.join(cur, "path", "left").join(old, "old_path", "left")
-               .withColumn("id", F.coalesce(F.when(F.col("type") == "moved", F.col("moved_id")),
-                                            F.col("cur_id"), F.md5("path")))
-               .drop("cur_id", "moved_id"))
-        log.append(batch_id, out.select(*[f.split()[0] for f in TOUCH_SCHEMA.split(", ")]))
+        log.append(batch_id, touches(batch))
     return run
 
 
