@@ -62,6 +62,32 @@ def e4(spark, sf_dir):
     return post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+E4D_SQL = f"""WITH later AS (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'renewed ' || text ELSE text END AS text, lang, source FROM documents WHERE doc_id % 4 <> 2 OR doc_id % 8 = 2),
+{Q.DOCS.replace('FROM documents)', 'FROM later)', 1)}, {Q.tokens_cte()}, {Q.postings_cte("field IN ('title', 'content', 'category')")}
+SELECT field, term, df, CAST(cf AS BIGINT) AS cf, round(avgdl, 6) AS avgdl, n_docs FROM (SELECT field, term, count(*) AS df, sum(tf) AS cf FROM post GROUP BY field, term) JOIN st USING (field)"""
+
+
+@register("e4_index_changes", E4D_SQL)
+def e4_changes(spark, sf_dir):
+    """Adds, changes and deletes of documents streamed into a segmented index: counts and statistics after three versions."""
+    from folio.operators.segments import SegmentedIndex
+
+    raw = tc.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    told = lambda df, v, change: df.withColumn("version", F.lit(v)).withColumn("change", F.lit(change))
+    m = F.col("doc_id") % 4
+    versions = [told(raw, 1, "added"),
+                told(raw.filter(m == 1).withColumn("text", F.concat(F.lit("renewed "), "text")), 2, "modified").unionByName(told(raw.filter(m == 2), 2, "deleted")),
+                told(raw.filter("doc_id % 8 = 2"), 3, "added")]
+    feed, base = scratch_path(spark, "e4-feed"), scratch_path(spark, "e4-segments")
+    index = SegmentedIndex(spark, f"{base}/index", keyword_fields=("category",))
+    for v, rows in enumerate(versions):
+        rows.write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(rows.schema).parquet(feed)
+        E.run_available_now(stream, "e4-changes", foreach_batch=E.segment_sink(index, tc.documents_from), base=base)
+    idx = index.open(tc.documents(spark, sf_dir, with_labels=False))
+    return idx.vocab.join(idx.stats, "field").select("field", "term", "df", "cf", F.round("avgdl", 6).alias("avgdl"), "n_docs")
+
+
 @register("e5_watch_stats", f"WITH {Q.FILE_EVENTS} SELECT type, count(*) AS events, max(ts) AS last_update "
           "FROM file_events GROUP BY type")
 def e5(spark, sf_dir):

@@ -259,6 +259,18 @@ def index_log_sink(log: ChangeLog, to_docs: Callable[[DataFrame], DataFrame]) ->
     return run
 
 
+def segment_sink(index, to_docs: Callable[[DataFrame], DataFrame], first: int = 0) -> Callable[[DataFrame, int], None]:
+    """E4 foreachBatch on a SegmentedIndex: rows whose `change` is deleted take
+    their doc_id out of the index, all others are (re)indexed; one segment a batch,
+    rewritten when the batch is retried. Of several rows of one doc_id in a
+    batch the last version counts."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        last = batch.groupBy("doc_id").agg(F.max_by(F.struct(*batch.columns), F.col("version")).alias("e")).select("e.*")
+        docs = to_docs(last.filter("change <> 'deleted'"))
+        index.apply(first + batch_id, docs, last.filter("change = 'deleted'").select("doc_id"))
+    return run
+
+
 def current_postings(log: ChangeLog) -> DataFrame:
     """E4 merge-on-read: a document's postings come from the latest batch
     that indexed it (T15 delete + T2 add, without rewriting)."""
