@@ -51,8 +51,11 @@ EXTENSION_FORMATS = {
     ".py": "code", ".pyw": "code", ".pyi": "code",
     ".html": "html", ".htm": "html", ".xhtml": "html",
 }
-# Extra mapping used for uploads.
-UPLOAD_EXTENSION_FORMATS = {".js": "code", ".pdf": "pdf"}
+# Formats of uploaded files: these extensions only.
+UPLOAD_EXTENSION_FORMATS = {
+    ".md": "markdown", ".txt": "text", ".json": "json", ".yaml": "yaml", ".yml": "yaml",
+    ".py": "code", ".js": "code", ".html": "html", ".htm": "html",
+}
 # Built-in ignore globs of the scanner.
 DEFAULT_IGNORE = (".*", "*.pyc", "__pycache__", "*.swp", "*.tmp", ".DS_Store", "Thumbs.db")
 
@@ -64,7 +67,11 @@ HTML_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
 DEFAULT_FACET_FIELDS = ("format", "category", "tags", "status", "year")
 SNIPPET_LENGTH = 200
 SNIPPET_CUT_RATIO = 0.8
+# Terms, and related tags of each, that query templates are filled with.
+TEMPLATE_TERMS = 3
 MAX_PAGE_SIZE = 100
+# Fragments of a hit: tokens in one, tokens before its first hit, and how many.
+FRAGMENT_TOKENS, FRAGMENT_CONTEXT, FRAGMENTS = 24, 4, 3
 HIGHLIGHT_OPEN = "<mark>"
 HIGHLIGHT_CLOSE = "</mark>"
 # Words per minute for reading time.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,6 +75,12 @@ def format_of(path, extra: dict | None = None) -> Column:
     return F.coalesce(F.element_at(m, file_extension(path)), F.lit("unknown"))
 
 
+def upload_format(path) -> Column:
+    """S4 for uploads: their own nine extensions, else 'unknown'."""
+    m = F.create_map(*[F.lit(x) for kv in C.UPLOAD_EXTENSION_FORMATS.items() for x in kv])
+    return F.coalesce(F.element_at(m, file_extension(path)), F.lit("unknown"))
+
+
 def html_escape(col) -> Column:
     c = _c(col)
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
@@ -103,25 +108,20 @@ def slug(text) -> Column:
 
 
 def size_label(size) -> Column:
-    """Human readable size, B / KB / MB / GB, one decimal above B."""
+    """Bytes / KB / MB / GB with up to two decimals, no trailing zeros."""
     s = _c(size).cast("double")
-    return (F.when(s < 1024, F.concat(s.cast("long").cast("string"), F.lit(" B")))
-            .when(s < 1024 ** 2, F.concat(F.round(s / 1024, 1).cast("string"), F.lit(" KB")))
-            .when(s < 1024 ** 3, F.concat(F.round(s / 1024 ** 2, 1).cast("string"), F.lit(" MB")))
-            .otherwise(F.concat(F.round(s / 1024 ** 3, 1).cast("string"), F.lit(" GB"))))
+    unit = lambda n, name: F.concat(F.regexp_replace(F.format_string("%.2f", F.floor(s * 100 / 1024.0 ** n + 0.5) / 100), r"\.?0+$", ""), F.lit(name))
+    return (F.when(s < 1024, F.concat(s.cast("long").cast("string"), F.lit(" Bytes")))
+            .when(s < 1024 ** 2, unit(1, " KB")).when(s < 1024 ** 3, unit(2, " MB")).otherwise(unit(3, " GB")))
 
 
 def age_label(ts, as_of) -> Column:
-    """X21: 'just now', N minutes/hours/days ago relative to an explicit as_of."""
+    """X21: 'Just now', whole minutes, hours or days ago relative to an explicit
+    as_of; a date beyond seven days."""
     mins = F.floor(F.timestamp_diff("SECOND", _c(ts), _c(as_of)) / 60)
-    return (F.when(mins < 1, F.lit("just now"))
-            .when(mins < 60, F.concat(mins.cast("string"), F.lit(" minutes ago")))
-            .when(mins < 1440, F.concat(F.floor(mins / 60).cast("string"), F.lit(" hours ago")))
-            .otherwise(F.concat(F.floor(mins / 1440).cast("string"), F.lit(" days ago"))))
-
-
-def regex_escape(s: str) -> str:
-    return re.escape(s)
+    ago = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n > 1, F.lit("s")).otherwise(F.lit("")), F.lit(" ago"))
+    return (F.when(mins < 1, F.lit("Just now")).when(mins < 60, ago(mins, "minute")).when(mins < 1440, ago(F.floor(mins / 60), "hour"))
+            .when(mins < 8 * 1440, ago(F.floor(mins / 1440), "day")).otherwise(F.date_format(_c(ts), "M/d/yyyy")))
 
 
 def ntz(ts: str) -> Column:

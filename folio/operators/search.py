@@ -627,6 +627,37 @@ def highlight_page(page: DataFrame, q_text: str, column: str = "snippet") -> Dat
     return page.withColumn("highlights", highlight(F.col(column), analyze_text(q_text)))
 
 
+def fragments(page: DataFrame, q_text: str, column: str = "content", width: int = C.FRAGMENT_TOKENS,
+              context: int = C.FRAGMENT_CONTEXT, k: int = C.FRAGMENTS) -> DataFrame:
+    """T10 over whole texts, on a result page: `fragments`, up to `k` stretches
+    of `width` tokens in text order, with the query's words marked.
+
+    A window starts `context` tokens before a hit. Windows with the most
+    distinct query words are taken first, then those with the most hits, then the
+    earliest; a window that overlaps a taken one is left out."""
+    words = sorted(set(analyze_text(q_text)))
+    if not words:
+        return page.withColumn("fragments", F.array().cast("array<string>"))
+    rx = F.lit(C.TOKEN_PATTERN)
+    toks = page.select("doc_id", F.posexplode(F.regexp_extract_all(column, rx, 0)).alias("pos", "tok"))
+    hits = toks.select("doc_id", "pos", F.lower("tok").alias("word")).filter(F.col("word").isin(words))
+    ahead = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(0, width - context - 1)
+    seen = hits.select("doc_id", F.greatest(F.col("pos") - context, F.lit(0)).alias("at"), "pos",
+                       F.size(F.collect_set("word").over(ahead)).alias("words"), F.count(F.lit(1)).over(ahead).alias("hits"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("words")).alias("w"), (-F.col("hits")).alias("h"), "pos", "at")))
+    free = lambda taken, x: ~F.exists(taken, lambda t: F.abs(t - x["at"]) < width)
+    picks = F.aggregate("ranked", F.array().cast("array<int>"), lambda taken, x: F.when(
+        (F.size(taken) < k) & free(taken, x), F.array_append(taken, x["at"])).otherwise(taken))
+    chosen = seen.groupBy("doc_id").agg(ranked.alias("ranked")).select("doc_id", F.array_sort(picks).alias("starts"))
+    marked = lambda t: F.when(F.lower(t).isin(words), F.concat(F.lit(C.HIGHLIGHT_OPEN), t, F.lit(C.HIGHLIGHT_CLOSE))).otherwise(t)
+    j = (page.join(chosen, "doc_id", "left")
+         .withColumn("_t", F.regexp_extract_all(column, rx, 0)).withColumn("_s", F.split(column, C.TOKEN_PATTERN, -1)))
+    stretch = lambda a: F.sequence(a, F.least(a + width, F.size("_t")) - 1)
+    text = lambda a: F.concat_ws("", F.transform(stretch(a), lambda i: F.concat(
+        F.when(i > a, F.get("_s", i)).otherwise(F.lit("")), marked(F.get("_t", i)))))
+    return j.withColumn("fragments", F.coalesce(F.transform("starts", text), F.array().cast("array<string>"))).drop("starts", "_t", "_s")
+
+
 def explain_scores(index: Index, q: Query, hits: DataFrame) -> DataFrame:
     """Per hit, matched terms, per-field match flags and base score."""
     leaves = q.leaves()

@@ -204,7 +204,8 @@ def integrity(docs: DataFrame, doc_tags: DataFrame, categories: DataFrame,
               doc_categories: DataFrame) -> DataFrame:
     """H3: (check, violations): duplicate paths, duplicate category names,
     tag edges without a document, category edges without a category,
-    categories with a missing parent, missing titles."""
+    categories with a missing parent, missing titles, repeated tag and category
+    edges, and tag names that are blank or that differ in case or outer spaces only."""
     dup_path = docs.groupBy("path").count().filter(F.col("count") > 1) \
         .agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("n"))
     dup_name = categories.groupBy("name").count().filter(F.col("count") > 1) \
@@ -215,7 +216,13 @@ def integrity(docs: DataFrame, doc_tags: DataFrame, categories: DataFrame,
     parents = categories.filter(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("id"))
     bad_parent = parents.join(categories.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
     no_title = docs.filter(F.col("title").isNull() | (F.trim("title") == "")).agg(F.count(F.lit(1)).alias("n"))
-    parts = [("duplicate_path", dup_path), ("duplicate_category_name", dup_name),
+    repeated = lambda df, *cols: (df.groupBy(*cols).count().filter(F.col("count") > 1)
+                                  .agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("n")))
+    names = doc_tags.select("tag").distinct()
+    same = (names.groupBy(F.lower(F.trim("tag")).alias("t")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or t = ''")
+            .agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("n")))
+    parts = [("duplicate_path", dup_path), ("duplicate_tag_edges", repeated(doc_tags, "doc_id", "tag")),
+             ("duplicate_category_edges", repeated(doc_categories, "doc_id", "category_id")), ("unclear_tag_names", same), ("duplicate_category_name", dup_name),
              ("orphan_tag_edges", orphan_tags), ("orphan_category_edges", orphan_cat),
              ("missing_parent", bad_parent), ("missing_title", no_title)]
     return reduce(lambda a, b: a.unionByName(b),

@@ -17,6 +17,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folio import constants as C
 from folio.operators.stats import top_k_per_group
@@ -51,9 +52,11 @@ def from_query_log(log: DataFrame, query_col: str = "query", ts_col: str = "sear
 
 
 def _heads(suggestions: DataFrame, p: DataFrame, more: int = 0) -> DataFrame:
-    """Each term with its first L characters, for every length up to the longest requested prefix."""
-    longest = p.select(F.max(F.char_length("prefix")) + more).scalar()
-    lengths = F.sequence(F.lit(1), F.least(F.char_length("term"), longest))
+    """Each term with its first L characters, for every length of a requested prefix and up to `more` characters longer
+    or shorter. The set of lengths is one array, as long as there are different ones."""
+    spread = F.explode(F.sequence(F.greatest(F.char_length("prefix") - more, F.lit(1)), F.char_length("prefix") + more))
+    asked = p.select(spread.alias("L")).agg(F.collect_set("L").alias("L")).scalar()
+    lengths = F.array_intersect(F.sequence(F.lit(1), F.char_length("term")), asked)
     return (suggestions.filter(F.char_length("term") > 0).withColumn("L", F.explode(lengths))
             .withColumn("head", F.substring("term", 1, F.col("L"))))
 
@@ -179,6 +182,22 @@ def merge(*sources: DataFrame, k: int = 10) -> DataFrame:
     return top_k_per_group(first, ["prefix"], [F.col("source_rank"), F.col("pos"), F.col("text")], k)
 
 
+def suggestions_for(prefixes: DataFrame, suggestions: DataFrame, postings: DataFrame, doc_tags: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    """Q9 over all four sources, in this order: completions of the prefix (Q3),
+    typo completions (Q4), query templates of its first terms (Q7), and field values
+    for requests of the form `field:partial` (Q8). prefixes(prefix)."""
+    pos = lambda *order: F.row_number().over(Window.partitionBy("prefix").orderBy(*order))
+    listed = lambda df, rank, *order: df.select("prefix", "text", F.lit(rank).alias("source_rank"), pos(*order).alias("pos")).filter(F.col("pos") <= k)
+    typed = prefix_completion(suggestions, prefixes, k).withColumn("text", F.col("term"))
+    near = typo_completion(suggestions, prefixes, k).withColumn("text", F.col("term"))
+    first = typed.filter(F.col("rank") <= C.TEMPLATE_TERMS).select("prefix", "term", "rank")
+    related = related_tags(postings, doc_tags, first.select("term").distinct(), k=C.TEMPLATE_TERMS)
+    made = templates(first, related)
+    values = field_values(docs, prefixes.select(F.lower("prefix").alias("request")).distinct()).withColumnRenamed("request", "prefix")
+    return merge(listed(typed, 1, "rank"), listed(near, 2, "rank"), listed(made, 3, "t_rank", "tpl", "r_rank", "text"),
+                 listed(values, 4, F.col("count").desc(), "text"), k=k)
+
+
 def recent_searches(log: DataFrame, k: int = 10) -> DataFrame:
     """Q10: last k distinct queries per user (latest use first)."""
     last = log.groupBy("user_id", "query").agg(F.max("searched_at").alias("last_searched"))

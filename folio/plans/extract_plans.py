@@ -395,16 +395,15 @@ def x20(spark, sf_dir):
 
 
 _AGE = f"((CAST(epoch(TIMESTAMP '{C.TEST_AS_OF}') AS BIGINT) - CAST(epoch(modified_at) AS BIGINT)) // 60)"
+_UNIT = "regexp_replace(printf('%.2f', floor(size * 100 / {d} + 0.5) / 100), '\\.?0+$', '') || ' {u}'"
+_AGO = "CAST(CAST({n} AS BIGINT) AS VARCHAR) || ' {u}' || CASE WHEN {n} > 1 THEN 's' ELSE '' END || ' ago'"
 X21_SQL = f"""WITH {Q.DOCS_BASE}
 SELECT doc_id,
-  CASE WHEN size < 1024 THEN CAST(size AS VARCHAR) || ' B'
-       WHEN size < 1048576 THEN CAST(round(size / 1024.0, 1) AS VARCHAR) || ' KB'
-       WHEN size < 1073741824 THEN CAST(round(size / 1048576.0, 1) AS VARCHAR) || ' MB'
-       ELSE CAST(round(size / 1073741824.0, 1) AS VARCHAR) || ' GB' END AS size_label,
-  CASE WHEN {_AGE} < 1 THEN 'just now'
-       WHEN {_AGE} < 60 THEN CAST(CAST({_AGE} AS BIGINT) AS VARCHAR) || ' minutes ago'
-       WHEN {_AGE} < 1440 THEN CAST(CAST({_AGE} // 60 AS BIGINT) AS VARCHAR) || ' hours ago'
-       ELSE CAST(CAST({_AGE} // 1440 AS BIGINT) AS VARCHAR) || ' days ago' END AS age_label
+  CASE WHEN size < 1024 THEN CAST(size AS VARCHAR) || ' Bytes' WHEN size < 1048576 THEN {_UNIT.format(d='1024.0', u='KB')}
+       WHEN size < 1073741824 THEN {_UNIT.format(d='1048576.0', u='MB')} ELSE {_UNIT.format(d='1073741824.0', u='GB')} END AS size_label,
+  CASE WHEN {_AGE} < 1 THEN 'Just now' WHEN {_AGE} < 60 THEN {_AGO.format(n=_AGE, u='minute')}
+       WHEN {_AGE} < 1440 THEN {_AGO.format(n=f"({_AGE} // 60)", u='hour')} WHEN {_AGE} < 11520 THEN {_AGO.format(n=f"({_AGE} // 1440)", u='day')}
+       ELSE month(modified_at) || '/' || day(modified_at) || '/' || year(modified_at) END AS age_label
 FROM docs_b"""
 
 

@@ -259,14 +259,16 @@ def _top20(spark, sf_dir):
     return bm25_top20(spark, sf_dir)
 
 
+# popularity of a document: its id modulo 11, in tenths
 T7_SQL = f"""{_TOP20}, {Q.DOCS_BASE.strip()},
-r AS (SELECT t.doc_id, t.score, t.title, t.snippet, t.format, d.modified_at,
+r AS (SELECT t.doc_id, t.score, t.title, t.snippet, t.format, d.modified_at, (t.doc_id % 11) / 10.0 AS popularity,
              date_sub('day', d.modified_at, TIMESTAMP '{AS_OF}') AS age
       FROM t JOIN docs_b d USING (doc_id))
 SELECT doc_id, round(score
   * CASE WHEN contains(lower(title), 'tion') OR contains(lower(title), 'ing') OR contains(lower(title), 'ther') THEN 2.0 ELSE 1.0 END
   * CASE WHEN contains(lower(title), 'tion ing ther') OR contains(lower(snippet), 'tion ing ther') THEN 3.0 ELSE 1.0 END
   * CASE WHEN age < 7 THEN 1.5 WHEN age < 30 THEN 1.3 WHEN age < 90 THEN 1.1 WHEN age > 365 THEN 0.9 ELSE 1.0 END
+  * CASE WHEN popularity > 0.8 THEN 1.2 WHEN popularity > 0.5 THEN 1.1 ELSE 1.0 END
   * CASE WHEN format IN ('markdown') THEN 1.1 ELSE 1.0 END, 6) AS rerank_score FROM r"""
 
 
@@ -274,7 +276,7 @@ SELECT doc_id, round(score
 def t7(spark, sf_dir):
     page = _top20(spark, sf_dir)
     d = tc.documents(spark, sf_dir, with_labels=False).select("doc_id", "modified_at")
-    page = F.broadcast(page).join(d, "doc_id")
+    page = F.broadcast(page).join(d, "doc_id").withColumn("popularity", (F.col("doc_id") % 11) / 10.0)
     return s.rerank(page, " ".join(T6_TERMS), AS_OF, preferred_formats=["markdown"]) \
         .select("doc_id", "rerank_score")
 
@@ -323,6 +325,33 @@ def t10(spark, sf_dir):
     return s.highlight_page(page, " ".join(T6_TERMS)).select("doc_id", "highlights")
 
 
+# windows of 24 tokens that begin 4 before a hit: most distinct words, most hits, earliest; three without overlap
+T10F_SQL = f"""{_TOP20}, {Q.DOCS_BASE.strip()},
+d AS (SELECT doc_id, regexp_extract_all(content, '{Q.TOKEN}') AS tk, regexp_split_to_array(content, '{Q.TOKEN}') AS sp FROM t JOIN docs_b USING (doc_id)),
+p AS (SELECT doc_id, unnest(tk) AS tok, unnest(range(len(tk))) AS pos FROM d),
+h AS (SELECT doc_id, pos, lower(tok) AS word, greatest(pos - 4, 0) AS a0 FROM p WHERE lower(tok) IN ('tion', 'ing', 'ther')),
+c AS (SELECT a.doc_id, a.pos, any_value(a.a0) AS a0, count(DISTINCT b.word) AS words, count(*) AS hits
+      FROM h a JOIN h b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 19 GROUP BY a.doc_id, a.pos),
+p1 AS (SELECT doc_id, first(a0 ORDER BY words DESC, hits DESC, pos) AS a0 FROM c GROUP BY doc_id),
+c2 AS (SELECT c.* FROM c JOIN p1 USING (doc_id) WHERE abs(c.a0 - p1.a0) >= 24),
+p2 AS (SELECT doc_id, first(a0 ORDER BY words DESC, hits DESC, pos) AS a0 FROM c2 GROUP BY doc_id),
+c3 AS (SELECT c2.* FROM c2 JOIN p2 USING (doc_id) WHERE abs(c2.a0 - p2.a0) >= 24),
+p3 AS (SELECT doc_id, first(a0 ORDER BY words DESC, hits DESC, pos) AS a0 FROM c3 GROUP BY doc_id),
+picks AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3),
+n AS (SELECT doc_id, a0, row_number() OVER (PARTITION BY doc_id ORDER BY a0) AS n FROM picks),
+w AS (SELECT n.doc_id, n.n, n.a0, unnest(range(n.a0, least(n.a0 + 24, len(d.tk)))) AS i, d.tk, d.sp FROM n JOIN d USING (doc_id))
+SELECT doc_id, CAST(n AS INTEGER) AS n, string_agg(CASE WHEN i > a0 THEN sp[i + 1] ELSE '' END
+       || CASE WHEN lower(tk[i + 1]) IN ('tion', 'ing', 'ther') THEN '<mark>' || tk[i + 1] || '</mark>' ELSE tk[i + 1] END, '' ORDER BY i) AS fragment
+FROM w GROUP BY doc_id, n"""
+
+
+@register("t10_fragments", T10F_SQL)
+def t10_fragments(spark, sf_dir):
+    page = _top20(spark, sf_dir).select("doc_id").join(tc.documents(spark, sf_dir, with_labels=False).select("doc_id", "content"), "doc_id")
+    f = s.fragments(page, " ".join(T6_TERMS))
+    return f.select("doc_id", F.posexplode("fragments").alias("n", "fragment")).select("doc_id", (F.col("n") + 1).alias("n"), "fragment")
+
+
 T11_SQL = f"""WITH {Q.DOCS}, {Q.tokens_cte()}, {Q.postings_cte("field = 'content'")},
 seed AS (SELECT p.term, p.tf * ln(st.n_docs / v.df) AS w FROM post p JOIN voc v USING (field, term) JOIN st USING (field)
          WHERE p.doc_id = 1),

@@ -74,6 +74,14 @@ def s4(spark, sf_dir):
     return S.identify(listing(spark, sf_dir)).select("doc_id", "format")
 
 
+@register("s4_upload_formats", f"WITH {LISTING_CTE} SELECT doc_id, CASE {_EXT} WHEN '.md' THEN 'markdown' WHEN '.txt' THEN 'text' WHEN '.json' THEN 'json' "
+          "WHEN '.yaml' THEN 'yaml' WHEN '.yml' THEN 'yaml' WHEN '.py' THEN 'code' WHEN '.js' THEN 'code' WHEN '.html' THEN 'html' WHEN '.htm' THEN 'html' "
+          "ELSE 'unknown' END AS format FROM listing")
+def s4u(spark, sf_dir):
+    from folio.functions.text import upload_format
+    return listing(spark, sf_dir).select("doc_id", upload_format("path").alias("format"))
+
+
 @register("s5_incremental", f"WITH {LISTING_CTE} SELECT doc_id, path FROM listing "
           "WHERE NOT " + _IGN + " AND mtime > TIMESTAMP '2024-02-10 00:00:00'")
 def s5(spark, sf_dir):

@@ -162,7 +162,9 @@ def h2(spark, sf_dir):
     return S.table_health(d, d.filter(F.col("status") == "indexed"))
 
 
-H3_SQL = f"""WITH {Q.DOCS_BASE}, {Q.DOC_TAGS}, {Q.CATEGORIES}
+# every seventh document has its language tag twice, every eleventh in capitals
+H3_SQL = f"""WITH {Q.DOCS_BASE}, {Q.DOC_TAGS}, {Q.CATEGORIES},
+edges AS (SELECT * FROM doc_tags UNION ALL SELECT doc_id, lang FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, upper(lang) FROM documents WHERE doc_id % 11 = 0)
 SELECT 'duplicate_path' AS "check", CAST(coalesce(sum(n), 0) AS BIGINT) AS violations
   FROM (SELECT count(*) AS n FROM docs_b GROUP BY path HAVING count(*) > 1)
 UNION ALL SELECT 'duplicate_category_name', CAST(coalesce(sum(n), 0) AS BIGINT)
@@ -170,10 +172,17 @@ UNION ALL SELECT 'duplicate_category_name', CAST(coalesce(sum(n), 0) AS BIGINT)
 UNION ALL SELECT 'orphan_tag_edges', count(*) FROM doc_tags WHERE doc_id NOT IN (SELECT doc_id FROM docs_b)
 UNION ALL SELECT 'orphan_category_edges', count(*) FROM doc_categories WHERE category_id NOT IN (SELECT id FROM categories)
 UNION ALL SELECT 'missing_parent', count(*) FROM categories WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM categories)
-UNION ALL SELECT 'missing_title', count(*) FROM docs_b WHERE title IS NULL OR trim(title) = ''"""
+UNION ALL SELECT 'missing_title', count(*) FROM docs_b WHERE title IS NULL OR trim(title) = ''
+UNION ALL SELECT 'duplicate_tag_edges', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM edges GROUP BY doc_id, tag HAVING count(*) > 1)
+UNION ALL SELECT 'duplicate_category_edges', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM doc_categories GROUP BY doc_id, category_id HAVING count(*) > 1)
+UNION ALL SELECT 'unclear_tag_names', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n, lower(trim(tag)) AS t FROM (SELECT DISTINCT tag FROM edges)
+  GROUP BY lower(trim(tag)) HAVING count(*) > 1 OR lower(trim(tag)) = '')"""
 
 
 @register("h3_integrity", H3_SQL)
 def h3(spark, sf_dir):
-    return S.integrity(_docs(spark, sf_dir), tc.doc_tags(spark, sf_dir), tc.categories(spark, sf_dir),
+    d = tc.table(spark, sf_dir, "documents")
+    edges = (tc.doc_tags(spark, sf_dir).unionByName(d.filter("doc_id % 7 = 0").select("doc_id", F.col("lang").alias("tag")))
+             .unionByName(d.filter("doc_id % 11 = 0").select("doc_id", F.upper("lang").alias("tag"))))
+    return S.integrity(_docs(spark, sf_dir), edges, tc.categories(spark, sf_dir),
                        tc.doc_categories(spark, sf_dir))

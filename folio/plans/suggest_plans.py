@@ -162,28 +162,41 @@ def q8(spark, sf_dir):
     return G.field_values(docs, req)
 
 
-Q9_SQL = f"""WITH {SUGG_CTE},
-p AS (SELECT prefix FROM pre),
-s AS (SELECT * FROM sugg),
-a AS (SELECT * FROM (SELECT p.prefix, s.term AS text, row_number() OVER (PARTITION BY p.prefix ORDER BY s.frequency DESC, s.term, s.type) AS pos
-      FROM s JOIN p ON starts_with(s.term, p.prefix)) WHERE pos <= 5),
+# requests: the first three characters of logged queries, and field requests
+Q9_SQL = f"""WITH {SUGG_CTE}, {Q.DOC_TAGS}, {Q.tokens_cte()}, {Q.postings_cte("field = 'content'")},
+p AS (SELECT prefix FROM pre UNION SELECT unnest(['format:mark', 'tags:src', 'status:ind'])),
+short AS (SELECT prefix FROM pre),
+a AS (SELECT * FROM (SELECT p.prefix, s.term, row_number() OVER (PARTITION BY p.prefix ORDER BY s.frequency DESC, s.term, s.type) AS pos
+      FROM sugg s JOIN p ON starts_with(s.term, p.prefix)) WHERE pos <= 8),
 b AS (SELECT * FROM (SELECT p.prefix, s.term AS text, row_number() OVER (PARTITION BY p.prefix ORDER BY s.frequency DESC, s.term, s.type) AS pos
-      FROM s JOIN p ON {_typo('s.term', 'p.prefix')}) WHERE pos <= 5),
-u AS (SELECT prefix, text, 1 AS source_rank, pos FROM a UNION ALL SELECT prefix, text, 2, pos FROM b),
+      FROM sugg s JOIN short p ON {_typo('s.term', 'p.prefix')}) WHERE pos <= 8),
+top AS (SELECT prefix, term, pos AS t_rank FROM a WHERE pos <= 3),
+co AS (SELECT p.term, t.tag, count(*) AS count FROM post p JOIN doc_tags t USING (doc_id)
+       WHERE t.tag <> p.term AND p.term IN (SELECT term FROM top) GROUP BY p.term, t.tag),
+rel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY count DESC, tag) AS r_rank FROM co) WHERE r_rank <= 3),
+tpl AS (SELECT prefix, 'title:' || term AS text, t_rank, 0 AS tpl, 0 AS r_rank FROM top
+        UNION ALL SELECT prefix, 'tags:' || term, t_rank, 1, 0 FROM top
+        UNION ALL SELECT prefix, 'format:' || term, t_rank, 2, 0 FROM top
+        UNION ALL SELECT prefix, '"' || term || '"', t_rank, 5, 0 FROM top
+        UNION ALL SELECT prefix, top.term || ' AND ' || rel.tag, t_rank, 3, r_rank FROM top JOIN rel USING (term)
+        UNION ALL SELECT prefix, top.term || ' OR ' || rel.tag, t_rank, 4, r_rank FROM top JOIN rel USING (term)),
+c AS (SELECT * FROM (SELECT prefix, text, row_number() OVER (PARTITION BY prefix ORDER BY t_rank, tpl, r_rank, text) AS pos FROM tpl) WHERE pos <= 8),
+vals AS (SELECT 'format' AS field, format AS value, count(*) AS count FROM docs GROUP BY format
+         UNION ALL SELECT 'status', status, count(*) FROM docs GROUP BY status
+         UNION ALL SELECT 'tags', tag, count(*) FROM (SELECT unnest(list_distinct(tags)) AS tag FROM docs) GROUP BY tag),
+d AS (SELECT * FROM (SELECT p.prefix, v.field || ':' || v.value AS text, row_number() OVER (PARTITION BY p.prefix ORDER BY v.count DESC, v.field || ':' || v.value) AS pos
+      FROM p JOIN vals v ON v.field = split_part(p.prefix, ':', 1) AND contains(p.prefix, ':') AND contains(lower(v.value), split_part(p.prefix, ':', 2))) WHERE pos <= 8),
+u AS (SELECT prefix, term AS text, 1 AS source_rank, pos FROM a UNION ALL SELECT prefix, text, 2, pos FROM b
+      UNION ALL SELECT prefix, text, 3, pos FROM c UNION ALL SELECT prefix, text, 4, pos FROM d),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prefix, text ORDER BY source_rank, pos) AS rn FROM u) WHERE rn = 1),
 r AS (SELECT prefix, text, source_rank, pos, row_number() OVER (PARTITION BY prefix ORDER BY source_rank, pos, text) AS rank FROM f)
-SELECT prefix, text, source_rank, CAST(pos AS INTEGER) AS pos, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 6"""
+SELECT prefix, text, source_rank, CAST(pos AS INTEGER) AS pos, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8"""
 
 
 @register("q9_merged_suggestions", Q9_SQL)
 def q9(spark, sf_dir):
-    s = _sugg(spark, sf_dir)
-    p = _prefixes(spark, sf_dir)
-    a = G.prefix_completion(s, p, k=5).select("prefix", F.col("term").alias("text"),
-                                               F.lit(1).alias("source_rank"), F.col("rank").alias("pos"))
-    b = G.typo_completion(s, p, k=5).select("prefix", F.col("term").alias("text"),
-                                             F.lit(2).alias("source_rank"), F.col("rank").alias("pos"))
-    return G.merge(a, b, k=6)
+    asked = _prefixes(spark, sf_dir).unionByName(spark.createDataFrame([("format:mark",), ("tags:src",), ("status:ind",)], "prefix string"))
+    return G.suggestions_for(asked, _sugg(spark, sf_dir), corpus_index(spark, sf_dir).postings, tc.doc_tags(spark, sf_dir), tc.documents(spark, sf_dir), k=8)
 
 
 @register("q10_recent_searches", f"WITH {Q.HISTORY}, l AS (SELECT user_id, query, max(searched_at) AS last_searched "
