@@ -19,11 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folio import constants as C
 from folio.functions.text import analyze
 
 BLOCK_COLS = ("field", "term", "shard", "df", "top", "docs", "parts")
+#: Queries that a task answers.
+QUERY_BLOCK = 20_000
 #: Scores are compared after rounding, so bounds leave this much room.
 SLACK = 10.0 ** -C.SCORE_DECIMALS
 
@@ -144,18 +147,37 @@ def routes(index, asked: DataFrame, fields: tuple, k: int) -> DataFrame:
             .select("shard", "query", "floor"))
 
 
+def best_documents(index, asked: DataFrame, k: int, fields: tuple, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, doc_id, score, rank): the k best documents for every row of `asked(query, terms)`. A task holds one
+    shard's lists and up to about `query_block` queries."""
+    from folio.operators.stats import top_k_per_group
+
+    groups = max(1, -(-asked.count() // query_block))
+    group = F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int")
+    sent = routes(index, asked, fields, k).join(asked, "query").select("shard", group.alias("block"), "query", "floor", "terms")
+    wanted = asked.select(F.explode("terms").alias("term")).distinct()
+    lists = (index.blocks.filter(F.col("field").isin(list(fields))).join(wanted, "term", "left_semi")
+             .select(F.col("shard").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("to"), "field", "term", "docs", "parts"))
+    found = lists.groupBy("of", "to").cogroup(sent.groupBy("shard", "block")).applyInArrow(_answer(tuple(fields), k), "query string, doc_id long, score double")
+    return top_k_per_group(found.withColumn("score", F.round("score", C.SCORE_DECIMALS)), ["query"], [F.col("score").desc(), F.col("doc_id")], k)
+
+
 def search_blocks(index, queries: DataFrame, k: int, fields: tuple, qid: str = "qid", text: str = "text") -> DataFrame:
     """(qid, doc_id, score, rank): the k best documents of every query, the OR of its words over `fields`. Equal texts
     are answered once."""
-    from folio.operators.stats import top_k_per_group
-
     said = queries.select(F.col(qid).alias("qid"), F.md5(F.col(text)).alias("query"), F.col(text).alias("text"))
     asked = said.groupBy("query").agg(F.any_value("text").alias("text")).select("query", F.array_distinct(analyze("text")).alias("terms"))
-    route = routes(index, asked, fields, k)
-    sent = route.join(asked, "query").select("shard", "query", "floor", "terms")
-    wanted = asked.select(F.explode("terms").alias("term")).distinct()
-    blocks = (index.blocks.filter(F.col("field").isin(list(fields))).join(wanted, "term", "left_semi")
-              .select(F.col("shard").alias("of"), "field", "term", "docs", "parts"))
-    found = blocks.groupBy("of").cogroup(sent.groupBy("shard")).applyInArrow(_answer(tuple(fields), k), "query string, doc_id long, score double")
-    best = top_k_per_group(found.withColumn("score", F.round("score", C.SCORE_DECIMALS)), ["query"], [F.col("score").desc(), F.col("doc_id")], k)
+    best = best_documents(index, asked, k, fields)
     return said.select("qid", "query").join(best, "query").select("qid", "doc_id", "score", "rank")
+
+
+def similar_documents(index, k_terms: int = 10, k: int = 10, field: str = "content") -> DataFrame:
+    """T11 for all documents: (seed_id, doc_id, score, rank), the k documents most like each one, by BM25 over its
+    `k_terms` heaviest terms. Each document is a query to the score blocks, so pairs below its k-th score are not summed."""
+    from folio.operators.search import top_terms
+
+    asked = top_terms(index, k_terms, field).groupBy(F.col("doc_id").cast("string").alias("query")).agg(F.collect_list("term").alias("terms"))
+    best = best_documents(index, asked, k + 1, (field,))  # one more, as the document itself is among them
+    rest = best.withColumn("seed_id", F.col("query").cast("long")).filter("seed_id <> doc_id")
+    rank = F.row_number().over(Window.partitionBy("seed_id").orderBy("rank"))
+    return rest.select("seed_id", "doc_id", "score", rank.alias("rank")).filter(F.col("rank") <= k)

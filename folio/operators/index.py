@@ -38,6 +38,10 @@ class Index:
     prebuilt: bool = False
     # score blocks of a written index (operators/blocks.py), if it has them
     blocks: DataFrame | None = None
+    # gram index of a written index's vocabulary (operators/grams.py), if it has one
+    grams: DataFrame | None = None
+    # which of the fields hold analysed text
+    text_fields: tuple = TEXT_FIELDS
 
     def n_docs(self):
         """Scalar subquery: number of indexed documents."""
@@ -64,6 +68,22 @@ def _field_tokens(docs: DataFrame, text_fields, keyword_fields, stem: bool = Fal
         "doc_id", F.col("x.field").alias("field"), F.col("x.toks").alias("toks"))
 
 
+def with_search_fields(docs: DataFrame, root: str | None = None) -> DataFrame:
+    """Document columns that can be indexed as fields besides the usual ones:
+    `ancestors` (every folder above the file, as a path, so a folder search is
+    one posting lookup), `year` and `month` of creation, and `description` and
+    `keywords` where the documents have them."""
+    from folio.sources.files import path_components
+    comps = path_components("path", root)
+    above = F.transform(F.sequence(F.lit(1), F.size(comps)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(comps, F.lit(1), i), "/")))
+    out = docs.withColumn("ancestors", F.when(F.size(comps) > 0, above).otherwise(F.array().cast("array<string>")))
+    out = out.withColumn("year", F.year("created_at").cast("string")).withColumn("month", F.month("created_at").cast("string"))
+    for name, kind in (("description", "string"), ("keywords", "array<string>")):
+        if name not in docs.columns:
+            out = out.withColumn(name, F.lit(None).cast(kind))
+    return out
+
+
 def tokens(docs: DataFrame, text_fields=TEXT_FIELDS, keyword_fields=KEYWORD_FIELDS,
            stem: bool = False) -> DataFrame:
     """T1 analysed token stream (field, doc_id, dl, pos, term); no shuffle.
@@ -95,7 +115,7 @@ def build_index(docs: DataFrame, text_fields=TEXT_FIELDS, keyword_fields=KEYWORD
     stats = (long.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"),
                                        F.sum(F.size("toks")).alias("sum_dl"))
              .withColumn("avgdl", F.col("sum_dl") / F.col("n_docs")))
-    idx = Index(postings, vocab, stats, docs, fields=tuple(text_fields) + tuple(keyword_fields))
+    idx = Index(postings, vocab, stats, docs, fields=tuple(text_fields) + tuple(keyword_fields), text_fields=tuple(text_fields))
     if stem:
         from folio.functions.stem import stem_index
         idx = stem_index(idx, text_fields)
@@ -103,9 +123,11 @@ def build_index(docs: DataFrame, text_fields=TEXT_FIELDS, keyword_fields=KEYWORD
     return idx
 
 
-def write_index(index: Index, path: str, partitions: int | None = None, shard_docs: int | None = None) -> None:
+def write_index(index: Index, path: str, partitions: int | None = None, shard_docs: int | None = None,
+                grams: bool = False) -> None:
     """Persist the index; the text is tokenised once. With `shard_docs`, score
-    blocks for batch search are written as well.
+    blocks for batch search are written as well, with `grams` the gram index
+    of the vocabulary.
 
     Postings are range-partitioned and sorted by (field, term) so Parquet
     min/max statistics skip files and row groups for `term IN (...)`
@@ -132,22 +154,32 @@ def write_index(index: Index, path: str, partitions: int | None = None, shard_do
              .select("field", n_docs.alias("n_docs"), F.coalesce("sum_dl", F.lit(0)).cast("long").alias("sum_dl"))
              .withColumn("avgdl", F.col("sum_dl") / F.col("n_docs")))
     stats.repartition(1).write.mode("overwrite").parquet(f"{path}/stats")
-    if shard_docs:
+    if shard_docs or grams:
         from folio.operators.blocks import write_blocks
-        write_blocks(read_index(spark, path, index.docs), path, shard_docs)
+        from folio.operators.grams import write_grams
+        opened = read_index(spark, path, index.docs)
+        if shard_docs:
+            write_blocks(opened, path, shard_docs)
+        if grams:
+            write_grams(opened, path)
 
 
-def read_index(spark: SparkSession, path: str, docs: DataFrame, stemmed: bool = False) -> Index:
+def read_index(spark: SparkSession, path: str, docs: DataFrame, stemmed: bool = False, text_fields=TEXT_FIELDS) -> Index:
     """Open a written index. The statistics table (one row per field) is
-    read here once; postings and vocabulary stay lazy scans."""
+    read here once; postings and vocabulary stay lazy scans. `text_fields`
+    are those it was built with."""
     stats = spark.read.parquet(f"{path}/stats")
     values = {r["field"]: (r["n_docs"], r["avgdl"]) for r in stats.collect()}
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/blocks/_SUCCESS")
     from folio.operators.blocks import read_blocks
-    blocks = read_blocks(spark, path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+    from folio.operators.grams import read_grams
+
+    def has(part):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}/_SUCCESS")
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocab"),
-                 stats, docs, stemmed, tuple(values), values, True, blocks)
+                 stats, docs, stemmed, tuple(values), values, True,
+                 read_blocks(spark, path) if has("blocks") else None, read_grams(spark, path) if has("grams") else None, tuple(text_fields))
 
 
 def compact_index(spark: SparkSession, src: str, dst: str, partitions: int, docs: DataFrame) -> Index:
@@ -167,13 +199,13 @@ def delete_from_index(index: Index, doc_ids: DataFrame) -> Index:
     per_doc = post.groupBy("field", "doc_id").agg(F.max("dl").alias("dl"))
     stats = (per_doc.groupBy("field").agg(F.sum("dl").alias("sum_dl"))
              .select("field", n_docs.alias("n_docs"), "sum_dl", (F.col("sum_dl") / n_docs).alias("avgdl")))
-    return Index(post, vocab, stats, docs, index.stemmed, index.fields)
+    return Index(post, vocab, stats, docs, index.stemmed, index.fields, text_fields=index.text_fields)
 
 
 def clear_index(index: Index) -> Index:
     """The index without any document."""
     empty = [df.filter(F.lit(False)) for df in (index.postings, index.vocab, index.stats, index.docs)]
-    return Index(*empty, index.stemmed, index.fields)
+    return Index(*empty, index.stemmed, index.fields, text_fields=index.text_fields)
 
 
 def index_stats(index: Index) -> DataFrame:

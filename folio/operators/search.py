@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from folio import constants as C
 from folio.functions.text import snippet as snippet_col
-from folio.operators.index import TEXT_FIELDS, KEYWORD_FIELDS, Index
+from folio.operators.index import TEXT_FIELDS, Index
 
 DEFAULT_FIELDS = ("title", "content", "tags")
 _TOKEN_RX = _re.compile(C.TOKEN_PATTERN)
@@ -59,6 +59,7 @@ class Leaf(Query):
     fields: tuple = DEFAULT_FIELDS
     uid: int = dfield(default=-1)
     stem: bool = dfield(default=False)  # set from the index being searched
+    text_fields: tuple = TEXT_FIELDS    # as well
 
     bounded = False  # True: resolved terms are fixed by the query text
 
@@ -148,7 +149,7 @@ class Term(Leaf):
     def terms(self) -> list[tuple[str, str]]:
         out = []
         for f in self.fields:
-            if f in TEXT_FIELDS:
+            if f in self.text_fields:
                 out += [(f, t) for t in analyze_text(self.text, self.stem)]
             else:
                 v = self.text.strip().lower()
@@ -158,12 +159,12 @@ class Term(Leaf):
 
     def rows(self, index, shared=None):
         toks = analyze_text(self.text, self.stem)
-        text_fields = tuple(f for f in self.fields if f in TEXT_FIELDS)
+        text_fields = tuple(f for f in self.fields if f in self.text_fields)
         if len(toks) > 1 and text_fields:  # several tokens in one term: all must occur in one text field
-            out = Phrase(text_fields, text=self.text, uid=self.uid, stem=self.stem, slop=None).rows(index, shared)
-            keys = tuple(f for f in self.fields if f not in TEXT_FIELDS)
+            out = Phrase(text_fields, text=self.text, uid=self.uid, stem=self.stem, text_fields=self.text_fields, slop=None).rows(index, shared)
+            keys = tuple(f for f in self.fields if f not in self.text_fields)
             if keys:  # a keyword value may hold several tokens
-                out = out.unionByName(Term(keys, text=self.text, uid=self.uid, stem=self.stem).rows(index, shared))
+                out = out.unionByName(Term(keys, text=self.text, uid=self.uid, stem=self.stem, text_fields=self.text_fields).rows(index, shared))
             return out
         return super().rows(index, shared)
 
@@ -177,12 +178,14 @@ class Phrase(Leaf):
 
     def terms(self):
         toks = analyze_text(self.text, self.stem)
-        return [(f, t) for f in self.fields if f in TEXT_FIELDS for t in toks]
+        return [(f, t) for f in self.fields if f in self.text_fields for t in toks]
 
     def rows(self, index, shared=None):
         toks = analyze_text(self.text, self.stem)
         if not toks:
             return _empty_rows(index)
+        if not self.terms():  # no text field among the phrase's fields
+            return _empty_rows(index)
         base = shared.filter(_pairs_cond(self.terms()))
         # documents holding every phrase token in the field
         cand = (base.groupBy("doc_id", "field").agg(F.count_distinct("term").alias("n"))
@@ -210,7 +213,7 @@ def _verify_on_text(index: Index, cand: DataFrame, toks: list[str], stem: bool)
     text of the candidate documents only and look for the token sequence."""
     from folio.functions.text import analyze
 
-    fields = [f for f in TEXT_FIELDS if f in index.docs.columns]
+    fields = [f for f in index.text_fields if f in index.docs.columns]
     txt = F.lit(None).cast("string")
     for f in fields:
         txt = F.when(F.col("field") == f, F.col(f)).otherwise(txt)
@@ -246,9 +249,11 @@ class Wildcard(Leaf):
     bounded = False
 
     def resolve(self, index):
-        return index.vocab.filter(_fields_filter(self.fields)
-                                  & F.col("term").rlike(_glob_regex(self.pattern))) \
-            .select("field", "term", "df")
+        from folio.operators import grams as G
+        fits = F.col("term").rlike(_glob_regex(self.pattern))
+        wanted = G.of_wildcard(self.pattern)
+        found = G.lookup(index, wanted, len(wanted), self.fields, fits)
+        return found if found is not None else index.vocab.filter(_fields_filter(self.fields) & fits).select("field", "term", "df")
 
 
 @dataclass(eq=False)
@@ -258,9 +263,11 @@ class Regex(Leaf):
     bounded = False
 
     def resolve(self, index):
-        return index.vocab.filter(_fields_filter(self.fields)
-                                  & F.col("term").rlike("^(?:" + self.pattern + ")$")) \
-            .select("field", "term", "df")
+        from folio.operators import grams as G
+        fits = F.col("term").rlike("^(?:" + self.pattern + ")$")
+        wanted = G.of_regex(self.pattern)
+        found = G.lookup(index, wanted, len(wanted), self.fields, fits)
+        return found if found is not None else index.vocab.filter(_fields_filter(self.fields) & fits).select("field", "term", "df")
 
 
 @dataclass(eq=False)
@@ -272,10 +279,11 @@ class Fuzzy(Leaf):
 
     def resolve(self, index):
         q = self.text.lower()
-        cond = (_fields_filter(self.fields)
-                & F.char_length("term").between(len(q) - self.n, len(q) + self.n)
+        from folio.operators import grams as G
+        fits = (F.char_length("term").between(len(q) - self.n, len(q) + self.n)
                 & (F.levenshtein(F.col("term"), F.lit(q), self.n) >= 0))
-        return index.vocab.filter(cond).select("field", "term", "df")
+        found = G.lookup(index, *G.of_edits(q, self.n), self.fields, fits)
+        return found if found is not None else index.vocab.filter(_fields_filter(self.fields) & fits).select("field", "term", "df")
 
 
 @dataclass(eq=False)
@@ -313,7 +321,7 @@ class all_of(_Bool):
     def __init__(self, *qs: Query):
         """Terms that analyse to nothing (stop words) don't narrow the others."""
         super().__init__(*qs)
-        empty = lambda q: (isinstance(q, Term) and any(f in TEXT_FIELDS for f in q.fields)
+        empty = lambda q: (isinstance(q, Term) and any(f in q.text_fields for f in q.fields)
                            and not analyze_text(q.text, q.stem))
         said = [q for q in self.qs if not empty(q)]
         self.qs = said or self.qs
@@ -477,6 +485,7 @@ def evaluate(index: Index, q: Query, method: str = "bm25") -> DataFrame:
     for i, leaf in enumerate(leaves):
         leaf.uid = i
         leaf.stem = index.stemmed
+        leaf.text_fields = index.text_fields
     positive = {l.uid for l in _positive_leaves(q)}
     pairs = [p for l in leaves if l.bounded for p in l.terms()]
     shared = shared_postings(index, pairs) if pairs else None
@@ -664,6 +673,7 @@ def explain_scores(index: Index, q: Query, hits: DataFrame) -> DataFrame:
     for i, leaf in enumerate(leaves):
         leaf.uid = i
         leaf.stem = index.stemmed
+        leaf.text_fields = index.text_fields
     pos = _positive_leaves(q)
     pairs = [p for l in leaves if l.bounded for p in l.terms()]
     shared = shared_postings(index, pairs) if pairs else None

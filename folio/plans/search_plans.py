@@ -43,6 +43,7 @@ register("t6_bm25_top20", BM25_SQL)(bm25_top20)
 
 # ----------------------------------------------------------------------------- helpers
 FIELDS3 = ("title", "content", "tags")
+_F3 = "'title', 'content', 'tags'"
 AS_OF = C.TEST_AS_OF
 
 
@@ -205,6 +206,54 @@ def p12(spark, sf_dir):
     return s.evaluate(_idx(spark, sf_dir), s.fuzzy("thon", 1))
 
 
+def _one_edit(word: str) -> str:
+    """Regular expression of the word and everything one edit away."""
+    n = range(len(word))
+    return "|".join([word, *(word[:i] + "." + word[i + 1:] for i in n), *(word[:i] + word[i + 1:] for i in n), *(word[:i] + "." + word[i:] for i in range(len(word) + 1))])
+
+
+_LOOKUPS = {"wildcard *eaux": (lambda: s.wildcard("*eaux", FIELDS3), ".*eaux"), "wildcard th?re*on": (lambda: s.wildcard("th?re*on", FIELDS3), "th.re.*on"),
+            "wildcard *a*": (lambda: s.wildcard("*a*e", ["title"]), ".*a.*e"), "regex th[a-e]+n": (lambda: s.regex("th[a-e]+n", FIELDS3), "th[a-e]+n"),
+            "regex (er|re)tion(s|ed)?": (lambda: s.regex("(er|re)tion(s|ed)?", FIELDS3), "(er|re)tion(s|ed)?"),
+            "fuzzy thonereat": (lambda: s.fuzzy("thonereat", 1, FIELDS3), _one_edit("thonereat")), "fuzzy thon": (lambda: s.fuzzy("thon", 1, FIELDS3), _one_edit("thon"))}
+GRAMS_SQL = f"WITH {Q.DOCS}, {Q.tokens_cte()}, {Q.postings_cte('TRUE')} " + " UNION ALL ".join(
+    f"SELECT '{name}' AS leaf, field, term, df FROM voc WHERE regexp_full_match(term, '{rx}') AND field IN ({chr(39) + 'title' + chr(39) if '*a*' in name else _F3})"
+    for name, (_, rx) in _LOOKUPS.items())
+
+
+@register("p10_p12_gram_lookup", GRAMS_SQL)
+def gram_lookup(spark, sf_dir):
+    """Terms of wildcard, regex and fuzzy leaves found by the grams of a written index."""
+    from functools import reduce
+
+    from folio.session import scratch_path
+    path = scratch_path(spark, "p10-index")
+    ix.write_index(corpus_index(spark, sf_dir), path, grams=True)
+    idx = ix.read_index(spark, path, tc.documents(spark, sf_dir))
+    found = [leaf().resolve(idx).select(F.lit(name).alias("leaf"), "field", "term", "df") for name, (leaf, _) in _LOOKUPS.items()]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+FOLDER_SQL = f"""WITH {Q.DOCS_BASE},
+tok AS (SELECT doc_id, 'ancestors' AS field, ['/' || lower(source), '/' || lower(source) || '/' || lower(lang)] AS toks FROM docs_b
+        UNION ALL SELECT doc_id, 'description', ['collected', lower(lang), 'notes'] FROM docs_b
+        UNION ALL SELECT doc_id, 'year', [CAST(year(created_at) AS VARCHAR)] FROM docs_b),
+nd AS (SELECT count(*) AS n_docs FROM docs_b),
+st AS (SELECT field, sum(len(toks)) / (SELECT n_docs FROM nd) AS avgdl, (SELECT n_docs FROM nd) AS n_docs FROM tok GROUP BY field),
+{Q.postings_cte("term IN ('/src1', 'collected', 'en', '2024')")}
+SELECT doc_id, round(sum({Q.bm25()}), 6) AS score FROM post JOIN voc USING (field, term) JOIN st USING (field)
+GROUP BY doc_id HAVING bool_or(term = '/src1') AND bool_or(term = 'en') AND bool_or(term = '2024')"""
+
+
+@register("s11_folder_search", FOLDER_SQL)
+def folder_search(spark, sf_dir):
+    """A folder as a term of its ancestors, a phrase in the description and a year, over an index with these fields."""
+    docs = tc.documents(spark, sf_dir, with_labels=False).withColumn("description", F.concat(F.lit("Collected "), F.col("lang"), F.lit(" notes")))
+    idx = ix.build_index(ix.with_search_fields(docs), text_fields=("title", "content", "description"), keyword_fields=("ancestors", "year", "month", "keywords"))
+    q = s.all_of(s.term("/src1", ["ancestors"]), s.phrase("collected en", ["description"]), s.term("2024", ["year"]))
+    return s.evaluate(idx, q)
+
+
 @register("p13_fallback_or", _sql_scored("term IN ('ouen', 'thorreou')", {"a": "term = 'ouen'", "b": "term = 'thorreou'"},
                                          "a OR b", "TRUE", fields=("title", "content"), limit=None,
                                          select="doc_id, score"))
@@ -370,6 +419,25 @@ def t11(spark, sf_dir):
         F.col("seed_id").cast("int").alias("seed_id"), "doc_id", "score")
 
 
+T11A_SQL = f"""WITH {Q.DOCS}, {Q.tokens_cte()}, {Q.postings_cte("field = 'content'")},
+seed AS (SELECT p.doc_id AS seed_id, p.term, p.tf * ln(st.n_docs / v.df) AS w FROM post p JOIN voc v USING (field, term) JOIN st USING (field)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY w DESC, term) AS n FROM seed) WHERE n <= 10),
+sc AS (SELECT top.seed_id, p.doc_id, round(sum({Q.bm25('p')}), 6) AS score
+       FROM post p JOIN top USING (term) JOIN voc v USING (field, term) JOIN st USING (field)
+       WHERE p.doc_id <> top.seed_id GROUP BY top.seed_id, p.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, doc_id) AS rank FROM sc)
+SELECT seed_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""
+
+
+@register("t11_all_documents", T11A_SQL)
+def t11_all(spark, sf_dir):
+    from folio.operators.blocks import similar_documents
+    from folio.session import scratch_path
+    path = scratch_path(spark, "t11-index")
+    ix.write_index(corpus_index(spark, sf_dir), path, shard_docs=2000)
+    return similar_documents(ix.read_index(spark, path, tc.documents(spark, sf_dir)))
+
+
 T12_SQL = f"""WITH {Q.DOCS}, {Q.tokens_cte()}, {Q.postings_cte(f"term IN ({_in}) AND field IN ('title', 'content', 'tags')")},
 m AS (SELECT * FROM docs WHERE doc_id IN (SELECT doc_id FROM post)),
 v AS (SELECT 'format' AS field, format AS value FROM m
