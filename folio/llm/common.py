@@ -104,13 +104,14 @@ class SpanHash:
         words = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
         if fold is not None:
             words = words[fold]
-        self._sum(lambda lane: self._lane(words, lane)[data])
+        lanes = [self._lane(words, lane) for lane in (0, 1)]
+        self._sum(len(data), lambda lane, a, z: lanes[lane][data[a:z]])
 
     @classmethod
     def of_values(cls, values: np.ndarray) -> SpanHash:
         """Over 64-bit values in place of bytes."""
         out = cls.__new__(cls)
-        out._sum(lambda lane: cls._lane(values, lane))
+        out._sum(len(values), lambda lane, a, z: cls._lane(values[a:z], lane))
         return out
 
     @staticmethod
@@ -129,20 +130,21 @@ class SpanHash:
     @classmethod
     def _powers(cls, base: int, known: np.ndarray, n: int) -> np.ndarray:
         while len(known) < n:
-            step = pow(base, len(known), cls.PRIME)
-            known = np.concatenate((known, cls._mod(known[:n - len(known)].astype(U) * U(step)).astype(np.uint32)))
+            more = min(len(known), n - len(known), 1 << 20)
+            known = np.concatenate((known, cls._mod(known[:more].astype(U) * U(pow(base, len(known), cls.PRIME))).astype(np.uint32)))
         return known
 
-    def _sum(self, lane_values) -> None:
+    def _sum(self, n: int, lane_values, part: int = 1 << 18) -> None:
+        """Prefix sums, a part at a time, so that what numpy holds in between stays small."""
         cls, self.prefix = SpanHash, []
         for lane, base in enumerate(cls.BASES):
-            values = lane_values(lane)
-            n = len(values)
             cls._pow[lane] = cls._powers(base, cls._pow[lane], n + 1)
             cls._inv[lane] = cls._powers(pow(base, -1, cls.PRIME), cls._inv[lane], n + 1)
-            values = cls._mod(values * cls._pow[lane][:n])
             prefix = np.zeros(n + 1, np.uint32)
-            prefix[1:] = cls._mod(np.cumsum(values, dtype=U))
+            for a in range(0, n, part):
+                z = min(n, a + part)
+                sums = np.cumsum(cls._mod(lane_values(lane, a, z) * cls._pow[lane][a:z]), dtype=U)
+                prefix[a + 1:z + 1] = cls._mod(sums + U(prefix[a]))
             self.prefix.append(prefix)
 
     def _between(self, lane: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
