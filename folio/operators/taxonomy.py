@@ -2,14 +2,16 @@
 
 Tags: `doc_tags(doc_id, tag)` edges; a tag's usage is its number of edges
 (D14). Categories: `categories(id, name, parent_id, ord)` plus
-`doc_categories(doc_id, category_id)` edges. The tree walk is a recursive
-CTE; the category table is small, the edge tables are the large ones."""
+`doc_categories(doc_id, category_id)` edges. Walks over the tree double their
+reach each round, so they read one row a category and round, at any depth."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.session import written
+
 
 def tags_from_documents(docs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """G1: get-or-create: every distinct tag name in the documents' tag lists
@@ -73,55 +75,87 @@ def children(categories: DataFrame, parent_id: str) -> DataFrame:
     return categories.filter(F.col("parent_id") == parent_id).orderBy("ord", "name")
 
 
-TREE_SQL = """
-WITH RECURSIVE tree (id, name, parent_id, ord, root_id, depth, path) MAX RECURSION LEVEL 1000000 AS (
-  SELECT id, name, parent_id, ord, id, 0, CAST(name AS STRING)
-  FROM {cats} WHERE parent_id IS NULL
-  UNION ALL
-  SELECT c.id, c.name, c.parent_id, c.ord, t.root_id, t.depth + 1, concat(t.path, '/', c.name)
-  FROM {cats} c JOIN tree t ON c.parent_id = t.id
-)
-SELECT id, name, parent_id, ord, root_id, depth, path FROM tree
-"""
+# Both walks below double their reach every round: after k rounds a category knows its 2^k-th ancestor (`up`), and
+# what lies between. So a round reads one row a category, and a chain of 100,000 levels takes 17 rounds.
+
+def _rounds(categories: DataFrame) -> int:
+    """Rounds after which every category under a root has reached it; who has not by then is in or below a cycle."""
+    return max(1, categories.count()).bit_length() + 1
 
 
 def category_tree(spark: SparkSession, categories: DataFrame) -> DataFrame:
-    """Every category with depth (root = 0) and path 'A/B/C', at any depth; a
-    cycle has no root, so the walk never enters one."""
-    return spark.sql(TREE_SQL, cats=categories)
+    """Every category with depth (root = 0) and path 'A/B/C', at any depth.
+    Categories in or below a cycle, or below a missing parent, have no root and
+    no row."""
+    step = F.when(F.col("parent_id").isNotNull(), 1).otherwise(0)
+    state = written(categories.select("id", "name", "parent_id", "ord", F.col("parent_id").alias("up"), F.col("id").alias("root_id"),
+                                      step.alias("depth"), F.col("name").cast("string").alias("path")), "tree")
+    for _ in range(_rounds(categories)):
+        open_ = state.filter("up is not null")
+        if not open_.limit(1).count():
+            break
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("root_id").alias("top"), F.col("depth").alias("more"), F.col("path").alias("head"))
+        moved = open_.join(above, "up").select("id", "name", "parent_id", "ord", F.col("next").alias("up"), F.col("top").alias("root_id"),
+                                               (F.col("depth") + F.col("more")).alias("depth"), F.concat("head", F.lit("/"), "path").alias("path"))
+        state = written(state.filter("up is null").unionByName(moved), "tree")
+    return state.filter("up is null").drop("up")
+
+
+def _subtree_sums(tree: DataFrame, rounds: int) -> DataFrame:
+    """(id, up, total) from tree(id, up, total): the sum of `total` over each node and all nodes below it. `up` stays
+    set for nodes in or below a cycle, whose sums mean nothing."""
+    state = written(tree, "subtree")
+    for _ in range(rounds):
+        if not state.filter("up is not null").limit(1).count():
+            break
+        below = state.filter("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("total").alias("below"))
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        state = written(state.join(below, "id", "left").withColumn("total", F.col("total") + F.coalesce("below", F.lit(0)))
+                        .join(above, "up", "left").select("id", F.col("next").alias("up"), "total"), "subtree")
+    return state
+
+
+def _rings(tree: DataFrame, rounds: int) -> DataFrame:
+    """(id, ring) of the categories on cycles, `ring` the smallest id on the cycle."""
+    state = written(tree.select("id", "up", F.col("id").alias("least")), "rings")
+    for _ in range(rounds):
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("least").alias("other"))
+        state = written(state.join(above, "up").filter("next is not null").select("id", F.col("next").alias("up"), F.least("least", "other").alias("least")), "rings")
+    # 2^rounds steps up from anywhere end on a cycle, and every place of it is reached
+    return state.join(state.select(F.col("up").alias("id")).distinct(), "id", "left_semi").select("id", F.col("least").alias("ring"))
 
 
-CLOSURE_SQL = """
-WITH RECURSIVE up (id, ancestor_id, seen) MAX RECURSION LEVEL 1000000 AS (
-  SELECT id, id, array(id) FROM {cats}
-  UNION ALL
-  SELECT u.id, c.parent_id, concat(u.seen, array(c.parent_id))
-  FROM up u JOIN {cats} c ON c.id = u.ancestor_id
-  WHERE c.parent_id IS NOT NULL AND NOT array_contains(u.seen, c.parent_id)
-)
-SELECT id, ancestor_id FROM up
-"""
+def category_counts(spark: SparkSession, categories: DataFrame, doc_categories: DataFrame) -> DataFrame:
+    """Documents per category, direct and summed over the whole subtree.
+    The categories of a cycle are below one another: each has the sum of all."""
+    direct = doc_categories.groupBy(F.col("category_id").alias("id")).agg(F.count_distinct("doc_id").alias("direct"))
+    rounds = _rounds(categories)
+    base = written(categories.select("id", "name", F.col("parent_id").alias("up")).join(direct, "id", "left")
+                   .withColumn("direct", F.coalesce("direct", F.lit(0)).cast("long")), "categories")
+    sums = _subtree_sums(base.select("id", "up", F.col("direct").alias("total")), rounds)
+    total = sums.select("id", "total")
+    if sums.filter("up is not null").limit(1).count():  # contract every cycle to one node and add up again
+        rings = written(_rings(base.select("id", "up"), rounds), "rings")
+        named = base.join(rings, "id", "left").join(rings.select(F.col("id").alias("up"), F.col("ring").alias("up_ring")), "up", "left")
+        nodes = named.groupBy(F.coalesce("ring", "id").alias("id")).agg(
+            F.max(F.when(F.col("ring").isNull(), F.coalesce("up_ring", "up"))).alias("up"), F.sum("direct").alias("total"))
+        sums = _subtree_sums(nodes, rounds).select(F.col("id").alias("node"), "total")
+        total = base.join(rings, "id", "left").select("id", F.coalesce("ring", "id").alias("node")).join(sums, "node").select("id", "total")
+    return base.join(total, "id").select("id", "name", "direct", F.col("total").cast("long").alias("subtree"))
 
 
 def category_closure(spark: SparkSession, categories: DataFrame) -> DataFrame:
     """(id, ancestor_id) for every category and each of its ancestors (self
-    included); the walk ends where a cycle comes back to a category it has seen."""
-    return spark.sql(CLOSURE_SQL, cats=categories)
-
-
-def category_counts(spark: SparkSession, categories: DataFrame, doc_categories: DataFrame) -> DataFrame:
-    """Documents per category, direct and over the whole subtree.
-    Edges are aggregated per category first; only the small per-category
-    counts meet the closure."""
-    direct = doc_categories.groupBy("category_id").agg(F.count_distinct("doc_id").alias("direct"))
-    clo = category_closure(spark, categories)
-    sub = (clo.join(direct.withColumnRenamed("category_id", "id"), "id")
-           .groupBy("ancestor_id").agg(F.sum("direct").alias("subtree")))
-    return (categories.select("id", "name")
-            .join(direct.withColumnRenamed("category_id", "id"), "id", "left")
-            .join(sub.withColumnRenamed("ancestor_id", "id"), "id", "left")
-            .select("id", "name", F.coalesce("direct", F.lit(0)).cast("long").alias("direct"),
-                    F.coalesce("subtree", F.lit(0)).cast("long").alias("subtree")))
+    included): as many rows as the depths add up to. Each round joins what
+    2^k steps up reach with what as many more reach; the walk ends
+    where a cycle comes back to a category it has seen."""
+    one = categories.filter("parent_id is not null").select("id", F.col("parent_id").alias("ancestor_id"))
+    reach, n = written(categories.select("id", F.col("id").alias("ancestor_id")).unionByName(one).distinct(), "closure"), -1
+    while n != (now := reach.count()):
+        n = now
+        on = reach.select(F.col("id").alias("ancestor_id"), F.col("ancestor_id").alias("far"))
+        reach = written(reach.join(on, "ancestor_id").select("id", F.col("far").alias("ancestor_id")).unionByName(reach).distinct(), "closure")
+    return reach
 
 
 def nested_children(categories: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from folio.functions.text import format_of
 from folio.operators import index as ix
 from folio.operators import search as srch
 from folio.sources import files as S
-from folio.session import scratch_path
+from folio.session import scratch_path, written
 
 
 # ----------------------------------------------------------------------------- sources
@@ -122,28 +122,21 @@ def resolve(all_touches: DataFrame) -> DataFrame:
     seen = (once.withColumn("was", was)
             .withColumn("node", F.when(begins, F.concat_ws("|", "kind", F.col("event_id").cast("string"), "path")))
             .withColumn("start", F.last("node", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    seen = _table(seen, "e3-touches")
+    seen = written(seen, "e3-touches")
     outs = seen.filter("kind = 'out' and was").select("event_id", F.col("start").alias("parent"))
     begun = seen.filter("node is not null").select("node", F.when(F.col("kind") == "in", F.col("event_id")).alias("event_id"), F.coalesce("id", F.md5("path")).alias("own"))
-    nodes = _table(begun.join(outs, "event_id", "left").select("node", "parent", F.when(F.col("parent").isNull(), F.col("own")).alias("id")), "e3-nodes")
+    nodes = written(begun.join(outs, "event_id", "left").select("node", "parent", F.when(F.col("parent").isNull(), F.col("own")).alias("id")), "e3-nodes")
     while nodes.filter("id is null").limit(1).count():
         up = nodes.select(F.col("node").alias("parent"), F.col("parent").alias("next"), F.col("id").alias("up_id"))
         done = nodes.filter("id is not null")
         step = nodes.filter("id is null").join(up, "parent").select("node", F.col("next").alias("parent"), F.col("up_id").alias("id"))
-        nodes = _table(done.unionByName(step), "e3-nodes")
+        nodes = written(done.unionByName(step), "e3-nodes")
     last = seen.groupBy("path").agg(F.max_by(F.struct("ts", "event_id", "value", "type", "old_path", "present", "start"), F.struct(*order)).alias("e")).select("path", "e.*")
     ids = nodes.select(F.col("node").alias("start"), "id")
     out = last.join(ids, "start", "left").withColumn("id", F.when(F.col("present"), F.col("id"))).withColumn("kind", F.lit("state"))
     return out.select(*_TOUCH_COLS)
 
 
-def _table(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read back: its lineage ends there."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _state(resolved: DataFrame) -> DataFrame:
     return resolved.filter("present").select("path", "id", F.col("ts").alias("last_ts"), "value")
 
