@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from folio.functions.text import html_escape
 
+# fixed values: columns, their order and the literals of the renderings below decide the output
 PREVIEW = 1000
 TRUNCATED = "... (truncated)"
 CSV_COLUMNS = ("id", "title", "path", "format", "size", "created_at", "updated_at")
@@ -115,7 +116,8 @@ def bundle(docs: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """Numbered contents line and body block per document:
     (n, toc_line, body). Writing `body` range-sorted by n keeps the order."""
     order = order or [F.col("title"), F.col("doc_id")]
-    num = global_row_number(docs, order)
+    # numbers are given to the rows without their texts, and the texts join them
+    num = docs.join(global_row_number(docs.drop("content"), order).select("doc_id", "n"), "doc_id")
     a = anchor("title")
     toc = F.concat(F.col("n").cast("string"), F.lit(". ["), F.col("title"), F.lit("](#"), a, F.lit(")"))
     tags = F.when(F.size(F.coalesce(F.col("tags"), F.array().cast("array<string>"))) > 0,

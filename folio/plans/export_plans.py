@@ -22,6 +22,23 @@ def o1(spark, sf_dir):
     return O.json_rows(tc.documents(spark, sf_dir))
 
 
+O1_SQL = f"""WITH {Q.DOCS}
+SELECT id, path, title, format, size, content_hash, sha256(content) AS content_sha256, {_ISO.format(c='created_at')} AS created_at, {_ISO.format(c='modified_at')} AS modified_at,
+       array_to_string(tags, ',') AS tags, category FROM docs"""
+
+
+@register("o1_json_round_trip", O1_SQL)
+def o1_read_back(spark, sf_dir):
+    """The JSON export written to files and read back, field by field."""
+    from folio.session import scratch_path
+    docs = tc.documents(spark, sf_dir)
+    path = scratch_path(spark, "o1-json")
+    O.write_json(docs, path)
+    back = spark.read.schema(docs.select(*O.JSON_COLUMNS).schema).json(path)
+    return back.select("id", "path", "title", "format", "size", "content_hash", F.sha2("content", 256).alias("content_sha256"),
+                       O.iso("created_at").alias("created_at"), O.iso("modified_at").alias("modified_at"), F.array_join("tags", ",").alias("tags"), "category")
+
+
 O2_SQL = f"""WITH {Q.DOCS_BASE}
 SELECT id, title, path, format, CAST(size AS VARCHAR) AS size, coalesce({_ISO.format(c='created_at')}, '') AS created_at,
        coalesce({_ISO.format(c='modified_at')}, '') AS updated_at FROM docs_b"""

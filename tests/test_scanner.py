@@ -72,6 +72,53 @@ def test_scan_extracts_by_format(spark, tmpdir_path):
     assert rows["p.html"]["snippet"] == "Page Body & more"
 
 
+def test_scan_with_a_registry(spark, tmpdir_path):
+    """A custom extension gets its format, and its extractor's columns, from the scan itself."""
+    for name, text in {"a.note": "Subject: Own\nbody", "b.md": "# Title\n", "c.zzz": "x"}.items():
+        with open(os.path.join(tmpdir_path, name), "w") as f:
+            f.write(text)
+    reg = U.ExtractorRegistry().register("note", "note", lambda: {"title": F.regexp_extract("content", "Subject: (.*)", 1), "n_chars": F.char_length("content")})
+    rows = {os.path.basename(r["path"]): r for r in S.scan(spark, tmpdir_path, registry=reg).collect()}
+    assert sorted(rows) == ["a.note", "b.md"]
+    assert (rows["a.note"]["format"], rows["a.note"]["title"], rows["a.note"]["n_chars"]) == ("note", "Own", 17)
+    assert (rows["b.md"]["title"], rows["b.md"]["n_chars"]) == ("Title", None)
+
+
+def test_listing_levels_and_roots(spark, tmpdir_path):
+    """Names that start with '_' are listed, ignored folders aren't entered, nested roots and files list once, links form no ring."""
+    for rel in ("_index.md", "pkg/__init__.py", "pkg/_x/deep.md", "node/skip/a.md", ".h/b.md", "x.tmp", "pkg/long/er/way/down.txt"):
+        path = os.path.join(tmpdir_path, rel)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        open(path, "w").write(rel)
+    os.symlink(tmpdir_path, os.path.join(tmpdir_path, "pkg", "ring"))
+    names = lambda **k: sorted(r["path"].split(tmpdir_path + "/")[1] for r in S.list_files(spark, [tmpdir_path, f"{tmpdir_path}/pkg", f"{tmpdir_path}/x.tmp"], **k).collect())
+    assert names(ignore=(".*", "node", "*.tmp")) == ["_index.md", "pkg/__init__.py", "pkg/_x/deep.md", "pkg/long/er/way/down.txt"]
+    assert names(recursive=False, with_content=False) == ["_index.md", "pkg/__init__.py", "x.tmp"]
+    assert names(excludes=["long", "skip"], path_glob="*.md") == ["_index.md", "pkg/_x/deep.md"]
+    got = S.list_files(spark, tmpdir_path, ignore=["node", ".*"]).filter("path like '%deep.md'").first()
+    assert bytes(got["content"]) == b"pkg/_x/deep.md" and got["length"] == 14
+
+
+def test_failed_write_leaves_no_file(spark, tmpdir_path):
+    U.register_sources(spark)
+    good = spark.createDataFrame([("t", "c")], "title string, content string")
+    good.write.format("folio_markdown").mode("append").save(tmpdir_path)
+    kept = sorted(os.listdir(tmpdir_path))
+    assert len(kept) == 1
+    bad = spark.range(8).repartition(4).select(F.lit("t").alias("title"), F.when(F.col("id") == 5, F.raise_error(F.lit("stop"))).otherwise("c").alias("content"))
+    try:
+        bad.write.format("folio_markdown").mode("append").save(tmpdir_path)
+    except Exception:  # noqa: BLE001
+        pass
+    else:
+        raise AssertionError("the write should fail")
+    assert sorted(os.listdir(tmpdir_path)) == kept
+    good.write.format("folio_markdown").mode("append").save(tmpdir_path)
+    assert len(os.listdir(tmpdir_path)) == 2
+    good.write.format("folio_markdown").mode("overwrite").save(tmpdir_path)
+    assert len(os.listdir(tmpdir_path)) == 1
+
+
 def test_decode_policies(spark, tmpdir_path):
     with open(os.path.join(tmpdir_path, "t.txt"), "wb") as f:
         f.write(b"Valid text \x80\x81 more text")
