@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from folio.session import scratch_path
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 U = np.uint64
 
 

@@ -38,6 +38,7 @@ from folio.llm.common import ragged, slices, stored, text_buffers
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CACHE_CHUNKS = 300_000
+SLICE_BYTES = 8 << 20
 SPACE, FEED, MARK = 32, 10, "▁"
 #: First bytes of characters that are not white space, ASCII or not.
 VISIBLE = np.zeros(256, bool)
@@ -245,7 +246,7 @@ def _slice_row(tool: Aligner, ids: pa.Array, texts: pa.Array, digest: bool) -> l
 
 def _slices_of(paths: tuple[str, str], digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             row = _slice_row(aligner(paths), b["doc_id"], b["text"], digest)
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, SLICE, strict=True)], schema=SLICE)
     return run

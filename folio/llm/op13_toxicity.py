@@ -42,6 +42,7 @@ LANDMARKS, ROUNDS, HARD, VARIANTS, RIDGE = 320, 3, 3000, 4, 0.005
 CHANCE = 0.01
 GAP, WINDOW = 0.7, 24
 THRESHOLD = 0.7
+SLICE_BYTES = 8 << 20
 SYMBOLS = 64
 #: Offsets of the second and third symbol of a subsequence, and the weight of its gaps.
 SHAPES = [(i, j, GAP ** (j - 2)) for j in (2, 3, 4) for i in range(1, j)]
@@ -304,7 +305,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score = scorer(train(*training_rows(told, labels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(score(b["text"]))], ["doc_id", "score"])
 
     out = told.mapInArrow(run, "doc_id long, score double")
