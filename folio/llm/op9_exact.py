@@ -98,3 +98,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     are rows of their own."""
     rows = own_ids(docs)
     return keep_rows(rows, exact_groups(under_row(rows)).filter("kept"))
+
+
+ORACLE = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+r AS (SELECT doc_id, norm, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size
+      FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id NULLS FIRST))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM r"""

@@ -74,4 +74,4 @@ QUERIES = {
     "op13_toxicity": op13_toxicity_query,
 }
 
-ORACLE = {"op4_source_mix": op4_mix.ORACLE}
+ORACLE = {"op4_source_mix": op4_mix.ORACLE, "op9_exact_dedup": op9_exact.ORACLE}
