@@ -1,11 +1,18 @@
 """License scan by a positional index of rare words.
 
-The index holds every template's words and key phrases with their positions.
-IDFs of licence words are counted over all documents. A key phrase is looked
-up by its highest-IDF word and gives relative positions (file position minus
-template position). Where all mandatory key phrases of a template put it at
-about one position, all its words that stand there vote, and it is reported if
-enough agree. No word is left out, so a file may hold any number of licences.
+The index holds postings of every template word: the templates and positions
+that it stands at. IDFs of licence words are counted over all documents.
+
+1. A file that holds every word of a template's mandatory key phrases looks up
+   the highest-IDF words of that template that it holds: as many as make sure
+   that one of them is of the longest key phrase, so no place is missed.
+2. Postings turn their places into relative positions (file position minus
+   template position); places where these fall into one window are looked at.
+3. There every mandatory key phrase must stand, and enough distinct words of
+   the template must agree with the place. The score is the share of the
+   template's words, by IDF, that stand near.
+
+Each template has its own words, so a file may hold any number of licences.
 Base phrases are short templates that hold where all their words stand at
 their relative positions.
 
@@ -22,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import LOWER, WORD, SpanHash, runs, slices, stored, text_buffers
+from folio.llm.common import LOWER, WORD, SpanHash, ragged, runs, slices, stored, text_buffers
 
 # Base phrases and their labels.
 BASE = {
@@ -95,6 +102,12 @@ class Index:
         self.hashes = hashed[self.order]
         self.base = [(code(p), label) for p, label in base.items()]
         self.templates = [(label, code(t), [(code(p), t.split().index(p.split()[0])) for p in ps]) for label, (t, ps) in templates.items()]
+        # postings: of each template, its distinct words, where each one's positions begin, and the positions
+        self.postings = []
+        for _, template, _ in self.templates:
+            order = np.argsort(template, kind="stable")
+            distinct, begin = np.unique(template[order], return_index=True)
+            self.postings.append((distinct, np.append(begin, len(template)), order))
 
     def words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(vocabulary number of every word or -1, first word of each document)."""
@@ -145,45 +158,58 @@ def _share(kinds: np.ndarray, near: np.ndarray, idf: np.ndarray) -> float:
     return float(weight[held].sum() / weight.sum())
 
 
-def _templates_in(words: np.ndarray, places: list[tuple[int, list[np.ndarray]]], index: Index, idf: np.ndarray) -> dict[str, float]:
-    """Labels and scores of the templates in one document's words; places: templates whose key phrases all
-    stand in it, with the relative positions of each phrase."""
-    found: dict[str, float] = {}
-    n = len(words)
-    for k, at in places:
-        label, template, keys = index.templates[k]
-        need = min(MIN_VOTES, *(len(np.unique(phrase)) for phrase, _ in keys))
-        # windows of relative positions that every phrase is in, from `place * SLACK` on
-        place = np.unique(np.floor_divide(at[0][:, None], SLACK) + np.arange(-3, 2))
-        lo, hi = (place - 1) * SLACK, (place + 3) * SLACK
-        for x in at:
-            x = np.sort(x)
-            some = np.searchsorted(x, lo, "left") < np.searchsorted(x, hi, "right")
-            place, lo, hi = place[some], lo[some], hi[some]
-        for first, a, z in zip((place * SLACK).tolist(), lo.tolist(), hi.tolist(), strict=True):
-            spot = first + np.arange(len(template))[:, None] + np.arange(2 * SLACK)
-            agree = (words[np.clip(spot, 0, n - 1)] == template[:, None]) & (spot >= 0) & (spot < n)
-            if len(np.unique(template[agree.any(axis=1)])) >= need:
-                near = words[max(0, a):max(0, z + len(template))]
-                found[label] = max(found.get(label, 0.0), _share(np.unique(template), near, idf))
-    return found
-
-
-def _with_keys(words: np.ndarray, first: np.ndarray, limit: np.ndarray, index: Index, idf: np.ndarray) -> dict[int, list]:
-    """Of each document that holds all key phrases of a template: (template, relative positions of each phrase)."""
-    out: dict[int, list] = {}
+def _rare_places(words: np.ndarray, first: np.ndarray, index: Index, idf: np.ndarray):
+    """(template, document, relative positions of its rarest words there), for documents that hold all words of the
+    template's key phrases."""
+    licence = np.flatnonzero(words >= 0)
+    doc = np.searchsorted(first, licence, "right") - 1
+    holds = np.zeros((len(first) - 1, len(index.vocab)), bool)
+    holds[doc, words[licence]] = True
     for k, (_, _, keys) in enumerate(index.templates):
-        docs, where = None, []
-        for phrase, q in keys:
-            start = _runs_at(words, limit, phrase, idf)
-            doc = np.searchsorted(first, start, "right") - 1
-            where.append((doc, start - first[doc] - q))
-            docs = np.unique(doc) if docs is None else np.intersect1d(docs, doc)
-            if not len(docs):
-                break
-        for d in docs.tolist():
-            out.setdefault(d, []).append((k, [at[np.searchsorted(doc, d):np.searchsorted(doc, d, "right")] for doc, at in where]))
-    return out
+        must = np.unique(np.concatenate([phrase for phrase, _ in keys]))
+        docs = np.flatnonzero(holds[:, must].all(axis=1))
+        if not len(docs):
+            continue
+        distinct, begin, at = index.postings[k]
+        ranked = np.argsort(-idf[distinct], kind="stable")
+        lookups = len(distinct) - max(len(np.unique(phrase)) for phrase, _ in keys) + 1
+        held = holds[docs][:, distinct[ranked]]
+        rare = np.zeros(held.shape, bool)
+        rare[:, ranked] = held & (np.cumsum(held, axis=1) <= lookups)  # back in the order of `distinct`
+        row = np.full(len(first) - 1, -1)
+        row[docs] = np.arange(len(docs))
+        slot = np.full(len(index.vocab), -1)
+        slot[distinct] = np.arange(len(distinct))
+        mine = np.flatnonzero((row[doc] >= 0) & (slot[words[licence]] >= 0))
+        mine = mine[rare[row[doc[mine]], slot[words[licence[mine]]]]]
+        entry = slot[words[licence[mine]]]
+        count = np.diff(begin)[entry]
+        relative = np.repeat(licence[mine] - first[doc[mine]], count) - at[ragged(begin[entry], count)]
+        owner = np.repeat(doc[mine], count)
+        cut = np.searchsorted(owner, docs)
+        for i, d in enumerate(docs.tolist()):
+            yield k, d, relative[cut[i]:cut[i + 1] if i + 1 < len(docs) else None]
+
+
+def _template_score(words: np.ndarray, relative: np.ndarray, k: int, index: Index, idf: np.ndarray) -> float | None:
+    """The score of a template in one document's words, by the relative positions of its rarest words; None if it is not there."""
+    _, template, keys = index.templates[k]
+    best, n = None, len(words)
+    need = min(MIN_VOTES, *(len(np.unique(phrase)) for phrase, _ in keys))
+    # windows of relative positions that hold a rare word, from `place * SLACK` on
+    place = np.unique(np.floor_divide(relative[:, None], SLACK) + np.arange(-3, 2))
+    lo, hi = (place - 1) * SLACK, (place + 3) * SLACK
+    end = np.full(n, n)
+    for phrase, q in keys:  # where every key phrase stands
+        x = _runs_at(words, end, phrase, idf) - q
+        some = np.searchsorted(x, lo, "left") < np.searchsorted(x, hi, "right")
+        place, lo, hi = place[some], lo[some], hi[some]
+    for first, a, z in zip((place * SLACK).tolist(), lo.tolist(), hi.tolist(), strict=True):
+        spot = first + np.arange(len(template))[:, None] + np.arange(2 * SLACK)
+        agree = (words[np.clip(spot, 0, n - 1)] == template[:, None]) & (spot >= 0) & (spot < n)
+        if len(np.unique(template[agree.any(axis=1)])) >= need:
+            best = max(best or 0.0, _share(np.unique(template), words[max(0, a):max(0, z + len(template))], idf))
+    return best
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
@@ -208,9 +234,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
                     labels[d].add(label)
             base_labels = [",".join(sorted(x)) for x in labels]
             score = np.where(n_base > 0, 1.0, 0.0)
-            for d, places in _with_keys(words, first, limit, index, idf).items():
-                for label, s in _templates_in(words[first[d]:first[d + 1]], places, index, idf).items():
-                    labels[d].add(label)
+            for k, d, relative in _rare_places(words, first, index, idf):
+                s = _template_score(words[first[d]:first[d + 1]], relative, k, index, idf)
+                if s is not None:
+                    labels[d].add(index.templates[k][0])
                     score[d] = max(score[d], s)
             none = n_base == 0
             yield pa.RecordBatch.from_arrays(
