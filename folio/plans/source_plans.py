@@ -90,6 +90,20 @@ def s5(spark, sf_dir):
         .select("doc_id", "path")
 
 
+@register("s5_modified_after", f"WITH {LISTING_CTE} SELECT path, CAST(octet_length(bytes) AS BIGINT) AS length FROM listing WHERE doc_id % 3 = 1")
+def s5_listing(spark, sf_dir):
+    """Files written after the last of an earlier scan, from a listing of the folder."""
+    import time
+
+    root, files = scratch_path(spark, "s5-tree"), listing(spark, sf_dir).select("doc_id", "path", "content")
+    folders.write_files(files.filter("doc_id % 3 <> 1"), root)
+    before = S.list_files(spark, root, with_content=False, ignore=()).agg(F.max("modificationTime").cast("string")).first()[0]
+    time.sleep(0.05)  # file times are no finer than this everywhere
+    folders.write_files(files.filter("doc_id % 3 = 1"), root)
+    late = S.list_files(spark, root, with_content=False, modified_after=before, ignore=())
+    return late.select(_below(root).alias("path"), "length")
+
+
 @register("s6_identity_columns", f"WITH {LISTING_CTE} SELECT doc_id, md5(path) AS id, sha256(bytes) AS content_hash, "
           "CAST(octet_length(bytes) AS BIGINT) AS size, mtime AS modified_at FROM listing")
 def s6(spark, sf_dir):

@@ -52,7 +52,7 @@ ENTRY = pa.schema([("root", pa.string()), ("path", pa.string()), ("name", pa.str
 ENTRY_DDL = "root string, path string, name string, is_dir boolean, length bigint, modificationTime timestamp"
 
 
-def _entries(root: str, info, prefix: str, is_root: bool = False) -> dict:
+def _entries(root: str, info, prefix: str) -> dict:
     from pyarrow import fs
 
     return {"root": root, "path": prefix + info.path, "name": info.base_name, "is_dir": info.type == fs.FileType.Directory,

@@ -42,8 +42,8 @@ def table_stream(spark: SparkSession, directory: str, name: str, max_files: int
 
 def watch_directory(spark: SparkSession, root: str, ignore=None, extensions=None) -> DataFrame:
     """New files under `root` arrive as document rows (S2-S7 on the
-    stream). The file source sees new files only; changes and deletes come
-    from snapshot diffs (J8) or an event feed (E3)."""
+    stream). The file source sees new files only; a FolderWatch
+    (sources/folders.py) sees changes and deletes too, over several roots."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"  # binaryFile's fixed schema
     raw = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root)
     raw = raw.filter(~S.ignored(S.local_path("path"), ignore or S.C.DEFAULT_IGNORE, root=root))

@@ -140,3 +140,36 @@ def test_change_log_compaction(spark, tmpdir_path):
     sink(spark.createDataFrame([(4, "moved", "/c.md", "/b.md", T0 + dt.timedelta(seconds=2), 4.0)], schema), 2)
     after = {r["path"]: r["value"] for r in E.current_state(log).collect()}
     assert after == {"/c.md": 4.0}
+
+
+def test_polling_watch_over_two_roots(spark, tmpdir_path):
+    """Added, changed and deleted files of two roots arrive as documents by format, in order of the listings."""
+    import os
+    from folio.session import scratch_path
+    from folio.sources.folders import FolderWatch
+    roots = [os.path.join(tmpdir_path, r) for r in ("one", "two")]
+
+    def put(root, rel, text):
+        path = os.path.join(roots[root], rel)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        open(path, "w").write(text)
+
+    put(0, "sub/a.md", "# First\nbody")
+    put(1, "_b.py", '"""Does things."""\n')
+    put(1, ".hidden/c.md", "# No")
+    base = scratch_path(spark, "test-poll")
+    watch = FolderWatch(spark, roots, f"{base}/versions")
+
+    def seen():
+        out = E.run_available_now(watch.documents().select("version", "change", "path", "title"), "test-poll", base=base)
+        return sorted((r["version"], r["change"], os.path.relpath(r["path"], tmpdir_path), r["title"]) for r in spark.read.parquet(out).collect())
+
+    assert watch.poll() == 1
+    assert seen() == [(1, "added", "one/sub/a.md", "First"), (1, "added", "two/_b.py", "Does things.")]
+    put(0, "sub/a.md", "# Second, longer\nbody")
+    os.remove(os.path.join(roots[1], "_b.py"))
+    put(1, "n.txt", "plain")
+    assert (watch.poll(), watch.poll()) == (2, 3)  # nothing changed between the last two
+    rows = seen()[2:]
+    assert [r[:3] for r in rows] == [(2, "added", "two/n.txt"), (2, "deleted", "two/_b.py"), (2, "modified", "one/sub/a.md")]
+    assert rows[2][3] == "Second, longer"
