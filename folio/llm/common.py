@@ -32,27 +32,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spare(docs: DataFrame, name: str) -> str:
+    """`name`, or with underscores after it where `docs` has such a column."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def own_ids(docs: DataFrame) -> DataFrame:
-    """`docs` and `__row`, an id of each row's own in the order of doc_id, null first: doc_id itself where none
+    """`docs` and, as last column, an id of each row's own in the order of doc_id, null first: doc_id itself where none
     repeats, else a number written once with the rows, so that decisions fall on rows and not on ids."""
+    name = spare(docs, "__row")
     row = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     if not docs.groupBy(row.alias("r")).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
-        return docs.withColumn("__row", row)
-    content = F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())])
-    dealt = (docs.withColumn("__content", content).withColumn("__salt", F.rand(7))
-             .repartitionByRange(F.col("doc_id").asc_nulls_first(), "__content", "__salt")
-             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__content"))
-    return stored(dealt.drop("__content", "__salt").withColumn("__row", F.monotonically_increasing_id()), "own-ids")
+        return docs.withColumn(name, row)
+    hashable = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    content = F.xxhash64(*[x for c in hashable for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
+    by, salt = spare(docs, "__content"), spare(docs, "__salt")
+    dealt = (docs.withColumn(by, content).withColumn(salt, F.rand(7))
+             .repartitionByRange(F.col("doc_id").asc_nulls_first(), by, salt)
+             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), by))
+    return stored(dealt.drop(by, salt).withColumn(name, F.monotonically_increasing_id()), "own-ids")
 
 
 def under_row(rows: DataFrame) -> DataFrame:
-    """The rows of own_ids() as documents whose doc_id is `__row`."""
-    return rows.withColumn("doc_id", F.col("__row")).drop("__row")
+    """The rows of own_ids() as documents whose doc_id is their own id."""
+    row = rows.columns[-1]
+    return rows.withColumn("doc_id", F.col(row)).drop(row)
 
 
 def keep_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of own_ids() whose `__row` is a doc_id of `ids`, as they came in."""
-    return rows.join(ids.select(F.col("doc_id").alias("__row")), "__row", "left_semi").drop("__row")
+    """The rows of own_ids() whose own id is a doc_id of `ids`, as they came in."""
+    row = rows.columns[-1]
+    return rows.join(ids.select(F.col("doc_id").alias(row)), row, "left_semi").drop(row)
 
 
 # --- Arrow buffers ---------------------------------------------------------

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import own_ids, stored, under_row
+from folio.llm.common import own_ids, spare, stored, under_row
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -82,9 +82,10 @@ def mix_counts(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mixture: each row of `docs` once per copy, with its columns."""
     rows = own_ids(docs)
-    n = mix_counts(under_row(rows), seed).filter("copies > 0").select(F.col("doc_id").alias("__row"), F.col("copies").alias("__copies"))
-    return (rows.join(n, "__row")
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns))
+    row, copies, copy = rows.columns[-1], spare(rows, "__copies"), spare(rows, "__copy")
+    n = mix_counts(under_row(rows), seed).filter("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").alias(copies))
+    return (rows.join(n, row)
+            .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 ORACLE = """
