@@ -19,7 +19,7 @@ from folio.llm.common import LOWER, SPACE, ragged, runs, text_buffers
 
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 200_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
