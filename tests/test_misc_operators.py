@@ -28,12 +28,13 @@ def test_corpus_profile_one_pass(spark):
 
 def test_integrity_checks(spark):
     docs = spark.createDataFrame([(1, "/a", "A"), (2, "/a", ""), (3, "/c", "C")], "doc_id long, path string, title string")
-    tags = spark.createDataFrame([(1, "x"), (9, "y")], "doc_id long, tag string")
+    tags = spark.createDataFrame([(1, "x"), (9, "y"), (1, "x"), (2, " X"), (3, " ")], "doc_id long, tag string")
     cats = spark.createDataFrame([("r", "Root", None), ("k", "Kid", "zz")], "id string, name string, parent_id string")
     edges = spark.createDataFrame([(1, "r"), (2, "nope")], "doc_id long, category_id string")
     got = {r["check"]: r["violations"] for r in S.integrity(docs, tags, cats, edges).collect()}
     assert got == {"duplicate_path": 2, "duplicate_category_name": 0, "orphan_tag_edges": 1,
-                   "orphan_category_edges": 1, "missing_parent": 1, "missing_title": 1}
+                   "orphan_category_edges": 1, "missing_parent": 1, "missing_title": 1,
+                   "duplicate_tag_edges": 2, "duplicate_category_edges": 0, "unclear_tag_names": 3}
 
 
 def test_relative_dates(spark):
@@ -45,8 +46,9 @@ def test_relative_dates(spark):
 
 
 def test_labels(spark):
-    d = spark.createDataFrame([(500, NOW - dt.timedelta(seconds=30)), (2048, NOW - dt.timedelta(minutes=5)),
-                               (3 * 1024 ** 2, NOW - dt.timedelta(hours=3)), (5 * 1024 ** 3, NOW - dt.timedelta(days=2))],
-                              "size long, ts timestamp_ntz")
+    ago = lambda **k: NOW - dt.timedelta(**k)
+    d = spark.createDataFrame([(0, ago(seconds=30)), (500, ago(minutes=1)), (2048, ago(minutes=5)), (1126, ago(hours=1)), (3 * 1024 ** 2 + 1024 ** 2 // 4, ago(hours=23)),
+                               (5 * 1024 ** 3, ago(days=1)), (1023, ago(days=7, hours=23)), (1536, ago(days=8))], "size long, ts timestamp_ntz")
     got = [(r[0], r[1]) for r in d.select(size_label("size"), age_label(F.col("ts"), ntz("2024-03-01 00:00:00"))).collect()]
-    assert got == [("500 B", "just now"), ("2.0 KB", "5 minutes ago"), ("3.0 MB", "3 hours ago"), ("5.0 GB", "2 days ago")]
+    assert got == [("0 Bytes", "Just now"), ("500 Bytes", "1 minute ago"), ("2 KB", "5 minutes ago"), ("1.1 KB", "1 hour ago"), ("3.25 MB", "23 hours ago"),
+                   ("5 GB", "1 day ago"), ("1023 Bytes", "7 days ago"), ("1.5 KB", "2/22/2024")]
