@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from folio import constants as C
 from folio.functions.text import analyze
+from folio.session import written
 
 BLOCK_COLS = ("field", "term", "shard", "df", "top", "docs", "parts")
 #: Queries that a task answers.
@@ -152,6 +153,7 @@ def best_documents(index, asked: DataFrame, k: int, fields: tuple, query_block:
     shard's lists and up to about `query_block` queries."""
     from folio.operators.stats import top_k_per_group
 
+    asked = written(asked, "asked")  # read four times below
     groups = max(1, -(-asked.count() // query_block))
     group = F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int")
     sent = routes(index, asked, fields, k).join(asked, "query").select("shard", group.alias("block"), "query", "floor", "terms")
