@@ -22,6 +22,8 @@ from folio.functions.text import analyze, analyze_keywords
 
 TEXT_FIELDS = ("title", "content")
 KEYWORD_FIELDS = ("tags", "format", "category", "status")
+#: Postings that a file of a compacted index holds at most, about.
+FILE_POSTINGS = 2_000_000
 
 
 @dataclass
@@ -42,6 +44,8 @@ class Index:
     grams: DataFrame | None = None
     # which of the fields hold analysed text
     text_fields: tuple = TEXT_FIELDS
+    # (doc_id, field, dl) of the fields that hold tokens, where it is known without the postings
+    lengths: DataFrame | None = None
 
     def n_docs(self):
         """Scalar subquery: number of indexed documents."""
@@ -94,14 +98,20 @@ def tokens(docs: DataFrame, text_fields=TEXT_FIELDS, keyword_fields=KEYWORD_FIEL
 
 
 def build_index(docs: DataFrame, text_fields=TEXT_FIELDS, keyword_fields=KEYWORD_FIELDS,
-                positions: bool = False, stem: bool = False) -> Index:
+                positions: bool = False, stem: bool = False, by_document: bool = False) -> Index:
     """Postings with term frequency and field length (and, with
     positions=True, the sorted token positions; phrase queries are exact
     either way: without positions they verify adjacency on the text of the
     candidate documents only).
     stem=True maps text-field terms to Porter stems over the distinct
-    vocabulary (a pandas UDF) and merges their postings."""
-    tok = tokens(docs, text_fields, keyword_fields)
+    vocabulary (a pandas UDF) and merges their postings. by_document=True is for
+    readers of all postings: the documents are dealt by doc_id before they are
+    tokenised, and counting needs no shuffle of the postings then."""
+    dealt = docs
+    if by_document:
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = docs.select("doc_id", *dict.fromkeys((*text_fields, *keyword_fields))).repartition(parts, "doc_id")
+    tok = tokens(dealt, text_fields, keyword_fields)
     aggs = [F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")]
     if positions:
         aggs.append(F.array_sort(F.collect_list("pos")).alias("positions"))
@@ -115,7 +125,8 @@ def build_index(docs: DataFrame, text_fields=TEXT_FIELDS, keyword_fields=KEYWORD
     stats = (long.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"),
                                        F.sum(F.size("toks")).alias("sum_dl"))
              .withColumn("avgdl", F.col("sum_dl") / F.col("n_docs")))
-    idx = Index(postings, vocab, stats, docs, fields=tuple(text_fields) + tuple(keyword_fields), text_fields=tuple(text_fields))
+    lengths = long.select("doc_id", "field", F.size("toks").alias("dl")).filter("dl > 0")
+    idx = Index(postings, vocab, stats, docs, fields=tuple(text_fields) + tuple(keyword_fields), text_fields=tuple(text_fields), lengths=lengths)
     if stem:
         from folio.functions.stem import stem_index
         idx = stem_index(idx, text_fields)
@@ -183,9 +194,12 @@ def read_index(spark: SparkSession, path: str, docs: DataFrame, stemmed: bool =
 
 
 def compact_index(spark: SparkSession, src: str, dst: str, partitions: int, docs: DataFrame) -> Index:
-    """Rewrite postings into `partitions` term-ranged, sorted files."""
+    """Rewrite postings into `partitions` term-ranged, sorted files, or as
+    many more as it takes for one to hold about FILE_POSTINGS rows, so that what a
+    task sorts does not follow the size of the index."""
     idx = read_index(spark, src, docs)
-    write_index(idx, dst, partitions)
+    rows = idx.vocab.agg(F.sum("df")).first()[0] or 0  # one number
+    write_index(idx, dst, max(partitions, -(-rows // FILE_POSTINGS)))
     return read_index(spark, dst, docs)
 
 
@@ -196,10 +210,11 @@ def delete_from_index(index: Index, doc_ids: DataFrame) -> Index:
     docs = index.docs.join(doc_ids.select("doc_id"), "doc_id", "left_anti")
     vocab = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     n_docs = docs.select(F.count(F.lit(1))).scalar()
-    per_doc = post.groupBy("field", "doc_id").agg(F.max("dl").alias("dl"))
+    lengths = None if index.lengths is None else index.lengths.join(doc_ids.select("doc_id"), "doc_id", "left_anti")
+    per_doc = (post if lengths is None else lengths).groupBy("field", "doc_id").agg(F.max("dl").alias("dl"))
     stats = (per_doc.groupBy("field").agg(F.sum("dl").alias("sum_dl"))
              .select("field", n_docs.alias("n_docs"), "sum_dl", (F.col("sum_dl") / n_docs).alias("avgdl")))
-    return Index(post, vocab, stats, docs, index.stemmed, index.fields, text_fields=index.text_fields)
+    return Index(post, vocab, stats, docs, index.stemmed, index.fields, text_fields=index.text_fields, lengths=lengths)
 
 
 def clear_index(index: Index) -> Index:

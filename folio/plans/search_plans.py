@@ -15,9 +15,9 @@ from folio.sources import testcorpus as tc
 T6_TERMS = ("tion", "ing", "ther")
 
 
-def corpus_index(spark, sf_dir):
+def corpus_index(spark, sf_dir, by_document=False):
     docs = tc.documents(spark, sf_dir)
-    return ix.build_index(docs)
+    return ix.build_index(docs, by_document=by_document)
 
 
 def _page_cols(df):
@@ -105,7 +105,7 @@ SELECT field, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS n_tokens, count
 
 @register("t2_postings_summary", T2P_SQL)
 def t2p(spark, sf_dir):
-    p = _idx(spark, sf_dir).postings
+    p = corpus_index(spark, sf_dir, by_document=True).postings
     return p.groupBy("field").agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens"),
                                   F.count_distinct("doc_id").alias("n_docs"))
 
@@ -119,7 +119,7 @@ SELECT (SELECT count(*) FROM docs) AS n_documents, (SELECT max(modified_at) FROM
 
 @register("t13_index_stats", T13_SQL)
 def t13(spark, sf_dir):
-    return ix.index_stats(_idx(spark, sf_dir))
+    return ix.index_stats(corpus_index(spark, sf_dir, by_document=True))
 
 
 # ----------------------------------------------------------------------------- P7-P13 / T3-T6

@@ -71,6 +71,9 @@ def spread(df, min_partitions: int | None = None):
     """Round-robin a scan to at least the session's parallelism when it has
     fewer partitions (a large file stored as one row group reads in one
     task). At scale the input already has many more splits than cores, so
-    this is a no-op there. Only plans, runs no job."""
+    this is a no-op there. Only plans, runs no job: the partitions of a plan with
+    an exchange are known when it has run, and those of its shuffles are many already."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
