@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.operators import index as ix
+from folio.session import written
 
 #: A batch of up to so many documents looks its forward rows up by id; a larger one is joined.
 LOOKUP_IDS = 1000
@@ -70,12 +71,15 @@ class SegmentedIndex:
             raise ValueError(f"segment {number} is a compaction; batches go above it")
         touched = None
         if docs is not None:
-            postings = ix.build_index(docs, self.text_fields, self.keyword_fields).postings.select("field", "term", "doc_id", "tf", "dl")
-            postings.write.mode("overwrite").parquet(f"{here}/postings")
-            own = self.spark.read.parquet(f"{here}/postings")
-            rows = own.groupBy("doc_id").agg(F.collect_list(F.struct("field", "term", "tf")).alias("terms"), F.collect_set(F.struct("field", "dl")).alias("lengths"))
-            ids = docs.select("doc_id").distinct()
-            (ids.join(rows, "doc_id", "left").withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (x.split(" ", 1) for x in _FORWARD.split(", "))})
+            # one row a document from the tokens on: nothing below shuffles postings
+            postings = ix.build_index(docs, self.text_fields, self.keyword_fields, by_document=True).postings
+            held = written(postings.groupBy("doc_id").agg(F.collect_list(F.struct("field", "term", "tf")).alias("terms"), F.collect_set(F.struct("field", "dl")).alias("lengths")), "segment-rows")
+            of = F.map_from_entries("lengths")
+            (held.select("doc_id", F.explode("terms").alias("t"), of.alias("l")).select("t.field", "t.term", "doc_id", "t.tf", F.col("l")[F.col("t.field")].alias("dl"))
+             .write.mode("overwrite").parquet(f"{here}/postings"))
+            bare = docs.select("doc_id").distinct().join(held.select("doc_id"), "doc_id", "left_anti")
+            bare = bare.select("doc_id", *[F.array().cast(t).alias(c) for c, t in (x.split(" ", 1) for x in _FORWARD.split(", "))])
+            (held.filter("doc_id is not null").unionByName(bare)
              .repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").option("parquet.block.size", 1 << 20).parquet(f"{here}/forward"))
             touched = self.spark.read.parquet(f"{here}/forward").select("doc_id")
         if deleted is not None:

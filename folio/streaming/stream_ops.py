@@ -259,6 +259,7 @@ def segment_sink(index, to_docs: Callable[[DataFrame], DataFrame], first: int =
     batch the last version counts."""
     def run(batch: DataFrame, batch_id: int) -> None:
         last = batch.groupBy("doc_id").agg(F.max_by(F.struct(*batch.columns), F.col("version")).alias("e")).select("e.*")
+        last = written(last, "segment-batch")  # read several times below
         docs = to_docs(last.filter("change <> 'deleted'"))
         index.apply(first + batch_id, docs, last.filter("change = 'deleted'").select("doc_id"))
     return run
