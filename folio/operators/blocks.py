@@ -26,19 +26,23 @@ from folio.functions.text import analyze
 from folio.session import written
 
 BLOCK_COLS = ("field", "term", "shard", "df", "top", "docs", "parts")
-#: Queries that a task answers.
-QUERY_BLOCK = 20_000
+#: Up to so many queries are routed shard by shard before lists are read.
+ROUTED = 1000
+#: A shard is made larger than asked for until it holds about so many postings, so that queries meet few shards.
+SHARD_POSTINGS = 4_000_000
 #: Scores are compared after rounding, so bounds leave this much room.
 SLACK = 10.0 ** -C.SCORE_DECIMALS
 
 
 def write_blocks(index, path: str, shard_docs: int) -> None:
-    """The score blocks of a written index next to its postings. `shard_docs`
-    sizes a shard (and so the largest block); a few shards per core are enough."""
+    """The score blocks of a written index next to its postings. `shard_docs` is
+    the least size of a shard. Every query of a batch meets every shard, so beyond two
+    shards per core there are only as many as it takes to hold SHARD_POSTINGS each."""
     from folio.operators.search import contribution, with_stats
 
-    n = index.docs.count()
-    shards = max(1, -(-n // shard_docs))
+    n, held = index.docs.count(), index.vocab.agg(F.sum("df")).first()[0] or 0
+    few = max(16, 2 * index.docs.sparkSession.sparkContext.defaultParallelism, -(-held // SHARD_POSTINGS))
+    shards = max(1, min(-(-n // shard_docs), few))
     rows = index.postings.join(index.vocab.select("field", "term", "df"), ["field", "term"])
     rows = with_stats(rows, index).select("field", "term", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "df",
                                           F.struct((-contribution("bm25")).alias("p"), "doc_id").alias("e"))
@@ -120,20 +124,49 @@ class Lists:
 ANSWER = pa.schema([("query", pa.string()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
 
+#: What a task of best_documents reads: the lists of its shards (kind 0), then the queries sent there (kind 1).
+DEALT = "shard int, kind int, field string, term string, docs array<bigint>, parts array<double>, query string, terms array<string>, floor double"
+
+
 def _answer(fields: tuple, k: int):
-    def run(blocks: pa.Table, asked: pa.Table) -> pa.Table:
-        if not blocks.num_rows or not asked.num_rows:
-            return ANSWER.empty_table()
-        docs, parts = (blocks[c].combine_chunks() for c in ("docs", "parts"))
+    """Over the rows of whole shards, in order of shard and kind: the lists of one shard are held, its queries stream by."""
+    def build(held: list) -> Lists | None:
+        if not held:
+            return None
+        t = pa.Table.from_batches(held)
+        docs, parts = (pa.concat_arrays(t[c].chunks) for c in ("docs", "parts"))
         offsets = docs.offsets.to_numpy().astype(np.int64)
-        lists = Lists(blocks["field"].to_pylist(), blocks["term"].to_pylist(), offsets - offsets[0], docs.flatten().to_numpy(), parts.flatten().to_numpy())
-        out = [[], [], []]
-        for query, terms, floor in zip(asked["query"].to_pylist(), asked["terms"].to_pylist(), asked["floor"].to_pylist(), strict=True):
-            ids, value = lists.best([(f, t) for t in terms for f in fields], k, -np.inf if floor is None else floor)
-            out[0] += [query] * len(ids)
-            out[1].append(ids)
-            out[2].append(value)
-        return pa.table([pa.array(out[0], pa.string()), pa.array(np.concatenate(out[1]).astype(np.int64)), pa.array(np.concatenate(out[2]))], ANSWER)
+        return Lists(t["field"].to_pylist(), t["term"].to_pylist(), offsets - offsets[0], docs.flatten().to_numpy(), parts.flatten().to_numpy())
+
+    def run(batches):
+        shard, held, lists = None, [], None
+        for b in batches:
+            of, kind = b["shard"].to_numpy(), b["kind"].to_numpy()
+            cuts = np.flatnonzero((of[1:] != of[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if x == y:
+                    continue
+                if of[x] != shard:
+                    shard, held, lists = of[x], [], None
+                if kind[x] == 0:
+                    held.append(b.slice(x, y - x).select(["field", "term", "docs", "parts"]))
+                    continue
+                if held:
+                    lists, held = build(held), []
+                if lists is None:
+                    continue
+                asked, out = b.slice(x, y - x), [[], [], []]
+                for query, terms, floor in zip(asked["query"].to_pylist(), asked["terms"].to_pylist(), asked["floor"].to_pylist(), strict=True):
+                    ids, value = lists.best([(f, t) for t in terms for f in fields], k, -np.inf if floor is None else floor)
+                    if floor is not None:  # what is known to be below the k-th
+                        above = value >= floor - SLACK
+                        ids, value = ids[above], value[above]
+                    if len(ids):
+                        out[0] += [query] * len(ids)
+                        out[1].append(ids)
+                        out[2].append(value)
+                if out[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(np.concatenate(out[1]).astype(np.int64)), pa.array(np.concatenate(out[2]))], schema=ANSWER)
     return run
 
 
@@ -148,19 +181,34 @@ def routes(index, asked: DataFrame, fields: tuple, k: int) -> DataFrame:
             .select("shard", "query", "floor"))
 
 
-def best_documents(index, asked: DataFrame, k: int, fields: tuple, query_block: int = QUERY_BLOCK) -> DataFrame:
+def floors(index, asked: DataFrame, fields: tuple, k: int) -> DataFrame:
+    """(query, floor): the k-th best part of any one of a query's terms over all shards, null where none has so many."""
+    best = F.sort_array(F.flatten(F.collect_list(F.slice("parts", 1, k))), asc=False)  # k numbers a shard
+    per_term = index.blocks.filter(F.col("field").isin(list(fields))).groupBy("field", "term").agg(F.get(best, F.lit(k - 1)).alias("kth"))
+    per_term = per_term.groupBy("term").agg(F.max("kth").alias("kth"))
+    terms = asked.select("query", F.explode("terms").alias("term"))
+    return terms.join(per_term, "term").groupBy("query").agg(F.max("kth").alias("floor"))
+
+
+def best_documents(index, asked: DataFrame, k: int, fields: tuple, routed: int = ROUTED) -> DataFrame:
     """(query, doc_id, score, rank): the k best documents for every row of `asked(query, terms)`. A task holds one
-    shard's lists and up to about `query_block` queries."""
+    shard's lists at a time and answers the queries sent there as they stream by, so lists are read once for any number of
+    queries. Up to `routed` queries go only to the shards that can reach their floor; more go to all shards, each of
+    which leaves a query alone as soon as its own bound is below the floor."""
     from folio.operators.stats import top_k_per_group
 
-    asked = written(asked, "asked")  # read four times below
-    groups = max(1, -(-asked.count() // query_block))
-    group = F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int")
-    sent = routes(index, asked, fields, k).join(asked, "query").select("shard", group.alias("block"), "query", "floor", "terms")
+    asked = written(asked, "asked")  # read several times below
+    shards = (index.blocks.agg(F.max("shard")).first()[0] or 0) + 1
+    if asked.limit(routed + 1).count() <= routed:
+        sent = routes(index, asked, fields, k).join(asked, "query")
+    else:
+        sent = asked.join(floors(index, asked, fields, k), "query").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     wanted = asked.select(F.explode("terms").alias("term")).distinct()
-    lists = (index.blocks.filter(F.col("field").isin(list(fields))).join(wanted, "term", "left_semi")
-             .select(F.col("shard").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("to"), "field", "term", "docs", "parts"))
-    found = lists.groupBy("of", "to").cogroup(sent.groupBy("shard", "block")).applyInArrow(_answer(tuple(fields), k), "query string, doc_id long, score double")
+    lists = index.blocks.filter(F.col("field").isin(list(fields))).join(wanted, "term", "left_semi").withColumn("kind", F.lit(0))
+    sent = sent.withColumn("kind", F.lit(1))
+    names = [f.split(" ")[0] for f in DEALT.split(", ")]
+    dealt = lists.unionByName(sent.select("shard", "kind", "query", "terms", "floor"), allowMissingColumns=True).select(*names)
+    found = dealt.repartition(4 * shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answer(tuple(fields), k), "query string, doc_id long, score double")
     return top_k_per_group(found.withColumn("score", F.round("score", C.SCORE_DECIMALS)), ["query"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
