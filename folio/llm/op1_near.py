@@ -24,6 +24,10 @@ one, and the excess is the same share of the documents at every size.
    fewer, and all pairs of a cell between components are verified; so are
    those of documents that share one of their rarest shingles with up to
    SMALL_BAND of them.
+5. What still lies in different components and shares one of its rarest
+   shingles with more documents than that is compared in full, in blocks of
+   CELL_BLOCK by CELL_BLOCK documents. Similar documents share a rarest shingle,
+   so no pair of a band is left out by the size of its band or cell.
 
 One row per document comes back: its class (smallest doc_id) and whether it
 stays (it is that document).
@@ -53,6 +57,8 @@ LIKELY = 0.5
 SMALL_BAND = 32
 #: Orders of the samples by which what is left of larger bands is split, and how many of them a split compares.
 TREES, DEPTHS = 24, (2, 4, 6, 8, 10, 13, 17, 22, 30)
+#: Cells of more documents are compared in blocks of so many by so many.
+CELL_BLOCK = 2048
 SKETCH_BITS, SKETCH_PARTS = 18, 16
 SHINGLE_BITS = 44
 U = np.uint64
@@ -222,9 +228,10 @@ def _prefixes(batches, idf: np.ndarray, similarity: float):
         yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["label"].take(at), b["stray"].take(at), pa.array(s[some].view(np.int64), pa.int64())], ["rep", "label", "stray", "cell"])
 
 
-def _split(placed: DataFrame, sig: DataFrame, texts: DataFrame, idf, similarity: float, samples: int, small: int = SMALL_BAND) -> DataFrame:
-    """Candidate pairs (a, b) of different components, one a stray, in the cells of bands larger than `small` that hold strays.
-    Documents of a cell of all samples equal, if that is larger still, are paired with its smallest."""
+def _split(placed: DataFrame, sig: DataFrame, texts: DataFrame, idf, similarity: float, samples: int, small: int = SMALL_BAND) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rare): candidate pairs (a, b) of different components, one a stray, in the cells of bands larger than `small` that hold strays.
+    Documents of a cell of all samples equal, if that is larger still, are paired with its smallest. rare(rep, cell) are
+    the rarest shingles of these documents."""
     large = placed.filter(F.col("n") > small).withColumn("stray", F.col("label") != F.col("main"))
     docs = (large.join(large.filter("stray").select("band").distinct(), "band", "left_semi")
             .groupBy("rep").agg(F.first("label").alias("label"), F.max("stray").alias("stray")).join(sig, "rep"))
@@ -267,6 +274,35 @@ def _split(placed: DataFrame, sig: DataFrame, texts: DataFrame, idf, similarity:
             .join(few.select("cell", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("stray").alias("sb")), "cell")
             .filter((F.col("la") != F.col("lb")) & (~F.col("sb") | (F.col("a") < F.col("b")))).select("a", "b"))
     pairs = pairs.unionByName(near).unionByName(cells.filter((F.col("m") > small) & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rare.select("rep", "cell")
+
+
+def _crowded(rare: DataFrame, labels: DataFrame, sig: DataFrame, likely: float = LIKELY, small: int = SMALL_BAND, block: int = CELL_BLOCK) -> DataFrame:
+    """Candidate pairs (a, b) of different components in the cells of `rare(rep, cell)` that hold more than `small` documents:
+    all of them with enough equal samples. A cell's documents outside its largest component meet all others, in blocks
+    dealt over the tasks, so a task holds two blocks however large the cell."""
+    held = stored(rare.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("rep", "cell", F.coalesce("label", "rep").alias("label")), "op1-held")
+    parts = held.groupBy("cell", "label").agg(F.count("*").alias("c"))
+    cells = (parts.groupBy("cell").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("x"), F.count("*").alias("labels")).filter(f"m > {small} and labels > 1")
+             .select("cell", F.col("x.label").alias("main"), F.ceil(F.col("m") / block).cast("int").alias("wide"), F.ceil((F.col("m") - F.col("x.c")) / block).cast("int").alias("high")))
+    rows = held.join(cells, "cell").join(sig, "rep").withColumn("h", F.xxhash64("rep"))
+    own = lambda n: F.pmod("h", F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    said = ["rep", "label", "sig", (F.col("label") == F.col("main")).alias("is_main")]
+    strays = rows.filter("label <> main").select("cell", own("high").alias("i"), upto("wide").alias("j"), F.lit(True).alias("stray"), *said)
+    every = rows.select("cell", upto("high").alias("i"), own("wide").alias("j"), F.lit(False).alias("stray"), *said)
+
+    def compare(t: pa.Table) -> pa.Table:
+        stray = t["stray"].to_numpy()
+        x, y = t.filter(pa.array(stray)), t.filter(pa.array(~stray))
+        a, b, la, lb, main = (c.to_numpy() for c in (x["rep"], y["rep"], x["label"], y["label"], y["is_main"]))
+        matrix = lambda z: z["sig"].combine_chunks().flatten().to_numpy().reshape(z.num_rows, -1) if z.num_rows else np.zeros((0, 1), np.int32)
+        sa, sb = matrix(x), matrix(y)
+        hit = [np.flatnonzero(((sb == row).sum(axis=1) >= likely * sb.shape[1]) & (lb != la[i]) & (main | (b > a[i]))) for i, row in enumerate(sa)] if len(b) else []
+        at = np.concatenate(hit) if hit else np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(np.repeat(a, [len(h) for h in hit]) if hit else a[:0], pa.int64()), "b": pa.array(b[at], pa.int64())})
+
+    pairs = strays.unionByName(every).groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -319,8 +355,12 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
             break
         links, tries = stored(links.select("a", "b").unionByName(new.select("a", "b")), f"op1-links-{tries}"), tries + 1
     if placed.filter((F.col("n") > SMALL_BAND) & (F.col("label") != F.col("main"))).limit(1).count():
-        new = verify(_split(placed, sig, texts, idf, similarity, bands * rows), "op1-rest")
-        labels = components(stored(links.select("a", "b").unionByName(new.select("a", "b")), "op1-links"), "op1-all")
+        pairs, rare = _split(placed, sig, texts, idf, similarity, bands * rows)
+        links = stored(links.select("a", "b").unionByName(verify(pairs, "op1-rest").select("a", "b")), "op1-links")
+        labels = components(links, "op1-all")
+        new = verify(_crowded(rare, labels, sig), "op1-crowded-cells")
+        if new.limit(1).count():
+            labels = components(stored(links.unionByName(new.select("a", "b")), "op1-links-all"), "op1-last")
     labels = labels.select(F.col("node").alias("rep"), "label")
     of_text = one.select("k1", "k2", "rep").join(labels, "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("class"))
     out = (marks.select("doc_id", "k1", "k2").join(of_text, ["k1", "k2"], "left")
