@@ -212,8 +212,9 @@ def _across(placed: DataFrame, tries: int, small: int = SMALL_BAND) -> DataFrame
 
 
 def _prefixes(batches, idf: np.ndarray, similarity: float):
-    """(rep, label, stray, cell) of the rarest shingles of each text, as many as hold more than 1 - similarity of its
-    weight. Texts that share none of these, in one order of all shingles, are less similar than that."""
+    """(rep, label, stray, cell, left, total) of the rarest shingles of each text, as many as hold more than 1 - similarity
+    of its weight: the weight from this shingle on, and that of the text. Texts that share none of these, in one order
+    of all shingles, are less similar than that."""
     for b in slices(batches, "text", 2 << 20):
         keys, n, _, _ = shingles(b["text"])
         doc, s = (keys >> U(SHINGLE_BITS)).astype(np.int64), keys & _MASK
@@ -225,7 +226,14 @@ def _prefixes(batches, idf: np.ndarray, similarity: float):
         before -= before[np.searchsorted(doc, doc)]
         some = before <= (1 - similarity + 1e-6) * total[doc]
         at = pa.array(doc[some])
-        yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["label"].take(at), b["stray"].take(at), pa.array(s[some].view(np.int64), pa.int64())], ["rep", "label", "stray", "cell"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["label"].take(at), b["stray"].take(at), pa.array(s[some].view(np.int64), pa.int64()),
+                                          pa.array((total[doc] - before)[some], pa.float64()), pa.array(total[doc[some]], pa.float64())], ["rep", "label", "stray", "cell", "left", "total"])
+
+
+def _enough(similarity: float) -> float:
+    """The share of the sum of two texts' weights that their common shingles weigh at this similarity. Texts whose first
+    common shingle, in the order of the prefixes, is a given one have no more in common than the lesser `left` there."""
+    return (similarity - 1e-6) / (1 + similarity)
 
 
 def _split(placed: DataFrame, sig: DataFrame, texts: DataFrame, idf, similarity: float, samples: int, small: int = SMALL_BAND) -> tuple[DataFrame, DataFrame]:
@@ -268,37 +276,48 @@ def _split(placed: DataFrame, sig: DataFrame, texts: DataFrame, idf, similarity:
              .filter((F.col("la") != F.col("lb")) & (~F.col("sb") | (F.col("a") < F.col("b")))).select("a", "b"))
     # and in the cells of one shingle of their prefixes: similar documents share one of those
     rare = stored(texts.join(docs.select(F.col("rep").alias("doc_id"), "label", "stray"), "doc_id").mapInArrow(
-        lambda batches: _prefixes(batches, idf.value, similarity), "rep long, label long, stray boolean, cell long"), "op1-prefixes")
+        lambda batches: _prefixes(batches, idf.value, similarity), "rep long, label long, stray boolean, cell long, left double, total double"), "op1-prefixes")
     few = (rare.join(rare.groupBy("cell").agg(F.count("*").alias("m"), F.max("stray").alias("some")).filter(f"m > 1 and m <= {small} and some"), "cell"))
-    near = (few.filter("stray").select("cell", F.col("rep").alias("a"), F.col("label").alias("la"))
-            .join(few.select("cell", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("stray").alias("sb")), "cell")
-            .filter((F.col("la") != F.col("lb")) & (~F.col("sb") | (F.col("a") < F.col("b")))).select("a", "b"))
+    side = lambda z: few.select("cell", *(F.col(c).alias(f"{c}_{z}") for c in ("rep", "label", "stray", "left", "total")))
+    near = (side("a").filter("stray_a").join(side("b"), "cell")
+            .filter((F.col("label_a") != F.col("label_b")) & (~F.col("stray_b") | (F.col("rep_a") < F.col("rep_b")))
+                    & (F.least("left_a", "left_b") >= _enough(similarity) * (F.col("total_a") + F.col("total_b"))))
+            .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
     pairs = pairs.unionByName(near).unionByName(cells.filter((F.col("m") > small) & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rare.select("rep", "cell")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rare.select("rep", "cell", "left", "total")
 
 
-def _crowded(rare: DataFrame, labels: DataFrame, sig: DataFrame, likely: float = LIKELY, small: int = SMALL_BAND, block: int = CELL_BLOCK) -> DataFrame:
+def _crowded(rare: DataFrame, labels: DataFrame, sig: DataFrame, likely: float = LIKELY, small: int = SMALL_BAND, block: int = CELL_BLOCK, similarity: float = SIMILARITY) -> DataFrame:
     """Candidate pairs (a, b) of different components in the cells of `rare(rep, cell)` that hold more than `small` documents:
-    all of them with enough equal samples. A cell's documents outside its largest component meet all others, in blocks
-    dealt over the tasks, so a task holds two blocks however large the cell."""
-    held = stored(rare.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("rep", "cell", F.coalesce("label", "rep").alias("label")), "op1-held")
+    all of them with enough equal samples and, where `rare` has `left` and `total`, enough weight from the cell's shingle on.
+    A cell's documents outside its largest component meet all others, in blocks dealt over the tasks, so a task holds two
+    blocks however large the cell."""
+    if "left" not in rare.columns:
+        rare = rare.withColumns({"left": F.lit(1.0), "total": F.lit(1.0)})
+    held = stored(rare.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
+                  .select("rep", "cell", "left", "total", F.coalesce("label", "rep").alias("label")), "op1-held")
     parts = held.groupBy("cell", "label").agg(F.count("*").alias("c"))
     cells = (parts.groupBy("cell").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("x"), F.count("*").alias("labels")).filter(f"m > {small} and labels > 1")
              .select("cell", F.col("x.label").alias("main"), F.ceil(F.col("m") / block).cast("int").alias("wide"), F.ceil((F.col("m") - F.col("x.c")) / block).cast("int").alias("high")))
     rows = held.join(cells, "cell").join(sig, "rep").withColumn("h", F.xxhash64("rep"))
     own = lambda n: F.pmod("h", F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    said = ["rep", "label", "sig", (F.col("label") == F.col("main")).alias("is_main")]
+    said = ["rep", "label", "sig", "left", "total", (F.col("label") == F.col("main")).alias("is_main")]
     strays = rows.filter("label <> main").select("cell", own("high").alias("i"), upto("wide").alias("j"), F.lit(True).alias("stray"), *said)
     every = rows.select("cell", upto("high").alias("i"), own("wide").alias("j"), F.lit(False).alias("stray"), *said)
 
+    enough = _enough(similarity)
+
     def compare(t: pa.Table) -> pa.Table:
         stray = t["stray"].to_numpy()
         x, y = t.filter(pa.array(stray)), t.filter(pa.array(~stray))
-        a, b, la, lb, main = (c.to_numpy() for c in (x["rep"], y["rep"], x["label"], y["label"], y["is_main"]))
+        a, b, la, lb, fa, fb, ta, tb, main = (c.to_numpy() for c in (x["rep"], y["rep"], x["label"], y["label"], x["left"], y["left"], x["total"], y["total"], y["is_main"]))
         matrix = lambda z: z["sig"].combine_chunks().flatten().to_numpy().reshape(z.num_rows, -1) if z.num_rows else np.zeros((0, 1), np.int32)
         sa, sb = matrix(x), matrix(y)
-        hit = [np.flatnonzero(((sb == row).sum(axis=1) >= likely * sb.shape[1]) & (lb != la[i]) & (main | (b > a[i]))) for i, row in enumerate(sa)] if len(b) else []
+        hit = []
+        for i, row in enumerate(sa if len(b) else []):
+            some = np.flatnonzero((np.minimum(fa[i], fb) >= enough * (ta[i] + tb)) & (lb != la[i]) & (main | (b > a[i])))
+            hit.append(some[(sb[some] == row).sum(axis=1) >= likely * sb.shape[1]])
         at = np.concatenate(hit) if hit else np.zeros(0, np.int64)
         return pa.table({"a": pa.array(np.repeat(a, [len(h) for h in hit]) if hit else a[:0], pa.int64()), "b": pa.array(b[at], pa.int64())})
 
@@ -358,7 +377,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
         pairs, rare = _split(placed, sig, texts, idf, similarity, bands * rows)
         links = stored(links.select("a", "b").unionByName(verify(pairs, "op1-rest").select("a", "b")), "op1-links")
         labels = components(links, "op1-all")
-        new = verify(_crowded(rare, labels, sig), "op1-crowded-cells")
+        new = verify(_crowded(rare, labels, sig, similarity=similarity), "op1-crowded-cells")
         if new.limit(1).count():
             labels = components(stored(links.unionByName(new.select("a", "b")), "op1-links-all"), "op1-last")
     labels = labels.select(F.col("node").alias("rep"), "label")
