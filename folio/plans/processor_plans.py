@@ -67,8 +67,8 @@ SELECT count(*) AS n_documents, CAST(sum(octet_length(encode('## ' || title || c
 
 @register("u4_markdown_data_source", U4_SQL)
 def u4(spark, sf_dir):
-    """U4: documents written through the custom Python data source (one
-    markdown file per task, committed at the end) and read back through it."""
+    """U4: documents written through the custom Python data source (markdown
+    files of about 8 MB, committed at the end) and read back through it."""
     from folio.session import scratch_path
     U.register_sources(spark)
     out = scratch_path(spark, "u4-markdown")

@@ -335,14 +335,18 @@ class MarkdownReader(DataSourceReader):
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, attempt: str, rows: int):
-        self.attempt, self.rows = attempt, rows
+    def __init__(self, attempts: list, rows: int):
+        self.attempts, self.rows = attempts, rows
 
 
 class MarkdownWriter(DataSourceWriter):
-    """Two-phase commit: every task attempt writes a file of its own in a
-    staging folder; commit() moves one file for each partition to its final name, and
-    abort() leaves nothing. With `overwrite` the markdown files that were there go at commit."""
+    """Two-phase commit: every task attempt writes files of its own in a
+    staging folder, a new one after about PART_BYTES, so that a reader's row does not
+    follow the size of a partition; commit() moves the files of one attempt for each
+    partition to their final names, and abort() leaves nothing. With `overwrite` the
+    markdown files that were there go at commit."""
+
+    PART_BYTES = 8 << 20
 
     def __init__(self, root: str, overwrite: bool):
         import uuid
@@ -358,12 +362,22 @@ class MarkdownWriter(DataSourceWriter):
 
         system, _, staging = self._staging()
         system.create_dir(staging, recursive=True)
-        attempt, n = f"{staging}/{uuid.uuid4().hex}.md", 0
-        with system.open_output_stream(attempt) as f:
+        attempts, n, size, f = [], 0, 0, None
+        try:
             for row in iterator:
-                f.write(f"## {row['title']}\n\n{row['content']}\n\n---\n".encode())
-                n += 1
-        return _Written(attempt, n)
+                if f is None:
+                    attempts.append(f"{staging}/{uuid.uuid4().hex}.md")
+                    f, size = system.open_output_stream(attempts[-1]), 0
+                text = f"## {row['title']}\n\n{row['content']}\n\n---\n".encode()
+                f.write(text)
+                n, size = n + 1, size + len(text)
+                if size >= self.PART_BYTES:
+                    f.close()
+                    f = None
+        finally:
+            if f is not None:
+                f.close()
+        return _Written(attempts, n)
 
     def commit(self, messages):
         from pyarrow import fs
@@ -374,8 +388,8 @@ class MarkdownWriter(DataSourceWriter):
             for x in system.get_file_info(fs.FileSelector(inner)):
                 if x.type == fs.FileType.File and x.base_name.endswith(".md"):
                     system.delete_file(x.path)
-        for i, m in enumerate(m for m in messages if m is not None and m.rows):
-            system.move(m.attempt, f"{inner}/part-{i:05d}-{self.job}.md")
+        for i, attempt in enumerate(a for m in messages if m is not None for a in m.attempts):
+            system.move(attempt, f"{inner}/part-{i:05d}-{self.job}.md")
         self.abort(messages)
 
     def abort(self, messages):
@@ -388,7 +402,7 @@ class MarkdownWriter(DataSourceWriter):
 
 class MarkdownFolder(DataSource):
     """U4: custom back end through the Python Data Source API: read a folder of
-    markdown files, or write documents as markdown parts (one file per task)."""
+    markdown files, or write documents as markdown parts of about PART_BYTES."""
 
     @classmethod
     def name(cls):
