@@ -134,6 +134,18 @@ def porter(terms: pd.Series) -> pd.Series:
     return terms.map(lambda t: stem_word(t) if isinstance(t, str) else t)
 
 
+def surface_forms(tokens, stems) -> dict[str, str]:
+    """Form -> stem of the words in `tokens(term)` that have one of the stems. The algorithm takes off or rewrites a few
+    suffixes only, so the forms of a stem are bounded by the stem, not by the texts; they come to the driver. The words
+    are written first: a filter on the stem would move below `distinct`, and the stemmer see every token."""
+    from folio.session import written
+
+    if not stems:
+        return {}
+    vmap = written(tokens.distinct(), "words").withColumn("stem", porter(F.col("term")))
+    return dict(vmap.filter(F.col("stem").isin(sorted(stems))).collect())
+
+
 def stem_index(index, text_fields=("title", "content")):
     """Index with stemmed text-field terms: postings of all surface forms of
     one stem are merged (tf summed, positions united); keyword fields stay.

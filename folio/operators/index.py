@@ -13,7 +13,7 @@ because Catalyst pushes `term IN (...)` below the aggregation.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +46,10 @@ class Index:
     text_fields: tuple = TEXT_FIELDS
     # (doc_id, field, dl) of the fields that hold tokens, where it is known without the postings
     lengths: DataFrame | None = None
+    # the documents of an index built from them, as long as nothing else was done to it
+    texts: DataFrame | None = None
+    # what `narrowed` wrote, by (field, term) pairs
+    narrow: dict = field(default_factory=dict)
 
     def n_docs(self):
         """Scalar subquery: number of indexed documents."""
@@ -122,18 +126,65 @@ def build_index(docs: DataFrame, text_fields=TEXT_FIELDS, keyword_fields=KEYWORD
     # with map-side partial sums, never a shuffle of the postings
     # (one row per document and field, so count = number of documents)
     long = _field_tokens(docs, text_fields, keyword_fields)
-    stats = (long.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"),
-                                       F.sum(F.size("toks")).alias("sum_dl"))
-             .withColumn("avgdl", F.col("sum_dl") / F.col("n_docs")))
+    stats = _stats_of(long, F.size("toks"))
     lengths = long.select("doc_id", "field", F.size("toks").alias("dl")).filter("dl > 0")
     idx = Index(postings, vocab, stats, docs, fields=tuple(text_fields) + tuple(keyword_fields), text_fields=tuple(text_fields), lengths=lengths)
     if stem:
         from folio.functions.stem import stem_index
         idx = stem_index(idx, text_fields)
         idx.stemmed = True
+    if not positions:
+        idx.texts = docs
     return idx
 
 
+def narrowed(index: Index, pairs) -> Index:
+    """An index built from documents with the postings of these (field, term) pairs and the statistics of their fields
+    only. The texts are read and tokenised once: for each document and field its length and those of its tokens that are
+    asked for are written to the shared folder, and postings, document frequencies and statistics are counted from there.
+    Of a stemmed index the surface forms of the stems are looked up first, in the distinct tokens of the texts. An index that was written, or changed since it was built, is returned as it is."""
+    from folio.session import written
+
+    asked = frozenset(pairs)
+    if index.texts is None or not asked:
+        return index
+    if asked not in index.narrow:
+        by_field: dict[str, set] = {}
+        for f, t in asked:
+            by_field.setdefault(f, set()).add(t)
+        long = _field_tokens(index.texts, [f for f in index.text_fields if f in by_field],
+                             [f for f in index.fields if f in by_field and f not in index.text_fields])
+        stems = {}
+        if index.stemmed:
+            from folio.functions.stem import surface_forms
+            stems = surface_forms(long.filter(F.col("field").isin(list(index.text_fields))).select(F.explode("toks").alias("term")),
+                                  {t for f, t in asked if f in index.text_fields})
+        hits = F.array().cast("array<string>")
+        for f, terms in sorted(by_field.items()):
+            forms = {w for w, stem in stems.items() if stem in terms} if index.stemmed and f in index.text_fields else terms
+            hits = F.when(F.col("field") == f, _among(forms)).otherwise(hits)
+        rows = written(long.select("doc_id", "field", F.size("toks").alias("dl"), hits.alias("hits")), "narrowed")
+        found = rows.select("field", "doc_id", "dl", F.explode("hits").alias("term"))
+        if stems:
+            told = index.docs.sparkSession.createDataFrame(list(stems.items()), "form string, stem string")
+            own = (F.col("term") == F.col("form")) & F.col("field").isin(list(index.text_fields))
+            found = found.join(F.broadcast(told), own, "left").select("field", "doc_id", "dl", F.coalesce("stem", "term").alias("term"))
+        postings = found.groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+        vocab = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        index.narrow[asked] = Index(postings, vocab, _stats_of(rows, F.col("dl")), index.docs, index.stemmed, index.fields, text_fields=index.text_fields)
+    return index.narrow[asked]
+
+
+def _among(terms):
+    return F.filter("toks", lambda t: t.isin(sorted(terms)))
+
+
+def _stats_of(rows: DataFrame, length) -> DataFrame:
+    """Statistics of fields from one row per document and field."""
+    return (rows.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(length).alias("sum_dl"))
+            .withColumn("avgdl", F.col("sum_dl") / F.col("n_docs")))
+
+
 def write_index(index: Index, path: str, partitions: int | None = None, shard_docs: int | None = None,
                 grams: bool = False) -> None:
     """Persist the index; the text is tokenised once. With `shard_docs`, score

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from folio import constants as C
 from folio.functions.text import snippet as snippet_col
-from folio.operators.index import TEXT_FIELDS, Index
+from folio.operators.index import TEXT_FIELDS, Index, narrowed
 
 DEFAULT_FIELDS = ("title", "content", "tags")
 _TOKEN_RX = _re.compile(C.TOKEN_PATTERN)
@@ -98,6 +98,11 @@ class Leaf(Query):
 ROW_COLS = ("doc_id", "field", "term", "tf", "dl", "df")
 
 
+def _is_pattern(leaf: Leaf) -> bool:
+    """Does the leaf look its terms up in the vocabulary?"""
+    return type(leaf).resolve is not Leaf.resolve
+
+
 def _empty_rows(index):
     return index.postings.filter(F.lit(False)).withColumn("df", F.lit(0).cast("long")).select(*ROW_COLS)
 
@@ -204,16 +209,17 @@ class Phrase(Leaf):
                   .agg(F.count_distinct("i").alias("n"))
                   .filter(F.col("n") == k).select("doc_id", "field").distinct())
         else:
-            ok = _verify_on_text(index, cand, toks, self.stem)
+            ok = _verify_on_text(index, cand, toks, self.stem, self.fields)
         return base.join(ok, ["doc_id", "field"], "left_semi").select(*ROW_COLS)
 
 
-def _verify_on_text(index: Index, cand: DataFrame, toks: list[str], stem: bool) -> DataFrame:
+def _verify_on_text(index: Index, cand: DataFrame, toks: list[str], stem: bool, asked) -> DataFrame:
     """Adjacency check for index without positions: re-analyse the field
-    text of the candidate documents only and look for the token sequence."""
+    text of the candidate documents only and look for the token sequence. Fields
+    that the phrase doesn't ask for are not read."""
     from folio.functions.text import analyze
 
-    fields = [f for f in index.text_fields if f in index.docs.columns]
+    fields = [f for f in index.text_fields if f in index.docs.columns and f in asked]
     txt = F.lit(None).cast("string")
     for f in fields:
         txt = F.when(F.col("field") == f, F.col(f)).otherwise(txt)
@@ -488,6 +494,8 @@ def evaluate(index: Index, q: Query, method: str = "bm25") -> DataFrame:
         leaf.text_fields = index.text_fields
     positive = {l.uid for l in _positive_leaves(q)}
     pairs = [p for l in leaves if l.bounded for p in l.terms()]
+    if not any(_is_pattern(l) for l in leaves):
+        index = narrowed(index, pairs)
     shared = shared_postings(index, pairs) if pairs else None
     universe = q.truth({l.uid: False for l in leaves})
     words = range(-(-len(leaves) // MASK_BITS))
@@ -676,6 +684,8 @@ def explain_scores(index: Index, q: Query, hits: DataFrame) -> DataFrame:
         leaf.text_fields = index.text_fields
     pos = _positive_leaves(q)
     pairs = [p for l in leaves if l.bounded for p in l.terms()]
+    if not any(_is_pattern(l) for l in leaves):
+        index = narrowed(index, pairs)
     shared = shared_postings(index, pairs) if pairs else None
     rows = reduce(lambda a, b: a.unionByName(b), [l.rows(index, shared) for l in pos])
     rows = rows.join(hits.select("doc_id"), "doc_id", "left_semi")
