@@ -17,6 +17,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,8 @@ from folio.session import scratch_path
 
 #: Rows of file bytes leave a task in batches of about this size.
 BATCH_BYTES = 32 << 20
+#: Entries of a folder that a listing holds at a time.
+CHUNK = 10_000
 SCHEMES = ("file", "s3", "s3a", "gs", "gcs", "hdfs", "abfs", "abfss")
 
 
@@ -65,17 +68,33 @@ def _prefix(path: str) -> str:
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyarrow import fs
-
     for b in batches:
         for root, path in zip(b["root"].to_pylist(), b["path"].to_pylist(), strict=True):
             system, inner = storage(path)
-            local = system.type_name == "local"
-            found = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
-            found = [x for x in found if not (local and os.path.islink(x.path) and x.type == fs.FileType.Directory)]  # links may form rings
             prefix = _prefix(path)
-            for a in range(0, len(found), 10_000):
-                yield pa.RecordBatch.from_pylist([_entries(root, x, prefix) for x in found[a:a + 10_000]], ENTRY)
+            for found in _chunks(system, inner):
+                yield pa.RecordBatch.from_pylist([_entries(root, x, prefix) for x in found], ENTRY)
+
+
+def _chunks(system, folder: str) -> Iterator[list]:
+    """The entries of a folder, at most CHUNK at a time; a local folder is read on as they are taken, so a task's memory
+    does not follow its size. Links to directories are left out: they may form rings."""
+    from pyarrow import fs
+
+    if system.type_name != "local":
+        found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        for a in range(0, len(found), CHUNK):
+            yield found[a:a + CHUNK]
+        return
+    try:
+        entries = os.scandir(folder)
+    except FileNotFoundError:
+        return
+    with entries:
+        while names := [e.path for e in islice(entries, CHUNK)]:
+            found = [x for x in system.get_file_info(names) if x.type != fs.FileType.NotFound]
+            if kept := [x for x in found if not (x.type == fs.FileType.Directory and os.path.islink(x.path))]:
+                yield kept
 
 
 def list_tree(spark: SparkSession, roots, recursive: bool = True, ignore=(), parallelism: int | None = None) -> DataFrame:
@@ -158,14 +177,14 @@ def write_files(files: DataFrame, root: str) -> int:
         system, base = storage(root)
         for b in batches:
             made = set()
-            for path, content in zip(b["path"].to_pylist(), b["content"].cast(pa.binary()).to_pylist(), strict=True):
+            for path, content in zip(b["path"].to_pylist(), b["content"], strict=True):  # one file's bytes at a time
                 folder, name = os.path.split(f"{base}/{path.lstrip('/')}")
                 if folder not in made:
                     system.create_dir(folder, recursive=True)
                     made.add(folder)
                 attempt = f"{folder}/.{name}.{uuid.uuid4().hex}"
                 with system.open_output_stream(attempt) as f:
-                    f.write(content or b"")
+                    f.write(content.cast(pa.binary()).as_py() or b"")
                 system.move(attempt, f"{folder}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
