@@ -245,7 +245,7 @@ def index_log_sink(log: ChangeLog, to_docs: Callable[[DataFrame], DataFrame]) ->
     is rewritten."""
     def run(batch: DataFrame, batch_id: int) -> None:
         docs = to_docs(batch)
-        fresh = ix.build_index(docs, keyword_fields=(), positions=False).postings
+        fresh = ix.build_index(docs, keyword_fields=(), positions=False, by_document=True).postings
         touched = docs.select(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("term"), "doc_id",
                               F.lit(0).cast("long").alias("tf"), F.lit(0).alias("dl"))
         log.append(batch_id, fresh.select("field", "term", "doc_id", "tf", "dl").unionByName(touched))
@@ -267,10 +267,12 @@ def segment_sink(index, to_docs: Callable[[DataFrame], DataFrame], first: int =
 
 def current_postings(log: ChangeLog) -> DataFrame:
     """E4 merge-on-read: a document's postings come from the latest batch
-    that indexed it (T15 delete + T2 add, without rewriting)."""
+    that indexed it (T15 delete + T2 add, without rewriting). Only what later
+    batches replaced is looked up, so postings are not shuffled by document."""
     rows = log.read()
-    latest = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return rows.filter(F.col("term").isNotNull()).join(latest, ["doc_id", "batch"]).drop("batch")
+    again = rows.groupBy("doc_id").agg(F.min("batch").alias("first"), F.max("batch").alias("last")).filter("first < last")
+    live = rows.filter(F.col("term").isNotNull() & F.col("doc_id").isNotNull()).join(written(again.select("doc_id", "last"), "e4-again"), "doc_id", "left")
+    return live.filter("last is null or batch = last").select("doc_id", "field", "term", "tf", "dl")
 
 
 def empty_postings(spark: SparkSession) -> DataFrame:
