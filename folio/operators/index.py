@@ -175,6 +175,17 @@ def narrowed(index: Index, pairs) -> Index:
     return index.narrow[asked]
 
 
+def holders(index: Index, terms: DataFrame, field: str) -> DataFrame:
+    """(term, doc_id) of the documents whose `field` holds a term of the table `terms(term)`, once for each time the table
+    has it. From documents, distinct tokens meet the terms before anything is shuffled."""
+    if index.texts is None or index.stemmed or field not in index.fields:
+        return index.postings.filter(F.col("field") == field).join(terms.select("term"), "term").select("term", "doc_id")
+    text = field in index.text_fields
+    long = _field_tokens(index.texts, [field] if text else [], [] if text else [field])
+    held = long.select("doc_id", F.explode(F.array_distinct("toks")).alias("term"))
+    return held.join(terms.select("term").distinct(), "term").select("term", "doc_id").distinct().join(terms.select("term"), "term")
+
+
 def _among(terms):
     return F.filter("toks", lambda t: t.isin(sorted(terms)))
 

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio import constants as C
+from folio.operators.index import Index, holders
 from folio.operators.stats import top_k_per_group
+from folio.session import written
 
 SUGG_COLS = ("term", "type", "frequency", "last_used")
 
@@ -119,12 +121,13 @@ def popular(suggestions: DataFrame, k: int = 10, typ: str = "title") -> DataFram
     return top.unionByName(defaults)
 
 
-def related_tags(postings: DataFrame, doc_tags: DataFrame, terms: DataFrame,
+def related_tags(postings: DataFrame | Index, doc_tags: DataFrame, terms: DataFrame,
                  k: int | None = 3, field: str = "content") -> DataFrame:
     """Q6: tags co-occurring on documents containing each term (the tag equal
-    to the term excluded). Output (term, tag, count[, rank])."""
-    hit = (postings.filter(F.col("field") == field).join(terms.select("term"), "term")
-           .select("term", "doc_id"))
+    to the term excluded). Output (term, tag, count[, rank]). Given an index
+    built from documents, only tokens among the terms are counted."""
+    index = postings if isinstance(postings, Index) else Index(postings, None, None, None)
+    hit = holders(index, terms, field)
     co = (hit.join(doc_tags, "doc_id").filter(F.col("tag") != F.col("term"))
           .groupBy("term", "tag").agg(F.count(F.lit(1)).alias("count")))
     if k is None:
@@ -182,13 +185,15 @@ def merge(*sources: DataFrame, k: int = 10) -> DataFrame:
     return top_k_per_group(first, ["prefix"], [F.col("source_rank"), F.col("pos"), F.col("text")], k)
 
 
-def suggestions_for(prefixes: DataFrame, suggestions: DataFrame, postings: DataFrame, doc_tags: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+def suggestions_for(prefixes: DataFrame, suggestions: DataFrame, postings: DataFrame | Index, doc_tags: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     """Q9 over all four sources, in this order: completions of the prefix (Q3),
     typo completions (Q4), query templates of its first terms (Q7), and field values
-    for requests of the form `field:partial` (Q8). prefixes(prefix)."""
+    for requests of the form `field:partial` (Q8). prefixes(prefix). Tables that several
+    sources read are written once."""
+    suggestions, prefixes = written(suggestions, "q9-suggestions"), written(prefixes.select("prefix").distinct(), "q9-prefixes")
     pos = lambda *order: F.row_number().over(Window.partitionBy("prefix").orderBy(*order))
     listed = lambda df, rank, *order: df.select("prefix", "text", F.lit(rank).alias("source_rank"), pos(*order).alias("pos")).filter(F.col("pos") <= k)
-    typed = prefix_completion(suggestions, prefixes, k).withColumn("text", F.col("term"))
+    typed = written(prefix_completion(suggestions, prefixes, k).withColumn("text", F.col("term")), "q9-typed")
     near = typo_completion(suggestions, prefixes, k).withColumn("text", F.col("term"))
     first = typed.filter(F.col("rank") <= C.TEMPLATE_TERMS).select("prefix", "term", "rank")
     related = related_tags(postings, doc_tags, first.select("term").distinct(), k=C.TEMPLATE_TERMS)

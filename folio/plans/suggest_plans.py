@@ -102,7 +102,7 @@ SELECT term, tag, count, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3"""
 def q6(spark, sf_dir):
     idx = corpus_index(spark, sf_dir)
     terms = idx.vocab.filter((F.col("field") == "content") & F.col("term").isin(*T6_TERMS)).select("term")
-    return G.related_tags(idx.postings, tc.doc_tags(spark, sf_dir), terms, k=3)
+    return G.related_tags(idx, tc.doc_tags(spark, sf_dir), terms, k=3)
 
 
 Q6L_SQL = f"""WITH {Q.LINE_TAGS},
@@ -141,7 +141,7 @@ def q7(spark, sf_dir):
     pre = spark.range(1).select(F.lit("the").alias("prefix"))
     top = G.prefix_completion(sugg, pre, k=3).select("prefix", "term", "rank")
     idx = corpus_index(spark, sf_dir)
-    rel = G.related_tags(idx.postings, tc.doc_tags(spark, sf_dir), top.select("term"), k=3)
+    rel = G.related_tags(idx, tc.doc_tags(spark, sf_dir), top.select("term"), k=3)
     return G.templates(top, rel)
 
 
@@ -196,7 +196,7 @@ SELECT prefix, text, source_rank, CAST(pos AS INTEGER) AS pos, CAST(rank AS INTE
 @register("q9_merged_suggestions", Q9_SQL)
 def q9(spark, sf_dir):
     asked = _prefixes(spark, sf_dir).unionByName(spark.createDataFrame([("format:mark",), ("tags:src",), ("status:ind",)], "prefix string"))
-    return G.suggestions_for(asked, _sugg(spark, sf_dir), corpus_index(spark, sf_dir).postings, tc.doc_tags(spark, sf_dir), tc.documents(spark, sf_dir), k=8)
+    return G.suggestions_for(asked, _sugg(spark, sf_dir), corpus_index(spark, sf_dir), tc.doc_tags(spark, sf_dir), tc.documents(spark, sf_dir), k=8)
 
 
 @register("q10_recent_searches", f"WITH {Q.HISTORY}, l AS (SELECT user_id, query, max(searched_at) AS last_searched "

@@ -63,3 +63,57 @@ def test_the_stemmer_sees_distinct_words_only(spark):
     many = spark.range(40).select(F.explode(F.split(F.lit("splicing spliced ropes rope tide"), " ")).alias("term"))
     assert stem.surface_forms(many, {"splice", "rope"}) == {"splicing": "splice", "spliced": "splice", "ropes": "rope", "rope": "rope"}
     assert stem.surface_forms(many, set()) == {}
+
+
+def test_related_tags_count_tokens_among_the_terms_only(spark):
+    from folio.operators import suggest as G
+
+    idx = ix.build_index(frame(spark))
+    tags = spark.createDataFrame([(1, "a"), (2, "a"), (2, "rope"), (2, "b"), (6, "b"), (None, "c")], "doc_id long, tag string")
+    terms = spark.createDataFrame([("rope",), ("tide",), ("tide",), ("zzz",), (None,)], "term string")
+    got = G.related_tags(idx, tags, terms, k=None)
+    assert rows_of(got) == rows_of(G.related_tags(idx.postings, tags, terms, k=None)) != []
+    assert "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()  # which lists all postings
+
+
+def test_suggestions_and_first_completions_are_worked_out_once(spark):
+    from folio.operators import suggest as G
+
+    log = spark.createDataFrame([("rope tide", 1), ("rope splice", 2)], "query string, at long").select("query", F.timestamp_seconds("at").cast("timestamp_ntz").alias("searched_at"))
+    tags = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, tag string")
+    asked = spark.createDataFrame([("rop",), ("format:v",)], "prefix string")
+    out = G.suggestions_for(asked, G.from_query_log(log), ix.build_index(frame(spark)), tags, frame(spark), k=5)
+    assert "searched_at" not in out._jdf.queryExecution().optimizedPlan().toString()  # of the log, read when its counts are written
+    assert {r["prefix"] for r in out.collect()} == {"rop", "format:v"}
+
+
+def test_postings_of_a_log_are_not_shuffled_by_document(spark):
+    from folio.session import scratch_path
+    from folio.streaming import stream_ops as E
+
+    log = E.ChangeLog(spark, scratch_path(spark, "e4-test"), E.empty_postings(spark))
+    rows = lambda *r: spark.createDataFrame(list(r), "field string, term string, doc_id long, tf long, dl int")
+    log.append(0, rows(("title", "a", 1, 1, 1), (None, None, 1, 0, 0), ("title", "b", 2, 1, 1), (None, None, 2, 0, 0), ("title", "n", None, 1, 1)))
+    log.append(1, rows(("title", "c", 1, 2, 2), (None, None, 1, 0, 0), ("title", "d", 3, 1, 1), (None, None, 3, 0, 0)))
+    log.append(2, rows((None, None, 2, 0, 0)))
+    held = E.current_postings(log)
+    assert rows_of(held.select("doc_id", "term", "tf")) == [(1, "c", 2), (3, "d", 1)]
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_a_folder_is_listed_in_chunks(spark, tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    from folio.sources import folders
+
+    monkeypatch.setattr(folders, "CHUNK", 4)
+    for i in range(10):
+        (tmp_path / f"{i}.md").write_bytes(b"x" * i)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "ring").symlink_to(tmp_path)
+    (tmp_path / "gone").symlink_to(tmp_path / "nothing")
+    chunks = list(folders._chunks(fs.LocalFileSystem(), str(tmp_path)))
+    assert max(map(len, chunks)) <= 4
+    assert sorted(x.base_name for c in chunks for x in c) == [f"{i}.md" for i in range(10)] + ["sub"]
+    assert not list(folders._chunks(fs.LocalFileSystem(), str(tmp_path / "missing")))
