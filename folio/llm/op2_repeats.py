@@ -34,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import exchange as X
-from folio.llm.common import SpanHash, ragged, slices, text_buffers
+from folio.llm.common import GOLDEN, eights, mix64, prints, ragged, slices, text_buffers
 
 LENGTH, GRAM, GROUP_BYTES = 50, 24, 4 << 20
 _NULL = -(1 << 63)
 U = np.uint64
+_ODD = U(0xD1B54A32D192ED03)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -93,10 +94,14 @@ def stretches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(data)
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
-    at = np.arange(n - GRAM + 1)
-    grams = SpanHash(data)(at, at + GRAM)
-    place = _sliding_min((grams >> U(32) << U(32)) | at.astype(U), LENGTH - GRAM + 1) & U((1 << 32) - 1)
-    inside = np.arange(n - LENGTH + 1) + LENGTH <= np.repeat(off[1:], np.diff(off))[:n - LENGTH + 1]
+    eight = mix64(eights(data)[:n])
+    m = n - GRAM + 1
+    grams = eight[:m] + eight[8:m + 8] * GOLDEN + eight[16:m + 16] * _ODD   # GRAM is three eights
+    place = _sliding_min((grams >> U(32) << U(32)) | np.arange(m, dtype=U), LENGTH - GRAM + 1) & U((1 << 32) - 1)
+    inside = np.ones(n, bool)
+    last = np.maximum(off[:-1], off[1:] - (LENGTH - 1))    # from here on, strings would cross the document's end
+    inside[ragged(last, off[1:] - last)] = False
+    inside = inside[:n - LENGTH + 1]
     change = np.ones(len(place) + 1, bool)
     change[1:-1] = (place[1:] != place[:-1]) | (inside[1:] != inside[:-1])
     edges = np.flatnonzero(change)
@@ -110,39 +115,41 @@ class _Group:
     """All stretches of one group of documents, in the order of the table."""
 
     def __init__(self, table: pa.Table):
-        self.doc_id, self.rows, base, parts = [], [], 0, []
+        ids, base, at, parts, data, off = [], 0, 0, [], [], [np.zeros(1, np.int64)]
         for b in slices(iter(table.combine_chunks().to_batches()), "text", 1 << 20):
-            data, off = text_buffers(b["text"])
-            start, n, key = stretches(data, off)
-            h1, h2 = _prints(data, start, start + n + LENGTH - 1)
-            doc = np.searchsorted(off, start, "right") - 1
-            parts.append((start, n, key, h1, h2, doc + base, np.full(len(start), len(self.rows))))
-            self.rows.append((data, off, base))
-            base += b.num_rows
-            self.doc_id.append(b["doc_id"].fill_null(_NULL).to_numpy(zero_copy_only=False))
-        cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 7
-        self.start, self.n, self.key, self.h1, self.h2, self.row, self.slice = cols
-        self.ids = np.concatenate(self.doc_id) if base else np.zeros(0, np.int64)
+            some, ends = text_buffers(b["text"])
+            start, n, key = stretches(some, ends)
+            parts.append((start + at, n, key, np.searchsorted(ends, start, "right") - 1 + base))
+            data.append(some)
+            off.append(ends[1:] + at)
+            base, at = base + b.num_rows, at + len(some)
+            ids.append(b["doc_id"].fill_null(_NULL).to_numpy(zero_copy_only=False))
+        self.start, self.n, self.key, self.row = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4
+        self.data, self.off = np.concatenate(data) if parts else np.zeros(0, np.uint8), np.concatenate(off)
+        self.ids = np.concatenate(ids) if base else np.zeros(0, np.int64)
         self.doc = self.ids[self.row]
 
-    def distinct(self, some: np.ndarray) -> np.ndarray:
-        """Of the stretches `some`, one of each content, that of the smallest doc_id, in order of (key, content)."""
-        some = some[np.lexsort((self.doc[some], self.h2[some], self.h1[some], self.key[some]))]
-        new = np.ones(len(some), bool)
-        for c in (self.key, self.h1, self.h2):
-            new[1:] &= c[some][1:] == c[some][:-1]
-        new[1:] = ~new[1:]
-        return some[new]
+    def prints(self, some: np.ndarray) -> list[np.ndarray]:
+        start = self.start[some]
+        return _prints(self.data, start, start + self.n[some] + LENGTH - 1)
 
-    def content(self, some: np.ndarray) -> np.ndarray:
+    def distinct(self, some: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Of the stretches `some`, the places of one of each content, that of the smallest doc_id, in order of (key, content)."""
+        cols = [self.key[some], h1, h2]
+        order = np.lexsort((self.doc[some], *cols[::-1]))
+        new = np.ones(len(order), bool)
+        if len(order):
+            new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in cols])
+        return order[new]
+
+    def content(self, some: np.ndarray, part: int = 20_000) -> np.ndarray:
         """The bytes of stretches, one after another."""
-        out = np.empty(int((self.n[some] + LENGTH - 1).sum()), np.uint8)
-        size = self.n[some] + LENGTH - 1
-        to = np.cumsum(size) - size
-        for i, (data, _, _) in enumerate(self.rows):
-            own = self.slice[some] == i
-            out[ragged(to[own], size[own])] = data[ragged(self.start[some[own]], size[own])]
-        return out
+        x, width, out = eights(self.data), np.arange(-(-(2 * LENGTH - GRAM) // 8) * 8), [np.zeros(0, np.uint8)]
+        for a in range(0, len(some), part):
+            s = some[a:a + part]
+            rows = x[np.minimum(self.start[s][:, None] + width[::8], len(self.data))].view(np.uint8).reshape(len(s), -1)
+            out.append(rows[width < (self.n[s] + LENGTH - 1)[:, None]])
+        return np.concatenate(out)
 
 
 def _payload(key, n, doc, content) -> bytes:
@@ -162,9 +169,10 @@ def _open(blob: bytes):
     return np.cumsum(out[0], dtype=U), out[1], out[2], *_prints(content, begin, begin + width), content
 
 
-def _prints(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the bytes of each stretch."""
-    return SpanHash(data, seed=3)(start, end), SpanHash(data, seed=4)(start, end)
+def _prints(data: np.ndarray, start: np.ndarray, end: np.ndarray, part: int = 1 << 16) -> list[np.ndarray]:
+    """Two hashes of the bytes of each stretch, some stretches at a time."""
+    got = [prints(data, start[a:a + part], end[a:a + part], (3, 4)) for a in range(0, max(len(start), 1), part)]
+    return [np.concatenate(h) for h in zip(*got, strict=True)]
 
 
 def _spans(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,6 +237,13 @@ def _answers(table: pa.Table):
     return h1[order], h2[order], (np.cumsum(n) - n)[order], bits
 
 
+def _before(mask: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How many of the mask are set before each place."""
+    sums = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, out=sums[1:])
+    return sums[places]
+
+
 def mark_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per document; with `text`, the kept bytes as `kept` too."""
     docs = docs.select("doc_id", "text")
@@ -249,7 +264,8 @@ def mark_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, text: bool = F
         if not table.num_rows or not back.num_rows:
             return schema.empty_table()
         g = _Group(table)
-        some = g.distinct(np.flatnonzero(X.shared(g.key, back.to_pandas(), groups)))
+        some = np.flatnonzero(X.shared(g.key, back.to_pandas(), groups))
+        some = some[g.distinct(some, *g.prints(some))]
         cut = X.owner_cuts(g.key[some], groups)
         rows = []
         for o in np.flatnonzero(np.diff(cut)).tolist():
@@ -260,35 +276,31 @@ def mark_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, text: bool = F
     def cut_texts(key, table, back):
         g = _Group(table)
         h1, h2, bit, bits = _answers(back)
-        at = np.minimum(np.searchsorted(h1, g.h1), max(len(h1) - 1, 0))
-        asked = (h1[at] == g.h1) & (h2[at] == g.h2.astype(np.uint32)) if len(h1) else np.zeros(len(g.h1), bool)
-        s = np.flatnonzero(asked)
+        p1, p2 = g.prints(np.arange(len(g.start)))
+        at = np.minimum(np.searchsorted(h1, p1), max(len(h1) - 1, 0))
+        s = np.flatnonzero((h1[at] == p1) & (h2[at] == p2.astype(np.uint32))) if len(h1) else np.zeros(0, np.int64)
+        at, p1, p2 = at[s], p1[s], p2[s]
         # the smallest doc_id of the group with this content is what was sent
-        lead = g.distinct(s)
-        by = np.argsort(g.h1[lead], kind="stable")
-        least = g.doc[lead][by][np.searchsorted(g.h1[lead][by], g.h1[s])]
-        n = g.n[s]
-        flags = np.repeat(g.doc[s] > least, n) | bits[ragged(bit[at[s]], n)]
-        start, where = ragged(g.start[s], n)[flags], np.repeat(g.slice[s], n)[flags]
-        out = []
-        for i, (data, off, _) in enumerate(g.rows):
-            cover = np.zeros(len(data) + 1, np.int64)
-            own = start[where == i]
-            np.add.at(cover, own, 1)
-            np.add.at(cover, own + LENGTH, -1)
-            gone = np.cumsum(cover)[:-1] > 0
-            opens = gone.copy()
-            opens[1:] &= ~gone[:-1]
-            firsts = off[:-1][np.diff(off) > 0]
-            opens[firsts] = gone[firsts]
-            count = np.concatenate(([0], np.cumsum(gone)))
-            runs = np.concatenate(([0], np.cumsum(opens)))
-            kept = data[~gone].tobytes()
-            to = off - count[off]
-            for d in range(len(off) - 1):
-                own = kept[to[d]:to[d + 1]]
-                out.append((int(off[d + 1] - off[d]), int(count[off[d + 1]] - count[off[d]]), int(runs[off[d + 1]] - runs[off[d]]), hashlib.sha256(own).hexdigest())
-                           + ((own,) if text else ()))
+        lead = g.distinct(s, p1, p2)
+        lead = lead[np.argsort(p1[lead], kind="stable")]
+        least = g.doc[s[lead]][np.searchsorted(p1[lead], p1)]
+        n, data, off = g.n[s], g.data, g.off
+        flags = np.repeat(g.doc[s] > least, n) | bits[ragged(bit[at], n)]
+        starts = np.zeros(len(data), bool)
+        starts[ragged(g.start[s], n)[flags]] = True
+        covers = _before(starts, slice(None))            # strings that go and start before here
+        gone = covers[1:] > 0
+        gone[LENGTH:] = covers[LENGTH + 1:] > covers[1:-LENGTH]
+        opens = gone.copy()
+        opens[1:] &= ~gone[:-1]
+        firsts = off[:-1][np.diff(off) > 0]
+        opens[firsts] = gone[firsts]
+        count, runs = _before(gone, off), _before(opens, off)
+        kept, to, out = data[~gone].tobytes(), off - count, []
+        for d in range(len(off) - 1):
+            own = kept[to[d]:to[d + 1]]
+            out.append((int(off[d + 1] - off[d]), int(count[d + 1] - count[d]), int(runs[d + 1] - runs[d]), hashlib.sha256(own).hexdigest())
+                       + ((own,) if text else ()))
         cols = list(zip(*out, strict=True)) if out else [()] * (5 if text else 4)
         names, kinds = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64()] * 4 + [pa.string()]
         arrays = [pa.array(g.ids, pa.int64(), mask=g.ids == _NULL), *(pa.array(c, t) for c, t in zip(cols[:4], kinds[1:], strict=True))]

@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pyarrow as pa
 
-from folio.llm import common, op8_lines
+from folio.llm import common, op2_repeats, op8_lines
 
 
 def sample(docs=300, words=800):
@@ -54,3 +54,19 @@ def test_lines_cost_less_than_prefix_hashes_of_their_bytes():
     table = sample()
     data, _ = common.text_buffers(table["text"].combine_chunks())
     assert cpu(lambda: op8_lines._Lines(table)) < cpu(lambda: common.SpanHash(data))
+
+
+def test_stretches_cost_less_than_two_prefix_hashes_of_their_bytes():
+    table = sample()
+    data, _ = common.text_buffers(table["text"].combine_chunks())
+    assert cpu(lambda: op2_repeats._Group(table)) < 2 * cpu(lambda: common.SpanHash(data))
+
+
+def test_stretches_hold_every_string_and_its_bytes():
+    """Each place that starts a string of 50 bytes within its text lies in one stretch; texts shorter than that in none."""
+    texts = ["", "x" * 49, "y" * 50, None, "".join(chr(97 + i * i % 23) for i in range(400)), "z" * 51]
+    g = op2_repeats._Group(pa.table({"doc_id": pa.array(range(6), pa.int64()), "text": pa.array(texts)}))
+    got = sorted(common.ragged(g.start, g.n).tolist())
+    assert got == [49] + list(range(99, 99 + 351)) + [499, 500]
+    size = g.n + op2_repeats.LENGTH - 1
+    assert g.content(np.arange(len(g.n)), 3).tobytes() == g.data[common.ragged(g.start, size)].tobytes()
