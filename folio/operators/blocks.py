@@ -1,6 +1,6 @@
 """Score blocks of a written index, and batch top-k search that prunes by them.
 
-blocks(field, term, shard, df, top, docs, parts)   one row per (field, term, shard)
+blocks(field, term, shard, df, top, docs, parts, tfs)   one row per (field, term, shard)
 
 A shard is a hash range of documents. A block holds the documents of its shard
 that contain the term, best first, with their BM25 parts (tf, field length,
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,15 +26,21 @@ from folio import constants as C
 from folio.functions.text import analyze
 from folio.session import written
 
-BLOCK_COLS = ("field", "term", "shard", "df", "top", "docs", "parts")
+BLOCK_COLS = ("field", "term", "shard", "df", "top", "docs", "parts", "tfs")
 #: Up to so many queries are routed shard by shard before lists are read.
 ROUTED = 1000
 #: A shard is made larger than asked for until it holds about so many postings, so that queries meet few shards.
-SHARD_POSTINGS = 4_000_000
+SHARD_POSTINGS = 6_000_000
 #: Scores are compared after rounding, so bounds leave this much room.
 SLACK = 10.0 ** -C.SCORE_DECIMALS
 
 
+def shard_count(index, n: int, held: int, shard_docs: int) -> int:
+    """Shards of n documents with so many postings."""
+    few = max(16, 2 * index.docs.sparkSession.sparkContext.defaultParallelism, -(-held // SHARD_POSTINGS))
+    return max(1, min(-(-n // shard_docs), few))
+
+
 def write_blocks(index, path: str, shard_docs: int) -> None:
     """The score blocks of a written index next to its postings. `shard_docs` is
     the least size of a shard. Every query of a batch meets every shard, so beyond two
@@ -41,14 +48,13 @@ def write_blocks(index, path: str, shard_docs: int) -> None:
     from folio.operators.search import contribution, with_stats
 
     n, held = index.docs.count(), index.vocab.agg(F.sum("df")).first()[0] or 0
-    few = max(16, 2 * index.docs.sparkSession.sparkContext.defaultParallelism, -(-held // SHARD_POSTINGS))
-    shards = max(1, min(-(-n // shard_docs), few))
+    shards = shard_count(index, n, held, shard_docs)
     rows = index.postings.join(index.vocab.select("field", "term", "df"), ["field", "term"])
     rows = with_stats(rows, index).select("field", "term", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "df",
-                                          F.struct((-contribution("bm25")).alias("p"), "doc_id").alias("e"))
+                                          F.struct((-contribution("bm25")).alias("p"), "doc_id", F.col("tf").cast("int").alias("tf")).alias("e"))
     lists = rows.groupBy("field", "term", "shard").agg(F.max("df").alias("df"), F.array_sort(F.collect_list("e")).alias("es"))
     out = lists.select("field", "term", "shard", "df", (-F.col("es")[0]["p"]).alias("top"), F.col("es.doc_id").alias("docs"),
-                       F.transform("es.p", lambda p: -p).alias("parts"))
+                       F.transform("es.p", lambda p: -p).alias("parts"), F.col("es.tf").alias("tfs"))
     (out.repartitionByRange("field", "term", "shard").sortWithinPartitions("field", "term", "shard")
      .write.mode("overwrite").parquet(f"{path.rstrip('/')}/blocks"))
 
@@ -130,13 +136,15 @@ DEALT = "shard int, kind int, field string, term string, docs array<bigint>, par
 
 def _answer(fields: tuple, k: int):
     """Over the rows of whole shards, in order of shard and kind: the lists of one shard are held, its queries stream by."""
+    from folio.operators.batch import NO_ID
+
     def build(held: list) -> Lists | None:
         if not held:
             return None
         t = pa.Table.from_batches(held)
         docs, parts = (pa.concat_arrays(t[c].chunks) for c in ("docs", "parts"))
         offsets = docs.offsets.to_numpy().astype(np.int64)
-        return Lists(t["field"].to_pylist(), t["term"].to_pylist(), offsets - offsets[0], docs.flatten().to_numpy(), parts.flatten().to_numpy())
+        return Lists(t["field"].to_pylist(), t["term"].to_pylist(), offsets - offsets[0], pc.fill_null(docs.flatten(), NO_ID).to_numpy(), parts.flatten().to_numpy())
 
     def run(batches):
         shard, held, lists = None, [], None
@@ -181,34 +189,27 @@ def routes(index, asked: DataFrame, fields: tuple, k: int) -> DataFrame:
             .select("shard", "query", "floor"))
 
 
-def floors(index, asked: DataFrame, fields: tuple, k: int) -> DataFrame:
-    """(query, floor): the k-th best part of any one of a query's terms over all shards, null where none has so many."""
-    best = F.sort_array(F.flatten(F.collect_list(F.slice("parts", 1, k))), asc=False)  # k numbers a shard
-    per_term = index.blocks.filter(F.col("field").isin(list(fields))).groupBy("field", "term").agg(F.get(best, F.lit(k - 1)).alias("kth"))
-    per_term = per_term.groupBy("term").agg(F.max("kth").alias("kth"))
-    terms = asked.select("query", F.explode("terms").alias("term"))
-    return terms.join(per_term, "term").groupBy("query").agg(F.max("kth").alias("floor"))
-
-
 def best_documents(index, asked: DataFrame, k: int, fields: tuple, routed: int = ROUTED) -> DataFrame:
     """(query, doc_id, score, rank): the k best documents for every row of `asked(query, terms)`. A task holds one
     shard's lists at a time and answers the queries sent there as they stream by, so lists are read once for any number of
-    queries. Up to `routed` queries go only to the shards that can reach their floor; more go to all shards, each of
-    which leaves a query alone as soon as its own bound is below the floor."""
+    queries. Up to `routed` queries go only to the shards that can reach their floor; more go to all shards, in chunks
+    (operators/batch.py)."""
+    from folio.operators.batch import NO_ID, answer_batch
     from folio.operators.stats import top_k_per_group
 
     asked = written(asked, "asked")  # read several times below
     shards = (index.blocks.agg(F.max("shard")).first()[0] or 0) + 1
     if asked.limit(routed + 1).count() <= routed:
         sent = routes(index, asked, fields, k).join(asked, "query")
+        wanted = asked.select(F.explode("terms").alias("term")).distinct()
+        lists = index.blocks.filter(F.col("field").isin(list(fields))).join(wanted, "term", "left_semi").withColumn("kind", F.lit(0))
+        sent = sent.withColumn("kind", F.lit(1))
+        names = [f.split(" ")[0] for f in DEALT.split(", ")]
+        dealt = lists.unionByName(sent.select("shard", "kind", "query", "terms", "floor"), allowMissingColumns=True).select(*names)
+        found = dealt.repartition(4 * shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answer(tuple(fields), k), "query string, doc_id long, score double")
+        found = found.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
     else:
-        sent = asked.join(floors(index, asked, fields, k), "query").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    wanted = asked.select(F.explode("terms").alias("term")).distinct()
-    lists = index.blocks.filter(F.col("field").isin(list(fields))).join(wanted, "term", "left_semi").withColumn("kind", F.lit(0))
-    sent = sent.withColumn("kind", F.lit(1))
-    names = [f.split(" ")[0] for f in DEALT.split(", ")]
-    dealt = lists.unionByName(sent.select("shard", "kind", "query", "terms", "floor"), allowMissingColumns=True).select(*names)
-    found = dealt.repartition(4 * shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answer(tuple(fields), k), "query string, doc_id long, score double")
+        found = answer_batch(index, asked, k, tuple(fields), shards)
     return top_k_per_group(found.withColumn("score", F.round("score", C.SCORE_DECIMALS)), ["query"], [F.col("score").desc(), F.col("doc_id")], k)
 
 

@@ -40,6 +40,9 @@ class Index:
     prebuilt: bool = False
     # score blocks of a written index (operators/blocks.py), if it has them
     blocks: DataFrame | None = None
+    # lists of a written index (operators/lists.py), if it has them, and the document frequencies of terms in several of its parts
+    lists: DataFrame | None = None
+    wide: dict | None = None
     # gram index of a written index's vocabulary (operators/grams.py), if it has one
     grams: DataFrame | None = None
     # which of the fields hold analysed text
@@ -56,6 +59,15 @@ class Index:
         return self.docs.select(F.count(F.lit(1))).scalar()
 
 
+def field_terms(docs: DataFrame, f: str, text: bool):
+    """The tokens of a field: of analysed text, of a list of keywords or of keywords in one string."""
+    if text:
+        return analyze(F.col(f))
+    if docs.schema[f].dataType.simpleString().startswith("array"):
+        return F.filter(F.transform(F.col(f), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    return analyze_keywords(F.col(f))
+
+
 def _field_tokens(docs: DataFrame, text_fields, keyword_fields, stem: bool = False) -> DataFrame:
     """Long form (doc_id, field, toks) with one row per document and field.
     Tokenising is the heavy per-row step, so the input is spread over the
@@ -66,11 +78,7 @@ def _field_tokens(docs: DataFrame, text_fields, keyword_fields, stem: bool = Fal
     for f in text_fields:
         parts.append(F.struct(F.lit(f).alias("field"), analyze(F.col(f)).alias("toks")))
     for f in keyword_fields:
-        dt = docs.schema[f].dataType.simpleString()
-        if dt.startswith("array"):
-            toks = F.filter(F.transform(F.col(f), lambda x: F.lower(F.trim(x))), lambda x: x != "")
-        else:
-            toks = analyze_keywords(F.col(f))
+        toks = field_terms(docs, f, False)
         parts.append(F.struct(F.lit(f).alias("field"), F.coalesce(toks, F.array().cast("array<string>")).alias("toks")))
     return docs.select("doc_id", F.explode(F.array(*parts)).alias("x")).select(
         "doc_id", F.col("x.field").alias("field"), F.col("x.toks").alias("toks"))
@@ -202,13 +210,24 @@ def write_index(index: Index, path: str, partitions: int | None = None, shard_do
     blocks for batch search are written as well, with `grams` the gram index
     of the vocabulary.
 
-    Postings are range-partitioned and sorted by (field, term) so Parquet
+    An index built from documents that each have an id of their own is
+    written from lists (operators/lists.py). Of any other,
+    postings are range-partitioned and sorted by (field, term) so Parquet
     min/max statistics skip files and row groups for `term IN (...)`
     lookups (that is also the compaction step, T14). Vocabulary and corpus
     statistics are then derived from the written postings: the sum of tf
     over a field equals the sum of its field lengths, and the document count
     comes from a column-pruned count of the documents."""
+    from folio.operators import lists
+
     spark = index.postings.sparkSession
+    whole = index.texts is not None and not index.stemmed and index.texts.schema["doc_id"].dataType.simpleString() == "bigint"
+    if whole and (n := lists.one_row_each(index)) is not None:
+        lists.write_whole(index, path, n, partitions, shard_docs)
+        if grams:
+            from folio.operators.grams import write_grams
+            write_grams(read_index(spark, path, index.docs), path)
+        return
     p = index.postings
     # doc_id in the range key lets a term held by a third of all documents
     # spread over several files instead of landing whole in one task
@@ -245,14 +264,17 @@ def read_index(spark: SparkSession, path: str, docs: DataFrame, stemmed: bool =
     values = {r["field"]: (r["n_docs"], r["avgdl"]) for r in stats.collect()}
     from folio.operators.blocks import read_blocks
     from folio.operators.grams import read_grams
+    from folio.operators.lists import read_wide
 
     def has(part):
         at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}/_SUCCESS")
         return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
+    listed = has("lists")
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocab"),
                  stats, docs, stemmed, tuple(values), values, True,
-                 read_blocks(spark, path) if has("blocks") else None, read_grams(spark, path) if has("grams") else None, tuple(text_fields))
+                 read_blocks(spark, path) if has("blocks") else None, spark.read.parquet(f"{path}/lists") if listed else None,
+                 read_wide(spark, path) if listed else None, read_grams(spark, path) if has("grams") else None, tuple(text_fields))
 
 
 def compact_index(spark: SparkSession, src: str, dst: str, partitions: int, docs: DataFrame) -> Index:

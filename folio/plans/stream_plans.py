@@ -107,13 +107,18 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)
 SELECT qid, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""
 
 
+#: Files of queries that a batch of the live search takes at most; each query's answer is the same in any batch.
+LIVE_FILES = 1000
+
+
 @register("e6_live_search", E6_SQL)
 def e6(spark, sf_dir):
     docs = tc.documents(spark, sf_dir)
     path = scratch_path(spark, "e6-index")
     ix.write_index(corpus_index(spark, sf_dir), path, shard_docs=2000)
     idx = ix.read_index(spark, path, docs)
-    conv = E.table_stream(spark, sf_dir, "conversations")
+    # the whole index is read for each batch, so a batch takes all files that are there
+    conv = E.table_stream(spark, sf_dir, "conversations", max_files=LIVE_FILES)
     q = tc.search_history_from(conv).select((F.col("user_id") * 1000 + F.col("turn")).alias("qid"),
                                             F.col("query").alias("text"))
     out = scratch_path(spark, "e6-results")
