@@ -225,10 +225,14 @@ def search_blocks(index, queries: DataFrame, k: int, fields: tuple, qid: str = "
 def similar_documents(index, k_terms: int = 10, k: int = 10, field: str = "content") -> DataFrame:
     """T11 for all documents: (seed_id, doc_id, score, rank), the k documents most like each one, by BM25 over its
     `k_terms` heaviest terms. Each document is a query to the score blocks, so pairs below its k-th score are not summed."""
+    from folio.operators.batch import heavy_terms
     from folio.operators.search import top_terms
 
-    asked = top_terms(index, k_terms, field).groupBy(F.col("doc_id").cast("string").alias("query")).agg(F.collect_list("term").alias("terms"))
-    best = best_documents(index, asked, k + 1, (field,))  # one more, as the document itself is among them
+    if index.stats_values and field in index.stats_values:
+        asked = heavy_terms(index, k_terms, field, (index.blocks.agg(F.max("shard")).first()[0] or 0) + 1)
+    else:
+        asked = top_terms(index, k_terms, field).groupBy(F.col("doc_id").cast("string").alias("query")).agg(F.collect_list("term").alias("terms"))
+    best = best_documents(index, asked.filter("query is not null"), k + 2, (field,))  # the document itself and the null id may be among them
     rest = best.withColumn("seed_id", F.col("query").cast("long")).filter("seed_id <> doc_id")
     rank = F.row_number().over(Window.partitionBy("seed_id").orderBy("rank"))
     return rest.select("seed_id", "doc_id", "score", rank.alias("rank")).filter(F.col("rank") <= k)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folio.operators import batch, lists
 from folio.operators import blocks as B
 from folio.operators import index as ix
+from folio.operators import search as s
 from folio.session import scratch_path
 
 
@@ -68,6 +69,14 @@ def test_repeated_and_null_ids_are_counted_as_before(spark):
     assert got == rows_of(B.best_documents(a, asked, 99, ("content",))) and any(r[1] is None for r in got)
 
 
+def test_similar_documents_equals_one_by_one(spark):
+    for index in both(spark, some_rows(150)):
+        got = rows_of(B.similar_documents(index, 6, 4).select("seed_id", "doc_id", "score"))
+        plain = ix.Index(index.postings, index.vocab, index.stats, index.docs, index.stemmed, index.fields, index.stats_values, True)
+        want = rows_of(s.more_like_this(plain, index.docs.select("doc_id"), 6, limit=4).select("seed_id", "doc_id", "score"))
+        assert got == want and got
+
+
 def test_shard_answers_with_and_without_floors():
     rng = np.random.default_rng(3)
     n, many = 3000, 40
