@@ -51,6 +51,8 @@ class Index:
     lengths: DataFrame | None = None
     # the documents of an index built from them, as long as nothing else was done to it
     texts: DataFrame | None = None
+    # those documents without what was joined to them: the same rows, unless the join repeats some
+    plain: DataFrame | None = None
     # what `narrowed` wrote, by (field, term) pairs
     narrow: dict = field(default_factory=dict)
 

@@ -28,6 +28,8 @@ from folio import constants as C
 from folio.functions.text import snippet as snippet_col
 from folio.operators.index import TEXT_FIELDS, Index, narrowed
 
+#: Seeds, and terms that they hold, up to which similar documents are looked up in the texts.
+FEW_SEEDS, SEED_TERMS = 1000, 20_000
 DEFAULT_FIELDS = ("title", "content", "tags")
 _TOKEN_RX = _re.compile(C.TOKEN_PATTERN)
 
@@ -717,7 +719,11 @@ def more_like_this(index: Index, seeds: DataFrame, k_terms: int = 10,
     with BM25 on that field; the seed itself is excluded.
 
     Output (seed_id, doc_id, score). Work is a sparse product: seed terms join
-    postings on (field, term); the seeds frame carries the bound on seeds."""
+    postings on (field, term); the seeds frame carries the bound on seeds. For few seeds, an index
+    that was built from documents isn't counted: the texts are read for the terms of the seeds only."""
+    scores = _few_seeds(index, seeds, k_terms, field)
+    if scores is not None:
+        return _best_of(scores, limit)
     seed_terms = top_terms(index.__class__(index.postings.join(seeds.select("doc_id"), "doc_id", "left_semi"),
                                            index.vocab, index.stats, index.docs), k_terms, field) \
         .select(F.col("doc_id").alias("seed_id"), "term")
@@ -729,12 +735,55 @@ def more_like_this(index: Index, seeds: DataFrame, k_terms: int = 10,
             .withColumn("part", contribution("bm25")))
     scores = rows.groupBy("seed_id", "doc_id").agg(
         F.round(F.sum("part"), C.SCORE_DECIMALS).alias("score"))
+    return _best_of(scores, limit)
+
+
+def _best_of(scores: DataFrame, limit: int | None) -> DataFrame:
     if limit is None:
         return scores
     from folio.operators.stats import top_k_per_group  # salted: a seed with huge candidate sets is split
     return top_k_per_group(scores, ["seed_id"], [F.col("score").desc(), F.col("doc_id")], limit)
 
 
+def _few_seeds(index: Index, seeds: DataFrame, k_terms: int, field: str) -> DataFrame | None:
+    """`more_like_this` without its limit for up to FEW_SEEDS seeds with up to SEED_TERMS terms, from documents that each have
+    an id of their own. One pass over the texts counts the documents that hold the seeds' terms, another scores the documents
+    that hold the heaviest ones; nothing but counts and scores is shuffled."""
+    from folio.operators.index import field_terms
+    from folio.operators.lists import one_row_each
+    from folio.operators.stats import top_k_per_group
+
+    if index.texts is None or index.stemmed or field not in index.fields or index.texts.schema["doc_id"].dataType.simpleString() != "bigint":
+        return None
+    ids = [r[0] for r in seeds.select("doc_id").distinct().limit(FEW_SEEDS + 1).collect()]
+    if len(ids) > FEW_SEEDS or one_row_each(index) is None:
+        return None
+    texts = index.plain if index.plain is not None and field in index.plain.columns else index.texts  # the same rows, as ids are not repeated
+    long = texts.select("doc_id", F.coalesce(field_terms(texts, field, field in index.text_fields), F.array().cast("array<string>")).alias("toks"))
+    own = long.filter(F.col("doc_id").isin([i for i in ids if i is not None])).select("doc_id", F.explode("toks").alias("term"))
+    counted = own.groupBy("doc_id", "term").count().limit(SEED_TERMS + 1).collect()
+    if len(counted) > SEED_TERMS:
+        return None
+    spark = texts.sparkSession
+    among = lambda terms: F.filter("toks", lambda t: t.isin(sorted(terms)))
+    one = lambda term, n: F.struct(term.alias("term"), n.cast("long").alias("n"))
+    held = F.transform(F.array_distinct(among({r["term"] for r in counted})), lambda t: one(t, F.lit(1)))
+    length = F.array(one(F.lit(None).cast("string"), F.size("toks")))  # a row without a term sums up lengths
+    sums = long.select(F.explode(F.concat(held, length)).alias("x")).groupBy("x.term").agg(F.sum("x.n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    n_docs, sum_dl = next(((r["rows"], r["n"]) for r in sums if r["term"] is None), (0, 0))
+    dfs = {r["term"]: r["n"] for r in sums}
+    weights = spark.createDataFrame([(r["doc_id"], r["term"], r["count"], dfs[r["term"]]) for r in counted], "seed_id long, term string, tf long, df long")
+    weights = weights.withColumn("weight", F.col("tf") * F.log(F.lit(n_docs) / F.col("df")))
+    heavy = top_k_per_group(weights, ["seed_id"], [F.col("weight").desc(), F.col("term")], k_terms).select("seed_id", "term", "df").collect()
+    asked = spark.createDataFrame(heavy, "seed_id long, term string, df long")
+    hits = long.select("doc_id", F.size("toks").alias("dl"), among({r["term"] for r in heavy}).alias("toks"))
+    each = F.transform(F.array_distinct("toks"), lambda t: one(t, F.size(F.filter("toks", lambda x: x == t))))
+    rows = (hits.select("doc_id", "dl", F.explode(each).alias("x")).select("doc_id", "dl", "x.term", F.col("x.n").alias("tf"))
+            .join(F.broadcast(asked), "term").filter(F.col("doc_id") != F.col("seed_id"))
+            .select("*", F.lit(field).alias("field"), F.lit(n_docs).alias("n_docs"), F.lit(sum_dl / n_docs if n_docs else 0.0).alias("avgdl")))
+    return rows.withColumn("part", contribution("bm25")).groupBy("seed_id", "doc_id").agg(F.round(F.sum("part"), C.SCORE_DECIMALS).alias("score"))
+
+
 def hints(log: DataFrame, query_col: str = "query", count_col: str = "results_count") -> DataFrame:
     """Rewrite hints per logged query: zero hits -> `~q~`, unquoted,
     AND->OR; more than 100 -> add a format filter, quote it. At most 5."""

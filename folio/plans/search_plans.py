@@ -17,7 +17,9 @@ T6_TERMS = ("tion", "ing", "ther")
 
 def corpus_index(spark, sf_dir, by_document=False):
     docs = tc.documents(spark, sf_dir)
-    return ix.build_index(docs, by_document=by_document)
+    index = ix.build_index(docs, by_document=by_document)
+    index.plain = tc.documents(spark, sf_dir, with_labels=False)
+    return index
 
 
 def _page_cols(df):
